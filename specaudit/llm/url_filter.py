@@ -130,3 +130,20 @@ def judge_urls(pages: DataFrame, vocabulary: dict[str, int] = VOCABULARY, rules:
     rule, kind = rule_of(F.col("host"), F.col("path"), rules)
     vote = F.when((F.col("n_strict") > 0) | (F.col("n_soft") > max_soft), "block").otherwise("allow")
     return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(kind, vote).alias("verdict"), "n_strict", "n_soft")
+
+
+def _oracle_sql() -> str:
+    host = "translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = "coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    longest = sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", f"{h}{p}", v) for v, h, p in longest]
+    hits = {w: " + ".join(f"CAST(regexp_matches(lower(coalesce(url, '')), '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])') AS BIGINT)" for t, x in VOCABULARY.items() if x == w) for w in (STRICT, SOFT)}
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+    return f"""
+WITH p AS (SELECT page_id, url, {host} AS host, {path} AS path FROM pages),
+c AS (SELECT *, {case(1)} AS rule, {case(2)} AS kind, {hits[STRICT]} AS n_strict, {hits[SOFT]} AS n_soft FROM p)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN n_strict > 0 OR n_soft > 1 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM c
+"""
+
+
+ORACLE_SQL = _oracle_sql()
