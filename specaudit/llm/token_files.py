@@ -2,12 +2,12 @@
 
 A folder holds shards, in order of ``doc_id``. Shard files, all little-endian:
 
-* ``NAME.bin``: the token ids of its documents end to end, ``uint32`` (``uint16`` where the vocabulary allows),
+* ``NAME.bin``: the token ids of its documents end to end, ``uint16`` if all ids of the tokenizer fit, else ``uint32``,
 * ``NAME.idx``: ``int64`` offsets into it, one more than there are documents,
 * ``NAME.ids``: the ``int64`` document ids, and ``NAME.nul``: a byte for each, 1 where the id was null.
 
-``manifest`` is a Parquet table with a row for each shard: its name, place, and numbers of documents and
-tokens. A shard's first token has as its global number the sum of the tokens of all shards before it (a prefix
+``manifest`` is a Parquet table with a row for each shard: its name, place, bytes of an id, and numbers of
+documents and tokens. A shard's first token has as its global number the sum of the tokens of all shards before it (a prefix
 sum over the manifest, which has as many rows as there were tasks). Each attempt of a task writes files of its
 own; only those of the attempt that succeeded are in the manifest, so lost or repeated tasks do no harm.
 """
@@ -29,6 +29,7 @@ from .common import new_path, slices, small_batches, text_of
 from .wordcodes import JoinedEncoder, WordCache, ragged, ragged_take, word_codes
 
 _ENCODERS: dict = {}
+_MANIFEST = "shard long, name string, width long, n_docs long, n_tokens long"
 
 
 def open_folder(uri: str):
@@ -57,6 +58,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = t = Tokenizer.from_file(path)
+        self.size = t.get_vocab_size()
         self.special = [x.content for x in t.get_added_tokens_decoder().values()]
         bar = t.encode("|", add_special_tokens=False).ids
         if len(bar) != 1 or t.encode("a \n\t b", add_special_tokens=False).ids != t.encode("a", add_special_tokens=False).ids + t.encode("b", add_special_tokens=False).ids:
@@ -135,6 +137,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
         system.create_dir(path, recursive=True)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         encoder = _encoder(tokenizer_path)
+        width = 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4
         n_docs = n_tokens = 0
         files = {x: system.open_output_stream(f"{path}/{name}.{x}") for x in ("bin", "idx", "ids", "nul")}
         try:
@@ -143,7 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 for batch in slices(whole, "text"):
                     ids, lengths = encoder.encode(batch.column("text"))
                     ends = np.cumsum(lengths + 1)
-                    out = np.full(int(ends[-1]), end_id, "<u4")
+                    out = np.full(int(ends[-1]), end_id, f"<u{width}")
                     inner = np.ones(len(out), bool)
                     inner[ends - 1] = False
                     out[inner] = ids
@@ -157,26 +160,26 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             for f in files.values():
                 f.close()
         if n_docs:
-            yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "name": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]}, schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "name": [name], "width": [width], "n_docs": [n_docs], "n_tokens": [n_tokens]}, schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("width", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ranged.select("doc_id", "text").mapInArrow(write, "shard long, name string, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
+    ranged.select("doc_id", "text").mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
     return folder
 
 
 def shard_bases(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest with the global number of each shard's first document and token."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = spark.read.schema("shard long, name string, n_docs long, n_tokens long").parquet(f"{folder}/manifest")
+    shards = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
     return shards.select("*", F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("doc_base"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("token_base"))
 
 
-def _arrays(folder: str, name: str):
+def _arrays(folder: str, name: str, width: int):
     """Tokens, offsets, ids and null flags of a shard: memory maps on a mounted store, else as read."""
     from pyarrow import fs
 
     system, path = open_folder(folder)
 
-    def array(kind: str, dtype: str) -> np.ndarray:
+    def read(kind: str, dtype: str) -> np.ndarray:
         at = f"{path}/{name}.{kind}"
         if not system.get_file_info(at).size:
             return np.zeros(0, dtype)
@@ -185,7 +188,7 @@ def _arrays(folder: str, name: str):
         with system.open_input_file(at) as f:
             return np.frombuffer(f.read_buffer(), dtype)
 
-    return array("bin", "<u4"), array("idx", "<i8"), array("ids", "<i8"), array("nul", "u1")
+    return read("bin", f"<u{width}"), read("idx", "<i8"), read("ids", "<i8"), read("nul", "u1")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,19 +197,19 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.to_pylist():
-                tokens, offsets, ids, null = _arrays(folder, shard["name"])
+                tokens, offsets, ids, null = _arrays(folder, shard["name"], shard["width"])
                 for a in range(0, len(ids), 10_000):
                     b = min(a + 10_000, len(ids))
-                    crc = [zlib.crc32(tokens[x:y]) for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
+                    crc = [zlib.crc32(tokens[x:y].astype("<u4")) for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64(), mask=null[a:b].astype(bool)), pa.array(offsets[a:b] + shard["token_base"]), pa.array(np.diff(offsets[a : b + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     bases = shard_bases(spark, folder)
     tasks = max(1, bases.count())
-    spread = bases.select("name", "token_base").repartition(tasks, "name")
+    spread = bases.select("name", "width", "token_base").repartition(tasks, "name")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_tokens(folder: str, name: str, document: int) -> np.ndarray:
+def read_tokens(folder: str, name: str, width: int, document: int) -> np.ndarray:
     """Ids of one document of a shard, without reading the rest of it."""
-    tokens, offsets, _, _ = _arrays(folder, name)
+    tokens, offsets, _, _ = _arrays(folder, name, width)
     return tokens[offsets[document] : offsets[document + 1]]
