@@ -110,7 +110,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     text = text_of(docs)
     contents = docs.select(F.sha2(text, 256).alias("content"), text.alias("text"))
-    misses = contents.join(cached(), "content", "left_anti").groupBy("content").agg(F.first("text").alias("text"))
+    # copies meet in the map-side part of the aggregate, so a text with many copies isn't sent many times
+    misses = contents.groupBy("content").agg(F.first("text").alias("text")).join(cached(), "content", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer_path)
