@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, pii, quality, sp_codec, token_counts, token_files, url_filter
+from . import decontam, langid, line_dedup, pii, quality, sp_codec, token_counts, token_files, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -48,12 +48,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
     return token_files.read_token_files(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_personal_data, op3_quality_rules, op5_sentencepiece, op6_decontamination, op7_language_id, op8_token_counts, op10_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_personal_data, op3_quality_rules, op5_sentencepiece, op6_decontamination, op7_language_id, op8_token_counts, op9_line_dedup, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE_SQL,
     "op3_quality_rules": quality.ORACLE_SQL,

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, small_batches, text_of
+from .common import materialise, new_path, slices, small_batches, text_of
 from .wordcodes import JoinedEncoder, WordCache, used_codes, word_codes
 
 _CACHES: dict = {}
@@ -122,4 +122,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     misses.mapInArrow(encode, schema).write.mode("append").parquet(cache_path)
     keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content"))
-    return keyed.join(cached(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
+    # a plain table, so that the partition of a text with many copies can be split
+    return keyed.join(materialise(cached(), "counts"), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
