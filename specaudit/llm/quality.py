@@ -43,26 +43,34 @@ END_MARKS = ".!?:;…\"')]»”"
 
 def words_of(text: Column) -> Column:
     """Runs of characters other than the six ASCII white-space characters."""
-    return F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), "")
+    rare = text.rlike(r"[\t\x0B\f\r]")
+    return F.array_remove(F.when(rare, F.split(text, r"[\x20\t-\r]")).otherwise(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")), "")
 
 
-def without_white(text: Column) -> Column:
-    return F.translate(text, WHITE, "")
+def blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(WHITE)) == ""
+
+
+def n_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, ""))
 
 
 def count_of(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line of page furniture: navigation bars, mostly symbols, a boilerplate phrase, or a fragment without an end mark."""
-    bare = without_white(line)
-    lower = F.lower(line)
+def line_fails(line: Column, has_phrase: Column, has_symbol: Column) -> Column:
+    """True for a line of page furniture: navigation bars, mostly symbols, a boilerplate phrase, or a fragment without an end mark.
+
+    What holds for the whole text (it has one of the phrases, one of the symbols) spares a look at its lines.
+    """
     phrase = F.lit(False)
     for p in BOILERPLATE:
-        phrase = phrase | lower.contains(p)
-    fragment = ~F.substring(bare, -1, 1).isin(*END_MARKS) & (F.size(words_of(line)) < SHORT_LINE)
-    return (count_of(line, "|") >= NAVIGATION_BARS) | (100 * count_of(bare, SYMBOLS) > MAX_SYMBOL_PERCENT * F.length(bare)) | phrase | fragment
+        phrase = phrase | F.lower(line).contains(p)
+    fragment = ~F.substring(F.rtrim(line, F.lit(WHITE)), -1, 1).isin(*END_MARKS) & (F.size(words_of(line)) < SHORT_LINE)
+    bars = count_of(line, "|") >= NAVIGATION_BARS
+    symbols = 100 * count_of(line, SYMBOLS) > MAX_SYMBOL_PERCENT * n_chars(words_of(line))
+    return fragment | (has_symbol & (bars | symbols)) | (has_phrase & phrase)
 
 
 def judge_quality(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
@@ -74,36 +82,44 @@ def judge_quality(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     their words, sorted within the text, so long texts cost no more than a sort.
     """
     text = text_of(docs)
-    own = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if keep_columns else [docs["doc_id"].cast("long").alias("doc_id")]
-    t = docs.select(*own, text.alias("t")).select("*", words_of(F.col("t")).alias("w"), F.split("t", "\n").alias("raw"))
+    own = [F.struct(*(docs[c] for c in docs.columns if c not in ("kept", "clean_text"))).alias("row")] if keep_columns else [docs["doc_id"].cast("long").alias("doc_id")]
+    t = docs.select(*own, text.alias("t")).select("*", words_of(F.col("t")).alias("w"), F.split("t", "\n").alias("raw"), F.lower("t").alias("lower"))
+    has_phrase = F.lit(False)
+    for p in BOILERPLATE:
+        has_phrase = has_phrase | F.col("lower").contains(p)
     last = F.size("w") - WINDOW
     window = lambda i: F.xxhash64(*(F.get(F.col("w"), i + k) for k in range(WINDOW)))
-    t = t.select("*", F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)).alias("h"))
+    t = t.select(
+        *(c for c in t.columns if c != "lower"),
+        F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), window)).alias("h"),
+        F.filter("raw", lambda x: ~blank(x)).alias("lines"),
+        has_phrase.alias("has_phrase"),
+        F.col("t").rlike("[" + SYMBOLS + "]").alias("has_symbol"),
+    )
     sorted_windows = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    t = t.select(*(c for c in t.columns if c not in ("h", "raw")), F.when(F.size(F.array_distinct("h")) < F.size("h"), sorted_windows).alias("s"), F.filter("raw", lambda x: without_white(x) != "").alias("lines"), "raw")
+    good = F.filter("raw", lambda x: blank(x) | ~line_fails(x, F.col("has_phrase"), F.col("has_symbol")))
+    t = t.select(*(c for c in t.columns if c not in ("h", "w")), F.size("w").alias("n_words"), n_chars(F.col("w")).alias("word_chars"), F.when(F.size(F.array_distinct("h")) < F.size("h"), sorted_windows).alias("s"), good.alias("good"))
     same = lambda k, e: F.coalesce(F.get(F.col("s"), k)["x"] == e["x"], F.lit(False))
     again = F.transform("s", lambda e, k: F.when(same(k - 1, e) | same(k + 1, e), e["i"]))
-    t = t.select("*", F.array_sort(F.filter(again, lambda x: x.isNotNull())).alias("at"), F.filter("raw", lambda x: (without_white(x) == "") | ~line_fails(x)).alias("good"))
+    t = t.select("*", F.array_sort(F.filter(again, lambda x: x.isNotNull())).alias("at"), (F.size("raw") - F.size("good")).alias("n_bad"))
     covered = F.aggregate("at", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, i: F.struct((i + WINDOW).alias("end"), (a["n"] + i + WINDOW - F.greatest(i, a["end"])).alias("n")), lambda a: a["n"])
-    n_chars = F.length(without_white(F.col("t")))
-    left = F.length(without_white(F.array_join("good", " ")))
     long = lambda c, name: c.cast("long").alias(name)
     t = t.select(
         *(c for c in ("row", "doc_id") if c in t.columns),
-        long(F.size("w"), "n_words"),
-        long(n_chars, "word_chars"),
-        long(count_of(F.col("t"), SYMBOLS), "n_symbols"),
+        long(F.col("n_words"), "n_words"),
+        long(F.col("word_chars"), "word_chars"),
+        long(F.when(F.col("has_symbol"), count_of(F.col("t"), SYMBOLS)).otherwise(0), "n_symbols"),
         long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"),
         long(F.coalesce(covered, F.lit(0)), "n_repeat_words"),
-        long(F.size("raw") - F.size("good"), "n_bad_lines"),
-        left.alias("left_chars"),
-        *([F.array_join("good", "\n").alias("clean_text")] if keep_columns else []),
+        long(F.col("n_bad"), "n_bad_lines"),
+        F.when(F.col("n_bad") > 0, n_chars(words_of(F.array_join("good", " ")))).otherwise(F.col("word_chars")).alias("left_chars"),
+        *([F.when(F.col("n_bad") > 0, F.array_join("good", "\n")).otherwise(F.col("t")).alias("clean_text")] if keep_columns else []),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     t = t.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (100 * (F.col("word_chars") - F.col("left_chars")) <= MAX_LOST_PERCENT * F.col("word_chars"))
     if keep_columns:
-        return t.select("row.*", kept.alias("kept"), "clean_text")
+        return t.select("row", kept.alias("kept"), "clean_text").select("row.*", "kept", "clean_text")
     return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_bad_lines")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, pii, quality, sp_codec, token_counts, token_files, url_filter
+from . import decontam, langid, line_dedup, ngram_join, pii, quality, sp_codec, token_counts, token_files, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -31,6 +31,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sp_codec.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
     return coded.drop("text")
@@ -57,9 +61,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_personal_data, op3_quality_rules, op5_sentencepiece, op6_decontamination, op7_language_id, op8_token_counts, op9_line_dedup, op10_token_files)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_personal_data, op3_quality_rules, op4_ngram_jaccard, op5_sentencepiece, op6_decontamination, op7_language_id, op8_token_counts, op9_line_dedup, op10_token_files, pipeline)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE_SQL,
     "op3_quality_rules": quality.ORACLE_SQL,
+    "op4_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op6_decontamination": decontam.ORACLE_SQL,
 }
