@@ -21,8 +21,7 @@ def _with_length(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without their failing lines."""
-    judged = quality.judge_quality(docs, keep_columns=True).filter("kept")
-    return _with_length(judged.withColumn("text", F.col("clean_text")), docs)
+    return _with_length(quality.keep_clean(docs), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

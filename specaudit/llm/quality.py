@@ -123,6 +123,17 @@ def judge_quality(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_bad_lines")
 
 
+def keep_clean(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with the columns of docs, their failing lines cut out of ``text``.
+
+    A plain filter would be moved below the projections and repeat all they compute; a generator isn't.
+    """
+    judged = judge_quality(docs, keep_columns=True)
+    names = [c for c in docs.columns if c not in ("kept", "clean_text")]
+    row = F.struct(*(F.col("clean_text").alias(c) if c == "text" else F.col(c) for c in names))
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(row)).otherwise(F.array())).alias("row")).select("row.*")
+
+
 ORACLE_SQL = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[ \\t-\\r]+'), lambda x: x <> '') AS w, string_split(t, chr(10)) AS raw FROM t),
