@@ -80,7 +80,7 @@ class PieceCodec:
                 self.automaton.add_word(p, (i, len(p), self.score[p]))
         self.automaton.make_automaton()
         self.pairs: dict = {}
-        self.cache = WordCache(lambda words: [np.array(self.encode_chunk(MARK + w), np.uint32).tobytes() for w in words])
+        self.cache = WordCache(lambda words: [np.array(self.encode_chunk(MARK + w), np.uint32).tobytes() for w in words], 150_000)
         self.longest = max((len(p) for p in self.id if not p.strip(MARK)), default=1)
         self.runs: dict[int, list[int]] = {}
         self.odd = f"  |^ | $|{MARK}"
@@ -100,7 +100,7 @@ class PieceCodec:
         """Whether the merges leave two pieces side by side as they are."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > 400_000:
+            if len(self.pairs) > 250_000:
                 self.pairs.clear()
             found = self.pairs[a, b] = self.merge((x := self.piece[a]) + (y := self.piece[b])) == [x, y]
         return found
@@ -232,12 +232,11 @@ def encode_documents(docs: DataFrame, model_path: str, kind: int | None = None)
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(model_path, kind)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 ids, lengths = model.encode(batch.column("text"))
                 offsets = np.concatenate(([0], np.cumsum(lengths)))
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                flat = ids.tolist()
-                same = [model.decode(flat[a:b]) == (t or "") for a, b, t in zip(offsets.tolist(), offsets[1:].tolist(), batch.column("text").to_pylist(), strict=False)]
+                same = [model.decode(ids[a:b].tolist()) == (t or "") for a, b, t in zip(offsets.tolist(), offsets[1:].tolist(), batch.column("text").to_pylist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(lengths), pa.array(same)], [*batch.schema.names, *new])
 
     return rows.mapInArrow(encode, schema)
