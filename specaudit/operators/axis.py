@@ -29,10 +29,12 @@ def global_axis_pc1(expr: DataFrame, groups: DataFrame | None = None, min_group:
     g = groups if groups is not None else expr.select("sample").distinct().withColumn("group", F.lit("all"))
     rows = expr.join(g.select("sample", F.col("group").cast("string").alias("group")), "sample")
 
+    least = min_group if groups is not None else 2
+
     def leading(frame: pd.DataFrame) -> pd.DataFrame:
         wide = frame.pivot(index="sample", columns="gene", values="value").sort_index()
         x = wide.to_numpy(float)
-        if len(x) < (min_group if groups is not None else 2):
+        if len(x) < least:
             return pd.DataFrame({"sample": [], "group": [], "axis": [], "variance_explained": []})
         x = x[:, ~np.isnan(x).all(axis=0)]
         with np.errstate(invalid="ignore", divide="ignore"):
