@@ -23,8 +23,13 @@ def number(c: Column | str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def clip(x: Column, low: float, high: float) -> Column:
+    """x within bounds; null stays null (greatest and least alone would pass over it)."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
+
+
 def fisher_z(r: Column) -> Column:
-    return F.atanh(F.greatest(F.least(r, F.lit(CLIP)), F.lit(-CLIP)))
+    return F.atanh(clip(r, -CLIP, CLIP))
 
 
 def inv_fisher_z(z: Column) -> Column:

@@ -28,7 +28,7 @@ def cramers_v(frame: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     rows, cols = Window.partitionBy(*k, x), Window.partitionBy(*k, y)
     c = cells.select(*k, x, y, "c", F.sum("c").over(rows).alias("rt"), F.sum("c").over(cols).alias("ct"))
     g = c.groupBy(*k).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c") / (F.col("rt") * F.col("ct"))).alias("s"), F.countDistinct(x).alias("r"), F.countDistinct(y).alias("q"))
-    phi2 = F.greatest(F.col("s") - 1, F.lit(0.0))
+    phi2 = F.when(F.col("s") > 1, F.col("s") - 1).when(F.col("s").isNotNull(), 0.0)
     least = F.least(F.col("r"), F.col("q")) - 1
     n1 = F.col("n") - 1
     phi2c = F.greatest(F.lit(0.0), phi2 - F.try_divide((F.col("r") - 1) * (F.col("q") - 1), n1))

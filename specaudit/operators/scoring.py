@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, hash_order, pearson
+from ..functions.stats import average_rank, clip, hash_order, pearson
 
 
 def z_scores(expr: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def alpha_from_item_variances(scores: DataFrame, sets: DataFrame, variances: Dat
     j = items.join(s, "set_name")
     denom = F.col("k") * F.col("k") * F.col("v")
     raw = F.col("k") / F.when(F.col("k") > 1, F.col("k") - 1) * (1 - F.when(denom > 0, F.col("sv") / denom))
-    return j.select("set_name", "k", F.when((F.col("k") >= 2) & (F.col("n") >= 5), F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))).alias("alpha"))
+    return j.select("set_name", "k", F.when((F.col("k") >= 2) & (F.col("n") >= 5), clip(raw, 0.0, 1.0)).alias("alpha"))
 
 
 def random_halves(sets: DataFrame, n_splits: int = 50, seed: int = 0) -> DataFrame:
@@ -157,7 +157,7 @@ def split_half_reliability(expr: DataFrame, sets: DataFrame, n_splits: int = 50,
     r = pairs.groupBy("name", "split").agg(pearson(F.col("a"), F.col("b")).alias("r"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("n")).filter("n >= 10")
     m = r.groupBy("name").agg(F.median("r").alias("r_half"))
     step = F.try_divide(2 * F.col("r_half"), 1 + F.col("r_half"))
-    return m.select(F.col("name").alias("set_name"), "r_half", F.greatest(F.lit(0.0), F.least(F.lit(1.0), step)).alias("reliability"))
+    return m.select(F.col("name").alias("set_name"), "r_half", clip(step, 0.0, 1.0).alias("reliability"))
 
 
 def omega_reliability(expr: DataFrame, sets: DataFrame, iterations: int = 500) -> DataFrame:

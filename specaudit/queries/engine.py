@@ -1,6 +1,6 @@
 """All queries of the statistical engine and their DuckDB equivalents."""
 
-from . import matrix
+from . import cohorts, matrix
 
-QUERIES = {**matrix.QUERIES}
-ORACLE_SQL = {**matrix.ORACLE_SQL}
+QUERIES = {**matrix.QUERIES, **cohorts.QUERIES}
+ORACLE_SQL = {**matrix.ORACLE_SQL, **cohorts.ORACLE_SQL}
