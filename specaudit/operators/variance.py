@@ -159,7 +159,7 @@ def label_site_variance(frame: DataFrame, scores: Sequence[str], site: str, kind
         ok = complete(sub, [s, *factors, *([purity] if purity else [])])
         if ok.count() < 30:
             continue
-        terms = [*factors, *([plate] if plate and plates > 1 else []), *([purity] if purity else [])]
+        terms = list(dict.fromkeys([*factors, *([plate] if plate and plates > 1 else []), *([purity] if purity else [])]))
         g, _, place = gram(ok, terms, [c for c in terms if c != purity], [s])
         r = lambda *ts: r2_of(g, [c for t in ts for c in place[t]], place[s][0])  # noqa: B023, E731
         row = {"signature": s, "n": int(g[0, 0]), "n_sites": n_sites, "r2_site_only": r(site)[0], "adj_r2_site_only": r(site)[1]}
