@@ -1,11 +1,12 @@
 """Removal of passages that repeat within and across documents, by winnowing over line hashes.
 
 Lines are what ends with a newline or with a sentence's end mark and a space. From each line start, GRAM_WORDS
-words of whole lines make a gram, and PASSAGE_WORDS words of whole lines make a window. In each window the gram
-with the least hash is its fingerprint, so two equal windows have the same fingerprint, and so has any repeated
-run of lines with PASSAGE_WORDS words, which holds the window at its first line. Fingerprints that occur once
-drop out; around the others the windows are compared, and equal windows that follow each other or overlap make
-a match's full extent, in both directions. The first occurrence of a window, by document id and place, stays;
+words of whole lines make a gram, and PASSAGE_WORDS words of whole lines make a window; another window goes back
+as far from each line's end. In the window at a line start the gram with the least hash is the fingerprint, so
+two equal windows have the same fingerprint, and so has any repeated run of lines with PASSAGE_WORDS words,
+which holds the window at its first line. Fingerprints that occur once drop out; around the others the windows
+are compared, and equal windows, forwards from a run's first line and backwards from its last, make a match's
+full extent. The first occurrence of a window, by document id and place, stays;
 later ones are deleted.
 """
 
@@ -64,7 +65,7 @@ def range_minimum(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
 
 
 def fingerprints(texts: list[str], passage: int = PASSAGE_WORDS, gram: int = GRAM_WORDS) -> tuple[np.ndarray, ...]:
-    """Of all windows of some texts: text, start and end in characters, hash, and place and hash of the fingerprint."""
+    """Of all windows of some texts, by start: text, start and end in characters, hash, place and hash of the fingerprint."""
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
@@ -93,9 +94,17 @@ def fingerprints(texts: list[str], passage: int = PASSAGE_WORDS, gram: int = GRA
     grams[whole] = sequence_hashes(h, whole, end_gram[whole])
     # grams of a window: those that end within it
     last = np.searchsorted(end_gram, end_window[i], "right") - 1
-    place = range_minimum(grams, i, last)
+    place = np.zeros(len(h), np.int64)
+    place[i] = range_minimum(grams, i, last)
+    # windows back from each line's end; the one forwards from where they start lies in them
+    back = np.searchsorted(before, before[1:] - passage, "right") - 1
+    j = np.flatnonzero((back >= 0) & (doc[np.maximum(back, 0)] == doc))
+    j = j[end_window[back[j]] != j + 1]
+    begin, end = np.concatenate((i, back[j])), np.concatenate((end_window[i], j + 1))
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], end[order]
     starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
-    return doc[i], starts[i], ends[end_window[i] - 1] if len(i) else starts[i], sequence_hashes(h, i, end_window[i]), place, grams[place]
+    return doc[begin], starts[begin], ends[end - 1], sequence_hashes(h, begin, end), place[begin], grams[place[begin]]
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:

@@ -151,7 +151,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of their texts replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    found = find_spans(text_of(docs), docs)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].cast("string").alias("text"))
+    found = find_spans(F.coalesce("text", F.lit("")), rows)
 
     def step(a: Column, s: Column) -> Column:
         text = F.col("text")
@@ -161,4 +162,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     end = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    return found.select(*(F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "spans"))
+    new = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
+    return found.select(*(new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -49,7 +49,7 @@ class ChunkCounter:
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         if len(newline) != 1:
             raise ValueError("a newline must be one token")
-        encode = JoinedEncoder(self.tokenizer, "\n", newline[0], lambda t: t[-1:].isspace() or t[:1].isspace() and t[:1] != " ")
+        encode = JoinedEncoder(self.tokenizer, "\n", newline[0], lambda t: not t or t[-1].isspace() or t[0].isspace() and t[0] != " ")
         self.cache = WordCache(lambda words: [len(x) // 4 for x in encode(words)])
 
     def counts(self, texts: pa.Array) -> np.ndarray:
