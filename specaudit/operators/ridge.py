@@ -27,6 +27,13 @@ def impute_medians(frame: DataFrame, x: str = "x") -> DataFrame:
     return long.groupBy("pos").agg(F.coalesce(F.median(v), F.lit(0.0)).alias("median"))
 
 
+def apply_medians(frame: DataFrame, medians: DataFrame, x: str = "x") -> DataFrame:
+    """frame with missing features replaced by given medians (``pos, median``, one small row for each feature)."""
+    fill = medians.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "median"))), lambda m: m["median"]).alias("_m"), F.lit(1).alias("_one"))
+    out = frame.join(F.broadcast(fill), F.lit(1) == F.col("_one"))  # one row
+    return out.withColumn(x, F.zip_with(x, "_m", lambda v, m: F.coalesce(F.when(~F.isnan(v), v), m))).drop("_m", "_one")
+
+
 def fold_medians(frame: DataFrame, n_folds: int, x: str = "x", fold: str = "fold") -> np.ndarray:
     """Training medians of each fold (folds x features)."""
     out = []

@@ -238,3 +238,35 @@ def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditC
         out["outcome_arm"] = arm
     mark = tables.fingerprint(frame, "patient_id").first()["fingerprint"]
     return AuditResult(c, out, primary, mark, notes)
+
+
+def legacy_null(x: DataFrame, expr: DataFrame, sets: DataFrame, folds: DataFrame, config: AuditConfig) -> DataFrame:
+    """The older raw contrast: correlations of predictions with scores of sets and of random sets, without an axis.
+
+    Its standard error takes the number of draws for n, as the older tables do.
+    """
+    names = [r[0] for r in sets.select("set_name").distinct().orderBy("set_name").collect()]
+    bins = nulls.level_bins(expr.groupBy("gene").agg(F.avg("value").alias("level")), config.n_bins)
+    family = nulls.random_sets(sets, bins, config.n_null, config.seed, config.matched)
+    drawn = family.select(F.concat_ws("|", "set_name", F.col("draw").cast("string")).alias("set_name"), "gene")
+    scores = scoring.score_sets(expr, sets.select("set_name", "gene").unionByName(drawn), config.scorer).persist()
+    targets = [*names, *(f"{s}|{k}" for s in names for k in range(config.n_null))]
+    pred = predict_sets(x, scores, folds, targets, config.n_folds, config.ridge_alpha)
+    r = pred.groupBy("target").agg(pearson(F.col("y_true"), F.col("y_pred")).alias("r"), F.count("*").alias("n")).persist()
+    seen = r.filter(F.col("target").isin(names)).select(F.col("target").alias("set_name"), "r", "n")
+    null = r.filter(~F.col("target").isin(names)).select(F.regexp_extract("target", r"^(.*)\|[0-9]+$", 1).alias("set_name"), "r")
+    return nulls.null_summary(seen, null)
+
+
+def run_variants(frame: DataFrame, expr: DataFrame, sets: DataFrame, base: AuditConfig, changes: dict[str, dict]) -> dict[str, AuditResult]:
+    """One run for each named change of one or a few settings."""
+    from dataclasses import replace
+
+    return {name: run_audit(frame, expr, sets, replace(base, **change)) for name, change in changes.items()}
+
+
+def covariate_baseline(frame: DataFrame, target: str, terms: Sequence[str], categorical: Sequence[str], n_folds: int) -> float:
+    """Out-of-fold R2 of all covariates together (site, type, purity, stage): what a prediction has to add to."""
+    from ..operators.variance import out_of_fold_r2
+
+    return out_of_fold_r2(frame, target, terms, categorical, n_folds=n_folds)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import average_rank, corr_interval, delta_r_interval, hash_order, min_detectable_delta_z, n_pairs, pearson
-from ..operators import batch, groups, inference, nulls, outcome, ridge, splits, variance
+from ..operators import batch, groups, inference, nulls, outcome, ridge, splits, triage, variance
 from ..operators import cohort as coh
 from ..plans import sweep
 from ..sources import barcodes, tables
@@ -314,6 +314,52 @@ def pooled_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r["value"], r["lo"], r["hi"], r["n"], r["n_draws"])], "value double, lo double, hi double, n long, n_draws long")
 
 
+def attrition_funnel(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.table(spark, d, "orders")
+    return triage.attrition(o, [("finished", F.col("o_orderstatus") == "F"), ("large", F.col("o_totalprice") > 100000), ("urgent", F.col("o_orderpriority") == "1-URGENT")], "o_custkey")
+
+
+def value_spread(spark: SparkSession, d: str) -> DataFrame:
+    s = triage.spread(fx.table(spark, d, "events"), "value", "event_type")
+    return s.select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("median", "q1", "q3", "min", "max")))
+
+
+def set_size_stats(spark: SparkSession, d: str) -> DataFrame:
+    sets = fx.table(spark, d, "part").select(F.col("p_brand").alias("set_name"), F.col("p_partkey").alias("gene"))
+    return triage.set_size_stats(triage.filter_set_names(sets, ["Brand#1"]))
+
+
+def nonspace_count(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "nation").select("n_nationkey", triage.nonspace_length(F.col("n_name")).alias("n_chars"))
+
+
+def bh_directional(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("set_name"), ((F.col("p_partkey") * 7919 % 1009 - 500) / 100.0).alias("excess_z"))
+    s = triage.significance(p.withColumn("lo", F.col("excess_z") - 1.0).withColumn("hi", F.col("excess_z") + 1.0))
+    return s.select("set_name", F.round("z_stat", 6).alias("z_stat"), "beats_null_bh")
+
+
+def imputed_features(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d).withColumn("x", F.transform("x", lambda v, i: F.when((F.col("key") + i) % 7 != 0, v)))
+    return ridge.apply_medians(b, ridge.impute_medians(b)).select("key", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
+
+
+def ancestry_pooled(spark: SparkSession, d: str) -> DataFrame:
+    """Stratified differences of each group, pooled over two predictions."""
+    p = fx.predicted(spark, d)
+    both = [groups.stratified_contrast(p.withColumn("y_pred", F.col(c)), fx.REFERENCE, fx.GROUPS) for c in ("y_pred", "other")]
+    rows = both[0].unionByName(both[1]).select("group", "delta_z").collect()
+    out = [(g, *(round(v, 6) for v in groups.pooled_over_signatures([r["delta_z"] for r in rows if r["group"] == g]))) for g in sorted({r["group"] for r in rows})]
+    return spark.createDataFrame(out, "group string, value double, lo double, hi double")
+
+
+def event_moments(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming.moments import windowed_moments
+
+    m = windowed_moments(fx.table(spark, d, "events"), "ts", "value", ["event_type"], "1 day")
+    return m.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+
+
 _Z = 1.959963984540054
 _Z80 = 0.8416212335729143
 _RE = barcodes.PATTERN
@@ -400,6 +446,13 @@ x AS (SELECT perm, o.site, c.purity AS y FROM deal JOIN own o USING (type, p) JO
 r AS (SELECT perm, sum(s * s / n) / sum(ss) AS r2 FROM s GROUP BY perm), o AS (SELECT r2 AS o FROM r WHERE perm = -1)
 SELECT round(max(o), 8) AS r2, round(median(r2), 8) AS null_median, round(max(o) - median(r2), 8) AS calibrated, round((1 + count(*) FILTER (r2 >= o)) / (1.0 + count(*)), 8) AS perm_p FROM r, o WHERE perm >= 0""",
     "purity_share": f"WITH {fx.PREDICTED}, g AS (SELECT grp, count(*) AS n, corr(y_true, y_pred) AS a, corr(y_true, other) AS b, corr(y_pred, other) AS c FROM pred GROUP BY 1) SELECT grp AS group, n AS n_share, round(a, 6) AS r_image, round(b, 6) AS r_purity, round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) AS r_partial FROM g",
+    "attrition_funnel": """SELECT 'all' AS step, 0 AS place, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_patients FROM orders UNION ALL SELECT 'finished', 1, count(*), count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'large', 2, count(*), count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 UNION ALL SELECT 'urgent', 3, count(*), count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 AND o_orderpriority = '1-URGENT'""",
+    "value_spread": "SELECT event_type, count(value) AS n, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY 1",
+    "set_size_stats": "WITH s AS (SELECT p_brand, count(DISTINCT p_partkey) AS k FROM part WHERE NOT starts_with(p_brand, 'Brand#1') GROUP BY 1), l AS (SELECT list_sort(list(k)) AS l FROM s) SELECT CAST(len(l) AS INTEGER) AS n_sets, l[1] AS smallest, l[len(l) // 2 + 1] AS upper_median, l[len(l)] AS largest FROM l",
+    "nonspace_count": "SELECT n_nationkey, CAST(length(regexp_replace(n_name, '\\s', '', 'g')) AS INTEGER) AS n_chars FROM nation",
+    "imputed_features": f"WITH {fx.EXPR}, m AS (SELECT gene, median(value) FILTER ((sample + gene) % 7 <> 0) AS m FROM expr WHERE gene < 48 GROUP BY gene) SELECT sample AS key, round(sum(CASE WHEN (sample + gene) % 7 <> 0 THEN value ELSE m END), 5) AS total FROM expr JOIN m USING (gene) GROUP BY 1",
+    "event_moments": "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
     "impute_medians": f"WITH {fx.EXPR} SELECT CAST(gene AS INTEGER) AS pos, round(coalesce(median(value) FILTER ((sample + gene) % 7 <> 0), 0), 6) AS median FROM expr WHERE gene < 48 GROUP BY gene",
 }
 
@@ -411,5 +464,6 @@ QUERIES = {
         corr_ci_spearman, delta_r, paired_delta_bootstrap, bootstrap_corr, bootstrap_corr_spearman, bh_fdr, cramers_v, cramers_v_perm, group_correlations, contrast_crude, contrast_stratified,
         site_identifiability, composition_share, concordance_index, concordance_stratified, type_rate_concordance, cox_score, outcome_arm, auroc_by_site, combat_apply, combat_out_of_fold,
         r2_single_factor, permutation_calibration, purity_share, r2_ladder, label_site_variance, ridge_oof, ridge_loo_alpha, impute_medians, site_logistic, effective_tests, pooled_bootstrap,
+        attrition_funnel, value_spread, set_size_stats, nonspace_count, bh_directional, imputed_features, ancestry_pooled, event_moments,
     )
 }
