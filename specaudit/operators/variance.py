@@ -22,7 +22,7 @@ def single_factor_r2(frame: DataFrame, y: str, factor: str, keys: Sequence[str]
     k = list(keys)
     ok = frame.filter(F.col(y).isNotNull() & ~F.isnan(y) & F.col(factor).isNotNull())
     mean = ok.groupBy(*k).agg(F.avg(y).alias("_m"))
-    centred = ok.join(F.broadcast(mean), k) if k else ok.join(F.broadcast(mean.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))  # one row
+    centred = ok.join(mean, k) if k else ok.join(F.broadcast(mean.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))  # one row
     d = F.col(y) - F.col("_m")
     cells = centred.groupBy(*k, factor).agg(F.count("*").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("ss"))
     g = cells.groupBy(*k).agg(F.sum("n").alias("n"), F.count("*").alias("levels"), F.try_divide(F.sum(F.col("s") * F.col("s") / F.col("n")), F.sum("ss")).alias("r2"))

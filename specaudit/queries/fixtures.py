@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SETS = {f"s{k}": list(range(48 + 4 * k, 52 + 4 * k)) for k in range(4)}
 
 #: The same in SQL, as common table expressions.
-EXPR = "expr AS (SELECT vec_id AS sample, label, gene, CAST(value AS DOUBLE) AS value FROM (SELECT vec_id, label, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS gene FROM embeddings))"
+EXPR = "expr AS (SELECT vec_id AS sample, label, gene, CAST(value AS DOUBLE) AS value FROM (SELECT vec_id, label, unnest(embedding) AS value, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS gene FROM embeddings))"
 SETS_SQL = "sets AS (SELECT 's' || CAST((g - 48) // 4 AS VARCHAR) AS set_name, g AS gene FROM range(48, 64) AS r(g))"
 Z = "z AS (SELECT sample, label, gene, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM expr WINDOW w AS (PARTITION BY gene))"
 SCORES = "scores AS (SELECT sample, label, set_name, avg(z) AS score FROM z JOIN sets USING (gene) GROUP BY ALL)"
