@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import string
 import tempfile
 import uuid
@@ -58,7 +59,12 @@ def release(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch; rows alone say nothing about memory when texts are long."""
+    """Bound the bytes of an Arrow batch (rows alone say nothing about memory when texts are long), and let Python
+    workers import this package from where the driver has it."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, small_batches
 
 STRICT, SOFT = 2, 1
 
@@ -124,6 +124,7 @@ def judge_urls(pages: DataFrame, vocabulary: dict[str, int] = VOCABULARY, rules:
             counts = [pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *counts], ["page_id", "url", "n_strict", "n_soft"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     counted = rows.mapInArrow(terms, "page_id long, url string, n_strict long, n_soft long")
     parts = counted.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
