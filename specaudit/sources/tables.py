@@ -173,6 +173,13 @@ def read_gene_sets_json(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("m")).select(F.col("key").alias("set_name"), F.posexplode("value")).select("set_name", F.col("pos").alias("ordinal"), F.col("col").alias("gene"))
 
 
+def write_gene_sets_json(sets: DataFrame, path: str) -> None:
+    """Sets as one JSON object from names to ordered lists; sets are small, so the driver writes them."""
+    rows = sets.groupBy("set_name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "gene"))).alias("g")).orderBy("set_name").collect()
+    with open(path, "w") as f:
+        json.dump({r["set_name"]: [x["gene"] for x in r["g"]] for r in rows}, f, indent=2)
+
+
 def gene_sets(spark: SparkSession, sets: Mapping[str, Sequence[str]]) -> DataFrame:
     rows = [(name, k, g) for name, genes in sets.items() for k, g in enumerate(genes)]
     return spark.createDataFrame(rows, "set_name string, ordinal int, gene string")

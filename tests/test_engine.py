@@ -203,6 +203,8 @@ def test_barcodes_and_loaders(spark, tmp_path):
     js = tmp_path / "a.json"
     js.write_text('{"A": ["g1", "g2"]}')
     assert tables.read_gene_sets_json(spark, str(js)).count() == 2
+    tables.write_gene_sets_json(sets, str(tmp_path / "b.json"))
+    assert sorted(map(tuple, tables.read_gene_sets_json(spark, str(tmp_path / "b.json")).collect())) == sorted(map(tuple, sets.collect()))
     csv = tmp_path / "a.tsv"
     csv.write_text("sample\tENSG1.2\tENSG2.1\nTCGA-05-4244-01A\t1.5\tx\nTCGA-05-4245-11A\t2\t3\n")
     wide = tables.read_delimited(spark, str(csv))
@@ -279,3 +281,42 @@ def test_moments_of_a_stream_equal_those_of_the_table(spark, tmp_path):
     q.stop()
     want = {r["window_start"]: (r["n"], round(r["sd"], 9)) for r in moments.windowed_moments(rows, "ts", "value", ["key"]).collect()}
     assert {r["window_start"]: (r["n"], round(r["sd"], 9)) for r in spark.table("windowed").collect()} == want
+
+
+def test_manifest_statuses(spark, tmp_path):
+    from specaudit.sources import manifest
+
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    then = [tuple(r) for r in manifest.manifest(spark, str(tmp_path), "*.txt").collect()]
+    old = spark.createDataFrame(then, "path string, sha256 string, length long")
+    (tmp_path / "a.txt").write_text("changed")
+    (tmp_path / "b.txt").unlink()
+    (tmp_path / "c.txt").write_text("new")
+    got = {r["path"].rsplit("/", 1)[1]: r["status"] for r in manifest.compare_manifests(old, manifest.manifest(spark, str(tmp_path), "*.txt")).collect()}
+    assert got == {"a.txt": "CHANGED", "b.txt": "MISSING", "c.txt": "NEW"}
+    assert manifest.fingerprint_status(None, "x") == "absent" and manifest.fingerprint_status("x", "x") == "match" and manifest.fingerprint_status("y", "x") == "mismatch"
+
+
+def test_triage(spark):
+    from specaudit.operators import triage
+
+    df = spark.createDataFrame([("s1", 0.5, 0.3, 0.7), ("s2", -0.5, -0.7, -0.3), ("s3", 0.0, -0.2, 0.2)], "set_name string, excess_z double, lo double, hi double")
+    got = {r["set_name"]: r for r in triage.significance(df).collect()}
+    assert got["s1"]["beats_null_bh"] and not got["s2"]["beats_null_bh"] and got["s2"]["q"] < 1e-4 and not got["s3"]["beats_null_bh"]
+    assert got["s1"]["p"] == pytest.approx(special.two_sided_p(0.5, 0.4 / (2 * 1.959963984540054)), rel=1e-12)
+
+
+def test_legacy_contrast(spark):
+    from specaudit.plans.audit import AuditConfig, legacy_null
+
+    rng = np.random.default_rng(11)
+    own = rng.normal(size=80)
+    e = rng.normal(size=(80, 30))
+    e[:, :6] += 2 * own[:, None]
+    expr = spark.createDataFrame([(i, j, float(e[i, j])) for i in range(80) for j in range(30)], "sample long, gene int, value double")
+    x = spark.createDataFrame([(i, [float(own[i]), float(rng.normal())]) for i in range(80)], "key long, x array<double>")
+    folds = spark.createDataFrame([(i, i % 4) for i in range(80)], "key long, fold int")
+    sets = spark.createDataFrame([("own", j) for j in range(6)], "set_name string, gene int")
+    r = legacy_null(x, expr, sets, folds, AuditConfig(n_folds=4, n_null=8, ridge_alpha=1.0, matched=False)).first()
+    assert r["beats_null"] and r["percentile"] > 90 and r["n_null"] == 8
