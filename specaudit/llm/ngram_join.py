@@ -36,7 +36,7 @@ N = 5
 MIN_PERCENT = 80
 #: N-grams of a bucket, and pairs of a block, that one task holds; numbers of buckets and blocks follow the data.
 BUCKET_GRAMS = 1_500_000
-BLOCK_PAIRS = 1_000
+BLOCK_PAIRS = 250
 
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
@@ -76,10 +76,22 @@ def gram_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
 
 
 def class_id(grams: np.ndarray) -> bytes:
-    """128-bit id of a set."""
+    """16-byte id of a set: 96 bits of its hash and its size."""
     import xxhash
 
-    return xxhash.xxh3_128_digest(grams.tobytes())
+    return xxhash.xxh3_128_digest(grams.tobytes())[:12] + len(grams).to_bytes(4, "little")
+
+
+def pack_low(grams: np.ndarray) -> bytes:
+    """The low 48 bits of each hash."""
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack_low(packed: bytes, bucket: int) -> np.ndarray:
+    """Hashes of a bucket from their low 48 bits; the bucket's number stands for the others."""
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | np.uint64((bucket & 0xFFFF) << 48)
 
 
 def needed(x: int, y: int, percent: int = MIN_PERCENT) -> int:
@@ -141,7 +153,10 @@ def _document_classes(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _shared_grams(rows: DataFrame, n: int, buckets: int) -> DataFrame:
-    """``cid, n, h``: for classes and buckets, the n-grams that another class has too."""
+    """``cid, n, h``: for classes and buckets, the n-grams that another class has too.
+
+    A bucket and 48 bits of the hash name an n-gram from here on; buckets grow in number with the data, not in size.
+    """
     shift = np.uint64(40)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,22 +179,21 @@ def _shared_grams(rows: DataFrame, n: int, buckets: int) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 flat, owner = flat[order], owner[order]
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out: dict[str, list] = {"bucket": [], "cids": [], "sizes": [], "counts": [], "grams": []}
+                out: dict[str, list] = {"bucket": [], "cids": [], "counts": [], "grams": []}
                 for b in np.flatnonzero(np.diff(ends)).tolist():
                     own = owner[ends[b] : ends[b + 1]]
                     first = np.flatnonzero(np.diff(own, prepend=-1))
                     out["bucket"].append(b)
-                    out["cids"].append([ids[k] for k in own[first].tolist()])
-                    out["sizes"].append([len(sets[k]) for k in own[first].tolist()])
-                    out["counts"].append(np.diff(np.append(first, len(own))).tolist())
-                    out["grams"].append(flat[ends[b] : ends[b + 1]].tobytes())
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("cids", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("grams", pa.binary())]))
+                    out["cids"].append(b"".join([ids[k] for k in own[first].tolist()]))
+                    out["counts"].append(np.diff(np.append(first, len(own))).astype("<u4").tobytes())
+                    out["grams"].append(pack_low(flat[ends[b] : ends[b + 1]]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("cids", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]))
 
     def shared(table: pa.Table) -> pa.Table:
-        cids = table["cids"].combine_chunks().flatten().to_pylist()
-        sizes = table["sizes"].combine_chunks().flatten().to_pylist()
-        counts = table["counts"].combine_chunks().flatten().to_numpy()
-        flat = np.frombuffer(b"".join(table["grams"].to_pylist()), np.uint64)
+        packed = b"".join(table["cids"].to_pylist())
+        cids = [packed[k : k + 16] for k in range(0, len(packed), 16)]
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4")
+        flat = unpack_low(b"".join(table["grams"].to_pylist()), table["bucket"][0].as_py())
         number: dict[bytes, int] = {}
         first = np.zeros(len(cids), bool)
         for k, c in enumerate(cids):
@@ -200,9 +214,9 @@ def _shared_grams(rows: DataFrame, n: int, buckets: int) -> DataFrame:
         begin = np.flatnonzero(np.diff(owner, prepend=-1))
         who = owner[begin].tolist()
         lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(owner)).astype(np.int32)), pa.array(flat.view(np.int64)))
-        return pa.table({"cid": pa.array([cids[k] for k in who], pa.binary()), "n": pa.array([sizes[k] for k in who], pa.int64()), "h": lists})
+        return pa.table({"cid": pa.array([cids[k] for k in who], pa.binary()), "n": pa.array([int.from_bytes(cids[k][12:], "little") for k in who], pa.int64()), "h": lists})
 
-    dealt = rows.select("text").mapInArrow(deal, "bucket int, cids array<binary>, sizes array<long>, counts array<int>, grams binary")
+    dealt = rows.select("text").mapInArrow(deal, "bucket int, cids binary, counts binary, grams binary")
     return dealt.groupBy("bucket").applyInArrow(shared, "cid binary, n long, h array<long>")
 
 
@@ -301,7 +315,7 @@ def components(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT) -> DataF
 
     component_id is the least doc_id reachable by links. A null or empty text, or one without words, has no
     n-grams and is its own component. Rows that repeat an id are linked by their texts like any others; a null
-    id is never a component's id unless all its ids are null. N-grams are told by 64-bit hashes.
+    id is never a component's id unless all its ids are null. N-grams are told by hashes: a bucket and 48 bits.
     """
     classes, labels = similar_classes(docs, n, percent)
     named = materialise(classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "n", F.coalesce("label", "cid").alias("label")), "components")
