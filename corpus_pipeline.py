@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of passages; those of which nothing but white space is left go."""
-    cut = line_dedup.remove_repeats(docs)
+    cut = line_dedup.remove_repeats(docs, by_word=True)
     return _with_length(cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\t-\r]")), docs)
 
 

@@ -1,4 +1,12 @@
-"""Removal of passages that repeat within and across documents, by winnowing over line hashes.
+"""Removal of passages that repeat within and across documents, by winnowing over word or line hashes.
+
+By word, a passage is any run of PASSAGE_WORDS words, wherever it starts and ends. Grams of GRAM_WORDS words are
+winnowed over each window of PASSAGE_WORDS, and the windows in a row that choose the same gram make a block. Equal
+windows choose equal grams, so repeats are looked for only among blocks of one gram. Equal blocks hold equal
+windows: the first stays and the others go whole. Where a gram has several different blocks (at the ends of a
+match) the windows of the first of each are compared one by one, which extends the match to its last word.
+
+By line, only whole lines count, as follows.
 
 Lines are what ends with a newline or with a sentence's end mark and a space. From each line start, GRAM_WORDS
 words of whole lines make a gram, and PASSAGE_WORDS words of whole lines make a window; another window goes back
@@ -12,6 +20,7 @@ later ones are deleted.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -25,6 +34,10 @@ from .common import materialise, release, slices, small_batches, text_of
 PASSAGE_WORDS = 50
 GRAM_WORDS = 20
 
+#: Scripts written without spaces, where each character counts as a word: Thai, Lao, Tibetan, Burmese, Khmer, Chinese,
+#: Japanese, Yi and their wide forms.
+UNSPACED = ((0x0E00, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3000), (0x3001, 0xA4D0), (0xF900, 0xFB00), (0xFF00, 0xFFA0), (0x1AFF0, 0x1B170), (0x20000, 0x32400))
+
 #: Odd multipliers of the sequence hashes.
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
@@ -143,13 +156,131 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return ranges
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+@functools.cache
+def character_kinds() -> tuple[np.ndarray, re.Pattern]:
+    """By code point 1 for white space, as str.split has it, and 2 for a character that is a word; and what matches those."""
+    kinds = np.zeros(0x110000, np.uint8)
+    kinds[[c for c in range(0x3001) if chr(c).isspace()]] = 1
+    for a, b in UNSPACED:
+        kinds[a:b] = 2
+    return kinds, re.compile("([" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in UNSPACED) + "])")
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of all words of some texts: hash, text, and place in characters of the word and of the next one (or the text's end)."""
+    import xxhash
+
+    kinds, alone = character_kinds()
+    joined = "\n".join(texts)
+    kind = kinds[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+    before = np.concatenate((np.ones(1, np.uint8), kind[:-1]))
+    at = np.flatnonzero((kind == 2) | ((kind == 0) & (before > 0)))
+    words = (alone.sub(r" \1 ", joined) if (kind == 2).any() else joined).split()
+    codes = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
+    h = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(size + 1) - size - 1
+    doc = np.searchsorted(first, at, "right") - 1
+    after = np.append(at[1:], 0)
+    ends = np.append(doc[1:] != doc[:-1], True)[: len(at)]
+    after = np.where(ends, first[doc] + size[doc], after[: len(at)])
+    return h, doc, at - first[doc], after - first[doc]
+
+
+def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of values[i : i + width] is, the rightmost of equals, for each i that has so many."""
+    place, have = np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        a, b = place[:-step], place[step:]
+        place, have = np.where(values[b] <= values[a], b, a), have + step
+    return place
+
+
+class Blocks:
+    """Windows of some texts by word, and their blocks: runs of windows that choose the same gram."""
+
+    def __init__(self, texts: list[str], passage: int = PASSAGE_WORDS, gram: int = GRAM_WORDS):
+        self.h, doc, self.at, self.after = words_of(texts)
+        self.passage = passage
+        n = max(len(self.h) - passage + 1, 0)
+        self.begin = np.flatnonzero(doc[:n] == doc[passage - 1 :]) if n else np.zeros(0, np.int64)
+        i = np.arange(max(len(self.h) - gram + 1, 0))
+        grams = sequence_hashes(self.h, i, i + gram)
+        place = sliding_minimum(grams, passage - gram + 1)[self.begin] if n else self.begin
+        self.first = np.flatnonzero(np.diff(place, prepend=-1))  # places never go back
+        self.count = np.diff(np.append(self.first, len(place)))
+        p, q = self.begin[self.first], self.begin[self.first + self.count - 1] + passage
+        self.doc, self.fp, self.span = doc[p], grams[place[self.first]], sequence_hashes(self.h, p, q)
+        self.start, self.mid, self.end = self.at[p], self.after[p + passage - 1], self.after[q - 1]
+
+    def windows(self, blocks: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Text, start and end in characters, and hash of all windows of some blocks."""
+        count = self.count[blocks]
+        i = self.begin[np.repeat(self.first[blocks] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        return np.repeat(self.doc[blocks], count), self.at[i], self.after[i + self.passage - 1], sequence_hashes(self.h, i, i + self.passage)
+
+
+def repeated_word_ranges(docs: DataFrame) -> DataFrame:
+    """``key, ranges`` as of :func:`repeated_ranges`, for runs of PASSAGE_WORDS words wherever they start and end."""
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                b = Blocks(batch.column("text").to_pylist())
+                if len(b.doc):
+                    at, whole_numbers = pa.array(b.doc), (pa.array(x.astype(np.int32)) for x in (b.start, b.mid, b.end))
+                    yield pa.RecordBatch.from_arrays([pa.array(b.fp.view(np.int64)), pa.array(b.span.view(np.int64)), batch.column("doc_id").take(at), batch.column("key").take(at), *whole_numbers], ["fp", "span", "doc_id", "key", "start", "mid", "end"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                b = Blocks(batch.column("text").to_pylist())
+                starts = batch.column("starts")
+                wanted = starts.flatten().to_numpy() + (np.repeat(np.arange(len(starts)), starts.value_lengths().to_numpy()) << 32)
+                doc, start, end, h = b.windows(np.flatnonzero(np.isin(b.start + (b.doc << 32), wanted)))
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["h", "doc_id", "key", "start", "end"])
+
+    def ordered(*more: str):
+        return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start", *more).alias("at")
+
+    def later(all_of: DataFrame, firsts: DataFrame, by: list[str], end_of_first: str) -> DataFrame:
+        start = F.when(F.col("at.key") == F.col("first.key"), F.greatest("at.start", end_of_first)).otherwise(F.col("at.start"))
+        cut = all_of.join(firsts, by).filter(F.col("at") != F.col("first"))
+        return cut.select(F.col("at.key").alias("key"), start.alias("start"), F.col("at.end").alias("end")).filter("start < end")
+
+    text = text_of(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("key"), text.alias("text"))
+    prints = materialise(rows.mapInArrow(scan, "fp long, span long, doc_id long, key long, start int, mid int, end int"), "fingerprints")
+    # both inputs of each join are plain tables, so that a very common fingerprint's partition can be split
+    common = materialise(prints.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "common")
+    met = materialise(prints.join(common, "fp", "left_semi").select("fp", "span", ordered("mid", "end")), "blocks")
+    release(prints, common)
+    classes = materialise(met.groupBy("fp", "span").agg(F.min("at").alias("first"), F.count("*").alias("n")), "classes")
+    cut = materialise(later(met, classes.filter("n > 1").select("fp", "span", "first"), ["fp", "span"], "first.mid"), "cut")
+    mixed = materialise(classes.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "mixed")
+    wanted = classes.join(mixed, "fp", "left_semi").groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.start").alias("starts"))
+    wanted = materialise(wanted, "wanted")
+    release(met, classes, mixed)
+    each = materialise(rows.join(wanted, "key").mapInArrow(windows, "h long, doc_id long, key long, start int, end int").select("h", ordered("end")), "windows")
+    first = materialise(each.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"), "first")
+    cut_too = later(each, first, ["h"], "first.end")
+    ranges = materialise(cut.unionByName(cut_too).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges")), "ranges")
+    release(cut, wanted, each, first)
+    return ranges
+
+
+def remove_repeats(docs: DataFrame, by_word: bool = False) -> DataFrame:
     """docs with later repeats cut out of ``text``, and ``n_removed``, the number of characters that went.
 
+    by_word, passages may start and end anywhere; otherwise they are runs of whole lines.
     Null and empty texts stay as they are. Rows that repeat both id and text count as one document and are cut
     alike. Null ids come last in the order of occurrences. Other columns stay; one named n_removed is replaced.
     """
-    ranges = repeated_ranges(docs)
+    ranges = repeated_word_ranges(docs) if by_word else repeated_ranges(docs)
     names = [c for c in docs.columns if c != "n_removed"]
     row = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.xxhash64(docs["doc_id"].cast("long"), text_of(docs)).alias("key"))
     hit = row.join(ranges, "key", "left")

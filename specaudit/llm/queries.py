@@ -53,7 +53,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), by_word=True)
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

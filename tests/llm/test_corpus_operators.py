@@ -315,6 +315,43 @@ def test_repeated_passages_equal_brute_force(spark):
     assert got == want and sum(got[i] != t for i, t in docs) > 20
 
 
+def brute_word_cut(docs, passage=50):
+    """Later occurrences of any 50 words, wherever they start and end, cut out character by character."""
+    seen, cut = {}, {}
+    for i, t in sorted(docs):
+        found = [(m.start(), m[0]) for m in re.finditer(r"[\u3041-\u9fff]|[^\s\u3041-\u9fff]+", t)]
+        at, words = [a for a, _ in found] + [len(t)], [w for _, w in found]
+        for k in range(len(words) - passage + 1):
+            first = seen.setdefault(tuple(words[k : k + passage]), (i, at[k], at[k + passage]))
+            if first[:2] != (i, at[k]):
+                cut.setdefault(i, set()).update(range(max(at[k], first[2]) if i == first[0] else at[k], at[k + passage]))
+    return {i: "".join(c for k, c in enumerate(t) if k not in cut.get(i, ())) for i, t in docs}
+
+
+def test_passages_anywhere_equal_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(5000)}"
+    plain = lambda n: "".join(word() + rng.choice([" ", " ", ". ", '." ', "\n", "  "]) for _ in range(n))
+    pool = [plain(rng.randint(20, 130)) for _ in range(25)]
+    docs = [(i, "".join(rng.choice([plain(rng.randint(0, 30)), (b := rng.choice(pool))[rng.randint(0, 60) : rng.randint(len(b) // 2, len(b))]]) for _ in range(8))) for i in range(150)]
+    docs += [(150, ""), (151, "is on " * 300), (152, "is on " * 200), (153, "is on now " * 100 + pool[0] * 3)]
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(70))
+    docs += [(154, "前" + han + "后 left"), (155, "x " + han + "。end")]
+    bare = " ".join(word() for _ in range(60))
+    docs += [(156, "before " + bare + " after"), (157, "other text " + bare + " ends")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(frame.union(frame.limit(3)), by_word=True).collect()}
+    want = brute_word_cut(docs)
+    assert got == want and sum(got[i] != t for i, t in docs) > 80
+    assert got[155] == "x 。end" and got[157] == "other text ends"
+
+
+def test_passages_anywhere_take_odd_tables(odd):
+    got = line_dedup.remove_repeats(odd, by_word=True)
+    assert got.count() == odd.count() and line_dedup.remove_repeats(odd.limit(0), by_word=True).count() == 0
+    assert line_dedup.remove_repeats(odd.filter("doc_id = 1"), by_word=True).first()["n_removed"] == 0
+
+
 def test_language_of_held_out_texts(spark):
     rng = random.Random(6)
     stems = {"aa": ["the", "ing", "tion", "and"], "bb": ["der", "ung", "sch", "ein"], "cc": ["que", "eau", "les", "oir"]}
