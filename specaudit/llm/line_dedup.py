@@ -54,13 +54,18 @@ def lines_of(text: str) -> list[str]:
     return [x for x in marked.split(SEPARATOR) if x]
 
 
+@functools.lru_cache(maxsize=2)
+def powers_of_base(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, below size."""
+    powers, inverse = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+    powers[0] = inverse[0] = 1
+    return np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
+
+
 def sequence_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the runs h[start:end], all at once, from prefix sums."""
-    powers = np.full(len(h) + 1, BASE, np.uint64)
-    inverse = np.full(len(h) + 1, pow(BASE, -1, 1 << 64), np.uint64)
-    powers[0] = inverse[0] = 1
-    powers, inverse = np.multiply.accumulate(powers), np.multiply.accumulate(inverse)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers[:-1], dtype=np.uint64)))
+    powers, inverse = powers_of_base(1 << len(h).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)], dtype=np.uint64)))
     x = (sums[end] - sums[start]) * inverse[start]
     x = (x ^ (x >> np.uint64(32))) * np.uint64(MIX)
     return x ^ (x >> np.uint64(29))
@@ -157,33 +162,32 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
 
 @functools.cache
-def character_kinds() -> tuple[np.ndarray, re.Pattern]:
-    """By code point 1 for white space, as str.split has it, and 2 for a character that is a word; and what matches those."""
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 1 for white space, as str.split has it, and 2 for a character that is a word; and a hash."""
     kinds = np.zeros(0x110000, np.uint8)
     kinds[[c for c in range(0x3001) if chr(c).isspace()]] = 1
     for a, b in UNSPACED:
         kinds[a:b] = 2
-    return kinds, re.compile("([" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in UNSPACED) + "])")
+    x = np.arange(1, len(kinds) + 1, dtype=np.uint64) * np.uint64(BASE)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return kinds, x ^ (x >> np.uint64(31))
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Of all words of some texts: hash, text, and place in characters of the word and of the next one (or the text's end)."""
-    import xxhash
-
-    kinds, alone = character_kinds()
-    joined = "\n".join(texts)
-    kind = kinds[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
-    before = np.concatenate((np.ones(1, np.uint8), kind[:-1]))
-    at = np.flatnonzero((kind == 2) | ((kind == 0) & (before > 0)))
-    words = (alone.sub(r" \1 ", joined) if (kind == 2).any() else joined).split()
-    codes = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
-    h = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    kinds, values = characters()
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    kind = kinds[code]
+    plain, space = kind == 0, np.ones(1, bool)
+    at = np.flatnonzero((kind == 2) | (plain & np.concatenate((space, ~plain[:-1]))))
+    end = np.flatnonzero((kind == 2) | (plain & np.concatenate((~plain[1:], space[: len(plain)])))) + 1
+    h = sequence_hashes(values[code], at, end)
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.cumsum(size + 1) - size - 1
-    doc = np.searchsorted(first, at, "right") - 1
-    after = np.append(at[1:], 0)
-    ends = np.append(doc[1:] != doc[:-1], True)[: len(at)]
-    after = np.where(ends, first[doc] + size[doc], after[: len(at)])
+    doc = np.repeat(np.arange(len(texts)), np.diff(np.append(np.searchsorted(at, first), len(at))))
+    follows = np.append(doc[1:] == doc[:-1], False)[: len(at)]
+    after = np.where(follows, np.append(at[1:], 0)[: len(at)], first[doc] + size[doc])
     return h, doc, at - first[doc], after - first[doc]
 
 
@@ -228,7 +232,7 @@ def repeated_word_ranges(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 b = Blocks(batch.column("text").to_pylist())
                 if len(b.doc):
                     at, whole_numbers = pa.array(b.doc), (pa.array(x.astype(np.int32)) for x in (b.start, b.mid, b.end))
@@ -236,7 +240,7 @@ def repeated_word_ranges(docs: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 b = Blocks(batch.column("text").to_pylist())
                 starts = batch.column("starts")
                 wanted = starts.flatten().to_numpy() + (np.repeat(np.arange(len(starts)), starts.value_lengths().to_numpy()) << 32)
