@@ -15,9 +15,16 @@ from . import fixtures as fx
 _CODE = "CASE WHEN c_custkey % 17 = 0 THEN 'bad' || c_custkey ELSE ' tcga-' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || CASE c_custkey % 4 WHEN 0 THEN '-01A-11R-A1B2-07' WHEN 1 THEN '-11B' WHEN 2 THEN '' ELSE '-01' END END"
 
 
+#: Participants from 'A000' to 'ZZZZ' hold the keys that four digits don't; each further round has sites of its own from 'A0'.
+_SITE, _PARTICIPANT = "lpad(CAST(c_nationkey AS VARCHAR), 2, '0')", "lpad(CAST(c_custkey AS VARCHAR), 4, '0')"
+_ROUND = "((c_custkey - 10000) DIV 1213056)"
+_ANY_SITE = f"CASE WHEN c_custkey < 10000 OR {_ROUND} = 0 THEN {_SITE} WHEN {_ROUND} <= 37 THEN conv(335 + 25 * {_ROUND} + c_nationkey, 10, 36) ELSE raise_error('no code is left for customer ' || c_custkey) END"
+_ANY_PARTICIPANT = f"CASE WHEN c_custkey < 10000 THEN {_PARTICIPANT} ELSE conv(466560 + (c_custkey - 10000) % 1213056, 10, 36) END"
+
+
 def _coded(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.table(spark, d, "customer").filter("c_custkey < 10000")  # codes hold four digits of a key
-    return c.selectExpr("c_custkey", "c_mktsegment", _CODE.replace("VARCHAR", "STRING") + " AS barcode")
+    code = _CODE.replace(_SITE, _ANY_SITE).replace(_PARTICIPANT, _ANY_PARTICIPANT).replace("VARCHAR", "STRING")
+    return fx.table(spark, d, "customer").selectExpr("c_custkey", "c_mktsegment", code + " AS barcode")
 
 
 def barcode_annotate(spark: SparkSession, d: str) -> DataFrame:

@@ -320,3 +320,15 @@ def test_legacy_contrast(spark):
     sets = spark.createDataFrame([("own", j) for j in range(6)], "set_name string, gene int")
     r = legacy_null(x, expr, sets, folds, AuditConfig(n_folds=4, n_null=8, ridge_alpha=1.0, matched=False)).first()
     assert r["beats_null"] and r["percentile"] > 90 and r["n_null"] == 8
+
+
+def test_every_customer_has_a_barcode_of_its_own(spark, tmp_path):
+    from specaudit.queries import cohorts
+
+    keys = [1, 17, 9999, 10_000, 10_001, 15_000, 123_456, 1_223_055, 1_223_056, 1_223_081, 1_500_000, 46_000_000]
+    spark.createDataFrame([(k, n, "m") for k, n in [(k, k % 25) for k in keys]], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {r["c_custkey"]: r for r in cohorts.barcode_annotate(spark, str(tmp_path)).collect()}
+    whole = [k for k in keys if k % 17]
+    assert sorted(got) == whole and len({r["patient_id"] for r in got.values()}) == len(whole)
+    assert (got[9999]["patient_id"], got[10_000]["patient_id"], got[15_000]["tss"]) == ("TCGA-24-9999", "TCGA-00-A000", "00")
+    assert sum(r["n_patients"] for r in cohorts.site_summary(spark, str(tmp_path)).collect()) == len(whole)
