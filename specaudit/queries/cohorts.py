@@ -118,7 +118,7 @@ def partition_variance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def combat_estimable(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.cohort(spark, d).filter("purity > 5000")
+    c = fx.cohort(spark, d)
     return splits.estimable_fraction(c.withColumn("fold", F.col("site") % 5), "type")
 
 
@@ -129,7 +129,7 @@ def fold_change_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sweep_merge(spark: SparkSession, d: str) -> DataFrame:
-    li = fx.table(spark, d, "lineitem").filter("l_linenumber <= 3")
+    li = fx.table(spark, d, "lineitem")
     shards = li.groupBy(F.col("l_suppkey").alias("split_seed")).agg(F.round(F.avg("l_discount"), 9).alias("isi")).select("split_seed", "isi", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("source")).filter("source = 'a' OR split_seed % 2 = 0")
     merged, missing = sweep.merge_shards(shards, ["isi"], fx.table(spark, d, "supplier").select(F.col("s_suppkey").alias("split_seed")).unionAll(spark.range(-3, 0).select(F.col("id").alias("split_seed"))))
     return merged.select("split_seed", F.round("isi", 6).alias("isi"), "source").unionByName(missing.select("split_seed", F.lit(None).cast("double").alias("isi"), F.lit("missing").alias("source")))

@@ -332,3 +332,22 @@ def test_every_customer_has_a_barcode_of_its_own(spark, tmp_path):
     assert sorted(got) == whole and len({r["patient_id"] for r in got.values()}) == len(whole)
     assert (got[9999]["patient_id"], got[10_000]["patient_id"], got[15_000]["tss"]) == ("TCGA-24-9999", "TCGA-00-A000", "00")
     assert sum(r["n_patients"] for r in cohorts.site_summary(spark, str(tmp_path)).collect()) == len(whole)
+
+
+def test_sweep_and_estimable_take_every_row(spark, tmp_path):
+    from specaudit.queries import cohorts
+
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    items = [(s, n, 0.01 * ((7 * s + n) % 11)) for s in range(6) for n in range(1, 8)] + [(6, 5, 0.04)]
+    write("lineitem", items, "l_suppkey long, l_linenumber int, l_discount double")
+    write("supplier", [(s,) for s in range(8)], "s_suppkey long")
+    got = {r["split_seed"]: (r["isi"], r["source"]) for r in cohorts.sweep_merge(spark, str(tmp_path)).collect()}
+    want = {s: (pytest.approx(np.mean([x for k, _, x in items if k == s]), abs=1e-6), "a") for s in range(7)}
+    assert got == want | {s: (None, "missing") for s in (7, -1, -2, -3)}
+    write("customer", [(k, k % 10, "ab"[k % 2], 1000.0 * k - 3000) for k in range(20)] + [(20, 3, "c", 1.0)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double")
+    write("nation", [(k, 0) for k in range(10)], "n_nationkey int, n_regionkey int")
+    write("region", [(0, "EUROPE")], "r_regionkey int, r_name string")
+    got = {r["fold"]: (r["n"], r["n_estimable"]) for r in cohorts.combat_estimable(spark, str(tmp_path)).collect()}
+    assert got == {0: (4, 4), 1: (4, 4), 2: (4, 4), 3: (5, 4), 4: (4, 4)}
