@@ -29,8 +29,9 @@ MAX_LANGUAGES = 200
 #: Added to each piece's count, and the probability of a character without a piece.
 SMOOTHING = 0.1
 UNSEEN = 1e-9
-#: Longest run of characters of a word that one forward pass takes; longer words are cut.
-MAX_WORD = 40
+#: Characters of the words that go through a forward pass together, and characters between rescalings of its sums.
+CELLS = 400_000
+RESCALE = 8
 
 
 def fold(doc_id: Column) -> Column:
@@ -59,6 +60,7 @@ class ForwardModel:
         import ahocorasick
 
         self.p = probabilities  # pieces x languages
+        self.longest = max(map(len, pieces), default=1)
         self.automaton = ahocorasick.Automaton()
         for k, p in enumerate(pieces):
             self.automaton.add_word(p, (k, len(p)))
@@ -76,34 +78,45 @@ class ForwardModel:
         return word, end - found[:, 1], end, found[:, 2]
 
     def score(self, words: list[str]) -> list[np.ndarray]:
-        """Log likelihoods of words; a word longer than MAX_WORD is scored by its parts."""
-        cut = [[w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD)] for w in words]
-        flat = [x for parts in cut for x in parts]
-        out = np.zeros((len(flat), self.p.shape[1]))
-        for a in range(0, len(flat), 20_000):
-            out[a : a + 20_000] = self._forward(flat[a : a + 20_000])
-        ends = np.cumsum([len(parts) for parts in cut])
-        return list(np.add.reduceat(out, ends - [len(parts) for parts in cut], axis=0)) if len(flat) else []
+        """Log likelihoods of words of any length, those of like length together."""
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        out = np.zeros((len(words), self.p.shape[1]))
+        a = 0
+        for b in range(1, len(order) + 1):
+            if b == len(order) or (b + 1 - a) * (len(words[order[b]]) + 1) > CELLS:
+                out[order[a:b]] = self._forward([words[k] for k in order[a:b]])
+                a = b
+        return list(out)
 
     def _forward(self, words: list[str]) -> np.ndarray:
         word, start, end, piece = self.matches(words)
         lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         single = np.zeros((len(words), lengths.max() + 1), bool)
         single[word[end - start == 1], end[end - start == 1]] = True
-        alpha = np.zeros((lengths.max() + 1, len(words), self.p.shape[1]))
+        rows = self.longest + 1  # no piece looks further back
+        alpha = np.zeros((rows, len(words), self.p.shape[1]))
         alpha[0] = 1.0
+        scale, out = np.zeros(alpha.shape[1:]), np.zeros(alpha.shape[1:])
         order = np.argsort(end, kind="stable")
         word, start, end, piece = word[order], start[order], end[order], piece[order]
         cuts = np.searchsorted(end, np.arange(lengths.max() + 2))
         for j in range(1, lengths.max() + 1):
             w, s, k = word[cuts[j] : cuts[j + 1]], start[cuts[j] : cuts[j + 1]], piece[cuts[j] : cuts[j + 1]]
             by_word = np.argsort(w, kind="stable")
-            w, terms = w[by_word], (alpha[s, w] * self.p[k])[by_word]
+            w, terms = w[by_word], (alpha[s % rows, w] * self.p[k])[by_word]
+            new = np.where(single[:, j, None], 0.0, alpha[(j - 1) % rows] * UNSEEN)
             if len(w):
                 first = np.flatnonzero(np.diff(w, prepend=-1))
-                alpha[j, w[first]] = np.add.reduceat(terms, first, axis=0)
-            alpha[j] += np.where(single[:, j, None], 0.0, alpha[j - 1] * UNSEEN)
-        return np.log(np.maximum(alpha[lengths, np.arange(len(words))], 1e-300))
+                new[w[first]] += np.add.reduceat(terms, first, axis=0)
+            alpha[j % rows] = new
+            done = lengths == j
+            if done.any():
+                out[done] = np.log(np.maximum(new[done], 1e-300)) + scale[done]
+            if j % RESCALE == 0:
+                by = np.where((lengths > j)[:, None] & (new > 0), new, 1.0)
+                alpha /= by
+                scale += np.log(by)
+        return out
 
     def classify(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The best language's number (-1: no letters) and its posterior probability under equal priors."""

@@ -373,3 +373,22 @@ def test_forward_sums_all_segmentations():
     m = langid.ForwardModel(pieces, p)
     ways = 0.1 * 0.15 * 0.25 + 0.2 * 0.25 + 0.1 * 0.1 + 0.2
     assert np.exp(m.score(["ab"])[0][0]) == pytest.approx(ways)
+
+
+def test_forward_takes_words_of_any_length():
+    rng = random.Random(8)
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "bab", "abba"]
+    p = np.array([[0.1 + 0.01 * k, 0.3 - 0.02 * k] for k in range(len(pieces))]) * 1e-3
+    words = ["".join(rng.choice("abx") for _ in range(n)) for n in (1, 5, 39, 40, 41, 80, 200, 1000)]
+
+    def plain(w):
+        w, logs = "▁" + w, [np.zeros(2)]
+        for j in range(1, len(w) + 1):
+            terms = [logs[j - len(x)] + np.log(p[k]) for k, x in enumerate(pieces) if w[:j].endswith(x)]
+            if not any(len(x) == 1 and w[j - 1] == x for x in pieces):
+                terms.append(logs[j - 1] + np.log(langid.UNSEEN))
+            logs.append(np.logaddexp.reduce(terms))
+        return logs[-1]
+
+    for got, w in zip(langid.ForwardModel(pieces, p).score(words), words, strict=True):
+        assert got == pytest.approx(plain(w), rel=1e-9), len(w)
