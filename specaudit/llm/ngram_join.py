@@ -82,6 +82,11 @@ def class_id(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())[:12] + len(grams).to_bytes(4, "little")
 
 
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash by its highest bits, so that the 48 low ones still tell n-grams of one bucket apart."""
+    return (((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+
+
 def pack_low(grams: np.ndarray) -> bytes:
     """The low 48 bits of each hash."""
     return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -157,7 +162,6 @@ def _shared_grams(rows: DataFrame, n: int, buckets: int) -> DataFrame:
 
     A bucket and 48 bits of the hash name an n-gram from here on; buckets grow in number with the data, not in size.
     """
-    shift = np.uint64(40)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()  # copies that one task meets are sent once
@@ -175,7 +179,7 @@ def _shared_grams(rows: DataFrame, n: int, buckets: int) -> DataFrame:
                     continue
                 flat = np.concatenate(sets)
                 owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
-                bucket = ((flat >> shift) % np.uint64(buckets)).astype(np.int32)
+                bucket = bucket_of(flat, buckets)
                 order = np.argsort(bucket, kind="stable")
                 flat, owner = flat[order], owner[order]
                 ends = np.searchsorted(bucket[order], np.arange(buckets + 1))

@@ -392,3 +392,14 @@ def test_forward_takes_words_of_any_length():
 
     for got, w in zip(langid.ForwardModel(pieces, p).score(words), words, strict=True):
         assert got == pytest.approx(plain(w), rel=1e-9), len(w)
+
+
+def test_buckets_of_grams_use_bits_that_are_not_packed():
+    rng = np.random.default_rng(9)
+    low = rng.integers(0, 1 << 48, 1000, dtype=np.uint64)
+    # equal in all packed bits, different in those above: told apart by the bucket alone
+    buckets = np.stack([ngram_join.bucket_of(low | np.uint64(k << 58), 64) for k in range(64)])
+    assert (np.sort(buckets, axis=0) == np.arange(64)[:, None]).all()
+    for n in (64, 1000, 65536):
+        sizes = np.bincount(ngram_join.bucket_of(rng.integers(0, 1 << 64, 100 * n, dtype=np.uint64), n), minlength=n)
+        assert len(sizes) == n and sizes.max() < 200
