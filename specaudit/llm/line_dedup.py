@@ -34,6 +34,9 @@ from .common import materialise, release, slices, small_batches, text_of
 PASSAGE_WORDS = 50
 GRAM_WORDS = 20
 
+#: Bytes of text whose words are hashed at once: a character takes some 60 bytes of a worker's memory then.
+SLICE = 1 << 19
+
 #: Scripts written without spaces, where each character counts as a word: Thai, Lao, Tibetan, Burmese, Khmer, Chinese,
 #: Japanese, Yi and their wide forms.
 UNSPACED = ((0x0E00, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x3000), (0x3001, 0xA4D0), (0xF900, 0xFB00), (0xFF00, 0xFFA0), (0x1AFF0, 0x1B170), (0x20000, 0x32400))
@@ -64,7 +67,7 @@ def powers_of_base(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sequence_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the runs h[start:end], all at once, from prefix sums."""
-    powers, inverse = powers_of_base(1 << len(h).bit_length())
+    powers, inverse = powers_of_base(1 << max(len(h).bit_length(), 19))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)], dtype=np.uint64)))
     x = (sums[end] - sums[start]) * inverse[start]
     x = (x ^ (x >> np.uint64(32))) * np.uint64(MIX)
@@ -232,7 +235,7 @@ def repeated_word_ranges(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", SLICE):
                 b = Blocks(batch.column("text").to_pylist())
                 if len(b.doc):
                     at, whole_numbers = pa.array(b.doc), (pa.array(x.astype(np.int32)) for x in (b.start, b.mid, b.end))
@@ -240,7 +243,7 @@ def repeated_word_ranges(docs: DataFrame) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", SLICE):
                 b = Blocks(batch.column("text").to_pylist())
                 starts = batch.column("starts")
                 wanted = starts.flatten().to_numpy() + (np.repeat(np.arange(len(starts)), starts.value_lengths().to_numpy()) << 32)
