@@ -78,6 +78,11 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits that stand for a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("")), F.lit("\x1f"), text_of(docs))))
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts come to about max_bytes each; a row is never cut.
 

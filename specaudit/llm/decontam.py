@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import ascii_lower, row_key, text_of
 
 WINDOW = 13
 #: Words of a window that the scan looks up before the window is verified.
@@ -102,7 +102,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = Fal
     Span removal takes the words of the hits out of a contaminated document's text; what stands between words
     goes with the word after it. A document is known by its id and text: rows that repeat both fare alike.
     """
-    key = F.xxhash64(docs["doc_id"].cast("long"), text_of(docs))
+    key = row_key(docs)
     found = find_hits(docs, benchmark, key=key)
     n_hit = F.aggregate("hits", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     bad = found.filter((n_hit > 0) & (HIT_SHARE * n_hit >= F.col("n_words"))).select(F.col("key").alias("bad_key"), "hits")

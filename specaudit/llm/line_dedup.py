@@ -25,14 +25,17 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release, slices, small_batches, text_of
+from .common import materialise, release, row_key, slices, small_batches, text_of
 
 PASSAGE_WORDS = 50
 GRAM_WORDS = 20
+#: Words that must be left of a document that loses a passage; with fewer, a rule on length would reject it.
+MIN_WORDS = 10
 
 #: Bytes of text whose words are hashed at once: a character takes some 60 bytes of a worker's memory then.
 SLICE = 1 << 19
@@ -129,13 +132,13 @@ def fingerprints(texts: list[str], passage: int = PASSAGE_WORDS, gram: int = GRA
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """``key, ranges``: for each document with later occurrences, the (start, end) in characters to delete, by start.
+    """``key, starts, ends``: for each document with later occurrences, the disjoint ranges of characters to delete.
 
-    A document is known by the hash of its id and text; the order of documents is by id, nulls last.
+    A document is known by :func:`common.row_key`; the order of documents is by id, nulls last.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    schema = "fp long, doc_id long, key long, windows array<struct<start:int,end:int,h:long>>"
+    schema = "fp long, doc_id long, key binary, windows array<struct<start:int,end:int,h:long>>"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -149,21 +152,37 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
                 at = pa.array(doc[first])
                 yield pa.RecordBatch.from_arrays([pa.array(fp[first].view(np.int64)), batch.column("doc_id").take(at), batch.column("key").take(at), lists], ["fp", "doc_id", "key", "windows"])
 
-    text = text_of(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("key"), text.alias("text"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("key"), text_of(docs).alias("text"))
     prints = materialise(rows.mapInArrow(scan, schema), "fingerprints")
     # both inputs of each join are plain tables, so that a very common fingerprint's partition can be split
     common = materialise(prints.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "common")
-    met = prints.join(common, "fp", "left_semi").select("doc_id", "key", F.explode("windows").alias("w"))
-    met = materialise(met.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", F.col("w.start").alias("start"), F.col("w.end").alias("end")).alias("at"), F.col("w.h").alias("h")), "windows")
-    first = materialise(met.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"), "first")
-    start = F.when(F.col("at.key") == F.col("first.key"), F.greatest("at.start", "first.end")).otherwise(F.col("at.start"))
-    later = met.join(first, "h").filter(F.col("at") != F.col("first")).select(F.col("at.key").alias("key"), start.alias("start"), F.col("at.end").alias("end"))
-    ranges = materialise(later.filter("start < end").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges")), "ranges")
+    met = prints.join(common, "fp", "left_semi").select("fp", "doc_id", "key", F.explode("windows").alias("w"))
+    met = materialise(met.select("fp", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", F.col("w.start").alias("start"), F.col("w.end").alias("end")).alias("at"), F.col("w.h").alias("h")), "windows")
+    first = materialise(met.groupBy("fp", "h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("fp", "h", "first"), "first")
+    ranges = materialise(disjoint(later(met, first, "first.end")), "ranges")
     release(prints, common, met, first)
     return ranges
 
 
+def later(all_of: DataFrame, firsts: DataFrame, end_of_first: str) -> DataFrame:
+    """``key, start, end`` of the places that aren't the first of their kind, without what the first covers."""
+    by = [c for c in firsts.columns if c != "first"]
+    start = F.when(F.col("at.key") == F.col("first.key"), F.greatest("at.start", end_of_first)).otherwise(F.col("at.start"))
+    cut = all_of.join(firsts, by).filter(F.col("at") != F.col("first"))
+    return cut.select(F.col("at.key").alias("key"), start.alias("start"), F.col("at.end").alias("end")).filter("start < end").distinct()
+
+
+def disjoint(ranges: DataFrame) -> DataFrame:
+    """``key, starts, ends``: ranges ``key, start, end`` with those that meet merged, in order."""
+    by_start = Window.partitionBy("key").orderBy("start", "end")
+    before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = ranges.select("*", F.when(F.col("start") <= before, 0).otherwise(1).alias("new"))
+    runs = fresh.select("*", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    runs = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ordered = runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
+    return ordered.select("key", F.col("r.start").alias("starts"), F.col("r.end").alias("ends"))
+
+
 @functools.cache
 def characters() -> tuple[np.ndarray, np.ndarray]:
     """By code point: 1 for white space, as str.split has it, and 2 for a character that is a word; and a hash."""
@@ -222,14 +241,14 @@ class Blocks:
         self.start, self.mid, self.end = self.at[p], self.after[p + passage - 1], self.after[q - 1]
 
     def windows(self, blocks: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Text, start and end in characters, and hash of all windows of some blocks."""
+        """Text, start and end in characters, and the block's and an own hash of all windows of some blocks."""
         count = self.count[blocks]
         i = self.begin[np.repeat(self.first[blocks] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-        return np.repeat(self.doc[blocks], count), self.at[i], self.after[i + self.passage - 1], sequence_hashes(self.h, i, i + self.passage)
+        return np.repeat(self.doc[blocks], count), self.at[i], self.after[i + self.passage - 1], np.repeat(self.fp[blocks], count), sequence_hashes(self.h, i, i + self.passage)
 
 
 def repeated_word_ranges(docs: DataFrame) -> DataFrame:
-    """``key, ranges`` as of :func:`repeated_ranges`, for runs of PASSAGE_WORDS words wherever they start and end."""
+    """``key, starts, ends`` as of :func:`repeated_ranges`, for runs of PASSAGE_WORDS words wherever they start and end."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -247,39 +266,54 @@ def repeated_word_ranges(docs: DataFrame) -> DataFrame:
                 b = Blocks(batch.column("text").to_pylist())
                 starts = batch.column("starts")
                 wanted = starts.flatten().to_numpy() + (np.repeat(np.arange(len(starts)), starts.value_lengths().to_numpy()) << 32)
-                doc, start, end, h = b.windows(np.flatnonzero(np.isin(b.start + (b.doc << 32), wanted)))
+                doc, start, end, fp, h = b.windows(np.flatnonzero(np.isin(b.start + (b.doc << 32), wanted)))
                 at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["h", "doc_id", "key", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(h.view(np.int64)), batch.column("doc_id").take(at), batch.column("key").take(at), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["fp", "h", "doc_id", "key", "start", "end"])
 
     def ordered(*more: str):
         return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start", *more).alias("at")
 
-    def later(all_of: DataFrame, firsts: DataFrame, by: list[str], end_of_first: str) -> DataFrame:
-        start = F.when(F.col("at.key") == F.col("first.key"), F.greatest("at.start", end_of_first)).otherwise(F.col("at.start"))
-        cut = all_of.join(firsts, by).filter(F.col("at") != F.col("first"))
-        return cut.select(F.col("at.key").alias("key"), start.alias("start"), F.col("at.end").alias("end")).filter("start < end")
-
-    text = text_of(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("key"), text.alias("text"))
-    prints = materialise(rows.mapInArrow(scan, "fp long, span long, doc_id long, key long, start int, mid int, end int"), "fingerprints")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("key"), text_of(docs).alias("text"))
+    prints = materialise(rows.mapInArrow(scan, "fp long, span long, doc_id long, key binary, start int, mid int, end int"), "fingerprints")
     # both inputs of each join are plain tables, so that a very common fingerprint's partition can be split
     common = materialise(prints.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "common")
     met = materialise(prints.join(common, "fp", "left_semi").select("fp", "span", ordered("mid", "end")), "blocks")
     release(prints, common)
     classes = materialise(met.groupBy("fp", "span").agg(F.min("at").alias("first"), F.count("*").alias("n")), "classes")
-    cut = materialise(later(met, classes.filter("n > 1").select("fp", "span", "first"), ["fp", "span"], "first.mid"), "cut")
+    cut = materialise(later(met, classes.filter("n > 1").select("fp", "span", "first"), "first.mid"), "cut")
     mixed = materialise(classes.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "mixed")
     wanted = classes.join(mixed, "fp", "left_semi").groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.start").alias("starts"))
     wanted = materialise(wanted, "wanted")
     release(met, classes, mixed)
-    each = materialise(rows.join(wanted, "key").mapInArrow(windows, "h long, doc_id long, key long, start int, end int").select("h", ordered("end")), "windows")
-    first = materialise(each.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h", "first"), "first")
-    cut_too = later(each, first, ["h"], "first.end")
-    ranges = materialise(cut.unionByName(cut_too).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("ranges")), "ranges")
+    each = materialise(rows.join(wanted, "key").mapInArrow(windows, "fp long, h long, doc_id long, key binary, start int, end int").select("fp", "h", ordered("end")), "windows")
+    first = materialise(each.groupBy("fp", "h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("fp", "h", "first"), "first")
+    ranges = materialise(disjoint(cut.unionByName(later(each, first, "first.end"))), "ranges")
     release(cut, wanted, each, first)
     return ranges
 
 
+def without(text: Column, starts: Column, ends: Column) -> Column:
+    """A text without some disjoint ranges of its characters, in order; null ranges leave it as it is."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
+        out = []
+        for t, a, b in zip(texts, firsts, lasts, strict=True):
+            out.append(None if t is None else "".join([t[x:y] for x, y in zip([0, *b], [*a, len(t)], strict=True)]))
+        return pd.Series(out, dtype=object)
+
+    # texts that stay aren't sent to Python
+    once = cut.asNondeterministic()  # a filter on the result must not bring a second call
+    return F.when(starts.isNull(), text).otherwise(once(F.when(starts.isNotNull(), text), starts, ends))
+
+
+def cut_rows(docs: DataFrame, by_word: bool = True) -> DataFrame:
+    """``row, text``: each row of docs as a struct, and its text without later repeats."""
+    ranges = repeated_word_ranges(docs) if by_word else repeated_ranges(docs)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_key(docs).alias("key"))
+    return rows.join(ranges, "key", "left").select("row", without(F.col("row.text").cast("string"), F.col("starts"), F.col("ends")).alias("text"))
+
+
 def remove_repeats(docs: DataFrame, by_word: bool = False) -> DataFrame:
     """docs with later repeats cut out of ``text``, and ``n_removed``, the number of characters that went.
 
@@ -287,18 +321,17 @@ def remove_repeats(docs: DataFrame, by_word: bool = False) -> DataFrame:
     Null and empty texts stay as they are. Rows that repeat both id and text count as one document and are cut
     alike. Null ids come last in the order of occurrences. Other columns stay; one named n_removed is replaced.
     """
-    ranges = repeated_word_ranges(docs) if by_word else repeated_ranges(docs)
-    names = [c for c in docs.columns if c != "n_removed"]
-    row = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), F.xxhash64(docs["doc_id"].cast("long"), text_of(docs)).alias("key"))
-    hit = row.join(ranges, "key", "left")
-    text = F.col("row.text")
-
-    def step(a, r):
-        kept = F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(r["start"] - a["at"], F.lit(0))))
-        return F.struct(F.greatest(a["at"], r["end"]).alias("at"), kept.alias("out"))
-
-    end = lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))
-    cut = F.aggregate("ranges", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    new = hit.select("row", F.when(F.col("ranges").isNotNull(), cut).otherwise(text).alias("text"))
     removed = F.coalesce(F.length("row.text") - F.length("text"), F.lit(0)).cast("long")
-    return new.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in names), removed.alias("n_removed"))
+    cut = cut_rows(docs, by_word)
+    return cut.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_removed"), removed.alias("n_removed"))
+
+
+def keep_rest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with later repeats cut out of ``text``; of documents that lose text, those with fewer than min_words words left go.
+
+    All columns of docs stay, whatever their names. Documents that lose nothing stay as they are, null texts too.
+    """
+    cut = cut_rows(docs)
+    words = F.size(F.array_remove(F.split("text", r"[\x20\t-\r]+"), ""))
+    stays = F.col("row.text").isNull() | (F.length("row.text") == F.length("text")) | (words >= min_words)
+    return cut.filter(stays).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -2,17 +2,18 @@
 
 A document's set holds its distinct n-grams. Documents with equal sets are one class; the join runs on classes.
 
-1. N-grams are dealt to buckets by their hash, and each bucket keeps those that several classes hold. A class
-   whose shared n-grams are too few for the overlap that any link needs can have none and drops out.
-2. N-grams are ordered by the number of classes that hold them. Two classes that link share an n-gram among
-   the first few of each (the T - 1 most common are the long lists that DivideSkip sets aside). The lists of
-   those n-grams, with length and position bounds, give candidates.
-3. Each list first proposes only pairs with one member, the one with the fewest n-grams of its own. Candidates
-   of a query are checked in blocks: short inverted lists are merged by a heap, candidates short of T - L
-   occurrences drop out, and the L long lists are probed by binary search.
-4. Links give components. Lists whose members are all in one component are done. In the others, members outside
-   the largest component are proposed to all members of other components, which tests every remaining pair that
-   could join two components; components are exact, without all pairs of a group.
+1. Of each class, the n-grams with the least hashes (some 40 % of them) go to buckets by their hash. Classes that
+   link have at least a fifth of the smaller set in common among these, so a class whose n-grams other classes
+   hold too seldom drops out. N-grams that very many classes hold don't travel: they count as held by others.
+2. N-grams of the classes left are ordered by the number of classes that hold them. Two classes that link share
+   one of the first few of each. The inverted lists of those, with length and position bounds, give candidates.
+3. Each list first proposes only one query, the class with the fewest n-grams of its own, to its other members.
+   Members are searched in blocks: a block builds inverted lists over its members' whole sets, merges the short
+   lists of a query's n-grams by a heap, drops members short of T - L occurrences, and looks for the others in the
+   L long lists by binary search.
+4. Links give components. Lists whose members are all in one component are done. In the others, each class outside
+   the list's largest component searches the blocks that hold members of other components, and of what it finds one
+   link to each component is enough. Components are exact; pairs within a group are never listed.
 """
 
 from __future__ import annotations
@@ -20,23 +21,29 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, slices, small_batches, text_of
+from .common import materialise, release, row_key, slices, small_batches, text_of
 from .components import connected
 from .wordcodes import word_codes
 
 N = 5
 #: Documents link when MIN_PERCENT of the union is shared.
 MIN_PERCENT = 80
-#: N-grams of a bucket, and pairs of a block, that one task holds; numbers of buckets and blocks follow the data.
-BUCKET_GRAMS = 1_500_000
-BLOCK_PAIRS = 250
+#: N-grams of a bucket, and members (and their n-grams) and queries of a block that one task holds; the numbers of
+#: buckets and blocks follow the data.
+BUCKET_GRAMS = 1_000_000
+BLOCK_MEMBERS = 200
+BLOCK_GRAMS = 100_000
+BLOCK_QUERIES = 1_000
+#: N-grams that so many classes hold aren't dealt; they are looked for, by a sample of classes, once there are as many.
+HOT = 1_000_000
+HOT_SAMPLE = 20_000
 
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
@@ -104,28 +111,36 @@ def needed(x: int, y: int, percent: int = MIN_PERCENT) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
-def t_occurrence(query: np.ndarray, members: list[np.ndarray], sizes: list[int], query_size: int, percent: int = MIN_PERCENT) -> list[int]:
-    """Members that link with the query, by DivideSkip.
+def head_size(n: int, percent: int = MIN_PERCENT) -> int:
+    """How many of a set's n least n-grams are dealt."""
+    return min(n, n + -(-n * (100 - percent) // 100) - -(-n * percent // 100))
 
-    query and members are sorted arrays of n-grams; sizes are those of the full sets, which may hold n-grams
-    that no other set has and that are left out of the arrays.
+
+def head_bounds(n: Column, percent: int = MIN_PERCENT) -> tuple[Column, Column]:
+    """:func:`head_size`, and how many n-grams the heads of a class and of any class that links with it share at least.
+
+    Of sets of x and y n-grams that link, each holds at least ceil(0.8 x) and ceil(0.8 y) of the other, so the k
+    least n-grams that they share are among the first x - ceil(0.8 x) + k of the one, and likewise of the other;
+    k is the least of ceil(0.2 x) and ceil(0.2 y), and y is 0.8 x at least.
     """
-    lists: dict[int, list[int]] = {g: [] for g in query.tolist()}
-    for k, grams in enumerate(members):
-        for g in grams[np.isin(grams, query, assume_unique=True)].tolist():
-            lists[g].append(k)
-    t = min((needed(query_size, s, percent) for s in sizes), default=1)
-    ordered = sorted((x for x in lists.values() if x), key=len)
-    if not ordered or len(ordered) < t:
+    up = lambda a: F.floor((a + 99) / 100)
+    return F.least(n, n + up(n * (100 - percent)) - up(n * percent)), F.greatest(F.lit(1), F.ceil(n * percent * (100 - percent) / 10_000.0 - 1e-9)).cast("long")
+
+
+def t_occurrence(query: np.ndarray, index: Index, percent: int = MIN_PERCENT, wanted: Callable[[int], bool] = lambda k: True) -> list[int]:
+    """Members of an index that are wanted and link with a query, a sorted array of n-grams, by DivideSkip."""
+    ordered = index.lists(query)
+    t = needed(len(query), max(index.least, -(-len(query) * percent // 100)), percent)
+    if len(ordered) < t:
         return []
     # long lists to set aside: T / (mu log M + 1), below T
-    n_long = min(t - 1, len(ordered) - 1, int(t / (0.01 * math.log2(len(ordered[-1]) + 1) + 1)))
+    n_long = min(t - 1, int(t / (0.01 * math.log2(len(ordered[-1]) + 1) + 1)))
     short, long = ordered[: len(ordered) - n_long], ordered[len(ordered) - n_long :]
     found, count, now = [], 0, -1
 
     def settle(k: int, seen: int) -> None:
-        goal = needed(query_size, sizes[k], percent)
-        if seen < goal - n_long:
+        goal = needed(len(query), index.sizes[k], percent)
+        if seen < goal - n_long or not wanted(k):
             return
         for left, x in enumerate(long):
             if seen >= goal or seen + n_long - left < goal:
@@ -146,172 +161,269 @@ def t_occurrence(query: np.ndarray, members: list[np.ndarray], sizes: list[int],
     return found
 
 
-def _document_classes(rows: DataFrame, n: int) -> DataFrame:
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(len(values), 1), bool), values[1:] != values[:-1])))
+
+
+class Index:
+    """Inverted lists over the members of a block: for each n-gram, the places of the members that hold it, in order."""
+
+    def __init__(self, members: list[np.ndarray]):
+        self.sizes = [len(m) for m in members]
+        self.least = min(self.sizes, default=1)
+        flat = np.concatenate(members) if members else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        self.places = owner[order]
+        first = starts_of(flat)
+        self.grams, self.ends = flat[first], np.append(first, len(flat))
+
+    def lists(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of a query's n-grams, shortest first."""
+        if not len(self.grams):
+            return []
+        at = np.minimum(np.searchsorted(self.grams, query), len(self.grams) - 1)
+        at = at[self.grams[at] == query]
+        at = at[np.argsort(self.ends[at + 1] - self.ends[at], kind="stable")]
+        return [self.places[a:b].tolist() for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)]
+
+
+def _document_classes(rows: DataFrame, n: int, percent: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()  # of copies that one task meets, one carries the n-grams
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 sets = gram_sets(batch.column("text"), n)
                 ids = [class_id(x) if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "cid"])
+                heads = []
+                for x, cid in zip(sets, ids, strict=True):
+                    new = cid is not None and cid not in sent
+                    heads.append(x[: head_size(len(x), percent)].tobytes() if new else None)
+                    if new:
+                        sent.add(cid)
+                if len(sent) > 200_000:
+                    sent.clear()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("own"), pa.array([len(x) for x in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(heads, pa.binary())], ["doc_id", "key", "own", "n", "cid", "head"])
 
-    return rows.mapInArrow(scan, "doc_id long, key long, n long, cid binary")
+    return rows.mapInArrow(scan, "doc_id long, key binary, own boolean, n long, cid binary, head binary")
 
 
-def _shared_grams(rows: DataFrame, n: int, buckets: int) -> DataFrame:
-    """``cid, n, h``: for classes and buckets, the n-grams that another class has too.
+def _numbered(classes: DataFrame) -> Column:
+    """64 bits that tell the classes apart: a hash of the 128 of their ids, with a seed that gives no two the same."""
+    for seed in range(100):
+        c = F.xxhash64(F.lit(seed), "cid")
+        known = classes.filter("cid IS NOT NULL").select("cid", c.alias("c"))
+        if known.groupBy("c").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a <> b").isEmpty():
+            return c
+    raise ValueError("no hash tells the classes apart")
 
-    A bucket and 48 bits of the hash name an n-gram from here on; buckets grow in number with the data, not in size.
+
+def _hot_grams(heads: DataFrame, total: int) -> np.ndarray:
+    """N-grams that some HOT classes hold, by a sample of classes; none if there are fewer classes.
+
+    It only decides what travels, not what links. Some HOT classes hold each, so there are about as many as all
+    heads' n-grams over HOT at most.
+    """
+    if total <= HOT:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, max(1, HOT_SAMPLE) / HOT)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("head").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], ["g"])
+
+    some = heads.filter(F.pmod(F.xxhash64(F.lit("hot"), "c"), F.lit(1 << 20)) < share * (1 << 20)).select("head")
+    found = some.mapInArrow(unpack, "g long").groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT * share).select("g").collect()
+    return np.sort(np.array([r["g"] for r in found], np.int64).view(np.uint64))
+
+
+def _shared_grams(heads: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """``c, n_hot, h``: for classes and buckets, the n-grams that another class has too.
+
+    A bucket and 48 bits of the hash name an n-gram from here on. An entry takes 14 bytes, whatever the number of
+    buckets; these grow in number with the data, not in size, since no n-gram that very many classes hold is dealt.
+    Rows with n_hot say how many of a class's n-grams were not.
     """
+    sent = heads.sparkSession.sparkContext.broadcast(hot)  # see _hot_grams for its bound
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()  # copies that one task meets are sent once
+        schema = pa.schema([("bucket", pa.int32()), ("cs", pa.binary()), ("grams", pa.binary())])
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
-                ids, sets = [], []
-                for x in gram_sets(batch.column("text"), n):
-                    if len(x) and (cid := class_id(x)) not in sent:
-                        sent.add(cid)
-                        ids.append(cid)
-                        sets.append(x)
-                if len(sent) > 200_000:
-                    sent.clear()
-                if not sets:
-                    continue
-                flat = np.concatenate(sets)
-                owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+            for batch in slices(whole, "head", 4 << 20):
+                head = batch.column("head").to_pylist()
+                flat = np.frombuffer(b"".join(head), np.uint64)
+                owner = np.repeat(batch.column("c").to_numpy(), [len(x) // 8 for x in head])
+                if len(hot_ := sent.value):
+                    is_hot = hot_[np.minimum(np.searchsorted(hot_, flat), len(hot_) - 1)] == flat
+                    who, times = np.unique(owner[is_hot], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"bucket": (-1 - who % buckets).tolist(), "cs": [c.tobytes() for c in who], "grams": [t.astype("<i8").tobytes() for t in times]}, schema=schema)
+                    flat, owner = flat[~is_hot], owner[~is_hot]
                 bucket = bucket_of(flat, buckets)
                 order = np.argsort(bucket, kind="stable")
-                flat, owner = flat[order], owner[order]
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                out: dict[str, list] = {"bucket": [], "cids": [], "counts": [], "grams": []}
-                for b in np.flatnonzero(np.diff(ends)).tolist():
-                    own = owner[ends[b] : ends[b + 1]]
-                    first = np.flatnonzero(np.diff(own, prepend=-1))
-                    out["bucket"].append(b)
-                    out["cids"].append(b"".join([ids[k] for k in own[first].tolist()]))
-                    out["counts"].append(np.diff(np.append(first, len(own))).astype("<u4").tobytes())
-                    out["grams"].append(pack_low(flat[ends[b] : ends[b + 1]]))
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("cids", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary())]))
+                flat, owner, bucket = flat[order], owner[order], bucket[order]
+                first = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = np.append(first, len(flat)).tolist()
+                parts = list(zip(ends, ends[1:], strict=False))
+                yield pa.RecordBatch.from_pydict({"bucket": bucket[first].tolist(), "cs": [owner[a:b].tobytes() for a, b in parts], "grams": [pack_low(flat[a:b]) for a, b in parts]}, schema=schema)
 
     def shared(table: pa.Table) -> pa.Table:
-        packed = b"".join(table["cids"].to_pylist())
-        cids = [packed[k : k + 16] for k in range(0, len(packed), 16)]
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<u4")
-        flat = unpack_low(b"".join(table["grams"].to_pylist()), table["bucket"][0].as_py())
-        number: dict[bytes, int] = {}
-        first = np.zeros(len(cids), bool)
-        for k, c in enumerate(cids):
-            if c not in number:
-                number[c], first[k] = k, True
-        owner = np.repeat(np.arange(len(cids)), counts)
-        keep = first[owner]
-        flat, owner = flat[keep], owner[keep]
+        bucket = table["bucket"][0].as_py()
+        owner = np.frombuffer(b"".join(table["cs"].to_pylist()), np.int64)
+        packed = b"".join(table["grams"].to_pylist())
+        if bucket < 0:
+            who, at = np.unique(owner, return_index=True)
+            return pa.table({"c": pa.array(who), "n_hot": pa.array(np.frombuffer(packed, "<i8")[at]), "h": pa.array([[]] * len(who), pa.list_(pa.int64()))})
+        flat = unpack_low(packed, bucket)
         order = np.argsort(flat, kind="stable")
-        g = flat[order]
-        same = np.zeros(len(g), bool)
-        if len(g) > 1:
-            equal = g[1:] == g[:-1]
-            same[1:] |= equal
-            same[:-1] |= equal
-        at = np.sort(order[same])
-        flat, owner = flat[at], owner[at]
-        begin = np.flatnonzero(np.diff(owner, prepend=-1))
-        who = owner[begin].tolist()
+        flat, owner = flat[order], owner[order]
+        first = starts_of(flat)
+        several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
+        keep = np.repeat(several, np.diff(np.append(first, len(flat))))
+        flat, owner = flat[keep], owner[keep]
+        order = np.lexsort((flat, owner))
+        flat, owner = flat[order], owner[order]
+        new = np.ones(len(flat), bool)  # copies that different tasks have dealt count once
+        new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+        flat, owner = flat[new], owner[new]
+        begin = starts_of(owner)
         lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(owner)).astype(np.int32)), pa.array(flat.view(np.int64)))
-        return pa.table({"cid": pa.array([cids[k] for k in who], pa.binary()), "n": pa.array([int.from_bytes(cids[k][12:], "little") for k in who], pa.int64()), "h": lists})
+        return pa.table({"c": pa.array(owner[begin], pa.int64()), "n_hot": pa.array(np.zeros(len(begin), np.int64)), "h": lists})
+
+    dealt = heads.select("c", "head").mapInArrow(deal, "bucket int, cs binary, grams binary")
+    return dealt.groupBy("bucket").applyInArrow(shared, "c long, n_hot long, h array<long>")
 
-    dealt = rows.select("text").mapInArrow(deal, "bucket int, cids binary, counts binary, grams binary")
-    return dealt.groupBy("bucket").applyInArrow(shared, "cid binary, n long, h array<long>")
 
+def _hot_lists(held: DataFrame, heads: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``g, c, n, rest, share`` of the hot n-grams that belong to a class's first ones; they come after all others."""
+    sent = heads.sparkSession.sparkContext.broadcast(hot)
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (q, m) of classes, those that link, as (a, b)."""
-    pairs = materialise(pairs, "pairs")
-    total = pairs.count()
-    blocks = max(1, -(-total // BLOCK_PAIRS))
-    chunks = materialise(pairs.groupBy("q").agg(F.ceil(F.count("*") / BLOCK_PAIRS).alias("chunks")), "chunks")
-    part = F.pmod(F.xxhash64("m"), F.col("chunks"))
-    placed = materialise(pairs.join(chunks, "q").select("q", "m", F.pmod(F.xxhash64("q", part), F.lit(blocks)).cast("int").alias("block")), "placed")
-    one = sets.select("cid", "n", "h")
-    members = placed.join(one, placed["m"] == one["cid"]).select("block", "q", F.col("m").alias("id"), "n", "h")
-    asked = placed.select("block", "q").distinct()
-    queries = asked.join(one, asked["q"] == one["cid"]).select("block", "q", F.lit(None).cast("binary").alias("id"), "n", "h")
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                grams = np.frombuffer(r["head"], np.int64)
+                grams = grams[np.isin(grams.view(np.uint64), sent.value)][: r["reach"] - r["cold"]]
+                pos = r["cold"] + np.arange(len(grams))
+                yield pa.RecordBatch.from_pydict({"g": grams, "c": [r["c"]] * len(pos), "n": [r["n"]] * len(pos), "rest": r["dealt"] - r["alone"] - pos, "share": [r["alone"] / r["dealt"]] * len(pos)}, schema=pa.schema([("g", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("rest", pa.int64()), ("share", pa.float64())]))
+
+    far = held.withColumn("cold", F.size("h")).filter("reach > cold").select("c", "n", "alone", "reach", "cold", "dealt")
+    return far.join(heads, "c").dropDuplicates(["c"]).mapInArrow(pick, "g long, c long, n long, rest long, share double")
+
+
+def _search(lists: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that queries ``g, c, n, rest, label`` find among the members ``g, c, n, rest, label`` of their lists.
+
+    A member lies in one block, with others of the least n-gram among its lists; a query goes once to each block
+    that holds members of its lists which it could link with. What is linked already, by its label or by a link of
+    the block, isn't looked at again, so a block gives fewer links than it has labels.
+    """
+    average = sets.agg(F.avg(F.octet_length("grams"))).first()[0] or 8.0
+    rows = max(1, min(BLOCK_MEMBERS, int(8 * BLOCK_GRAMS / average)))
+    home = lists.groupBy("c").agg(F.min("g").alias("home"), F.min("label").alias("label"))
+    home = materialise(home, "homes")
+    room = home.groupBy("home").agg(F.ceil(F.count("*") / rows).alias("parts"))
+    placed = materialise(home.join(room, "home").select("c", "label", F.xxhash64("home", F.pmod(F.xxhash64("c"), F.col("parts"))).alias("block")), "placed")
+    inside = lists.select("g", "c", "n", "rest").join(placed, "c").groupBy("g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    inside = materialise(inside, "inside")
+    _, least = head_bounds(F.col("n"), percent)
+    fits = (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent) & (F.least("rest", "most") >= least) & ((F.col("l0") != F.col("label")) | (F.col("l1") != F.col("label")))
+    visits = materialise(queries.join(inside, "g").filter(fits).select("block", F.col("c").alias("q"), "label").distinct(), "visits")
+    crowd = materialise(visits.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("parts")), "crowd")
+    asked = visits.join(crowd, "block").select("block", F.pmod(F.xxhash64("q"), F.col("parts")).alias("part"), F.lit(True).alias("asks"), F.col("q").alias("c"), "label")
+    members = placed.join(crowd, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "c", "label")
+    everyone = materialise(members.unionByName(asked), "blocks")
 
     def search(table: pa.Table) -> pa.Table:
-        own: dict[bytes, tuple] = {}
-        groups: dict[bytes, list] = {}
-        h = table["h"].combine_chunks()
-        flat, offsets = h.flatten().to_numpy(), np.asarray(h.offsets)
-        base = offsets[0]
-        for k, (q, i, n) in enumerate(zip(table["q"].to_pylist(), table["id"].to_pylist(), table["n"].to_pylist(), strict=True)):
-            grams = np.sort(flat[offsets[k] - base : offsets[k + 1] - base])
-            if i is None:
-                own[q] = (grams, n)
-            else:
-                groups.setdefault(q, []).append((i, grams, n))
-        out = []
-        for q, members in groups.items():
-            grams, n = own[q]
-            out += [(q, members[k][0]) for k in t_occurrence(grams, [m[1] for m in members], [m[2] for m in members], n, percent)]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+        c, label, grams, asks = (table[x].to_pylist() for x in ("c", "label", "grams", "asks"))
+        own = [k for k, x in enumerate(asks) if not x]
+        index = Index([np.frombuffer(grams[k], np.uint64) for k in own])
+        above = {x: x for x in label}
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
 
-    links = materialise(members.unionAll(queries).groupBy("block").applyInArrow(search, "a binary, b binary"), "links")
-    release(pairs, chunks, placed)
+        out = []
+        for k in (k for k, x in enumerate(asks) if x):
+            if all(top(label[m]) == top(label[k]) for m in own):
+                continue
+            for m in t_occurrence(np.frombuffer(grams[k], np.uint64), index, percent, lambda m: top(label[own[m]]) != top(label[k])):  # noqa: B023
+                if (a := top(label[own[m]])) != (b := top(label[k])):
+                    above[max(a, b)] = min(a, b)
+                    out.append((c[k], c[own[m]]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    links = materialise(everyone.join(sets, "c").groupBy("block", "part").applyInArrow(search, "a long, b long"), "links")
+    release(home, placed, inside, visits, crowd, everyone)
     return links
 
 
-def similar_classes(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Documents with their class ``doc_id, key, n, cid``, and ``node, label`` for the classes that link with others.
+def similar_classes(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with their class ``doc_id, key, own, n, c``, and links ``a, b`` that join the classes of each component.
 
-    key is a hash of id and text; cid is null for texts without words.
+    Rows of ``also`` take part with ``own`` false. key is :func:`common.row_key`; c is null for texts without words.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    text = text_of(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["doc_id"].cast("long"), text).alias("key"), text.alias("text"))
-    classes = materialise(_document_classes(rows, n), "classes")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = materialise(_shared_grams(rows, n, max(64, -(-total // BUCKET_GRAMS))), "shared")
-    enough = lambda: F.col("shared") * 100 >= F.col("n") * percent
-    held = shared.groupBy("cid").agg(F.max("n").alias("n"), F.sum(F.size("h")).alias("shared"), F.flatten(F.collect_list("h")).alias("h"))
-    held = materialise(held.filter(enough()).select("cid", "n", "h"), "held")
-    release(shared)
-    flat = held.select("cid", "n", F.explode("h").alias("g"))
+    of = lambda d, own: d.select(d["doc_id"].cast("long").alias("doc_id"), row_key(d).alias("key"), F.lit(own).alias("own"), text_of(d).alias("text"))
+    rows = of(docs, True) if also is None else of(docs, True).unionAll(of(also, False))
+    classes = materialise(_document_classes(rows, n, percent), "classes")
+    named = classes.withColumn("c", F.when(F.col("cid").isNotNull(), _numbered(classes)))
+    heads = named.filter("head IS NOT NULL").select("c", "head")
+    size = heads.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0)), F.count("*")).first()
+    hot = _hot_grams(heads, size[1])
+    shared = materialise(_shared_grams(heads, max(64, size[0] // 8 // BUCKET_GRAMS), hot), "shared")
+    dealt, least = head_bounds(F.col("n"), percent)
+    counts = shared.groupBy("c").agg(F.sum("n_hot").alias("n_hot"), F.sum(F.size("h")).alias("k"))
+    sizes = named.filter("c IS NOT NULL").groupBy("c").agg(F.min("n").alias("n"))
+    enough = materialise(counts.join(sizes, "c").filter(F.col("k") + F.col("n_hot") >= least).select("c", "n", "n_hot"), "enough")
+    flat = materialise(shared.join(enough.select("c"), "c").select("c", F.explode("h").alias("g")), "flat")
     common = materialise(flat.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "common")
-    by_class = flat.join(common, "g").groupBy("cid").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    sets = by_class.withColumn("shared", F.size("o")).filter(enough())
-    sets = materialise(sets.select("cid", "n", (F.col("n") - F.col("shared")).alias("alone"), F.transform("o", lambda x: x["g"]).alias("h")), "sets")
-    release(held, common)
-
+    ordered = flat.join(common, "g").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    held = enough.join(ordered, "c", "left").select("c", "n", "n_hot", F.coalesce(F.transform("o", lambda x: x["g"]), F.array().cast("array<bigint>")).alias("h"))
+    held = held.filter(F.size("h") + F.col("n_hot") >= least).withColumn("dealt", dealt).withColumn("alone", F.col("dealt") - F.size("h") - F.col("n_hot"))
     # the first n-grams in order of rarity, own ones first: a link needs one of them in common
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
-    lists = sets.withColumn("prefix", F.greatest(prefix - F.col("alone"), F.lit(0)).cast("int")).filter("prefix > 0")
-    lists = lists.select("cid", "n", "alone", F.posexplode(F.slice("h", 1, F.col("prefix")))).select(F.col("col").alias("g"), "cid", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"), (F.col("alone") / F.col("n")).alias("share"))
+    held = held.withColumn("reach", F.greatest(F.col("dealt") - least + 1 - F.col("alone"), F.lit(0)).cast("int"))
+    held = materialise(held.filter("reach > 0").select("c", "n", "dealt", "alone", "reach", F.slice("h", 1, F.col("reach")).alias("h")), "held")
+    release(shared, enough, flat, common)
+    lists = held.select("c", "n", "dealt", "alone", F.posexplode("h")).select(F.col("col").alias("g"), "c", "n", (F.col("dealt") - F.col("alone") - F.col("pos")).alias("rest"), (F.col("alone") / F.col("dealt")).alias("share"))
+    if len(hot):
+        lists = lists.unionByName(_hot_lists(held, heads, hot))
     lists = materialise(lists, "lists")
 
-    def could(x: str, y: str) -> Column:
-        """Sizes and what is left of both sets from this n-gram on allow the overlap that a link needs."""
-        goal = F.ceil(percent * (F.col(f"{x}.n") + F.col(f"{y}.n")) / (100 + percent))
-        return F.least(F.col(f"{x}.rest"), F.col(f"{y}.rest")) >= goal
+    wanted = materialise(named.join(lists.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("key").alias("key")), "wanted")
 
-    hub = lists.groupBy("g").agg(F.min(F.struct("share", "cid", "n", "rest")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("g", F.col("hub.cid").alias("cid"), F.col("hub.n").alias("n"), F.col("hub.rest").alias("rest"))
-    hub = materialise(hub, "hubs")
-    star = hub.alias("x").join(lists.alias("y"), F.col("x.g") == F.col("y.g")).filter((F.col("x.cid") != F.col("y.cid")) & could("x", "y"))
-    links = _verify(star.select(F.col("x.cid").alias("q"), F.col("y.cid").alias("m")).distinct(), sets, percent)
-    labels = connected(links)
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 4 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([x.tobytes() for x in gram_sets(batch.column("text"), n)], pa.binary())], ["c", "grams"])
+
+    found = rows.join(wanted, "key").select("c", "text").mapInArrow(whole_sets, "c long, grams binary")
+    sets = materialise(found.groupBy("c").agg(F.min("grams").alias("grams")), "sets")  # rows that repeat id and text meet on the map side
+    release(held, wanted)
 
-    named = materialise(lists.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("g", "cid", "n", "rest", F.coalesce("label", "cid").alias("label")), "named")
-    sizes = named.groupBy("g", "label").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("g").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("g", F.col("most.label").alias("main"))
-    main = materialise(main, "main")
-    minor = materialise(named.join(main, "g").filter("label <> main").drop("main"), "minor")
-    cross = minor.alias("x").join(named.alias("y"), F.col("x.g") == F.col("y.g")).filter((F.col("x.label") != F.col("y.label")) & could("x", "y"))
-    cross = cross.select(F.least("x.cid", "y.cid").alias("q"), F.greatest("x.cid", "y.cid").alias("m")).distinct()
-    more = _verify(cross, sets, percent)
-    if not more.isEmpty():
-        labels = connected(links.unionAll(more))
-    release(sets, lists, hub, named, main, minor)
-    return classes, labels
+    hubs = lists.groupBy("g").agg(F.min(F.struct("share", "c", "n", "rest")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    hubs = materialise(hubs.select("g", "hub.c", "hub.n", "hub.rest", F.col("hub.c").alias("label")), "hubs")
+    own = materialise(lists.join(hubs.select("g"), "g", "left_semi").select("g", "c", "n", "rest", F.col("c").alias("label")), "members")
+    links = _search(own, hubs, sets, percent)
+    labels = connected(links)
+    named_lists = materialise(own.drop("label").join(labels.withColumnRenamed("node", "c"), "c", "left").select("g", "c", "n", "rest", F.coalesce("label", "c").alias("label")), "named")
+    release(lists, hubs, own, labels)
+    counted = named_lists.groupBy("g", "label").agg(F.count("*").alias("k"))
+    main = materialise(counted.groupBy("g").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("g", F.col("most.label").alias("main")), "main")
+    rest = materialise(named_lists.join(main, "g"), "open")
+    more = _search(rest.drop("main"), rest.filter("label <> main").drop("main"), sets, percent)
+    release(named_lists, main, rest, sets)
+    return named.select("doc_id", "key", "own", "n", "c"), links.unionAll(more)
+
+
+def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes with ``label``: the component of the class."""
+    labels = connected(links)
+    return classes.filter("own").join(labels.withColumnRenamed("node", "c"), "c", "left").select("doc_id", "key", "n", F.coalesce("label", "c").alias("label"))
 
 
 def components(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT) -> DataFrame:
@@ -319,27 +431,38 @@ def components(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT) -> DataF
 
     component_id is the least doc_id reachable by links. A null or empty text, or one without words, has no
     n-grams and is its own component. Rows that repeat an id are linked by their texts like any others; a null
-    id is never a component's id unless all its ids are null. N-grams are told by hashes: a bucket and 48 bits.
+    id is never a component's id unless all its ids are null. N-grams are told by hashes: of 64 bits within a set,
+    by a bucket and 48 bits where only candidates are looked for.
     """
-    classes, labels = similar_classes(docs, n, percent)
-    named = materialise(classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "n", F.coalesce("label", "cid").alias("label")), "components")
+    named = materialise(_labelled(*similar_classes(docs, n, percent)), "components")
     least = materialise(named.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     out = named.join(least, "label", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT, also: DataFrame | None = None) -> DataFrame:
     """docs with one document of each component: that with the least id, of several rows with it one by text.
 
-    Documents without words stay. Of rows that repeat both id and text, one stays. Other columns stay.
+    Documents without words stay. Of rows that repeat both id and text, one stays, whatever their other columns hold.
+    also (``doc_id, text``) gives other texts of the same documents, as they were before something was cut out of
+    them: documents link by any of their texts. An id that isn't unique there or in docs gets none.
     """
-    classes, labels = similar_classes(docs, n, percent)
-    named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("doc_id", "key", F.coalesce("label", "cid").alias("label"))
+    if also is None:
+        classes, links = similar_classes(docs, n, percent)
+    else:
+        text = lambda d: d.select(d["doc_id"].cast("long").alias("doc_id"), text_of(d).alias("text"))
+        one = lambda d: text(d).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.xxhash64("text")).alias("h")).filter("rows = 1").select("doc_id", "h")
+        now, then = one(docs), one(also).withColumnRenamed("h", "before")
+        changed = now.join(then, "doc_id").filter("h <> before").select("doc_id")
+        classes, links = similar_classes(docs, n, percent, text(also).join(changed, "doc_id", "left_semi"))
+        ties = classes.filter("own").select("doc_id", F.col("c").alias("a")).join(classes.filter("NOT own").select("doc_id", F.col("c").alias("b")), "doc_id")
+        links = links.unionAll(ties.filter("a <> b").select("a", "b"))
+    named = materialise(_labelled(classes, links), "components")
     chosen = named.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
-    chosen = chosen.select(F.col("best.key").alias("key")).unionAll(named.filter("label IS NULL").select("key").distinct())
-    chosen = materialise(chosen, "chosen")
-    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(docs["doc_id"].cast("long"), text_of(docs)).alias("key"))
-    return row.join(chosen, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    chosen = materialise(chosen.select(F.col("best.key").alias("key")).unionAll(named.filter("label IS NULL").select("key").distinct()), "chosen")
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_key(docs).alias("key"))
+    kept = row.join(chosen, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    return kept
 
 
 ORACLE_SQL = f"""

@@ -38,7 +38,9 @@ BOILERPLATE = (
     "subscribe to our newsletter",
     "terms of service",
 )
-END_MARKS = ".!?:;…\"')]»”"
+END_MARKS = ".!?:;…\"')]»”。！？：；」』）؟۔।॥"
+#: Words above which a line is prose, whatever phrase it holds.
+PHRASE_LINE = 20
 
 
 def words_of(text: Column) -> Column:
@@ -60,29 +62,22 @@ def count_of(text: Column, characters: str) -> Column:
 
 
 def line_fails(line: Column, has_phrase: Column, has_symbol: Column) -> Column:
-    """True for a line of page furniture: navigation bars, mostly symbols, a boilerplate phrase, or a fragment without an end mark.
+    """True for a line of page furniture: navigation bars, mostly symbols, a boilerplate phrase in a line of at most
+    PHRASE_LINE words, or a fragment without an end mark.
 
     What holds for the whole text (it has one of the phrases, one of the symbols) spares a look at its lines.
     """
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | F.lower(line).contains(p)
+    phrase = F.lower(line).rlike(f"(?:^|[^a-z0-9])(?:{'|'.join(BOILERPLATE)})(?:$|[^a-z0-9])") & (F.size(words_of(line)) <= PHRASE_LINE)
     fragment = ~F.substring(F.rtrim(line, F.lit(WHITE)), -1, 1).isin(*END_MARKS) & (F.size(words_of(line)) < SHORT_LINE)
     bars = count_of(line, "|") >= NAVIGATION_BARS
     symbols = 100 * count_of(line, SYMBOLS) > MAX_SYMBOL_PERCENT * n_chars(words_of(line))
     return fragment | (has_symbol & (bars | symbols)) | (has_phrase & phrase)
 
 
-def judge_quality(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
-    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_bad_lines``.
-
-    A row for each row of docs, without a shuffle. A null or empty text has no words and fails; null ids and
-    repeated rows are kept as they are. With ``keep_columns``, ``kept`` and ``clean_text`` (the text without its
-    failing lines) are added to all columns of docs instead. Repeated windows are told by 64-bit hashes of
-    their words, sorted within the text, so long texts cost no more than a sort.
-    """
+def _measured(docs: DataFrame, clean: bool) -> DataFrame:
+    """``row`` (the row of docs as a struct), the counts of :func:`judge_quality`, its verdict, and maybe ``clean_text``."""
     text = text_of(docs)
-    own = [F.struct(*(docs[c] for c in docs.columns if c not in ("kept", "clean_text"))).alias("row")] if keep_columns else [docs["doc_id"].cast("long").alias("doc_id")]
+    own = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if clean else [F.struct(docs["doc_id"].cast("long").alias("doc_id")).alias("row")]
     t = docs.select(*own, text.alias("t")).select("*", words_of(F.col("t")).alias("w"), F.split("t", "\n").alias("raw"), F.lower("t").alias("lower"))
     has_phrase = F.lit(False)
     for p in BOILERPLATE:
@@ -105,7 +100,7 @@ def judge_quality(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
     covered = F.aggregate("at", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda a, i: F.struct((i + WINDOW).alias("end"), (a["n"] + i + WINDOW - F.greatest(i, a["end"])).alias("n")), lambda a: a["n"])
     long = lambda c, name: c.cast("long").alias(name)
     t = t.select(
-        *(c for c in ("row", "doc_id") if c in t.columns),
+        "row",
         long(F.col("n_words"), "n_words"),
         long(F.col("word_chars"), "word_chars"),
         long(F.when(F.col("has_symbol"), count_of(F.col("t"), SYMBOLS)).otherwise(0), "n_symbols"),
@@ -113,14 +108,25 @@ def judge_quality(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
         long(F.coalesce(covered, F.lit(0)), "n_repeat_words"),
         long(F.col("n_bad"), "n_bad_lines"),
         F.when(F.col("n_bad") > 0, n_chars(words_of(F.array_join("good", " ")))).otherwise(F.col("word_chars")).alias("left_chars"),
-        *([F.when(F.col("n_bad") > 0, F.array_join("good", "\n")).otherwise(F.col("t")).alias("clean_text")] if keep_columns else []),
+        *([F.when(F.col("n_bad") > 0, F.array_join("good", "\n")).otherwise(F.col("t")).alias("clean_text")] if clean else []),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     t = t.withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & (100 * (F.col("word_chars") - F.col("left_chars")) <= MAX_LOST_PERCENT * F.col("word_chars"))
+    return t.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("word_chars") - F.col("left_chars")) <= MAX_LOST_PERCENT * F.col("word_chars")))
+
+
+def judge_quality(docs: DataFrame, keep_columns: bool = False) -> DataFrame:
+    """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_bad_lines``.
+
+    A row for each row of docs, without a shuffle. A null or empty text has no words and fails; null ids and
+    repeated rows are kept as they are. With ``keep_columns``, ``kept`` and ``clean_text`` (the text without its
+    failing lines) are added to all columns of docs instead. Repeated windows are told by 64-bit hashes of
+    their words, sorted within the text, so long texts cost no more than a sort.
+    """
     if keep_columns:
-        return t.select("row", kept.alias("kept"), "clean_text").select("row.*", "kept", "clean_text")
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_bad_lines")
+        names = [c for c in docs.columns if c not in ("kept", "clean_text")]
+        return _measured(docs, True).select(*(F.col("row")[c].alias(c) for c in names), "kept", "clean_text")
+    return _measured(docs, False).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines")
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
@@ -128,10 +134,8 @@ def keep_clean(docs: DataFrame) -> DataFrame:
 
     A plain filter would be moved below the projections and repeat all they compute; a generator isn't.
     """
-    judged = judge_quality(docs, keep_columns=True)
-    names = [c for c in docs.columns if c not in ("kept", "clean_text")]
-    row = F.struct(*(F.col("clean_text").alias(c) if c == "text" else F.col(c) for c in names))
-    return judged.select(F.explode(F.when(F.col("kept"), F.array(row)).otherwise(F.array())).alias("row")).select("row.*")
+    row = F.struct(*(F.col("clean_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    return _measured(docs, True).select(F.explode(F.when(F.col("kept"), F.array(row)).otherwise(F.array())).alias("row")).select("row.*")
 
 
 ORACLE_SQL = f"""
@@ -143,7 +147,7 @@ l AS (SELECT doc_id, pos, line, regexp_replace(line, '[ \\t-\\r]', '', 'g') AS b
       FROM (SELECT doc_id, unnest(raw) AS line, generate_subscripts(raw, 1) AS pos FROM s)),
 j AS (SELECT *, bare <> '' AND (len(regexp_replace(line, '[^|]', '', 'g')) >= {NAVIGATION_BARS}
         OR 100 * len(regexp_replace(bare, '[^#*$%&|<>]', '', 'g')) > {MAX_SYMBOL_PERCENT} * len(bare)
-        OR {" OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}
+        OR (nw <= {PHRASE_LINE} AND regexp_matches(lower(line), '(^|[^a-z0-9])({"|".join(BOILERPLATE)})($|[^a-z0-9])'))
         OR (NOT list_contains([{", ".join("'" + c.replace("'", "''") + "'" for c in END_MARKS)}], right(bare, 1)) AND nw < {SHORT_LINE})) AS bad FROM l),
 a AS (SELECT doc_id, count(*) FILTER (bare <> '') - count(DISTINCT line) FILTER (bare <> '') AS n_dup_lines, count(*) FILTER (bad) AS n_bad_lines, sum(len(bare)) FILTER (NOT bad) AS left_chars, sum(len(bare)) AS word_chars FROM j GROUP BY doc_id),
 r AS (SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(a.word_chars AS BIGINT) AS word_chars, CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, a.n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, a.n_bad_lines, coalesce(a.left_chars, 0) AS left_chars

@@ -163,7 +163,7 @@ def test_t_occurrence_equals_counting():
         q = np.unique(rng.integers(0, 60, 40).astype(np.uint64))
         members = [np.unique(np.where(rng.random(len(q)) < rng.random() * 0.3, rng.integers(0, 60, len(q)).astype(np.uint64), q)) for _ in range(8)]
         want = [k for k, m in enumerate(members) if 100 * len(np.intersect1d(q, m)) >= 80 * len(np.union1d(q, m))]
-        assert sorted(ngram_join.t_occurrence(q, members, [len(m) for m in members], len(q))) == want
+        assert sorted(ngram_join.t_occurrence(q, ngram_join.Index(members))) == want
 
 
 def test_components_of_paths_and_stars(spark):
