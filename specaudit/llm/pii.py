@@ -1,7 +1,8 @@
 """Personal data in texts, as DataFrame expressions only.
 
-Regular expressions propose spans; validators (Luhn, mod 97, ranges, digit counts) confirm them; words nearby
-adjust the score of kinds that need them. Expressions are written so that the regex engine never goes back
+Regular expressions propose spans; validators (Luhn, mod 97, ranges, digit counts) confirm them; words nearby add
+to a span's score or take from it. Spans of the base kinds are reported whatever their score; those of the added
+kinds count from MIN_SCORE, and words nearby can lift or lower each kind across it. Expressions are written so that the regex engine never goes back
 over a long run of characters (possessive repeats, and starts only where a run starts or a match ended); they
 match what the plain forms named beside them match.
 """
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Characters on both sides that are searched for context words, and the score from which a span counts.
+#: Characters on both sides that are searched for context words, and the score (of 100) from which a span counts.
 CONTEXT = 40
-MIN_SCORE = 0.5
-SPAN = "struct<start:int,rank:int,kind:string,end:int,score:double>"
+MIN_SCORE = 50
+SPAN = "struct<start:int,rank:int,kind:string,end:int,score:int>"
+#: Fixed words that speak against real data.
+DOUBT = "example|sample|dummy|placeholder|fake|test"
 
 
 def digits(match: Column) -> Column:
@@ -65,28 +68,30 @@ class Kind:
     #: Cheap test that a text can hold a match at all.
     possible: Callable[[Column], Column]
     valid: Callable[[Column], Column] | None = None
-    score: float = 1.0
-    #: Context words (a regex on lower-cased text) and what they add.
-    context: str | None = None
-    bonus: float = 0.0
+    #: Score of 100 without context, and what context words (regexes on lower-cased text) add to it or take from it.
+    score: int = 60
+    context: str = ""
+    bonus: int = 30
+    doubt: str = DOUBT
+    malus: int = 30
 
 
 #: Base kinds, in the order in which spans with one start are listed.
 BASE = (
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@")),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: t.contains("@"), score=90, context="mail|contact|write to", bonus=10),
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+), parts at most 255
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.rlike(r"[0-9]\.[0-9]"), small_parts),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.rlike(r"[0-9]\.[0-9]"), small_parts, context="host|server|address|login", doubt="version|release|firmware|section"),
     # [0-9]([\x20-]?[0-9])+, 14 to 19 digits passing Luhn
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), lambda m: F.length(digits(m)).between(14, 19) & luhn(digits(m))),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), lambda m: F.length(digits(m)).between(14, 19) & luhn(digits(m)), score=70, context="card|visa|credit|payment|karte|tarjeta|carte"),
     # \+[0-9][\x20().0-9-]+[0-9], 10 to 15 digits
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]"), lambda m: F.length(digits(m)).between(10, 15)),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]"), lambda m: F.length(digits(m)).between(10, 15), score=70, context="phone|call|tel|mobile|fax"),
 )
 #: Kinds that the method adds.
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), mod97, 0.6, "iban|account|konto|compte|cuenta|bank", 0.3),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: ~m.rlike("^(?:000|666|9)|^...-00|-0000$"), 0.3, "ssn|social security|tax id", 0.5),
-    Kind("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b)\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.-]{8,}", lambda t: t.contains("AKIA") | t.rlike("(?i)password|passwd|secret|token|api[_-]?key"), None, 0.7, "login|credential|aws", 0.2),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), mod97, 60, "iban|account|konto|compte|cuenta|bank"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), lambda m: ~m.rlike("^(?:000|666|9)|^...-00|-0000$"), 30, "ssn|social security|tax id", 50),
+    Kind("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:\b(?:password|passwd|secret|token|api[_-]?key)\b)\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.-]{8,}", lambda t: t.contains("AKIA") | t.rlike("(?i)password|passwd|secret|token|api[_-]?key"), None, 70, "login|credential|aws", 20),
 )
 
 
@@ -95,15 +100,17 @@ def _spans_of(k: Kind, rank: int) -> Column:
     m, g = F.col(f"m_{k.name}_"), F.col(f"g_{k.name}_")
     none = F.array().cast(f"array<{SPAN}>")
 
+    end_of = lambda x, n: F.substring(F.coalesce(x, F.lit("")), -n, n)
+
     def step(a: Column, i: Column) -> Column:
         match = F.get(m, i)
         start = a["at"] + F.length(F.get(g, i))
         end = start + F.length(match)
-        score = F.lit(k.score)
-        if k.context:
-            around = F.lower(F.substring(F.col("t_"), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.length(match) + 2 * CONTEXT))
-            score = score + F.when(around.rlike(k.context), k.bonus).otherwise(0.0)
-        ok = (score >= MIN_SCORE) & (k.valid(match) if k.valid else F.lit(True))
+        # what stands beside it, back to the match before the last and on to the next one
+        before = end_of(F.concat(end_of(F.get(g, i - 1), CONTEXT), end_of(F.get(m, i - 1), CONTEXT), end_of(F.get(g, i), CONTEXT)), CONTEXT)
+        around = F.lower(F.concat(before, match, F.substring(F.get(g, i + 1), 1, CONTEXT)))
+        score = F.lit(k.score) + F.when(around.rlike(k.context), k.bonus).otherwise(0) - F.when(around.rlike(k.doubt), k.malus).otherwise(0)
+        ok = (F.lit(rank < len(BASE)) | (score >= MIN_SCORE)) & (k.valid(match) if k.valid else F.lit(True))
         one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(k.name).alias("kind"), end.alias("end"), score.alias("score")))
         return F.struct(end.alias("at"), F.when(ok, F.concat(a["out"], one)).otherwise(a["out"]).cast(f"array<{SPAN}>").alias("out"))
 
@@ -138,15 +145,19 @@ def listed(spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``, a row for each row of docs.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, n_ssn, n_secret, max_score,
+    has_personal_data``, a row for each row of docs.
 
-    A null text counts as empty and has no spans. Null ids and repeated rows are kept; other columns are not
-    read. No shuffle.
+    A span's score (0 to 1) comes from its kind and the words nearby; has_personal_data says that one is at least
+    MIN_SCORE. A null text counts as empty and has no spans, and max_score 0. Null ids and repeated rows are kept;
+    other columns are not read. No shuffle.
     """
     found = find_spans(F.col("text"), docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    counts = [_count(rank).alias(f"n_{k.name}") for rank, k in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    counts = [_count(rank).alias(f"n_{k.name}") for rank, k in enumerate((*BASE, *ADDED))]
+    best = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0))
+    out = found.select("doc_id", *counts[: len(BASE)], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), *counts[len(BASE) :], best.alias("best"))
+    return out.select("*", (F.col("best") / 100.0).alias("max_score"), (F.col("best") >= MIN_SCORE).alias("has_personal_data")).drop("best")
 
 
 def redact(docs: DataFrame) -> DataFrame:
