@@ -73,6 +73,21 @@ def test_url_terms_need_boundaries_and_several_soft_hits():
     assert url_filter.count_terms(None) == (0, 0)
 
 
+def test_url_vocabulary_of_any_size(spark):
+    """A table of 100,000 terms in parts, over pages with repeated rows, nulls and columns of the operator's names."""
+    terms = [(f"Term{i}", 2 if i % 10 == 0 else 1) for i in range(100_000)] + [("term1", 2), (None, 2), ("", 1), ("term3", None), ("ab-cd", 1), ("ab", 1)]
+    vocabulary = spark.createDataFrame(terms, "term string, weight int")
+    urls = [None, "", "http://a.net/term2/term99999", "http://a.net/term2/TERM2", "http://term20.net/", "http://a.net/term1", "http://a.net/xterm20", "http://a.net/ab-cd", "http://a.net/ab-cde", "http://example.org/es/term2/term4", "http://b.com/fr/term30"] * 2
+    pages = spark.createDataFrame([(i % 11, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for c in ("n_strict", "n_soft", "host", "path", "rule", "verdict", "term", "weight", "html"):
+        pages = pages.withColumn(c, F.lit(7))
+    got = [sorted(map(tuple, url_filter.judge_urls(pages, vocabulary, part_terms=k).collect())) for k in (30_000, 1_000_000)]
+    assert got[0] == got[1] and len(got[0]) == len(urls)
+    by_id = {r[0]: r for r in got[0]}
+    assert [by_id[i][4:] for i in range(11)] == [("allow", 0, 0), ("allow", 0, 0), ("block", 0, 2), ("allow", 0, 1), ("block", 1, 0), ("block", 1, 0), ("allow", 0, 0), ("block", 0, 2), ("allow", 0, 1), ("block", 0, 2), ("allow", 1, 0)]
+    assert url_filter.judge_urls(pages, {}).filter("verdict = 'block'").count() == 2 and url_filter.judge_urls(pages.limit(0), vocabulary).count() == 0
+
+
 def test_pii_equals_plain_regexes(spark):
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
