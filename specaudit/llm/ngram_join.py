@@ -35,12 +35,12 @@ from .wordcodes import word_codes
 N = 5
 #: Documents link when MIN_PERCENT of the union is shared.
 MIN_PERCENT = 80
-#: N-grams of a bucket, and members (and their n-grams) and queries of a block that one task holds; the numbers of
-#: buckets and blocks follow the data.
+#: N-grams of a bucket, and members, queries and n-grams of either that a block holds, if it has more than one; the
+#: numbers of buckets and blocks follow the data.
 BUCKET_GRAMS = 1_000_000
 BLOCK_MEMBERS = 200
-BLOCK_GRAMS = 100_000
 BLOCK_QUERIES = 1_000
+BLOCK_GRAMS = 200_000
 #: N-grams that so many classes hold aren't dealt; they are looked for, by a sample of classes, once there are as many.
 HOT = 1_000_000
 HOT_SAMPLE = 20_000
@@ -319,18 +319,20 @@ def _search(lists: DataFrame, queries: DataFrame, sets: DataFrame, percent: int)
     that holds members of its lists which it could link with. What is linked already, by its label or by a link of
     the block, isn't looked at again, so a block gives fewer links than it has labels.
     """
-    average = sets.agg(F.avg(F.octet_length("grams"))).first()[0] or 8.0
-    rows = max(1, min(BLOCK_MEMBERS, int(8 * BLOCK_GRAMS / average)))
-    home = lists.groupBy("c").agg(F.min("g").alias("home"), F.min("label").alias("label"))
+
+    def parts(most: int) -> Column:
+        return F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("parts")
+
+    home = lists.groupBy("c").agg(F.min("g").alias("home"), F.min("label").alias("label"), F.min("n").alias("n"))
     home = materialise(home, "homes")
-    room = home.groupBy("home").agg(F.ceil(F.count("*") / rows).alias("parts"))
+    room = home.groupBy("home").agg(parts(BLOCK_MEMBERS))
     placed = materialise(home.join(room, "home").select("c", "label", F.xxhash64("home", F.pmod(F.xxhash64("c"), F.col("parts"))).alias("block")), "placed")
     inside = lists.select("g", "c", "n", "rest").join(placed, "c").groupBy("g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     inside = materialise(inside, "inside")
     _, least = head_bounds(F.col("n"), percent)
     fits = (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent) & (F.least("rest", "most") >= least) & ((F.col("l0") != F.col("label")) | (F.col("l1") != F.col("label")))
-    visits = materialise(queries.join(inside, "g").filter(fits).select("block", F.col("c").alias("q"), "label").distinct(), "visits")
-    crowd = materialise(visits.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("parts")), "crowd")
+    visits = materialise(queries.join(inside, "g").filter(fits).select("block", F.col("c").alias("q"), "label", queries["n"]).distinct(), "visits")
+    crowd = materialise(visits.groupBy("block").agg(parts(BLOCK_QUERIES)), "crowd")
     asked = visits.join(crowd, "block").select("block", F.pmod(F.xxhash64("q"), F.col("parts")).alias("part"), F.lit(True).alias("asks"), F.col("q").alias("c"), "label")
     members = placed.join(crowd, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "c", "label")
     everyone = materialise(members.unionByName(asked), "blocks")
