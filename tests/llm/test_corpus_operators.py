@@ -460,3 +460,64 @@ def test_buckets_of_grams_use_bits_that_are_not_packed():
     for n in (64, 1000, 65536):
         sizes = np.bincount(ngram_join.bucket_of(rng.integers(0, 1 << 64, 100 * n, dtype=np.uint64), n), minlength=n)
         assert len(sizes) == n and sizes.max() < 200
+
+
+def test_expected_counts_equal_all_segmentations():
+    rng = np.random.default_rng(10)
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "bab", "abba"]
+    p = rng.dirichlet(np.ones(len(pieces)))
+
+    def ways(w):
+        if not w:
+            return [((), 1.0)]
+        out = [((k, *rest), p[k] * q) for k, x in enumerate(pieces) if w.startswith(x) for rest, q in ways(w[len(x) :])]
+        return out + ([(rest, langid.UNSEEN * q) for rest, q in ways(w[1:])] if w[0] not in pieces else [])
+
+    words, times = ["ab", "abba", "babab", "xab", "aaa", "b"], np.array([3, 1, 2, 5, 1, 7])
+    want = np.zeros(len(pieces))
+    for w, n in zip(words, times, strict=True):
+        found = ways("▁" + w)
+        for ks, q in found:
+            for k in ks:
+                want[k] += n * q / sum(x for _, x in found)
+    assert langid.expected_counts(langid.automaton_of(pieces), words, times, p) == pytest.approx(want)
+
+
+def test_languages_equal_a_plain_forward_model(spark, monkeypatch):
+    """Whole texts, with long words and without spaces, against one word after another; in one block of languages and in several."""
+    rng = random.Random(12)
+    stems = {"aa": ["the", "ing", "tion", "and"], "bb": ["der", "ung", "sch", "ein"], "cc": ["的是", "不了", "在人"], "dd": ["que", "eau", "les", "oir"], "ee": ["и", "не", "что", "как"]}
+    body = lambda k, n: " ".join("".join(rng.choice(stems[k]) for _ in range(rng.choice([1, 2, 3, 60]))) for _ in range(n))
+    rows = [(i, body(k, rng.randint(1, 12)), k) for i in range(120) for k in [rng.choice(list(stems))]] + [(200, "ж" * 39 + "a", None), (201, "ж" * 34 + "aaaaaa", None), (202, "x" * 3000, None), (203, None, None), (204, "12", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit("x")).withColumn("count", F.lit(1)).withColumn("word", F.lit("y"))
+    names, pieces, counts = langid.learn(docs, PIECE)
+    (_, p), *_ = langid.blocks_of(names, pieces, counts)
+    assert names == list(stems) and p.sum(0) == pytest.approx(np.ones(5))
+    known, longest = {x: k for k, x in enumerate(pieces)}, max(map(len, pieces))
+
+    def plain(text):
+        total = np.zeros(len(names))
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            w, logs = "▁" + w, [np.zeros(len(names))]
+            for j in range(1, len(w) + 1):
+                terms = [logs[j - n] + np.log(p[known[w[j - n : j]]]) for n in range(1, min(longest, j) + 1) if w[j - n : j] in known]
+                if w[j - 1] not in known:
+                    terms.append(logs[j - 1] + np.log(langid.UNSEEN))
+                logs.append(np.logaddexp.reduce(terms))
+            total += logs[-1]
+        return names[int(total.argmax())], 1 / np.exp(total - total.max()).sum()
+
+    for size in (200, 2):
+        monkeypatch.setattr(langid, "BLOCK_LANGUAGES", size)
+        got = {r["doc_id"]: r for r in langid.identify(docs, PIECE).collect()}
+        for i, t, _ in rows:
+            if i < 203:
+                assert (got[i]["lang_pred"], got[i]["score"]) == (plain(t)[0], pytest.approx(plain(t)[1], rel=1e-6)), (i, size)
+        assert got[203]["lang_pred"] == got[204]["lang_pred"] == "und"
+    assert langid.identify(docs.limit(0), PIECE).count() == 0
+
+
+def test_more_languages_than_a_block_holds(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} text", f"l{i:03d}") for i in range(450)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECE)
+    assert got.count() == 450 and got.filter("lang_pred = 'und'").count() == 0
