@@ -16,7 +16,7 @@ from ..functions.stats import pearson
 MIN_ROWS = 20
 MIN_DRAWS = 20
 MIN_NULLS = 5
-#: Null draws of a set that the pooled bootstrap uses at most; a parameter of the estimate, reported with it.
+#: Null draws of a set that the interval of the pooled bootstrap uses at most; its value comes from all of them.
 MAX_NULLS = 200
 
 
@@ -87,67 +87,89 @@ def _weighted_rank(c: str):
     return upto - (same - 1) / 2
 
 
-def pooled_bootstrap(frame: DataFrame, alphas: dict[str, tuple[float, Sequence[float]]], n_boot: int = 1000, seed: int = 0, alpha: float = 0.05) -> dict[str, float]:
-    """Pooled index with a patient bootstrap: value, lo, hi, n, n_draws.
+def poisson_weights(rows: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
+    """Counts (replicates x rows) of a Poisson bootstrap; replicate 0 takes every row once.
+
+    A count depends on the seed, the replicate and the row's 64-bit hash alone, so a task needs its own rows only.
+    """
+    with np.errstate(over="ignore"):
+        x = rows.astype(np.uint64)[None, :] + (np.arange(n_boot + 1, dtype=np.uint64)[:, None] + np.uint64((seed * 1_000_003) & 0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+    w = np.searchsorted(steps, u, side="right").astype(float)
+    w[0] = 1.0
+    return w
+
+
+def pooled_bootstrap(frame: DataFrame, alphas: dict[str, tuple[float | None, Sequence[float | None]]], n_boot: int = 1000, seed: int = 0, alpha: float = 0.05, point: dict[str, float] | None = None) -> dict[str, float]:
+    """Pooled index with a patient bootstrap: value, lo, hi, n, n_rows, n_dropped, n_draws.
 
     frame: ``key, sets array<array<double>>`` with, for each set in the order of ``alphas``, alternating truth and
-    prediction of the observed score and then of each null draw; rows with a missing value anywhere are left out,
-    and one resample serves all sets. alphas: for each set the reliability of the observed score and of each
-    draw. A set's index is z(r / sqrt(a)) of the observed minus the mean over draws; sets need MIN_NULLS draws.
-    Weights are Poisson-free multinomial counts from a hash of (seed, row), made where the rows are.
+    prediction of the observed score and then of each null draw. alphas: for each set the reliability of the observed
+    score and of each draw; all null for a set that isn't disattenuated. A set's index is z(r / sqrt(a)) of the
+    observed minus the mean over draws; sets need MIN_NULLS draws.
+
+    The value is the mean of ``point`` (of the sets' indices over all draws) and n their number; without it, the
+    frame's own indices count. The interval comes from replicates that share one resample of the rows; rows with a
+    value missing anywhere take no part in them. Sums add up on executors, one row for each replicate and set.
     """
     names = list(alphas)
-    ok = frame.filter(~F.exists("sets", lambda s: F.exists(s, lambda v: v.isNull() | F.isnan(v))))
-    n = ok.count()
+    whole = frame.select("key", "sets", F.exists("sets", lambda s: F.exists(s, lambda v: v.isNull() | F.isnan(v))).alias("bad"))
+    size = whole.agg(F.count_if(~F.col("bad")).alias("n"), F.count_if("bad").alias("dropped")).first()
+    n, none = size["n"], {"lo": math.nan, "hi": math.nan, "n_rows": size["n"], "n_dropped": size["dropped"], "n_draws": 0}
+    given = [v for v in (point or {}).values() if v is not None and math.isfinite(v)]
+    own_value = {"value": sum(given) / len(given) if given else math.nan, "n": len(given)}
     if n < MIN_ROWS:
-        return {"value": math.nan, "lo": math.nan, "hi": math.nan, "n": n, "n_draws": 0}
-    numbered = ok.select((F.row_number().over(Window.orderBy("key")) - 1).alias("i"), "sets")
-
-    def counts() -> np.ndarray:
-        rng = np.random.default_rng(seed)
-        w = np.zeros((n_boot + 1, n), np.int32)
-        w[0] = 1
-        for b in range(1, n_boot + 1):
-            w[b] = np.bincount(rng.integers(0, n, n), minlength=n)
-        return w
+        return own_value | none
+    chunk = 64
+    one_nan = lambda x: math.nan if x is None else float(x)
+    rel = [None if own is None else np.array([one_nan(own), *map(one_nan, null)]) for own, null in alphas.values()]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = counts()
         acc: list[np.ndarray] | None = None
         for b in batches:
-            own = w[:, b.column("i").to_numpy()].astype(float)
             rows = b.column("sets").to_pylist()
-            if acc is None:
-                acc = [np.zeros((n_boot + 1, len(rows[0][k]) // 2, 5)) for k in range(len(names))]
-            for k in range(len(names)):
-                m = np.array([r[k] for r in rows])
-                t, p = m[:, ::2], m[:, 1::2]
-                for j, q in enumerate((t, p, t * t, p * p, t * p)):
-                    acc[k][:, :, j] += own @ q
-        if acc is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int64()), pa.array([a.ravel().tolist() for a in acc], pa.list_(pa.float64()))], ["k", "m"])
-
-    total: dict[int, np.ndarray] = {}
-    for r in numbered.mapInArrow(part, "k long, m array<double>").toLocalIterator():
-        m = np.array(r["m"]).reshape(n_boot + 1, -1, 5)
-        total[r["k"]] = total.get(r["k"], 0) + m
-    index = []
-    for k, name in enumerate(names):
-        own, null = alphas[name]
-        rel = np.array([own, *null])
-        s = total[k]
+            for at in range(0, len(rows), 2000):
+                some = rows[at : at + 2000]
+                w = poisson_weights(b.column("h").to_numpy()[at : at + 2000], n_boot, seed)
+                if acc is None:
+                    acc = [np.zeros((n_boot + 1, len(x) // 2, 6)) for x in some[0]]
+                for k in range(len(names)):
+                    m = np.array([r[k] for r in some])
+                    t, p = m[:, ::2], m[:, 1::2]
+                    for j, q in enumerate((t, p, t * t, p * p, t * p)):
+                        acc[k][:, :, j] += w @ q
+                    acc[k][:, :, 5] += w.sum(1)[:, None]
+        for k, a in enumerate(acc or []):
+            for c in range(0, n_boot + 1, chunk):
+                yield pa.RecordBatch.from_pydict({"k": [k], "chunk": [c], "m": [a[c : c + chunk].tobytes()]}, schema=pa.schema([("k", pa.int64()), ("chunk", pa.int64()), ("m", pa.binary())]))
+
+    def index(table: pa.Table) -> pa.Table:
+        k, first = table["k"][0].as_py(), table["chunk"][0].as_py()
+        s = sum(np.frombuffer(x) for x in table["m"].to_pylist()).reshape(min(chunk, n_boot + 1 - first), -1, 6)
         with np.errstate(invalid="ignore", divide="ignore"):
-            r = (s[..., 4] - s[..., 0] * s[..., 1] / n) / np.sqrt((s[..., 2] - s[..., 0] ** 2 / n) * (s[..., 3] - s[..., 1] ** 2 / n))
-            r = np.where(rel > 0.01, r / np.sqrt(rel), np.nan)
-        r = np.where(np.abs(r) < 1, r, np.nan)
-        z = np.arctanh(np.clip(r, -0.999999, 0.999999))
-        enough = np.isfinite(z[:, 1:]).sum(1) >= MIN_NULLS
-        with np.errstate(invalid="ignore"):
-            index.append(np.where(enough, z[:, 0] - np.nansum(z[:, 1:], 1) / np.maximum(np.isfinite(z[:, 1:]).sum(1), 1), np.nan))
-    value = np.nanmean(np.array(index), axis=0)
-    draws = value[1:][np.isfinite(value[1:])]
-    lo, hi = np.quantile(draws, [alpha / 2, 1 - alpha / 2]) if len(draws) >= MIN_DRAWS else (math.nan, math.nan)
-    return {"value": float(value[0]), "lo": float(lo), "hi": float(hi), "n": n, "n_draws": len(draws)}
+            size = s[..., 5]
+            r = (s[..., 4] - s[..., 0] * s[..., 1] / size) / np.sqrt((s[..., 2] - s[..., 0] ** 2 / size) * (s[..., 3] - s[..., 1] ** 2 / size))
+            if rel[k] is not None:
+                r = np.where(rel[k] > 0.01, r / np.sqrt(rel[k]), np.nan)
+                r = np.where(np.abs(r) < 1, r, np.nan)
+            z = np.arctanh(np.clip(r, -0.999999, 0.999999))
+            many = np.isfinite(z[:, 1:]).sum(1)
+            value = np.where(many >= MIN_NULLS, z[:, 0] - np.nansum(z[:, 1:], 1) / np.maximum(many, 1), np.nan)
+        at = np.flatnonzero(np.isfinite(value))
+        return pa.table({"k": pa.array(np.full(len(at), k)), "replicate": pa.array(first + at), "index": pa.array(value[at])})
+
+    parts = whole.filter(~F.col("bad")).select(F.xxhash64("key").alias("h"), "sets").mapInArrow(part, "k long, chunk long, m binary")
+    found = parts.groupBy("k", "chunk").applyInArrow(index, "k long, replicate long, index double")
+    by = found.groupBy("replicate").agg(F.avg("index").alias("v"), F.count("*").alias("sets"))
+    draw = F.when(F.col("replicate") > 0, F.col("v"))
+    r = by.agg(F.max(F.when(F.col("replicate") == 0, F.col("v"))).alias("v"), F.max(F.when(F.col("replicate") == 0, F.col("sets"))).alias("sets"), F.percentile(draw, F.lit(alpha / 2)).alias("lo"), F.percentile(draw, F.lit(1 - alpha / 2)).alias("hi"), F.count(draw).alias("n_draws")).first()
+    if point is None:
+        own_value = {"value": one_nan(r["v"]), "n": r["sets"] or 0}
+    enough = r["n_draws"] >= MIN_DRAWS
+    return own_value | none | {"lo": r["lo"] if enough else math.nan, "hi": r["hi"] if enough else math.nan, "n_draws": r["n_draws"]}
 
 
 def effective_tests(correlations: np.ndarray) -> float:
@@ -155,7 +177,7 @@ def effective_tests(correlations: np.ndarray) -> float:
     c = np.asarray(correlations, float)
     if c.ndim != 2 or c.shape[0] != c.shape[1] or not np.isfinite(c).all():
         raise ValueError("a full square matrix is needed")
-    e = np.clip(np.linalg.eigvalsh(c), 0, None)
+    e = np.clip(np.linalg.eigvalsh((c + c.T) / 2), 0, None)
     return float(np.sum((e >= 1) + (e - np.floor(e))))
 
 

@@ -43,6 +43,22 @@ def fold_medians(frame: DataFrame, n_folds: int, x: str = "x", fold: str = "fold
     return np.array(out)
 
 
+def has_missing(frame: DataFrame, x: str = "x") -> bool:
+    return not frame.filter(F.exists(x, lambda v: v.isNull() | F.isnan(v))).isEmpty()
+
+
+def feature_means(frame: DataFrame, x: str = "x") -> np.ndarray:
+    """Means of the features that are there; 0 for those that never are."""
+    rows = frame.select(F.posexplode(x)).groupBy("pos").agg(F.avg(F.when(~F.isnan("col"), F.col("col"))).alias("m")).collect()
+    return np.array([r["m"] or 0.0 for r in sorted(rows, key=lambda r: r["pos"])])
+
+
+def fill(frame: DataFrame, values: Sequence[float], x: str = "x") -> DataFrame:
+    """frame with missing features replaced."""
+    given = F.array(*(F.lit(float(v)) for v in values))
+    return frame.withColumn(x, F.zip_with(x, given, lambda v, m: F.coalesce(F.when(~F.isnan(v), v), m)))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     n = len(column)
     flat = column.flatten().cast(pa.float64())
@@ -67,12 +83,17 @@ class Moments:
         return Moments(*(getattr(self, f) + getattr(other, f) for f in ("n", "sx", "sy", "xx", "xy", "yy")))
 
 
+def _packed(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a, np.float64).tobytes()
+
+
 def moments(frame: DataFrame, centre: np.ndarray | None = None) -> dict[int, dict[bytes, Moments]]:
     """Moments by fold and by pattern of missing targets; missing features must have been filled in.
 
-    Each partition adds up its own; what comes to the driver is one row for each partition, fold and pattern,
-    added again on executors first.
+    Each partition adds up its own, those of a fold and pattern are added on executors, and one row for each of
+    these comes to the driver.
     """
+    fields = ("sx", "sy", "xx", "xy", "yy")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple[int, bytes], list] = {}
@@ -80,26 +101,29 @@ def moments(frame: DataFrame, centre: np.ndarray | None = None) -> dict[int, dic
             x, y, fold = _matrix(b.column("x")), _matrix(b.column("y")), b.column("fold").to_numpy()
             if centre is not None:
                 x = x - centre
-            mask = ~np.isnan(y)
-            keys = [m.tobytes() for m in np.packbits(mask, axis=1)]
-            for key in set(zip(fold.tolist(), keys, strict=True)):
-                at = np.array([k == key for k in zip(fold.tolist(), keys, strict=True)])
+            packed = np.packbits(~np.isnan(y), axis=1)
+            patterns, code = np.unique(packed, axis=0, return_inverse=True)
+            code = code.ravel() * (1 << 20) + fold
+            for one in np.unique(code):
+                at = code == one
+                key = int(one) % (1 << 20), patterns[int(one) >> 20].tobytes()
                 xs, ys = x[at], np.nan_to_num(y[at])
                 new = [len(xs), xs.sum(0), ys.sum(0), xs.T @ xs, xs.T @ ys, (ys**2).sum(0)]
                 acc[key] = [a + c for a, c in zip(acc[key], new, strict=True)] if key in acc else new
-        rows = [(k[0], k[1], v[0], *(np.asarray(m, float).ravel().tolist() for m in v[1:])) for k, v in acc.items()]
-        names = ["fold", "pattern", "n", "sx", "sy", "xx", "xy", "yy"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), *[pa.list_(pa.float64())] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+        for (fold, pattern), v in acc.items():
+            yield pa.RecordBatch.from_pydict({"fold": [fold], "pattern": [pattern], "n": [v[0]], **{f: [_packed(m)] for f, m in zip(fields, v[1:], strict=True)}}, schema=schema)
 
-    schema = "fold long, pattern binary, n long, sx array<double>, sy array<double>, xx array<double>, xy array<double>, yy array<double>"
-    parts = frame.select(F.col("fold").cast("long").alias("fold"), "x", "y").mapInArrow(part, schema)
+    def add(table: pa.Table) -> pa.Table:
+        sums = {f: [_packed(sum(np.frombuffer(x) for x in table[f].to_pylist()))] for f in fields}
+        return pa.table({"fold": table["fold"][:1], "pattern": table["pattern"][:1], "n": [sum(table["n"].to_pylist())], **sums}, schema=schema)
+
+    schema = pa.schema([("fold", pa.int64()), ("pattern", pa.binary()), ("n", pa.int64()), *((f, pa.binary()) for f in fields)])
+    kinds = "fold long, pattern binary, n long, " + ", ".join(f"{f} binary" for f in fields)
+    parts = frame.select(F.col("fold").cast("long").alias("fold"), "x", "y").mapInArrow(part, kinds)
     out: dict[int, dict[bytes, Moments]] = {}
-    for r in parts.toLocalIterator():  # one row at a time: partitions x folds x patterns
-        p, q = len(r["sx"]), len(r["sy"])
-        m = Moments(r["n"], np.array(r["sx"]), np.array(r["sy"]), np.array(r["xx"]).reshape(p, p), np.array(r["xy"]).reshape(p, q), np.array(r["yy"]))
-        by = out.setdefault(r["fold"], {})
-        by[bytes(r["pattern"])] = by[bytes(r["pattern"])] + m if bytes(r["pattern"]) in by else m
+    for r in parts.groupBy("fold", "pattern").applyInArrow(add, kinds).toLocalIterator():
+        sx, sy, xx, xy, yy = (np.frombuffer(r[f]) for f in fields)
+        out.setdefault(r["fold"], {})[bytes(r["pattern"])] = Moments(r["n"], sx, sy, xx.reshape(len(sx), len(sx)), xy.reshape(len(sx), len(sy)), yy)
     return out
 
 
@@ -134,42 +158,53 @@ def solve(m: Moments, targets: Sequence[int], alpha: float, standardise: bool =
     return beta, ymean - mean @ beta
 
 
-def loo_errors(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.ndarray, folds: Sequence[int], target: int = 0, alphas: Sequence[float] = ALPHAS, standardise: bool = True) -> dict[int, np.ndarray]:
-    """Mean squared leave-one-out errors of each fold's training rows at each penalty, in one pass.
+def loo_table(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.ndarray, folds: Sequence[int], targets: Sequence[int], alphas: Sequence[float] = ALPHAS, standardise: bool = True) -> dict[tuple[int, int], np.ndarray]:
+    """Mean squared leave-one-out errors of each fold's training rows at each penalty, by fold and target, in one pass.
 
-    The error of a row is its residual over 1 - h, with h = 1/n + x'(G + a I)^-1 x for centred, scaled x.
+    The error of a row is its residual over 1 - h, with h = 1/n + x'(G + a I)^-1 x for centred, scaled x. Targets
+    with the same missing rows share a decomposition.
     """
-    plans = {}
+    plans = []
     for k in folds:
-        m = training_moments(by, k, target)
-        if m is None or m.n < MIN_TRAIN:
-            continue
-        mean = m.sx / m.n
-        cov = m.xx / m.n - np.outer(mean, mean)
-        scale = np.sqrt(np.clip(np.diag(cov), 0, None)) if standardise else np.ones(len(mean))
-        scale = np.where(scale > 1e-12, scale, 1.0)
-        values, vectors = np.linalg.eigh(m.n * cov / np.outer(scale, scale))
-        rhs = vectors.T @ ((m.xy[:, target] - m.sx * (m.sy[target] / m.n)) / scale)
-        plans[k] = (m.n, mean + centre, scale, np.clip(values, 0, None), vectors, rhs, m.sy[target] / m.n)
+        alike: dict[tuple, list[int]] = {}
+        for t in targets:
+            alike.setdefault(tuple(sorted(q for f in by for q in by[f] if _has(q, t))), []).append(t)
+        for ts in alike.values():
+            m = training_moments(by, k, ts[0])
+            if m is None or m.n < MIN_TRAIN:
+                continue
+            mean = m.sx / m.n
+            cov = m.xx / m.n - np.outer(mean, mean)
+            scale = np.sqrt(np.clip(np.diag(cov), 0, None)) if standardise else np.ones(len(mean))
+            scale = np.where(scale > 1e-12, scale, 1.0)
+            values, vectors = np.linalg.eigh(m.n * cov / np.outer(scale, scale))
+            ymean = m.sy[ts] / m.n
+            rhs = vectors.T @ ((m.xy[:, ts] - np.outer(m.sx, ymean)) / scale[:, None])
+            plans.append((k, ts, m.n, mean + centre, scale, np.clip(values, 0, None), vectors, rhs, ymean))
     grid = np.array(alphas)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {k: np.zeros(len(grid)) for k in plans}
+        sums = [np.zeros((len(p[1]), len(grid))) for p in plans]
         for b in batches:
-            x, y, fold = _matrix(b.column("x")), _matrix(b.column("y"))[:, target], b.column("fold").to_numpy()
-            for k, (n, mean, scale, values, vectors, rhs, ymean) in plans.items():
-                at = (fold != k) & ~np.isnan(y)
-                u = ((x[at] - mean) / scale) @ vectors
-                inv = 1 / (values[:, None] + grid)  # features x alphas
-                fit = ymean + u @ (rhs[:, None] * inv)
-                h = 1 / n + (u**2) @ inv
-                sums[k] += (((y[at][:, None] - fit) / (1 - h)) ** 2).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], ["fold", "sse"])
-
-    out = {k: np.zeros(len(grid)) for k in plans}
-    for r in frame.select(F.col("fold").cast("long").alias("fold"), "x", "y").mapInArrow(part, "fold long, sse array<double>").toLocalIterator():
-        out[r["fold"]] += np.array(r["sse"])
-    return {k: v / plans[k][0] for k, v in out.items()}
+            x, y, fold = _matrix(b.column("x")), _matrix(b.column("y")), b.column("fold").to_numpy()
+            for total, (k, ts, n, mean, scale, values, vectors, rhs, ymean) in zip(sums, plans, strict=True):
+                at = (fold != k) & ~np.isnan(y[:, ts[0]])
+                u, own = ((x[at] - mean) / scale) @ vectors, y[at][:, ts]
+                for j, a in enumerate(grid):
+                    inv = 1 / (values + a)
+                    rest = own - ymean - u @ (rhs * inv[:, None])
+                    total[:, j] += ((rest / (1 - 1 / n - (u**2) @ inv)[:, None]) ** 2).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(plans)), pa.int64()), pa.array([_packed(s) for s in sums], pa.binary())], ["plan", "sse"])
+
+    out = [np.zeros((len(p[1]), len(grid))) for p in plans]
+    for r in frame.select(F.col("fold").cast("long").alias("fold"), "x", "y").mapInArrow(part, "plan long, sse binary").toLocalIterator():
+        out[r["plan"]] += np.frombuffer(r["sse"]).reshape(-1, len(grid))
+    return {(p[0], t): e / p[2] for p, table in zip(plans, out, strict=True) for t, e in zip(p[1], table, strict=True)}
+
+
+def loo_errors(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.ndarray, folds: Sequence[int], target: int = 0, alphas: Sequence[float] = ALPHAS, standardise: bool = True) -> dict[int, np.ndarray]:
+    """:func:`loo_table` of one target, by fold."""
+    return {k: e for (k, _), e in loo_table(frame, by, centre, folds, [target], alphas, standardise).items()}
 
 
 def select_alphas(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.ndarray, folds: Sequence[int], target: int = 0, alphas: Sequence[float] = ALPHAS) -> dict[int, float]:
@@ -179,6 +214,22 @@ def select_alphas(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre:
     return {k: float(alphas[int(e.argmin())]) for k, e in errors.items()}
 
 
+def choose_penalties(frame: DataFrame, n_folds: int, target: int = 0, alphas: Sequence[float] = ALPHAS) -> dict[int, float]:
+    """:func:`select_alphas` of a frame whose features may be missing: these take the medians of a fold's training
+    rows that have the target, so a pass is made for each fold; without missing features one serves all."""
+    known = F.get("y", F.lit(target)).isNotNull() & ~F.isnan(F.get("y", F.lit(target)))
+    if not has_missing(frame):
+        centre = feature_means(frame)
+        return select_alphas(frame, moments(frame, centre), centre, range(n_folds), target, alphas)
+    out: dict[int, float] = {}
+    for k in range(n_folds):
+        own = [r["median"] for r in impute_medians(frame.filter((F.col("fold") != k) & known)).orderBy("pos").collect()]
+        filled = fill(frame, own)
+        centre = feature_means(filled)
+        out |= select_alphas(filled, moments(filled, centre), centre, [k], target, alphas)
+    return out
+
+
 def alpha_margin(errors: dict[int, np.ndarray], alphas: Sequence[float] = ALPHAS) -> dict[int, tuple[float, float, float]]:
     """Best and second-best penalty of each fold and the relative gap of their errors."""
     out = {}
@@ -195,23 +246,21 @@ def cross_val_predict(frame: DataFrame, targets: Sequence[str], n_folds: int, al
     Missing features take the training medians of the fold. Targets with missing values are fitted on the rows
     that have them; folds with fewer than 10 training rows give no predictions for a target.
     """
-    has_missing = frame.filter(F.exists("x", lambda v: v.isNull() | F.isnan(v))).limit(1).count() > 0
+    missing = has_missing(frame)
     folds = list(range(n_folds))
-    passes = [None] if not has_missing else folds
-    medians = fold_medians(frame, n_folds) if has_missing else None
-    first = frame.select(F.size("x").alias("p")).first()
-    if first is None:
-        return frame.sparkSession.createDataFrame([], "key long, fold int, target string, y_true double, y_pred double")
-    p = first["p"]
-    means = {r["pos"]: r["m"] for r in frame.select(F.posexplode("x")).groupBy("pos").agg(F.avg(F.when(~F.isnan("col"), F.col("col"))).alias("m")).collect()}
-    centre = np.array([means.get(k) or 0.0 for k in range(p)])
+    passes = folds if missing else [None]
+    medians = fold_medians(frame, n_folds) if missing else None
+    centre = feature_means(frame)
+    p = len(centre)
+    if not p:
+        return frame.sparkSession.createDataFrame([], f"key {dict(frame.dtypes)['key']}, fold int, target string, y_true double, y_pred double")
     models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for only in passes:
         rows = frame
         if medians is not None:
-            fill = F.array(*(F.lit(float(v)) for v in medians[only]))
-            rows = frame.withColumn("x", F.zip_with("x", fill, lambda v, m: F.coalesce(F.when(~F.isnan(v), v), m)))
+            rows = fill(frame, medians[only])
         by = moments(rows, centre)
+        errors = loo_table(rows, by, centre, folds if only is None else [only], range(len(targets)), alphas, standardise) if alpha is None else {}
         for k in folds if only is None else [only]:
             beta, icpt = np.full((p, len(targets)), np.nan), np.full(len(targets), np.nan)
             groups: dict[tuple, list[int]] = {}
@@ -227,8 +276,7 @@ def cross_val_predict(frame: DataFrame, targets: Sequence[str], n_folds: int, al
                         beta[:, ts], icpt[ts] = solve(m, ts, a, standardise)
                 else:
                     for t in ts:
-                        e = loo_errors(rows, by, centre, [k], t, alphas, standardise)
-                        beta[:, [t]], icpt[[t]] = solve(m, [t], float(alphas[int(e[k].argmin())]), standardise)
+                        beta[:, [t]], icpt[[t]] = solve(m, [t], float(alphas[int(errors[k, t].argmin())]), standardise)
             models[k] = (beta, icpt - np.nan_to_num(centre) @ beta)
     names = list(targets)
 

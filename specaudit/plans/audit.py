@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +63,10 @@ class AuditResult:
     notes: list[str] = field(default_factory=list)
 
     def check_estimand(self) -> None:
-        """The primary value must be the mean of the per-signature excesses."""
-        mean = self.tables["immune_excess"].agg(F.avg("excess_z")).first()[0]
-        if mean is None or abs(mean - self.primary["value"]) > 1e-6 + 0.25 * abs(mean) * (self.config.n_null > self.config.max_null_for_boot):
-            raise AssertionError(f"primary {self.primary['value']} isn't the mean excess {mean}")
+        """The primary value must be the mean of the per-signature excesses, and n their number."""
+        own = self.tables["immune_excess"].agg(F.avg("excess_z").alias("mean"), F.count("excess_z").alias("n")).first()
+        if own["mean"] is None or abs(own["mean"] - self.primary["value"]) > 1e-9 or own["n"] != self.primary["n"]:
+            raise AssertionError(f"primary {self.primary} isn't the mean of {own['n']} excesses, {own['mean']}")
 
     def save(self, folder: str, kind: str = "parquet") -> None:
         self.check_estimand()
@@ -76,39 +74,59 @@ class AuditResult:
 
     def headline(self) -> str:
         p = self.primary
-        return f"specific index {p['value']:.4f} [{p['lo']:.4f}, {p['hi']:.4f}] over {p['n']} patients"
+        return f"specific index {p['value']:.4f} [{p['lo']:.4f}, {p['hi']:.4f}] over {p['n']} sets and {p['n_rows']} patients"
 
 
-def group_baseline(frame: DataFrame, target: str, group: str | None, fold: str = "fold") -> DataFrame:
-    """frame with ``baseline``: the training mean of the row's group (of all rows for an unseen group).
+def group_baseline(frame: DataFrame, target: str, group: str | None, fold: str = "fold", keys: Sequence[str] = ()) -> DataFrame:
+    """frame with ``baseline``: the training mean of the row's group (of all rows for an unseen group), by keys.
 
     Training sums are totals minus the fold's own, by group, so no dummies and no fits.
     """
+    k = list(keys)
     y = F.when(~F.isnan(target), F.col(target))
-    by = [group] if group else []
+    by = [*k, *([group] if group else [])]
     own, whole = Window.partitionBy(*by, fold), Window.partitionBy(*by)
     s, n = F.sum(y).over(whole) - F.coalesce(F.sum(y).over(own), F.lit(0.0)), F.count(y).over(whole) - F.count(y).over(own)
-    # of all rows: a table with a row for each fold
-    folds = frame.groupBy(fold).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
-    rest = folds.alias("a").join(folds.alias("b"), F.col(f"a.{fold}") != F.col(f"b.{fold}")).groupBy(F.col(f"a.{fold}").alias(fold)).agg((F.sum("b._s") / F.sum("b._n")).alias("_all"))
-    return frame.join(F.broadcast(rest), fold, "left").withColumn("baseline", F.coalesce(F.when(n > 0, s / n), F.col("_all"))).drop("_all")
+    out = frame.withColumn("baseline", F.when(n > 0, s / n))
+    # of all rows: a small table with a row for each fold
+    folds = frame.groupBy(*k, fold).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+    every = Window.partitionBy(*k)
+    rest = folds.select(*k, fold, F.try_divide(F.sum("_s").over(every) - F.coalesce("_s", F.lit(0.0)), F.sum("_n").over(every) - F.col("_n")).alias("_all"))
+    return out.join(rest, [*k, fold], "left").withColumn("baseline", F.coalesce("baseline", "_all")).drop("_all")
 
 
-def linear_baseline(frame: DataFrame, target: str, x: str, fold: str = "fold") -> DataFrame:
-    """frame with ``baseline``: a line on one number, fitted on the other folds' sums."""
+def linear_baseline(frame: DataFrame, target: str, x: str, fold: str = "fold", keys: Sequence[str] = ()) -> DataFrame:
+    """frame with ``baseline``: a line on one number, fitted on the other folds' sums, by keys."""
+    k = list(keys)
     ok = F.col(target).isNotNull() & F.col(x).isNotNull()
     terms = {"n": F.lit(1.0), "sx": F.col(x), "sy": F.col(target), "sxx": F.col(x) * F.col(x), "sxy": F.col(x) * F.col(target)}
-    folds = frame.filter(ok).groupBy(fold).agg(*(F.sum(v).alias(k) for k, v in terms.items()))
-    t = folds.alias("a").join(folds.alias("b"), F.col(f"a.{fold}") != F.col(f"b.{fold}")).groupBy(F.col(f"a.{fold}").alias(fold)).agg(*(F.sum(f"b.{k}").alias(k) for k in terms))
+    folds = frame.groupBy(*k, fold).agg(*(F.sum(F.when(ok, v).otherwise(0.0)).alias(c) for c, v in terms.items()))
+    every = Window.partitionBy(*k)
+    t = folds.select(*k, fold, *((F.sum(c).over(every) - F.col(c)).alias(c) for c in terms))
     slope = F.coalesce(F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")), F.lit(0.0))
-    fit = t.select(fold, slope.alias("_b"), (F.col("sy") / F.col("n")).alias("_my"), (F.col("sx") / F.col("n")).alias("_mx"))
-    return frame.join(F.broadcast(fit), fold, "left").withColumn("baseline", F.col("_my") + F.col("_b") * (F.col(x) - F.col("_mx"))).drop("_b", "_my", "_mx")
+    fit = t.filter("n > 0").select(*k, fold, slope.alias("_b"), (F.col("sy") / F.col("n")).alias("_my"), (F.col("sx") / F.col("n")).alias("_mx"))
+    return frame.join(fit, [*k, fold], "left").withColumn("baseline", F.col("_my") + F.col("_b") * (F.col(x) - F.col("_mx"))).drop("_b", "_my", "_mx")
+
+
+def baselines(frame: DataFrame, target: str = "score", keys: Sequence[str] = ("set_name",), groups: dict[str, str] | None = None, numbers: dict[str, str] | None = None) -> DataFrame:
+    """``keys, r_<name>``: out-of-fold correlation of the target with each baseline, all sets in one plan.
+
+    groups and numbers name baselines and the label or number that they stand on; frame also has ``fold``.
+    """
+    out = None
+    for name, column, fit in [*((n, c, group_baseline) for n, c in (groups or {}).items()), *((n, c, linear_baseline) for n, c in (numbers or {}).items())]:
+        got = fit(frame, target, column, keys=keys).groupBy(*keys).agg(pearson(F.col(target), F.col("baseline")).alias(f"r_{name}"))
+        out = got if out is None else out.join(got, list(keys), "full")
+    return out
 
 
 def wide_targets(scores: DataFrame, names: Sequence[str], key: str = "sample") -> DataFrame:
     """``key, y``: scores of the named sets in order, missing ones null."""
-    m = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("set_name", "score"))).alias("_m"))
-    return m.select(F.col(key).alias("key"), F.array(*(F.try_element_at("_m", F.lit(n)) for n in names)).alias("y"))
+    place = scores.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], "set_name string, pos int")
+    listed = scores.join(F.broadcast(place), "set_name").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("_l"))  # a row for each name
+    by_place = F.map_from_entries("_l")
+    some = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.try_element_at(by_place, k))
+    return listed.select(F.col(key).alias("key"), F.when(F.size("_l") == len(names), F.transform("_l", lambda e: e["score"])).otherwise(some).alias("y"))
 
 
 def predict_sets(x: DataFrame, scores: DataFrame, folds: DataFrame, names: Sequence[str], n_folds: int, alpha=None) -> DataFrame:
@@ -117,6 +135,42 @@ def predict_sets(x: DataFrame, scores: DataFrame, folds: DataFrame, names: Seque
     return ridge.cross_val_predict(frame.select("key", "fold", "x", "y"), names, n_folds, alpha)
 
 
+def _parts():
+    """Name and draw of a set called ``name|draw``; names may hold bars themselves."""
+    last = F.element_at(F.split("set_name", "[|]"), -1)
+    return F.left("set_name", F.length("set_name") - F.length(last) - 1).alias("set_name"), last.cast("int").alias("draw")
+
+
+def refit_residuals(x: DataFrame, resid: DataFrame, folds: DataFrame, names: Sequence[str], config: AuditConfig) -> tuple[DataFrame, DataFrame]:
+    """Predictors refitted on the residuals of each set and of its random sets: ``set_name, draw, r, n`` and, for the
+    bootstrap, ``key, sets``.
+
+    resid: ``sample, set_name, draw, score``, the observed set as draw OBSERVED. A set's penalties are chosen on its own
+    residuals, fold by fold, and hold for its random sets too.
+    """
+    spark = x.sparkSession
+    draws = [OBSERVED, *range(config.n_null)]
+    own = [str(k) for k in draws]
+    used = 1 + min(config.n_null, config.max_null_for_boot)
+    rows, boot = [], None
+    for k, s in enumerate(names):
+        part = resid.filter(F.col("set_name") == s).select("sample", F.col("draw").cast("string").alias("set_name"), "score")
+        frame = x.join(folds, "key").join(wide_targets(part, own), "key").select("key", "fold", "x", "y").persist()
+        penalties = ridge.choose_penalties(frame, config.n_folds) if config.ridge_alpha is None else config.ridge_alpha
+        pred = ridge.cross_val_predict(frame, own, config.n_folds, penalties).select("key", F.col("target").cast("int").alias("draw"), "y_true", "y_pred").persist()
+        got = pred.groupBy("draw").agg(pearson(F.col("y_true"), F.col("y_pred")).alias("r"), n_pairs(F.col("y_true"), F.col("y_pred")).alias("n")).collect()
+        rows += [(s, g["draw"], g["r"], g["n"]) for g in got]
+        one = pred.filter(F.col("draw") < used - 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("draw", "y_true", "y_pred"))).alias("l"))
+        values = F.when(F.size("l") == used, F.flatten(F.transform("l", lambda e: F.array(e["y_true"], e["y_pred"]))))
+        one = one.select("key", F.lit(k).alias("k"), F.coalesce(values, F.array(F.lit(None).cast("double"))).alias("v"))
+        boot = one if boot is None else boot.unionByName(one)
+        frame.unpersist()
+    table = spark.createDataFrame(rows, "set_name string, draw int, r double, n long")
+    sets = boot.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
+    lone = F.array(F.array(F.lit(None).cast("double")))
+    return table, sets.select("key", F.when(F.size("s") == len(names), F.transform("s", lambda e: e["v"])).otherwise(lone).alias("sets"))
+
+
 def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditConfig | None = None, survival: DataFrame | None = None) -> AuditResult:
     """Run all parts over a cohort.
 
@@ -156,65 +210,60 @@ def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditC
     delta, dlo, dhi = delta_r_interval(F.col("r_random_patient"), F.col("n"), F.col("r_preserved_site"), F.col("n_site"), c.alpha)
     per_signature = per_signature.select("*", delta.alias("delta_z"), dlo.alias("delta_lo"), dhi.alias("delta_hi"), (F.col("r_random_patient") - F.col("r_preserved_site")).alias("delta_r"))
     base = scores.join(frame.select(F.col("patient_id").alias("sample"), F.col(c.site_col).alias("_site"), F.col(c.type_col).alias("_type"), *([F.col(c.purity_col).cast("double").alias("_purity")] if c.purity_col else [])), "sample").join(random.folds.withColumnRenamed("key", "sample"), "sample")
-    for name, column in (("site_only", "_site"), ("type_only", "_type"), ("purity_only", "_purity")):
-        if column not in base.columns:
-            continue
-        part = None
-        for s in names:
-            one = base.filter(F.col("set_name") == s)
-            got = linear_baseline(one, "score", column) if column == "_purity" else group_baseline(one, "score", column)
-            got = got.groupBy(F.col("set_name").alias("signature")).agg(pearson(F.col("score"), F.col("baseline")).alias(f"r_{name}"))
-            part = got if part is None else part.unionByName(got)
-        per_signature = per_signature.join(part, "signature", "left")
+    beside = baselines(base, groups={"site_only": "_site", "type_only": "_type"}, numbers={"purity_only": "_purity"} if c.purity_col else {})
+    per_signature = per_signature.join(beside.withColumnRenamed("set_name", "signature"), "signature", "left")
     out = {"per_signature": per_signature, "predictions": predictions}
 
-    # symmetric refits of residual scores: observed and random sets through one plan
+    # symmetric refits of residual scores, on folds that keep sites whole: observed and random sets through one plan
     pool = expr.groupBy("gene").agg(F.avg("value").alias("level"))
     bins = nulls.level_bins(pool, c.n_bins)
     family = nulls.random_sets(sets, bins, c.n_null, c.seed, c.matched)
-    everything = sets.select("set_name", F.lit(OBSERVED).alias("draw"), "gene").unionByName(family.select("set_name", F.col("draw").cast("int").alias("draw"), "gene")).withColumn("name", F.concat_ws("|", "set_name", F.col("draw").cast("string")))
-    all_sets = everything.select(F.col("name").alias("set_name"), "gene").persist()
+    everything = sets.select("set_name", F.lit(OBSERVED).alias("draw"), "gene").unionByName(family.select("set_name", F.col("draw").cast("int").alias("draw"), "gene"))
+    all_sets = everything.select(F.concat_ws("|", "set_name", F.col("draw").cast("string")).alias("set_name"), "gene").persist()
     resid = axes.residualise(scoring.score_sets(expr, all_sets, c.scorer), axis, within).select("sample", "set_name", F.col("residual").alias("score")).persist()
-    gene_var = axes.residual_item_variances(scoring.z_scores(expr).withColumnRenamed("z", "value"), axis, within)
-    rel = scoring.alpha_from_item_variances(resid, all_sets, gene_var)
-    alphas = {row["set_name"]: row["alpha"] for row in rel.toLocalIterator()}  # sets x draws numbers
-    kinds = [OBSERVED, *range(c.n_null)]
-    rows, boot_frames, boot_alphas = [], None, {}
-    for s in names:
-        own = [f"{s}|{k}" for k in kinds]
-        part = resid.filter(F.col("set_name").isin(own)) if len(own) <= 50 else resid.filter(F.split("set_name", "[|]")[0] == s)
-        if c.ridge_alpha is None:
-            f = x.join(random.folds, "key").join(wide_targets(part.filter(F.col("set_name") == own[0]), own[:1]), "key").select("key", "fold", "x", "y")
-            p = f.select(F.size("x").alias("p")).first()["p"]
-            zero = np.zeros(p)
-            chosen = ridge.select_alphas(f, ridge.moments(f, zero), zero, range(c.n_folds))
-        else:
-            chosen = c.ridge_alpha
-        pred = predict_sets(x, part, random.folds, own, c.n_folds, chosen).persist()
-        got = pred.groupBy("target").agg(pearson(F.col("y_true"), F.col("y_pred")).alias("r"), F.count("*").alias("n")).collect()
-        rows += [(s, int(g["target"].rsplit("|", 1)[1]), g["r"], g["n"], alphas.get(g["target"])) for g in got]
-        used = own[: 1 + c.max_null_for_boot]
-        m = pred.filter(F.col("target").isin(used)).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("target", F.struct("y_true", "y_pred")))).alias("m"))
-        nan = F.lit(float("nan"))
-        one = m.select("key", F.array(*(F.coalesce(F.try_element_at("m", F.lit(t))[v], nan) for t in used for v in ("y_true", "y_pred"))).alias(s))
-        boot_frames = one if boot_frames is None else boot_frames.join(one, "key")
-        boot_alphas[s] = ((alphas.get(own[0]) or math.nan, [alphas.get(t) or math.nan for t in used[1:]]) if c.disattenuate else (1.0, [1.0] * (len(used) - 1)))
-    table = spark.createDataFrame(rows, "set_name string, draw int, r double, n long, reliability double")
-    if not c.disattenuate:
-        table = table.drop("reliability")
+    parted = resid.select("sample", *_parts(), "score")
+    table, boot = refit_residuals(x, parted, site.folds, names, c)
+    if c.disattenuate:
+        gene_var = axes.residual_item_variances(scoring.z_scores(expr).withColumnRenamed("z", "value"), axis, within)
+        rel = scoring.alpha_from_item_variances(resid, all_sets, gene_var)
+        rel = rel.select(*_parts(), F.col("alpha").alias("reliability"))
+        table = table.join(rel, ["set_name", "draw"], "left")
+    table = table.persist()
+    first = predictions.filter(F.col("scheme") == site.scheme).select(F.col("key").alias("sample"), F.col("target").alias("set_name"), F.col("y_pred").alias("prediction"))
+    three = axes.three_way(scores, axis, first, within)
     seen, null = table.filter(F.col("draw") == OBSERVED).drop("draw"), table.filter(F.col("draw") != OBSERVED)
-    excess = nulls.excess_over_null(seen, null, alpha=c.alpha)
+    excess = nulls.excess_over_null(seen.drop("n").join(three.select("set_name", "n"), "set_name"), null, alpha=c.alpha)
     degenerate = nulls.null_degeneracy(null.select("set_name", F.col("r").alias("value"))).select("set_name", F.col("mean").alias("null_mean_r"), F.col("sd").alias("null_sd_r"), "degenerate")
     immune = seen.select("set_name", F.col("r").alias("r_residual_refit"), *([F.col("reliability").alias("alpha_observed")] if c.disattenuate else []), "n").join(excess, "set_name").join(degenerate, "set_name")
-    if immune.filter("excess_z IS NOT NULL").isEmpty():
+    if c.disattenuate:
+        plain = nulls.excess_over_null(seen.drop("reliability"), null.drop("reliability"), alpha=c.alpha).select("set_name", F.col("excess_z").alias("excess_z_uncorrected"))
+        gap = null.groupBy("set_name").agg(F.avg("reliability").alias("alpha_null_mean"))
+        immune = immune.join(plain, "set_name").join(gap, "set_name").withColumn("reliability_gap", F.col("alpha_observed") - F.col("alpha_null_mean"))
+    immune = immune.persist()
+    point = {row["set_name"]: row["excess_z"] for row in immune.select("set_name", "excess_z").collect()}
+    defined = [s for s in names if point.get(s) is not None]
+    if not defined:
         raise RuntimeError("no signature has an excess; the primary estimate is undefined")
+    if len(defined) < len(names):
+        notes.append(f"{len(defined)} of {len(names)} signatures have an excess")
     out["immune_excess"] = immune
     out["rotation"] = nulls.rotation_null(null.select("set_name", "draw", "r"), seen.select("set_name", "r"))
-    first = predictions.filter(F.col("scheme") == random.scheme).select(F.col("key").alias("sample"), F.col("target").alias("set_name"), F.col("y_pred").alias("prediction"))
-    out["three_way"] = axes.three_way(scores, axis, first, within)
-    if c.n_null > c.max_null_for_boot:
-        notes.append(f"the bootstrap uses {c.max_null_for_boot} of {c.n_null} draws")
-    primary = inference.pooled_bootstrap(boot_frames.select("key", F.array(*names).alias("sets")), boot_alphas, c.n_boot, c.seed, c.alpha)
+    out["three_way"] = three.join(seen.select("set_name", F.col("r").alias("r_residual_refit")), "set_name", "left")
+    out["null_draws"] = null
+    used = min(c.n_null, c.max_null_for_boot)
+    if used < c.n_null:
+        notes.append(f"the interval uses {used} of {c.n_null} draws, the value all of them")
+    reliable: dict[str, dict[int, float | None]] = {s: {} for s in defined}
+    if c.disattenuate:
+        for row in table.filter(F.col("draw") < used).select("set_name", "draw", "reliability").toLocalIterator():
+            if row["set_name"] in reliable:
+                reliable[row["set_name"]][row["draw"]] = row["reliability"]
+    at = [names.index(s) for s in defined]
+    kept = boot.select("key", F.when(F.size("sets") == len(names), F.array(*(F.get("sets", F.lit(k)) for k in at))).otherwise(F.col("sets")).alias("sets"))
+    alphas = {s: (reliable[s].get(OBSERVED), [reliable[s].get(k) for k in range(used)]) if c.disattenuate else (None, []) for s in defined}
+    primary = inference.pooled_bootstrap(kept, alphas, c.n_boot, c.seed, c.alpha, point)
+    if primary["n_dropped"]:
+        notes.append(f"{primary['n_dropped']} patients lack a value in some set or draw and take no part in the interval")
 
     if c.with_site_control:
         control = frame.select(F.col("patient_id").alias("key"), F.col(c.site_col).alias("site"), "x").join(random.folds, "key")
@@ -232,8 +281,7 @@ def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditC
         out["partition_variance"] = splits.partition_variance(parts, "r", "target")
         notes += [f"seed {k} gave a degenerate partition" for k in bad]
     if survival is not None:
-        split_name = F.split("set_name", "[|]")
-        named = scoring.score_sets(expr, all_sets, c.scorer).select("sample", split_name[0].alias("set_name"), split_name[1].cast("int").alias("draw"), "score")
+        named = scoring.score_sets(expr, all_sets, c.scorer).select("sample", *_parts(), "score")
         arm = outcome.outcome_arm(named.filter(F.col("draw") == OBSERVED).drop("draw"), named.filter(F.col("draw") != OBSERVED), survival, axis, within, "type" if "type" in survival.columns else None)
         out["outcome_arm"] = arm
     mark = tables.fingerprint(frame, "patient_id").first()["fingerprint"]
