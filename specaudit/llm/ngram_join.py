@@ -5,13 +5,14 @@ A document's set holds its distinct n-grams. Documents with equal sets are one c
 1. Of each class, the n-grams with the least hashes (some 40 % of them) go to buckets by their hash. Classes that
    link have at least a fifth of the smaller set in common among these, so a class whose n-grams other classes
    hold too seldom drops out. N-grams that very many classes hold don't travel: they count as held by others.
-2. N-grams of the classes left are ordered by the number of classes that hold them. Two classes that link share
+2. The whole sets of the classes left go the same way; each must share as many as any link needs.
+3. N-grams of the classes left then are ordered by the number of classes that hold them. Two classes that link share
    one of the first few of each. The inverted lists of those, with length and position bounds, give candidates.
-3. Each list first proposes only one query, the class with the fewest n-grams of its own, to its other members.
+4. Each list first proposes only one query, the class with the fewest n-grams of its own, to its other members.
    Members are searched in blocks: a block builds inverted lists over its members' whole sets, merges the short
    lists of a query's n-grams by a heap, drops members short of T - L occurrences, and looks for the others in the
    L long lists by binary search.
-4. Links give components. Lists whose members are all in one component are done. In the others, each class outside
+5. Links give components. Lists whose members are all in one component are done. In the others, each class outside
    the list's largest component searches the blocks that hold members of other components, and of what it finds one
    link to each component is enough. Components are exact; pairs within a group are never listed.
 """
@@ -116,15 +117,14 @@ def head_size(n: int, percent: int = MIN_PERCENT) -> int:
     return min(n, n + -(-n * (100 - percent) // 100) - -(-n * percent // 100))
 
 
-def head_bounds(n: Column, percent: int = MIN_PERCENT) -> tuple[Column, Column]:
-    """:func:`head_size`, and how many n-grams the heads of a class and of any class that links with it share at least.
+def head_bound(n: Column, percent: int = MIN_PERCENT) -> Column:
+    """How many n-grams the :func:`head_size` least of a class and of any class that links with it share at least.
 
     Of sets of x and y n-grams that link, each holds at least ceil(0.8 x) and ceil(0.8 y) of the other, so the k
     least n-grams that they share are among the first x - ceil(0.8 x) + k of the one, and likewise of the other;
     k is the least of ceil(0.2 x) and ceil(0.2 y), and y is 0.8 x at least.
     """
-    up = lambda a: F.floor((a + 99) / 100)
-    return F.least(n, n + up(n * (100 - percent)) - up(n * percent)), F.greatest(F.lit(1), F.ceil(n * percent * (100 - percent) / 10_000.0 - 1e-9)).cast("long")
+    return F.greatest(F.lit(1), F.ceil(n * percent * (100 - percent) / 10_000.0 - 1e-9)).cast("long")
 
 
 def t_occurrence(query: np.ndarray, index: Index, percent: int = MIN_PERCENT, wanted: Callable[[int], bool] = lambda k: True) -> list[int]:
@@ -232,30 +232,30 @@ def _hot_grams(heads: DataFrame, total: int) -> np.ndarray:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column("head").to_pylist():
+            for x in b.column("grams").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], ["g"])
 
-    some = heads.filter(F.pmod(F.xxhash64(F.lit("hot"), "c"), F.lit(1 << 20)) < share * (1 << 20)).select("head")
+    some = heads.filter(F.pmod(F.xxhash64(F.lit("hot"), "c"), F.lit(1 << 20)) < share * (1 << 20)).select("grams")
     found = some.mapInArrow(unpack, "g long").groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT * share).select("g").collect()
     return np.sort(np.array([r["g"] for r in found], np.int64).view(np.uint64))
 
 
-def _shared_grams(heads: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """``c, n_hot, h``: for classes and buckets, the n-grams that another class has too.
+def _shared_grams(sets: DataFrame, buckets: int, hot: np.ndarray, lists: bool) -> DataFrame:
+    """``c, n_hot, k, h`` of ``c, grams``: for classes and buckets, how many n-grams another class has too, and these.
 
     A bucket and 48 bits of the hash name an n-gram from here on. An entry takes 14 bytes, whatever the number of
     buckets; these grow in number with the data, not in size, since no n-gram that very many classes hold is dealt.
-    Rows with n_hot say how many of a class's n-grams were not.
+    Rows with n_hot say how many of a class's n-grams were not. Without ``lists`` the n-grams themselves are left out.
     """
-    sent = heads.sparkSession.sparkContext.broadcast(hot)  # see _hot_grams for its bound
+    sent = sets.sparkSession.sparkContext.broadcast(hot)  # see _hot_grams for its bound
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("cs", pa.binary()), ("grams", pa.binary())])
         for whole in batches:
-            for batch in slices(whole, "head", 4 << 20):
-                head = batch.column("head").to_pylist()
-                flat = np.frombuffer(b"".join(head), np.uint64)
-                owner = np.repeat(batch.column("c").to_numpy(), [len(x) // 8 for x in head])
+            for batch in slices(whole, "grams", 4 << 20):
+                own = batch.column("grams").to_pylist()
+                flat = np.frombuffer(b"".join(own), np.uint64)
+                owner = np.repeat(batch.column("c").to_numpy(), [len(x) // 8 for x in own])
                 if len(hot_ := sent.value):
                     is_hot = hot_[np.minimum(np.searchsorted(hot_, flat), len(hot_) - 1)] == flat
                     who, times = np.unique(owner[is_hot], return_counts=True)
@@ -275,7 +275,7 @@ def _shared_grams(heads: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         packed = b"".join(table["grams"].to_pylist())
         if bucket < 0:
             who, at = np.unique(owner, return_index=True)
-            return pa.table({"c": pa.array(who), "n_hot": pa.array(np.frombuffer(packed, "<i8")[at]), "h": pa.array([[]] * len(who), pa.list_(pa.int64()))})
+            return pa.table({"c": pa.array(who), "n_hot": pa.array(np.frombuffer(packed, "<i8")[at]), "k": pa.array(np.zeros(len(who), np.int64)), "h": pa.array([[]] * len(who), pa.list_(pa.int64()))})
         flat = unpack_low(packed, bucket)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
@@ -289,27 +289,29 @@ def _shared_grams(heads: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
         flat, owner = flat[new], owner[new]
         begin = starts_of(owner)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(owner)).astype(np.int32)), pa.array(flat.view(np.int64)))
-        return pa.table({"c": pa.array(owner[begin], pa.int64()), "n_hot": pa.array(np.zeros(len(begin), np.int64)), "h": lists})
+        ends = np.append(begin, len(owner))
+        h = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64))) if lists else pa.array([[]] * len(begin), pa.list_(pa.int64()))
+        return pa.table({"c": pa.array(owner[begin], pa.int64()), "n_hot": pa.array(np.zeros(len(begin), np.int64)), "k": pa.array(np.diff(ends)), "h": h})
 
-    dealt = heads.select("c", "head").mapInArrow(deal, "bucket int, cs binary, grams binary")
-    return dealt.groupBy("bucket").applyInArrow(shared, "c long, n_hot long, h array<long>")
+    dealt = sets.select("c", "grams").mapInArrow(deal, "bucket int, cs binary, grams binary")
+    return dealt.groupBy("bucket").applyInArrow(shared, "c long, n_hot long, k long, h array<long>")
 
 
-def _hot_lists(held: DataFrame, heads: DataFrame, hot: np.ndarray) -> DataFrame:
+def _hot_lists(held: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
     """``g, c, n, rest, share`` of the hot n-grams that belong to a class's first ones; they come after all others."""
-    sent = heads.sparkSession.sparkContext.broadcast(hot)
+    sent = held.sparkSession.sparkContext.broadcast(hot)
+    schema = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("rest", pa.int64()), ("share", pa.float64())])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                grams = np.frombuffer(r["head"], np.int64)
+                grams = np.frombuffer(r["grams"], np.int64)
                 grams = grams[np.isin(grams.view(np.uint64), sent.value)][: r["reach"] - r["cold"]]
                 pos = r["cold"] + np.arange(len(grams))
-                yield pa.RecordBatch.from_pydict({"g": grams, "c": [r["c"]] * len(pos), "n": [r["n"]] * len(pos), "rest": r["dealt"] - r["alone"] - pos, "share": [r["alone"] / r["dealt"]] * len(pos)}, schema=pa.schema([("g", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("rest", pa.int64()), ("share", pa.float64())]))
+                yield pa.RecordBatch.from_pydict({"g": grams, "c": [r["c"]] * len(pos), "n": [r["n"]] * len(pos), "rest": r["n"] - r["alone"] - pos, "share": [r["alone"] / r["n"]] * len(pos)}, schema=schema)
 
-    far = held.withColumn("cold", F.size("h")).filter("reach > cold").select("c", "n", "alone", "reach", "cold", "dealt")
-    return far.join(heads, "c").dropDuplicates(["c"]).mapInArrow(pick, "g long, c long, n long, rest long, share double")
+    far = held.withColumn("cold", F.size("h")).filter("reach > cold").select("c", "n", "alone", "reach", "cold")
+    return far.join(sets, "c").mapInArrow(pick, "g long, c long, n long, rest long, share double")
 
 
 def _search(lists: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -329,7 +331,7 @@ def _search(lists: DataFrame, queries: DataFrame, sets: DataFrame, percent: int)
     placed = materialise(home.join(room, "home").select("c", "label", F.xxhash64("home", F.pmod(F.xxhash64("c"), F.col("parts"))).alias("block")), "placed")
     inside = lists.select("g", "c", "n", "rest").join(placed, "c").groupBy("g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     inside = materialise(inside, "inside")
-    _, least = head_bounds(F.col("n"), percent)
+    least = F.ceil(F.col("n") * percent / 100)
     fits = (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent) & (F.least("rest", "most") >= least) & ((F.col("l0") != F.col("label")) | (F.col("l1") != F.col("label")))
     visits = materialise(queries.join(inside, "g").filter(fits).select("block", F.col("c").alias("q"), "label", queries["n"]).distinct(), "visits")
     crowd = materialise(visits.groupBy("block").agg(parts(BLOCK_QUERIES)), "crowd")
@@ -374,38 +376,41 @@ def similar_classes(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT, als
     rows = of(docs, True) if also is None else of(docs, True).unionAll(of(also, False))
     classes = materialise(_document_classes(rows, n, percent), "classes")
     named = classes.withColumn("c", F.when(F.col("cid").isNotNull(), _numbered(classes)))
-    heads = named.filter("head IS NOT NULL").select("c", "head")
-    size = heads.agg(F.coalesce(F.sum(F.octet_length("head")), F.lit(0)), F.count("*")).first()
+    heads = named.filter("head IS NOT NULL").select("c", F.col("head").alias("grams"))
+    size = heads.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0)), F.count("*")).first()
     hot = _hot_grams(heads, size[1])
-    shared = materialise(_shared_grams(heads, max(64, size[0] // 8 // BUCKET_GRAMS), hot), "shared")
-    dealt, least = head_bounds(F.col("n"), percent)
-    counts = shared.groupBy("c").agg(F.sum("n_hot").alias("n_hot"), F.sum(F.size("h")).alias("k"))
-    sizes = named.filter("c IS NOT NULL").groupBy("c").agg(F.min("n").alias("n"))
-    enough = materialise(counts.join(sizes, "c").filter(F.col("k") + F.col("n_hot") >= least).select("c", "n", "n_hot"), "enough")
-    flat = materialise(shared.join(enough.select("c"), "c").select("c", F.explode("h").alias("g")), "flat")
-    common = materialise(flat.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "common")
-    ordered = flat.join(common, "g").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    held = enough.join(ordered, "c", "left").select("c", "n", "n_hot", F.coalesce(F.transform("o", lambda x: x["g"]), F.array().cast("array<bigint>")).alias("h"))
-    held = held.filter(F.size("h") + F.col("n_hot") >= least).withColumn("dealt", dealt).withColumn("alone", F.col("dealt") - F.size("h") - F.col("n_hot"))
-    # the first n-grams in order of rarity, own ones first: a link needs one of them in common
-    held = held.withColumn("reach", F.greatest(F.col("dealt") - least + 1 - F.col("alone"), F.lit(0)).cast("int"))
-    held = materialise(held.filter("reach > 0").select("c", "n", "dealt", "alone", "reach", F.slice("h", 1, F.col("reach")).alias("h")), "held")
-    release(shared, enough, flat, common)
-    lists = held.select("c", "n", "dealt", "alone", F.posexplode("h")).select(F.col("col").alias("g"), "c", "n", (F.col("dealt") - F.col("alone") - F.col("pos")).alias("rest"), (F.col("alone") / F.col("dealt")).alias("share"))
-    if len(hot):
-        lists = lists.unionByName(_hot_lists(held, heads, hot))
-    lists = materialise(lists, "lists")
-
-    wanted = materialise(named.join(lists.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("key").alias("key")), "wanted")
+    buckets = lambda total: max(64, total // 8 // BUCKET_GRAMS)
+    counts = materialise(_shared_grams(heads, buckets(size[0]), hot, lists=False).groupBy("c").agg(F.sum(F.col("n_hot") + F.col("k")).alias("k")), "counts")
+    one = named.filter("c IS NOT NULL").groupBy("c").agg(F.min("n").alias("n"), F.min("key").alias("key"))
+    wanted = materialise(counts.join(one, "c").filter(F.col("k") >= head_bound(F.col("n"), percent)).select("c", "n", "key"), "wanted")
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([x.tobytes() for x in gram_sets(batch.column("text"), n)], pa.binary())], ["c", "grams"])
 
-    found = rows.join(wanted, "key").select("c", "text").mapInArrow(whole_sets, "c long, grams binary")
+    # one plan at every size: texts meet the classes that are wanted by a shuffle
+    found = rows.select("key", "text").join(wanted.select("key", "c").hint("shuffle_merge"), "key").select("c", "text").mapInArrow(whole_sets, "c long, grams binary")
     sets = materialise(found.groupBy("c").agg(F.min("grams").alias("grams")), "sets")  # rows that repeat id and text meet on the map side
-    release(held, wanted)
+    size = sets.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()
+    shared = materialise(_shared_grams(sets, buckets(size[0]), hot, lists=True), "shared")
+    least = F.ceil(F.col("n") * percent / 100)
+    enough = shared.groupBy("c").agg(F.sum("n_hot").alias("n_hot"), F.sum("k").alias("k")).join(wanted.select("c", "n"), "c").filter(F.col("k") + F.col("n_hot") >= least)
+    enough = materialise(enough.select("c", "n", "n_hot"), "enough")
+    flat = materialise(shared.join(enough.select("c"), "c").select("c", F.explode("h").alias("g")), "flat")
+    common = materialise(flat.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "common")
+    ordered = flat.join(common, "g").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    held = enough.join(ordered, "c", "left").select("c", "n", "n_hot", F.coalesce(F.transform("o", lambda x: x["g"]), F.array().cast("array<bigint>")).alias("h"))
+    held = held.filter(F.size("h") + F.col("n_hot") >= least).withColumn("alone", F.col("n") - F.size("h") - F.col("n_hot"))
+    # the first n-grams in order of rarity, own ones first: a link needs one of them in common
+    held = held.withColumn("reach", F.greatest(F.col("n") - least + 1 - F.col("alone"), F.lit(0)).cast("int"))
+    held = materialise(held.filter("reach > 0").select("c", "n", "alone", "reach", F.slice("h", 1, F.col("reach")).alias("h")), "held")
+    release(counts, wanted, shared, enough, flat, common)
+    lists = held.select("c", "n", "alone", F.posexplode("h")).select(F.col("col").alias("g"), "c", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"), (F.col("alone") / F.col("n")).alias("share"))
+    if len(hot):
+        lists = lists.unionByName(_hot_lists(held, sets, hot))
+    lists = materialise(lists, "lists")
+    release(held)
 
     hubs = lists.groupBy("g").agg(F.min(F.struct("share", "c", "n", "rest")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     hubs = materialise(hubs.select("g", "hub.c", "hub.n", "hub.rest", F.col("hub.c").alias("label")), "hubs")

@@ -214,6 +214,38 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {w for w in want}
 
 
+def test_near_duplicates_without_hot_grams_equal_brute_force(spark, monkeypatch):
+    """N-grams that most classes hold stay at home, in small blocks and buckets."""
+    rng = random.Random(21)
+    common = [f"t{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):
+        w = list(common) + [rng.choice(WORDS) + str(rng.randint(0, 500)) for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "x" + str(rng.randint(0, 3))
+        texts.append(" ".join(w))
+    texts += ["unlike any other text of these", "one"]
+    for name, value in (("HOT", 8), ("HOT_SAMPLE", 8), ("BLOCK_MEMBERS", 3), ("BLOCK_QUERIES", 2), ("BLOCK_GRAMS", 300), ("BUCKET_GRAMS", 10)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want, _ = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < len(texts)
+
+
+def test_templates_that_do_not_link(spark):
+    """3,000 texts that share 70 % of their n-grams in one group, of which few link."""
+    rng = random.Random(22)
+    frame = [f"f{i}" for i in range(104)]
+    texts = [" ".join(frame + [f"v{rng.randrange(10**6)}" for _ in range(40)]) for _ in range(3000)]
+    texts[7] = texts[5].replace(texts[5].split()[-1], "end")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i for i, x in got.items() if x != i} == {7} and got[7] == 5
+    close = [" ".join(frame + [f"v{rng.randrange(10**6)}" for _ in range(18)] + [f"z{i % 40}"] * 6) for i in range(3000)]
+    t = spark.createDataFrame(list(enumerate(close)), "doc_id long, text string")
+    want, _ = brute_components(close[:40])
+    assert want == list(range(40)) and ngram_join.components(t).filter("component_id <> doc_id").count() == 0
+
+
 def test_t_occurrence_equals_counting():
     rng = np.random.default_rng(0)
     for _ in range(200):
