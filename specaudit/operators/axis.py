@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.stats import both, n_pairs, pearson
 from .scoring import z_scores
 
-#: Largest number of samples whose Gram matrix one task takes; beyond, the axis comes from the gene side.
-MAX_DUAL = 4_000
-
 
 def global_axis_mean_z(expr: DataFrame) -> DataFrame:
     """``sample, axis``: mean z over all genes."""
@@ -40,7 +37,7 @@ def global_axis_pc1(expr: DataFrame, groups: DataFrame | None = None, min_group:
         with np.errstate(invalid="ignore", divide="ignore"):
             sd = np.nanstd(x, axis=0, ddof=1)
             z = np.nan_to_num((x - np.nanmean(x, axis=0)) / np.where(sd > 0, sd, np.nan))
-        if len(z) <= min(MAX_DUAL, z.shape[1]):
+        if len(z) <= z.shape[1]:
             values, vectors = np.linalg.eigh(z @ z.T)
             axis = vectors[:, -1] * np.sqrt(max(values[-1], 0.0))
         else:

@@ -34,13 +34,30 @@ def combat(long: DataFrame) -> DataFrame:
     return apply_combat(long, fit_combat(long))
 
 
-def combat_out_of_fold(long: DataFrame, n_folds: int) -> DataFrame:
-    """Each fold corrected with parameters of the other folds. long also has ``fold``."""
-    out = None
-    for k in range(n_folds):
-        part = apply_combat(long.filter(F.col("fold") == k), fit_combat(long.filter(F.col("fold") != k)))
-        out = part if out is None else out.unionByName(part)
-    return out
+def combat_out_of_fold(long: DataFrame, n_folds: int, min_rows: int = 3) -> DataFrame:
+    """Each fold corrected with parameters of the other folds. long also has ``fold``.
+
+    Moments are added up once by dimension, batch and fold, about the dimension's mean; those of the other folds are
+    the total minus a fold's own. Batches with fewer than min_rows other rows have no parameters.
+    """
+    centre = long.groupBy("dim").agg(F.avg("value").alias("_c"))
+    d = F.col("value") - F.col("_c")
+    cells = long.join(centre, "dim").groupBy("dim", "batch", "fold").agg(F.count("value").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("ss"), F.max("_c").alias("_c"))
+
+    def others(by: list[str], name: str) -> DataFrame:
+        """Mean and deviation of the rows outside each fold."""
+        folds = long.select("fold").distinct()
+        own = cells.groupBy(*by, "fold").agg(*(F.sum(x).alias(x) for x in ("n", "s", "ss")), F.max("_c").alias("_c"))
+        total = own.groupBy(*by).agg(*(F.sum(x).alias(f"t{x}") for x in ("n", "s", "ss")), F.max("_c").alias("_c"))
+        j = total.join(F.broadcast(folds)).join(own.drop("_c"), [*by, "fold"], "left")  # folds are few
+        n, s, ss = (F.col(f"t{x}") - F.coalesce(F.col(x), F.lit(0)) for x in ("n", "s", "ss"))
+        sd = F.sqrt(F.greatest(ss / n - (s / n) * (s / n), F.lit(0.0)))
+        return j.filter(n > 0).select(*by, "fold", n.alias(f"n_{name}"), (F.col("_c") + s / n).alias(f"{name}_mu"), F.when(sd > 1e-12, sd).otherwise(1.0).alias(f"{name}_sd"))
+
+    own = others(["dim", "batch"], "own").filter(F.col("n_own") >= min_rows)
+    j = long.join(own, ["dim", "batch", "fold"], "left").join(others(["dim"], "grand"), ["dim", "fold"], "left")
+    fixed = (F.col("value") - F.col("own_mu")) / F.col("own_sd") * F.col("grand_sd") + F.col("grand_mu")
+    return j.select(*(long[c] for c in long.columns), F.coalesce(fixed, F.col("value")).alias("corrected"), F.col("own_mu").isNotNull().alias("estimable"))
 
 
 def auroc(scored: DataFrame, site: str = "site") -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rank_in_order
 from ..functions.stats import pearson
 
 MIN_ROWS = 20
@@ -31,11 +32,12 @@ def resample(clusters: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     Draw i of replicate b takes the cluster at place h mod G, h from the first 8 digits of md5("seed|b|i"), so
     any engine with md5 gives the same draws. Places follow the cluster order.
     """
-    placed = clusters.select("cluster", (F.row_number().over(Window.orderBy("cluster")) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("g"))
-    draws = placed.select(F.col("place").alias("i"), "g", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
+    g = clusters.count()
+    placed = rank_in_order(clusters.select("cluster"), "cluster")
+    draws = placed.select(F.col("place").alias("i"), F.lit(g).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
     hits = draws.select("replicate", F.pmod(h, F.col("g")).alias("place")).groupBy("replicate", "place").agg(F.count("*").alias("w"))
-    return hits.join(placed.select("cluster", F.col("place").cast("long").alias("place")), "place").select("replicate", "cluster", "w")
+    return hits.join(placed, "place").select("replicate", "cluster", "w")
 
 
 def paired_delta(frame: DataFrame, a: str, b: str, cluster: str, n_boot: int = 2000, seed: int = 0, alpha: float = 0.05, keys: Sequence[str] = ()) -> DataFrame:

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rank_in_order
 from ..functions.stats import disattenuate, fisher_z, hash_order, mean_percentile, min_detectable_delta_z, z_of
 
 
 def level_bins(levels: DataFrame, n_bins: int = 10, level: str = "level", gene: str = "gene") -> DataFrame:
     """levels with ``bin``: equal-count bins of the ranked levels (ties by gene), with quantile edges closed above.
 
-    Ranking all genes takes an order over the gene table, the smallest dimension there is.
     """
-    rank = F.row_number().over(Window.orderBy(level, gene))
-    n = F.count("*").over(Window.partitionBy())
-    # ceil((rank - 1) bins / (n - 1)) - 1 in whole numbers
-    edge = F.floor(((rank - 1) * n_bins + n - 2) / F.greatest(n - 1, F.lit(1)))
-    return levels.withColumn("bin", F.greatest(edge - 1, F.lit(0)).cast("int"))
+    n = levels.count()
+    # ceil(place bins / (n - 1)) - 1 in whole numbers
+    edge = F.floor((F.col("_place") * n_bins + n - 2) / max(n - 1, 1))
+    return rank_in_order(levels, level, gene, name="_place").withColumn("bin", F.greatest(edge - 1, F.lit(0)).cast("int")).drop("_place")
 
 
 def bin_histogram(sets: DataFrame, bins: DataFrame) -> DataFrame:
@@ -116,3 +115,29 @@ def bh_fdr(frame: DataFrame, p: str = "p", key: str = "set_name", family: str |
 
 def detectable(frame: DataFrame, n1: str, n2: str) -> DataFrame:
     return frame.withColumn("mde_z", min_detectable_delta_z(F.col(n1), F.col(n2)))
+
+
+def reconstruct(observed: DataFrame, nulls: DataFrame, reliabilities: DataFrame, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Excesses disattenuated with given reliabilities, and one row ``isi, lo, hi, n_signatures, beats_null``.
+
+    observed: ``set_name, r, n``; nulls: ``set_name, r``; reliabilities: ``set_name, observed, random``, one value for
+    all draws of a set. The interval takes the standard error across sets, not a bootstrap.
+    """
+    known = reliabilities.filter("observed IS NOT NULL AND random IS NOT NULL")
+    own = observed.join(known.select("set_name", F.col("observed").alias("reliability")), "set_name")
+    rand = nulls.join(known.select("set_name", F.col("random").alias("reliability")), "set_name")
+    each = excess_over_null(own, rand, alpha=alpha)
+    half = z_of(1 - alpha / 2) * F.when(F.col("n_signatures") > 1, F.col("sd") / F.sqrt("n_signatures"))
+    g = each.agg(F.avg("excess_z").alias("isi"), F.stddev_samp("excess_z").alias("sd"), F.count("excess_z").alias("n_signatures"), F.count_if("beats_null").alias("beats_null"))
+    return each, g.select("isi", (F.col("isi") - half).alias("lo"), (F.col("isi") + half).alias("hi"), "n_signatures", "beats_null")
+
+
+def bh_tie_audit(frame: DataFrame, p: str = "p", key: str = "set_name", family: str | None = None) -> DataFrame:
+    """``n, n_tied, max_q_delta`` (by family): q with equal p taken in one order of keys and in the other."""
+    by = [family] if family else []
+    flipped = frame.select(*by, F.col(key), p).withColumn("_k", F.sha2(F.col(key).cast("string"), 256))
+    a = bh_fdr(frame.select(*by, key, p), p, key, family).select(*by, key, p, F.col("q").alias("qa"))
+    b = bh_fdr(flipped, p, "_k", family).select(*by, key, F.col("q").alias("qb"))
+    tied = F.count(p).over(Window.partitionBy(*by, p))
+    j = a.join(b, [*by, key]).withColumn("_c", tied)
+    return j.groupBy(*by).agg(F.count(p).alias("n"), F.count_if(F.col("_c") > 1).alias("n_tied"), F.max(F.abs(F.col("qa") - F.col("qb"))).alias("max_q_delta"))

@@ -10,12 +10,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import boundaries, range_of
 from ..functions.special import two_sided_p
 from ..functions.stats import number, z_of
 from .axis import residualise
 from .nulls import excess_over_null
 
 ENDPOINTS = ("PFI", "OS", "DFI", "DSS")
+#: Rows of a stratum that one task sorts.
+SPLIT_ROWS = 1_000_000
 
 
 def endpoint(frame: DataFrame, name: str = "PFI", time: str | None = None, event: str | None = None) -> DataFrame:
@@ -31,8 +34,12 @@ def valid(time: Column, event: Column) -> Column:
     return F.coalesce(time.isNotNull() & event.isNotNull() & (time > 0) & ~F.isnan(time) & ~F.isnan(event), F.lit(False))
 
 
-def endpoint_warning(name: str) -> str | None:
-    return None if name == "PFI" else f"{name} isn't recommended for every cancer type; PFI is"
+def endpoint_warning(name: str, types: DataFrame | None = None, kind: str = "type") -> str | None:
+    """None for PFI; for another endpoint, over how many cancer types its choice needs a reason."""
+    if name == "PFI":
+        return None
+    over = "" if types is None else f" over {types.select(kind).distinct().count()} cancer types"
+    return f"the endpoint is {name}{over}; PFI is advised for most types, so the choice needs a reason for each"
 
 
 def concordance_pairs(frame: DataFrame, keys: Sequence[str] = (), min_valid: int = 10) -> DataFrame:
@@ -84,11 +91,46 @@ def count_concordant(time: np.ndarray, event: np.ndarray, score: np.ndarray) ->
     return won, pairs
 
 
+def _split_counts(rows: DataFrame, by: list[str], schema: str) -> DataFrame:
+    """Concordant and comparable pairs of large groups, without a task that holds one.
+
+    Rows are cut into ranges of time and ranges of score. Pairs within a range of time are counted there. Of pairs
+    across ranges of time, those within a range of score are counted there, with the range for the time, and the
+    others follow from how many rows and events each pair of ranges holds.
+    """
+    t, s = boundaries(rows, "time"), boundaries(rows, "score")
+    cells = rows.select(*by, "time", "event", "score", range_of(F.col("time"), t).alias("b"), range_of(F.col("score"), s).alias("c"))
+
+    def kernel(later: str):
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            won, pairs = count_concordant(pdf[later].to_numpy(float), pdf["event"].to_numpy(), pdf["score"].to_numpy())
+            return pd.DataFrame({**{x: pdf[x].iloc[:1].tolist() for x in by}, "won": [won], "pairs": [pairs], "n": [0], "n_events": [0]})
+
+        return count
+
+    inside = cells.groupBy(*by, "b").applyInPandas(kernel("time"), schema)
+    beside = cells.groupBy(*by, "c").applyInPandas(kernel("b"), schema)
+    grid = cells.groupBy(*by, "b", "c").agg(F.count("*").alias("k"), F.count_if(F.col("event") == 1).alias("e"))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows_, events = np.zeros((2, len(t) + 1, len(s) + 1))
+        rows_[pdf["b"], pdf["c"]], events[pdf["b"], pdf["c"]] = pdf["k"], pdf["e"]
+        after = rows_[::-1].cumsum(0)[::-1] - rows_  # rows of later ranges of time
+        lower = after.cumsum(1) - after  # of these, in lower ranges of score
+        won = (events * lower).sum()
+        pairs = (events * (after.sum(1, keepdims=True) - after)).sum()  # those of one range of score are counted there
+        return pd.DataFrame({**{x: pdf[x].iloc[:1].tolist() for x in by}, "won": [won], "pairs": [int(pairs)], "n": [int(pdf["k"].sum())], "n_events": [int(pdf["e"].sum())]})
+
+    ranges = (grid.groupBy(*by) if by else grid.groupBy(F.lit(0).alias("_all"))).applyInPandas(across, schema)  # a row for each pair of ranges
+    return inside.unionByName(beside).unionByName(ranges)
+
+
 def concordance(frame: DataFrame, keys: Sequence[str] = (), strata: str | None = None, min_valid: int = 10) -> DataFrame:
     """``c_index, n, n_events`` (by keys) of ``time, event, score``: higher scores mean higher risk.
 
     Only pairs of an event and a strictly later time count, within strata if named. A task takes one stratum of
-    one key and sorts it, so nothing is quadratic. Null below min_valid rows or without pairs.
+    one key and sorts it, so nothing is quadratic; strata of more than SPLIT_ROWS rows are cut up, see
+    :func:`_split_counts`. Null below min_valid rows or without pairs.
     """
     k = list(keys)
     by = [*k, *([strata] if strata else [])]
@@ -100,56 +142,120 @@ def concordance(frame: DataFrame, keys: Sequence[str] = (), strata: str | None =
         won, pairs = count_concordant(pdf["time"].to_numpy(), pdf["event"].to_numpy(), pdf["score"].to_numpy())
         return pd.DataFrame({**{c: pdf[c].iloc[:1].tolist() for c in by}, "won": [won], "pairs": [pairs], "n": [len(pdf)], "n_events": [int((pdf["event"] == 1).sum())]})
 
-    parts = (rows.groupBy(*by) if by else rows.groupBy(F.lit(0).alias("_all"))).applyInPandas(part, schema)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_size"))
+    big = sizes.filter(F.col("_size") > SPLIT_ROWS)
+    if big.isEmpty():
+        parts = (rows.groupBy(*by) if by else rows.groupBy(F.lit(0).alias("_all"))).applyInPandas(part, schema)
+    else:
+        parts = _split_counts(rows.join(F.broadcast(big.drop("_size")), by, "left_semi") if by else rows, by, schema)  # fewer than rows / SPLIT_ROWS
+        if by:
+            parts = parts.unionByName(rows.join(F.broadcast(big.drop("_size")), by, "left_anti").groupBy(*by).applyInPandas(part, schema))
     g = parts.groupBy(*k).agg(F.sum("won").alias("won"), F.sum("pairs").alias("pairs"), F.sum("n").alias("n"), F.sum("n_events").alias("n_events"))
     return g.select(*k, F.when((F.col("n") >= min_valid) & (F.col("pairs") > 0), F.col("won") / F.col("pairs")).alias("c_index"), "n", "n_events")
 
 
+def newton(time: np.ndarray, event: np.ndarray, x: np.ndarray, max_iter: int = 50, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray] | None:
+    """Coefficients and information of proportional hazards with Breslow ties; None without convergence."""
+    order = np.argsort(-time, kind="stable")
+    time, event, x = time[order], event[order] == 1, x[order]
+    last = np.searchsorted(-time, -time, side="right") - 1  # the end of each time's ties, latest first
+    beta = np.zeros(x.shape[1])
+    for _ in range(max_iter):
+        w = np.exp(x @ beta)
+        s0, s1 = np.cumsum(w)[last], np.cumsum(w[:, None] * x, axis=0)[last]
+        s2 = np.cumsum(w[:, None, None] * x[:, :, None] * x[:, None, :], axis=0)[last]
+        mean = s1 / s0[:, None]
+        grad = (x - mean)[event].sum(0)
+        info = (s2 / s0[:, None, None] - mean[:, :, None] * mean[:, None, :])[event].sum(0)
+        try:
+            step = np.linalg.solve(info, grad)
+        except np.linalg.LinAlgError:
+            return None
+        beta = beta + step
+        if not np.isfinite(beta).all():
+            return None
+        if np.abs(step).max() < tol:
+            return beta, info
+    return None
+
+
+def cox_by(frame: DataFrame, keys: Sequence[str], min_rows: int = 20, min_events: int = 5) -> DataFrame:
+    """``coef, se, n, n_events`` by keys: hazards on the standardised score, all keys in one plan, a task for each.
+
+    Null coefficients below min_rows rows or min_events events, or without convergence.
+    """
+    k = list(keys)
+    rows = frame.filter(valid(F.col("time"), F.col("event")) & F.col("score").isNotNull()).select(*k, F.col("time").cast("double"), F.col("event").cast("double"), F.col("score").cast("double"))
+    kinds = dict(frame.dtypes)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, events = pdf["score"].to_numpy(), int((pdf["event"] == 1).sum())
+        got = None
+        if len(s) >= min_rows and events >= min_events:
+            z = (s - s.mean()) / (s.std() or 1.0)
+            got = newton(pdf["time"].to_numpy(), pdf["event"].to_numpy(), z[:, None])
+        coef, se = (None, None) if got is None else (float(got[0][0]), float(1 / np.sqrt(got[1][0, 0])))
+        return pd.DataFrame({**{c: pdf[c].iloc[:1].tolist() for c in k}, "coef": [coef], "se": [se], "n": [len(s)], "n_events": [events]})
+
+    return rows.groupBy(*k).applyInPandas(fit, ", ".join([*(f"{c} {kinds[c]}" for c in k), "coef double, se double, n long, n_events long"]))
+
+
+def hazards(x: DataFrame, names: Sequence[str], max_iter: int = 50, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray] | None:
+    """:func:`newton` over a table ``time, event`` and named numbers, each step one aggregate over event times.
+
+    Sums over risk sets are running sums over times: rows are first added up by time, so the running window is over
+    distinct times only. The table is persisted for the steps.
+    """
+    p = len(names)
+    x = x.select("time", "event", *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names))).persist()
+    beta = np.zeros(p)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    try:
+        for _ in range(max_iter):
+            lp = sum((F.col(f"x{i}") * float(beta[i]) for i in range(p)), F.lit(0.0))
+            e = x.withColumn("_e", F.exp(lp))
+            at = e.groupBy("time").agg(F.sum("event").alias("d"), F.sum("_e").alias("s0"), *(F.sum(F.col("event") * F.col(f"x{i}")).alias(f"ex{i}") for i in range(p)), *(F.sum(F.col("_e") * F.col(f"x{i}")).alias(f"s1_{i}") for i in range(p)), *(F.sum(F.col("_e") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s2_{i}_{j}") for i, j in pairs))
+            later = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
+            run = at.select("d", *(f"ex{i}" for i in range(p)), *(F.sum(c).over(later).alias(c) for c in ["s0", *(f"s1_{i}" for i in range(p)), *(f"s2_{i}_{j}" for i, j in pairs)])).filter("d > 0")
+            mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
+            r = run.agg(*(F.sum(F.col(f"ex{i}") - F.col("d") * mean[i]).alias(f"g{i}") for i in range(p)), *(F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"h{i}_{j}") for i, j in pairs)).first()
+            if any(v is None for v in r):
+                return None
+            info = np.zeros((p, p))
+            for i, j in pairs:
+                info[i, j] = info[j, i] = r[f"h{i}_{j}"]
+            try:
+                step = np.linalg.solve(info, np.array([r[f"g{i}"] for i in range(p)]))
+            except np.linalg.LinAlgError:
+                return None
+            beta = beta + step
+            if np.abs(step).max() < tol:
+                return beta, info
+        return None
+    finally:
+        x.unpersist()
+
+
 def cox(frame: DataFrame, covariates: Sequence[str] = (), max_iter: int = 50, tol: float = 1e-9) -> dict[str, float]:
     """Proportional hazards on the standardised score and covariates, Breslow ties: hr, coef, se, p, c_index, n, n_events.
 
-    Each Newton step is one aggregate over event times. Sums over risk sets are running sums over times: rows are
-    first added up by time, so the running window is over distinct times only. Null results below 20 rows or 5
-    events, or without convergence.
+    Below 20 rows or 5 events all but the counts is missing; without convergence the concordance is still there.
     """
     names = ["score", *covariates]
     rows = frame.filter(valid(F.col("time"), F.col("event")))
     for c in names:
         rows = rows.filter(F.col(c).isNotNull())
-    s = rows.agg(F.count("*").alias("n"), F.sum("event").alias("d"), F.avg("score").alias("m"), F.stddev_pop("score").alias("sd")).first()
-    nothing = dict.fromkeys(("hr", "coef", "se", "p", "c_index"), math.nan)
-    if s["n"] < 20 or (s["d"] or 0) < 5:
-        return nothing | {"n": s["n"], "n_events": 0}
+    s = rows.agg(F.count("*").alias("n"), F.count_if(F.col("event") == 1).alias("d"), F.avg("score").alias("m"), F.stddev_pop("score").alias("sd")).first()
+    out = dict.fromkeys(("hr", "coef", "se", "p", "c_index"), math.nan) | {"n": s["n"], "n_events": s["d"]}
+    if s["n"] < 20 or s["d"] < 5:
+        return out
     z = (F.col("score") - s["m"]) / (s["sd"] if s["sd"] > 0 else 1.0)
-    x = rows.select("time", "event", z.alias("x0"), *(F.col(c).cast("double").alias(f"x{i + 1}") for i, c in enumerate(covariates)))
-    p = len(names)
-    beta = np.zeros(p)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    info = np.eye(p)
-    for _ in range(max_iter):
-        lp = sum((F.col(f"x{i}") * float(beta[i]) for i in range(p)), F.lit(0.0))
-        e = x.withColumn("_e", F.exp(lp))
-        at = e.groupBy("time").agg(F.sum("event").alias("d"), F.sum("_e").alias("s0"), *(F.sum(F.col("event") * F.col(f"x{i}")).alias(f"ex{i}") for i in range(p)), *(F.sum(F.col("_e") * F.col(f"x{i}")).alias(f"s1_{i}") for i in range(p)), *(F.sum(F.col("_e") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s2_{i}_{j}") for i, j in pairs))
-        later = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-        run = at.select("d", *(f"ex{i}" for i in range(p)), *(F.sum(c).over(later).alias(c) for c in ["s0", *(f"s1_{i}" for i in range(p)), *(f"s2_{i}_{j}" for i, j in pairs)])).filter("d > 0")
-        mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
-        r = run.agg(*(F.sum(F.col(f"ex{i}") - F.col("d") * mean[i]).alias(f"g{i}") for i in range(p)), *(F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"h{i}_{j}") for i, j in pairs)).first()
-        grad = np.array([r[f"g{i}"] for i in range(p)])
-        info = np.zeros((p, p))
-        for i, j in pairs:
-            info[i, j] = info[j, i] = r[f"h{i}_{j}"]
-        try:
-            step = np.linalg.solve(info, grad)
-        except np.linalg.LinAlgError:
-            return nothing | {"n": s["n"], "n_events": int(s["d"])}
-        beta = beta + step
-        if np.abs(step).max() < tol:
-            break
-    else:
-        return nothing | {"n": s["n"], "n_events": int(s["d"])}
-    se = float(np.sqrt(np.linalg.inv(info)[0, 0]))
-    c = concordance(x.select("time", "event", F.col("x0").alias("score"))).first()
-    return {"hr": math.exp(beta[0]), "coef": float(beta[0]), "se": se, "p": two_sided_p(float(beta[0]), se), "c_index": c["c_index"], "n": s["n"], "n_events": int(s["d"])}
+    x = rows.withColumn("score", z)
+    out["c_index"] = concordance(x.select("time", "event", "score")).first()["c_index"]
+    if (got := hazards(x, names, max_iter, tol)) is None:
+        return out
+    coef, se = float(got[0][0]), float(np.sqrt(np.linalg.inv(got[1])[0, 0]))
+    return out | {"hr": math.exp(coef), "coef": coef, "se": se, "p": two_sided_p(coef, se)}
 
 
 def fold_c(c: Column) -> Column:
@@ -157,27 +263,34 @@ def fold_c(c: Column) -> Column:
     return 2 * (0.5 + F.abs(c - 0.5)) - 1
 
 
-def outcome_null(observed: DataFrame, nulls: DataFrame, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
-    """``set_name, observed, n_events, excess_z, lo, hi, n_null, beats_null, mde_80pct_z, mde_80pct_c_index``.
+def outcome_null(observed: DataFrame, nulls: DataFrame, alpha: float = 0.05, power: float = 0.8, metric: str = "c_index") -> DataFrame:
+    """``set_name, observed, n_events, excess_z, lo, hi, n_null, beats_null, mde_80pct_z, mde_80pct_c_index, metric``.
 
-    observed: ``set_name, c_index, n, n_events``; nulls: ``set_name, draw, c_index``.
+    observed: ``set_name, n, n_events`` and c_index or coef; nulls: ``set_name, draw`` and the same. A C-index counts
+    either way, as 2 max(c, 1 - c) - 1; a log hazard as the hyperbolic tangent of its size.
     """
-    o = observed.select("set_name", "c_index", "n_events", F.col("n"), fold_c(F.col("c_index")).alias("r"))
-    e = excess_over_null(o.select("set_name", "r", "n"), nulls.select("set_name", fold_c(F.col("c_index")).alias("r")), alpha=alpha)
+    if metric not in ("c_index", "coef"):
+        raise ValueError("metric must be c_index or coef")
+    r = fold_c(F.col("c_index")) if metric == "c_index" else F.tanh(F.abs(F.col("coef")))
+    o = observed.select("set_name", F.col(metric).alias("seen"), "n_events", F.col("n"), r.alias("r"))
+    e = excess_over_null(o.select("set_name", "r", "n"), nulls.select("set_name", r.alias("r")), alpha=alpha)
     mde = (z_of(1 - alpha / 2) + z_of(power)) * F.col("se")
-    return o.join(e, "set_name", "left").select("set_name", F.col("c_index").alias("observed"), "n_events", "excess_z", "lo", "hi", "n_null", "beats_null", mde.alias("mde_80pct_z"), (F.tanh(mde) / 2).alias("mde_80pct_c_index"))
+    return o.join(e, "set_name", "left").select("set_name", F.col("seen").alias("observed"), "n_events", "excess_z", "lo", "hi", "n_null", "beats_null", mde.alias("mde_80pct_z"), (F.tanh(mde) / 2).alias("mde_80pct_c_index"), F.lit(metric).alias("metric"))
 
 
-def outcome_arm(scores: DataFrame, null_scores: DataFrame, survival: DataFrame, axis: DataFrame | None = None, within: str | None = None, strata: str | None = None) -> DataFrame:
+def outcome_arm(scores: DataFrame, null_scores: DataFrame, survival: DataFrame, axis: DataFrame | None = None, within: str | None = None, strata: str | None = None, metric: str = "c_index") -> DataFrame:
     """Outcome contrasts of scores as they are, and of their residuals on the axis, one row for each set and kind.
 
     scores: ``sample, set_name, score``; null_scores also ``draw``; survival: ``sample, time, event`` and strata.
     """
 
     def arm(own: DataFrame, null: DataFrame, kind: str) -> DataFrame:
-        seen = concordance(own.join(survival, "sample"), ["set_name"], strata)
-        rand = concordance(null.join(survival, "sample"), ["set_name", "draw"], strata)
-        return outcome_null(seen, rand).withColumn("adjustment", F.lit(kind))
+        a, b = own.join(survival, "sample"), null.join(survival, "sample")
+        if metric == "coef":
+            seen, rand = cox_by(a, ["set_name"]), cox_by(b, ["set_name", "draw"])
+        else:
+            seen, rand = concordance(a, ["set_name"], strata), concordance(b, ["set_name", "draw"], strata)
+        return outcome_null(seen, rand, metric=metric).withColumn("adjustment", F.lit(kind))
 
     out = arm(scores, null_scores, "raw")
     if axis is None:
@@ -189,11 +302,21 @@ def outcome_arm(scores: DataFrame, null_scores: DataFrame, survival: DataFrame,
 
 
 def type_rates(frame: DataFrame, kind: str) -> DataFrame:
-    """``kind, rate``: events for each unit of person-time by type."""
+    """``kind, rate, proportion``: a type's events for each unit of person-time, and for each patient."""
     ok = frame.filter(valid(F.col("time"), F.col("event")))
-    return ok.groupBy(kind).agg((F.sum("event") / F.sum("time")).alias("rate"))
+    return ok.groupBy(kind).agg((F.sum("event") / F.sum("time")).alias("rate"), F.avg("event").alias("proportion"))
+
+
+def type_rate_concordance(frame: DataFrame, kind: str, by: str = "rate") -> DataFrame:
+    """Concordance of a type's own event rate (or proportion) as the score of its patients."""
+    return concordance(frame.join(F.broadcast(type_rates(frame, kind)), kind).withColumn("score", F.col(by)))
 
 
-def type_rate_concordance(frame: DataFrame, kind: str) -> DataFrame:
-    """Concordance of a type's own event rate as the score of its patients."""
-    return concordance(frame.join(F.broadcast(type_rates(frame, kind)), kind).withColumn("score", F.col("rate")))
+def type_hazard_concordance(frame: DataFrame, kind: str) -> DataFrame:
+    """Concordance of the linear predictor of proportional hazards on types, the first as reference. Types are few."""
+    ok = frame.filter(valid(F.col("time"), F.col("event")) & F.col(kind).isNotNull())
+    levels = sorted(r[0] for r in ok.select(kind).distinct().collect())[1:]
+    x = ok.select("time", "event", *((F.col(kind) == v).cast("double").alias(f"d{i}") for i, v in enumerate(levels)))
+    got = hazards(x, [f"d{i}" for i in range(len(levels))]) if levels else None
+    score = F.lit(None).cast("double") if got is None else sum((F.col(f"d{i}") * float(b) for i, b in enumerate(got[0])), F.lit(0.0))
+    return concordance(x.withColumn("score", score))

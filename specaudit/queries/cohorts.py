@@ -12,6 +12,7 @@ from ..plans import sweep
 from ..sources import barcodes, tables
 from . import fixtures as fx
 
+#: The code of a customer, as SQL of either engine.
 _CODE = "CASE WHEN c_custkey % 17 = 0 THEN 'bad' || c_custkey ELSE ' tcga-' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || CASE c_custkey % 4 WHEN 0 THEN '-01A-11R-A1B2-07' WHEN 1 THEN '-11B' WHEN 2 THEN '' ELSE '-01' END END"
 
 
@@ -143,7 +144,9 @@ def corr_ci_pearson(spark: SparkSession, d: str) -> DataFrame:
 
 def corr_ci_spearman(spark: SparkSession, d: str) -> DataFrame:
     p = fx.predicted(spark, d).select("stratum", average_rank(F.col("y_true"), "stratum").alias("x"), average_rank(F.col("y_pred"), "stratum").alias("y"))
-    return p.groupBy("stratum").agg(F.round(pearson(F.col("x"), F.col("y")), 6).alias("r"), F.count("*").alias("n"))
+    g = p.groupBy("stratum").agg(pearson(F.col("x"), F.col("y")).alias("r"), F.count("*").alias("n"))
+    lo, hi = corr_interval(F.col("r"), F.col("n"))
+    return g.select("stratum", F.round("r", 6).alias("r"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"), "n")
 
 
 def delta_r(spark: SparkSession, d: str) -> DataFrame:
@@ -193,14 +196,14 @@ def contrast_crude(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contrast_stratified(spark: SparkSession, d: str) -> DataFrame:
-    g = groups.stratified_contrast(fx.predicted(spark, d), fx.REFERENCE, fx.GROUPS)
-    return g.select("group", *(F.round(c, 6).alias(c) for c in ("delta_z", "se", "Q", "I2_pct")), "n_group", "n_reference", "n_strata_used", "n_strata_dropped", "strata", "df")
+    g = groups.with_heterogeneity(groups.stratified_contrast(fx.predicted(spark, d), fx.REFERENCE, fx.GROUPS))
+    return g.select("group", "heterogeneous", *(F.round(c, 6).alias(c) for c in ("delta_z", "delta_lo", "delta_hi", "mde_80pct", "se", "Q", "I2_pct")), "n_group", "n_reference", "n_strata_used", "n_strata_dropped", "strata", "df")
 
 
 def site_identifiability(spark: SparkSession, d: str) -> DataFrame:
-    c = fx.predicted(spark, d).withColumn("site", F.col("stratum"))
-    s = groups.site_identifiability(c, fx.REFERENCE, fx.GROUPS)
-    return s.select("group", "n_group_total", "n_sites_total", "n_sites_supporting", "n_in_supporting", F.round("frac_sites", 6).alias("frac_sites"))
+    c = fx.predicted(spark, d).withColumn("site", F.col("stratum")).withColumn("part", (F.col("y_pred") % 10).cast("int"))
+    s = groups.site_identifiability(c, fx.REFERENCE, fx.GROUPS, stratum="part").na.fill(0, ["n_cells_supporting", "n_in_cells"])
+    return s.select("group", "n_cells_supporting", "n_in_cells", "n_group_total", "n_sites_total", "n_sites_supporting", "n_in_supporting", F.round("frac_sites", 6).alias("frac_sites"))
 
 
 def composition_share(spark: SparkSession, d: str) -> DataFrame:
@@ -225,14 +228,27 @@ def cox_score(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(round(r[k], 6) for k in ("hr", "coef", "se", "p", "c_index")) + (r["n"], r["n_events"])], "hr double, coef double, se double, p double, c_index double, n long, n_events long")
 
 
-def outcome_arm(spark: SparkSession, d: str) -> DataFrame:
+def outcome_scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A price as the score, ten hash scores as its random sets, and survival."""
     s = fx.survival(spark, d)
     own = s.select("sample", F.lit("price").alias("set_name"), "score")
     null = s.select("sample", F.lit("price").alias("set_name"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("draw")).withColumn("score", F.conv(F.substring(hash_order(0, "draw", "sample"), 1, 8), 16, 10).cast("double"))
-    a = outcome.outcome_arm(own, null, s.drop("score"), strata="stratum")
+    return own, null, s.drop("score")
+
+
+def outcome_arm(spark: SparkSession, d: str) -> DataFrame:
+    own, null, s = outcome_scores(spark, d)
+    axis = s.select("sample", (F.col("sample") % 1000).cast("double").alias("axis"))
+    a = outcome.outcome_arm(own, null, s, axis, strata="stratum")
     return a.select("set_name", "adjustment", "n_events", "n_null", *(F.round(c, 6).alias(c) for c in ("observed", "excess_z", "lo", "hi", "mde_80pct_z")), "beats_null")
 
 
+def predicted_folds(spark: SparkSession, d: str) -> DataFrame:
+    """Prices and quantities as two targets, with folds by supplier."""
+    p = fx.predicted(spark, d).withColumn("fold", F.col("cluster") % 5)
+    return p.select("cluster", "stratum", "other", "fold", F.explode(F.create_map(F.lit("y_true"), F.col("y_true").cast("double"), F.lit("y_pred"), F.col("y_pred").cast("double"))).alias("set_name", "score"))
+
+
 def auroc_by_site(spark: SparkSession, d: str) -> DataFrame:
     e = fx.table(spark, d, "embeddings")
     x = e.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("score")).join(e.select(F.col("label").alias("site")).distinct(), F.lit(True))
@@ -351,6 +367,11 @@ def imputed_features(spark: SparkSession, d: str) -> DataFrame:
     return ridge.apply_medians(b, ridge.impute_medians(b)).select("key", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
 
 
+def label_site_r2(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame(variance.label_site_variance(fx.cohort(spark, d), ["purity", "patient"], "site"))
+    return t.select("signature", "n", "n_sites", F.round("r2_site_only", 8).alias("r2_site_only"), F.round("adj_r2_site_only", 8).alias("adj_r2_site_only"))
+
+
 def ancestry_pooled(spark: SparkSession, d: str) -> DataFrame:
     """Stratified differences of each group, pooled over two predictions."""
     p = fx.predicted(spark, d)
@@ -364,7 +385,7 @@ def event_moments(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.moments import windowed_moments
 
     m = windowed_moments(fx.table(spark, d, "events"), "ts", "value", ["event_type"], "1 day")
-    return m.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean", 6).alias("mean"))
+    return m.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 _Z = 1.959963984540054
@@ -381,11 +402,15 @@ def _chi(cells: str, keys: str = "") -> str:
 m AS (SELECT {k}x, y, c, sum(c) OVER ({by}x) AS rt, sum(c) OVER ({by}y) AS ct FROM c),
 g AS (SELECT {k}sum(c) AS n, greatest(sum(c * c / (rt * ct)) - 1, 0) AS phi2, count(DISTINCT x) AS r, count(DISTINCT y) AS q FROM m {"GROUP BY " + keys if keys else ""})"""
 
+_DIGIT = "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST({0} AS INTEGER) % 36 + 1, 1)"
+_BASE36 = lambda x, digits: "(" + " || ".join(_DIGIT.format(f"(({x}) // {36**k})") for k in reversed(range(digits))) + ")"
+_DUCK_ROUND = "((c_custkey - 10000) // 1213056)"
+_DUCK_CODE = _CODE.replace(_SITE, f"CASE WHEN c_custkey < 10000 OR {_DUCK_ROUND} = 0 THEN {_SITE} ELSE {_BASE36(f'335 + 25 * {_DUCK_ROUND} + c_nationkey', 2)} END").replace(_PARTICIPANT, f"CASE WHEN c_custkey < 10000 THEN {_PARTICIPANT} ELSE {_BASE36('466560 + (c_custkey - 10000) % 1213056', 4)} END")
 
 ORACLE_SQL = {
-    "barcode_annotate": f"""WITH b AS (SELECT c_custkey, upper(trim({_CODE})) AS b FROM customer WHERE c_custkey < 10000), p AS (SELECT * FROM b WHERE regexp_matches(b, '{_RE}'))
+    "barcode_annotate": f"""WITH b AS (SELECT c_custkey, upper(trim({_DUCK_CODE})) AS b FROM customer), p AS (SELECT * FROM b WHERE regexp_matches(b, '{_RE}'))
 SELECT c_custkey, 'TCGA-' || regexp_extract(b, '{_RE}', 1) || '-' || regexp_extract(b, '{_RE}', 2) AS patient_id, regexp_extract(b, '{_RE}', 1) AS tss, nullif(regexp_extract(b, '{_RE}', 3), '') AS sample_type, regexp_extract(b, '{_RE}', 3) = '01' AS is_primary_tumour, nullif(regexp_extract(b, '{_RE}', 7), '') AS plate FROM p""",
-    "site_summary": f"""WITH b AS (SELECT upper(trim({_CODE})) AS b FROM customer WHERE c_custkey < 10000), s AS (SELECT regexp_extract(b, '{_RE}', 1) AS tss, count(DISTINCT substr(b, 1, 12)) AS n FROM b WHERE regexp_matches(b, '{_RE}') GROUP BY 1)
+    "site_summary": f"""WITH b AS (SELECT upper(trim({_DUCK_CODE})) AS b FROM customer), s AS (SELECT regexp_extract(b, '{_RE}', 1) AS tss, count(DISTINCT substr(b, 1, 12)) AS n FROM b WHERE regexp_matches(b, '{_RE}') GROUP BY 1)
 SELECT tss, n AS n_patients, round(n / sum(n) OVER (), 6) AS frac, round(sum(n) OVER (ORDER BY n DESC, tss ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS cum_frac FROM s""",
     "sample_mix": "SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS codes, count(DISTINCT o_orderstatus) > 1 AS several, count(*) FILTER (o_orderstatus = 'F') = 0 AS no_tumour FROM orders GROUP BY 1",
     "collapse_to_patient": "SELECT o_custkey AS patient_id, min(o_orderkey) AS o_orderkey, arg_min(o_orderpriority, o_orderkey) AS o_orderpriority, count(*) AS n_slides, round(avg(o_totalprice), 6) AS v0, round(avg(o_orderkey), 6) AS v1 FROM orders GROUP BY 1",
@@ -403,14 +428,14 @@ SELECT substr(upper(p), 1, 12) AS patient_id, a AS ancestry_raw, CASE WHEN a IS
     "fold_balance": f"WITH {fx.COHORT}, f AS (SELECT purity, CAST((row_number() OVER (PARTITION BY type ORDER BY md5('0|' || patient), patient) - 1) % 5 AS INTEGER) AS fold FROM cohort) SELECT fold, count(*) AS n, round(avg(purity), 6) AS outcome_mean, round(stddev_samp(purity), 6) AS outcome_sd FROM f GROUP BY 1",
     "group_kfold_unit": "SELECT c_custkey, CAST((count(*) OVER () - row_number() OVER (ORDER BY c_custkey)) % 5 AS INTEGER) AS fold FROM customer",
     "partition_variance": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS min, round(max(value), 6) AS max FROM events GROUP BY 1",
-    "combat_estimable": f"WITH {fx.COHORT}, c AS (SELECT type, site % 5 AS fold FROM cohort WHERE purity > 5000), s AS (SELECT type, count(DISTINCT fold) AS f FROM c GROUP BY 1) SELECT fold, count(*) AS n, count(*) FILTER (f > 1) AS n_estimable FROM c JOIN s USING (type) GROUP BY 1",
+    "combat_estimable": f"WITH {fx.COHORT}, c AS (SELECT type, site % 5 AS fold FROM cohort), s AS (SELECT type, count(DISTINCT fold) AS f FROM c GROUP BY 1) SELECT fold, count(*) AS n, count(*) FILTER (f > 1) AS n_estimable FROM c JOIN s USING (type) GROUP BY 1",
     "fold_change_pairs": """WITH a AS (SELECT c_custkey AS s, v, (c_custkey + (c_custkey % 10 < v)::INT) % 5 AS f FROM customer, range(0, 3) AS r(v)), j AS (SELECT l.v AS a, r.v AS b, l.f AS x, r.f AS y, count(*) AS c FROM a l JOIN a r USING (s) WHERE l.v < r.v GROUP BY ALL),
 sx AS (SELECT a, b, sum(c * (c - 1) / 2) AS sx FROM (SELECT a, b, x, sum(c) AS c FROM j GROUP BY ALL) GROUP BY ALL), sy AS (SELECT a, b, sum(c * (c - 1) / 2) AS sy FROM (SELECT a, b, y, sum(c) AS c FROM j GROUP BY ALL) GROUP BY ALL),
 g AS (SELECT a, b, sum(c) AS n, sum(c) FILTER (x <> y) AS ch, sum(c * (c - 1) / 2) AS s FROM j GROUP BY ALL)
 SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, CAST(n AS BIGINT) AS n, CAST(coalesce(ch, 0) AS BIGINT) AS n_changed, round((s - sx * sy / (n * (n - 1) / 2)) / ((sx + sy) / 2 - sx * sy / (n * (n - 1) / 2)), 6) AS rand_index FROM g JOIN sx USING (a, b) JOIN sy USING (a, b)""",
-    "sweep_merge": "WITH s AS (SELECT l_suppkey AS split_seed, round(avg(l_discount), 6) AS isi FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1) SELECT split_seed, isi, 'a' AS source FROM s UNION ALL SELECT k, NULL, 'missing' FROM (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT * FROM range(-3, 0)) ANTI JOIN s ON k = split_seed",
+    "sweep_merge": "WITH s AS (SELECT l_suppkey AS split_seed, round(round(avg(l_discount), 9), 6) AS isi FROM lineitem GROUP BY 1) SELECT split_seed, isi, 'a' AS source FROM s UNION ALL SELECT k, NULL, 'missing' FROM (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT * FROM range(-3, 0)) ANTI JOIN s ON k = split_seed",
     "corr_ci_pearson": f"WITH {fx.PREDICTED}, g AS (SELECT stratum, corr(y_true, y_pred) AS r, count(*) AS n FROM pred GROUP BY 1) SELECT stratum, round(r, 6) AS r, round(tanh(atanh(r) - {_Z} / sqrt(n - 3)), 6) AS lo, round(tanh(atanh(r) + {_Z} / sqrt(n - 3)), 6) AS hi, n FROM g",
-    "corr_ci_spearman": f"WITH {fx.PREDICTED}, k AS (SELECT stratum, rank() OVER (PARTITION BY stratum ORDER BY y_true) + (count(*) OVER (PARTITION BY stratum, y_true) - 1) / 2.0 AS x, rank() OVER (PARTITION BY stratum ORDER BY y_pred) + (count(*) OVER (PARTITION BY stratum, y_pred) - 1) / 2.0 AS y FROM pred) SELECT stratum, round(corr(x, y), 6) AS r, count(*) AS n FROM k GROUP BY 1",
+    "corr_ci_spearman": f"WITH {fx.PREDICTED}, k AS (SELECT stratum, rank() OVER (PARTITION BY stratum ORDER BY y_true) + (count(*) OVER (PARTITION BY stratum, y_true) - 1) / 2.0 AS x, rank() OVER (PARTITION BY stratum ORDER BY y_pred) + (count(*) OVER (PARTITION BY stratum, y_pred) - 1) / 2.0 AS y FROM pred), g AS (SELECT stratum, corr(x, y) AS r, count(*) AS n FROM k GROUP BY 1) SELECT stratum, round(r, 6) AS r, round(tanh(atanh(r) - {_Z} / sqrt(n - 3)), 6) AS lo, round(tanh(atanh(r) + {_Z} / sqrt(n - 3)), 6) AS hi, n FROM g",
     "delta_r": f"WITH {fx.PREDICTED}, g AS (SELECT stratum, atanh(corr(y_true, y_pred)) - atanh(corr(y_true, other)) AS x, count(*) AS n FROM pred GROUP BY 1) SELECT stratum, round(x, 6) AS delta, round(x - {_Z} * sqrt(2 / (n - 3)), 6) AS lo, round(x + {_Z} * sqrt(2 / (n - 3)), 6) AS hi, round(({_Z} + {_Z80}) * sqrt(2 / (n - 3)), 6) AS mde FROM g",
     "paired_delta_bootstrap": f"""WITH {fx.PREDICTED}, s AS (SELECT cluster, count(*) AS n, sum(y_pred - other) AS d, row_number() OVER (ORDER BY cluster) - 1 AS p FROM pred GROUP BY cluster), g AS (SELECT count(*) AS g FROM s),
 h AS (SELECT b, CAST('0x' || substr(md5('0|' || b || '|' || p), 1, 8) AS BIGINT) % g AS p FROM s, g, range(0, 200) AS r(b)), v AS (SELECT b, sum(d) / sum(n) AS v FROM h JOIN s USING (p) GROUP BY b)
@@ -436,13 +461,33 @@ s AS (SELECT grp, stratum FROM (SELECT DISTINCT stratum FROM pred), (SELECT unne
 j AS (SELECT s.grp, s.stratum, a.z - b.z AS d, 1 / (1 / (a.n - 3) + 1 / (b.n - 3)) AS w, a.n AS n, b.n AS m FROM s LEFT JOIN g a ON a.grp = s.grp AND a.stratum = s.stratum LEFT JOIN g b ON b.grp = 'EUROPE' AND b.stratum = s.stratum),
 p AS (SELECT grp, sum(w * d) / sum(w) AS x, sum(w) AS sw, sum(n) FILTER (d IS NOT NULL) AS n, sum(m) FILTER (d IS NOT NULL) AS m, count(d) AS u, count(*) - count(d) AS dr, coalesce(string_agg(stratum, ', ' ORDER BY stratum) FILTER (d IS NOT NULL), '') AS st FROM j GROUP BY 1),
 q AS (SELECT p.*, (SELECT sum(w * (d - x) * (d - x)) FROM j WHERE j.grp = p.grp) AS q FROM p)
-SELECT grp AS group, round(x, 6) AS delta_z, round(sqrt(1 / sw), 6) AS se, round(q, 6) AS "Q", round(CASE WHEN u = 0 THEN NULL WHEN q > 0 AND u > 1 THEN greatest(0, (q - (u - 1)) / q) * 100 ELSE 0 END, 6) AS "I2_pct", CAST(n AS BIGINT) AS n_group, CAST(m AS BIGINT) AS n_reference, u AS n_strata_used, dr AS n_strata_dropped, st AS strata, CASE WHEN u > 0 THEN u - 1 END AS df FROM q""",
-    "site_identifiability": f"""WITH {fx.PREDICTED}, c AS (SELECT stratum AS site, grp, count(*) AS n FROM pred GROUP BY ALL), j AS (SELECT a.grp, a.n, coalesce(a.n >= 10 AND b.n >= 10, false) AS ok FROM c a LEFT JOIN c b ON b.site = a.site AND b.grp = 'EUROPE' WHERE a.grp <> 'EUROPE')
-SELECT grp AS group, CAST(sum(n) AS BIGINT) AS n_group_total, (SELECT count(DISTINCT stratum) FROM pred) AS n_sites_total, count(*) FILTER (ok) AS n_sites_supporting, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS n_in_supporting, round(count(*) FILTER (ok) / (SELECT count(DISTINCT stratum) FROM pred), 6) AS frac_sites FROM j GROUP BY 1""",
+SELECT grp AS group, coalesce(q > CASE u WHEN 2 THEN 2.705543454095404 WHEN 3 THEN 4.605170185988092 END, false) AS heterogeneous, round(x, 6) AS delta_z, round(x - {_Z} * sqrt(1 / sw), 6) AS delta_lo, round(x + {_Z} * sqrt(1 / sw), 6) AS delta_hi, round(({_Z} + {_Z80}) * sqrt(1 / sw), 6) AS mde_80pct, round(sqrt(1 / sw), 6) AS se, round(q, 6) AS "Q", round(CASE WHEN u = 0 THEN NULL WHEN q > 0 AND u > 1 THEN greatest(0, (q - (u - 1)) / q) * 100 ELSE 0 END, 6) AS "I2_pct", CAST(n AS BIGINT) AS n_group, CAST(m AS BIGINT) AS n_reference, u AS n_strata_used, dr AS n_strata_dropped, st AS strata, CASE WHEN u > 0 THEN u - 1 END AS df FROM q""",
+    "site_identifiability": f"""WITH {fx.PREDICTED}, c AS (SELECT stratum AS site, grp, count(*) AS n FROM pred GROUP BY ALL), c2 AS (SELECT stratum AS site, CAST(y_pred % 10 AS INTEGER) AS part, grp, count(*) AS n FROM pred GROUP BY ALL),
+j2 AS (SELECT a.grp, a.n, coalesce(a.n >= 10 AND b.n >= 10, false) AS ok FROM c2 a LEFT JOIN c2 b ON b.site = a.site AND b.part = a.part AND b.grp = 'EUROPE' WHERE a.grp <> 'EUROPE'), cells AS (SELECT grp, count(*) FILTER (ok) AS p, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS i FROM j2 GROUP BY 1), j AS (SELECT a.grp, a.n, coalesce(a.n >= 10 AND b.n >= 10, false) AS ok FROM c a LEFT JOIN c b ON b.site = a.site AND b.grp = 'EUROPE' WHERE a.grp <> 'EUROPE')
+SELECT grp AS group, any_value(cells.p) AS n_cells_supporting, any_value(cells.i) AS n_in_cells, CAST(sum(n) AS BIGINT) AS n_group_total, (SELECT count(DISTINCT stratum) FROM pred) AS n_sites_total, count(*) FILTER (ok) AS n_sites_supporting, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS n_in_supporting, round(count(*) FILTER (ok) / (SELECT count(DISTINCT stratum) FROM pred), 6) AS frac_sites FROM j JOIN cells USING (grp) GROUP BY 1""",
     "composition_share": f"WITH {fx.COHORT}, t AS (SELECT grp, type, count(*) AS n FROM cohort GROUP BY ALL), s AS (SELECT grp, type, n, n / sum(n) OVER (PARTITION BY grp) AS s FROM t) SELECT a.grp AS group, a.type, a.n, round(a.s, 6) AS share, round(a.s / b.s, 6) AS enrichment FROM s a LEFT JOIN s b ON b.grp = 'EUROPE' AND a.type = b.type",
     "concordance_index": f"WITH {fx.SURVIVAL}, v AS (SELECT * FROM surv WHERE time > 0) SELECT round(avg(CASE WHEN b.score < a.score THEN 1.0 WHEN b.score = a.score THEN 0.5 ELSE 0.0 END), 8) AS c_index, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v WHERE event = 1) AS n_events FROM v a JOIN v b ON b.time > a.time WHERE a.event = 1",
     "concordance_stratified": f"WITH {fx.SURVIVAL}, v AS (SELECT * FROM surv WHERE time > 0) SELECT round(avg(CASE WHEN b.score < a.score THEN 1.0 WHEN b.score = a.score THEN 0.5 ELSE 0.0 END), 8) AS c_index, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v WHERE event = 1) AS n_events FROM v a JOIN v b ON b.time > a.time AND a.stratum = b.stratum WHERE a.event = 1",
     "type_rate_concordance": f"WITH {fx.SURVIVAL}, v AS (SELECT time, event, sum(event) OVER w / sum(time) OVER w AS score FROM surv WHERE time > 0 WINDOW w AS (PARTITION BY stratum)) SELECT round(avg(CASE WHEN b.score < a.score THEN 1.0 WHEN b.score = a.score THEN 0.5 ELSE 0.0 END), 8) AS c_index, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v WHERE event = 1) AS n_events FROM v a JOIN v b ON b.time > a.time WHERE a.event = 1",
+    "preserved_site_split": f"""WITH RECURSIVE {fx.COHORT}, t AS (SELECT site, count(*)::DOUBLE AS n, avg(purity) AS y, md5('0|' || site) AS lot FROM cohort GROUP BY 1), m AS (SELECT sum(n) / 5 AS share, sum(n * y) / sum(n) AS middle FROM t), q AS (SELECT share, middle, sqrt(sum(n * (y - middle) * (y - middle)) / sum(n)) AS spread FROM t, m GROUP BY ALL),
+o AS (SELECT site, n, n * (y - middle) AS pull, share, spread, row_number() OVER (ORDER BY n DESC, lot) AS p FROM t, q),
+d(p, site, f, size, lean) AS (SELECT 0::BIGINT, NULL::INTEGER, NULL::INTEGER, [0, 0, 0, 0, 0]::DOUBLE[], [0, 0, 0, 0, 0]::DOUBLE[] UNION ALL
+SELECT p, site, f, list_transform(range(1, 6), lambda i: size[i] + CASE WHEN i = f + 1 THEN n ELSE 0 END), list_transform(range(1, 6), lambda i: lean[i] + CASE WHEN i = f + 1 THEN pull ELSE 0 END) FROM (
+SELECT o.p, o.site, o.n, o.pull, size, lean, list_sort(list_transform(range(1, 6), lambda i: {{'c': round(((size[i] + n) * (size[i] + n) - size[i] * size[i]) / (share * share) + ((lean[i] + pull) * (lean[i] + pull) - lean[i] * lean[i]) / (share * spread * share * spread), 9), 'h': md5('0|' || o.site || '|' || (i - 1)), 'f': CAST(i - 1 AS INTEGER)}}))[1].f AS f FROM d JOIN o ON o.p = d.p + 1))
+SELECT patient AS key, f AS fold FROM cohort JOIN d USING (site)""",
+    "outcome_arm": f"""WITH {fx.SURVIVAL}, v AS (SELECT * FROM surv WHERE time > 0), s0 AS (SELECT sample, -1 AS draw, score FROM surv UNION ALL SELECT sample, draw, CAST(CAST('0x' || substr(md5('0|' || draw || '|' || sample), 1, 8) AS BIGINT) AS DOUBLE) FROM surv, range(0, 10) AS r(draw)),
+f AS (SELECT draw, regr_slope(score, (sample % 1000)::DOUBLE) AS b, avg(score) AS my, avg((sample % 1000)::DOUBLE) AS mx FROM s0 GROUP BY draw), k AS (SELECT 'raw' AS kind, sample, draw, score FROM s0 UNION ALL SELECT 'axis_residualised', sample, draw, score - (my + b * ((sample % 1000)::DOUBLE - mx)) FROM s0 JOIN f USING (draw)),
+l AS (SELECT kind, draw, k.score, v.time, v.event, v.stratum FROM k JOIN v USING (sample)), c AS (SELECT kind, draw, sum(won) / sum(pairs) AS c FROM (SELECT a.kind, a.draw, sum(CASE WHEN b.score < a.score THEN 1.0 WHEN b.score = a.score THEN 0.5 ELSE 0.0 END) AS won, count(*) AS pairs FROM l a JOIN l b ON a.kind = b.kind AND a.draw = b.draw AND a.stratum = b.stratum AND b.time > a.time WHERE a.event = 1 GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT kind, draw, c, atanh(least(2 * (0.5 + abs(c - 0.5)) - 1, 0.999999)) AS z FROM c), g AS (SELECT kind, avg(z) AS m, stddev_samp(z) AS sd, count(*) AS b FROM z WHERE draw >= 0 GROUP BY kind),
+e AS (SELECT z.kind, c, z - m AS x, sqrt(1.0 / ((SELECT count(*) FROM v) - 3) + sd * sd / b) AS se, b FROM z JOIN g USING (kind) WHERE draw = -1)
+SELECT 'price' AS set_name, kind AS adjustment, (SELECT count(*) FROM v WHERE event = 1) AS n_events, b AS n_null, round(c, 6) AS observed, round(x, 6) AS excess_z, round(x - {_Z} * se, 6) AS lo, round(x + {_Z} * se, 6) AS hi, round(({_Z} + {_Z80}) * se, 6) AS mde_80pct_z, x - {_Z} * se > 0 AS beats_null FROM e""",
+    "label_site_r2": f"""WITH {fx.COHORT}, l AS (SELECT 'purity' AS signature, site, purity AS v FROM cohort UNION ALL SELECT 'patient', site, patient FROM cohort), b AS (SELECT site FROM cohort GROUP BY 1 HAVING count(*) >= 10), x AS (SELECT signature, site, v - avg(v) OVER (PARTITION BY signature) AS d FROM l JOIN b USING (site)),
+s AS (SELECT signature, site, count(*) AS n, sum(d) AS s, sum(d * d) AS ss FROM x GROUP BY ALL), g AS (SELECT signature, sum(n) AS n, count(*) AS k, sum(s * s / n) / sum(ss) AS r2 FROM s GROUP BY 1)
+SELECT signature, CAST(n AS BIGINT) AS n, k AS n_sites, round(r2, 8) AS r2_site_only, round(1 - (1 - r2) * (n - 1) / (n - k), 8) AS adj_r2_site_only FROM g""",
+    "bh_directional": """WITH z AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1009 - 500) / 100.0 AS e, abs((p_partkey * 7919 % 1009 - 500) / 100.0 / (2.0 / (2 * 1.959963984540054))) AS z FROM part), t AS (SELECT *, z / sqrt(2) AS x, 1 / (1 + 0.5 * z / sqrt(2)) AS t FROM z),
+p AS (SELECT *, t * exp(-x * x - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))) AS p FROM t),
+r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY z DESC, k) AS q, row_number() OVER (ORDER BY z DESC, k) AS i FROM p), m AS (SELECT coalesce(max(i) FILTER (q <= 0.05), 0) AS m FROM r)
+SELECT k AS set_name, round(z, 6) AS z_stat, i <= m AND e > 0 AS beats_null_bh FROM r, m""",
     "auroc_by_site": "WITH x AS (SELECT site, (label = site)::INT AS y, CAST(embedding[1] AS DOUBLE) AS s FROM embeddings, (SELECT DISTINCT label AS site FROM embeddings)), r AS (SELECT site, y, rank() OVER (PARTITION BY site ORDER BY s) + (count(*) OVER (PARTITION BY site, s) - 1) / 2.0 AS r FROM x) SELECT site, CAST(sum(y) AS BIGINT) AS n_patients, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 8) AS auroc FROM r GROUP BY 1",
     "combat_apply": f"WITH {fx.EXPR}, b AS (SELECT label, gene, avg(value) AS m, stddev_pop(value) AS s FROM expr GROUP BY ALL), g AS (SELECT gene, avg(value) AS gm, stddev_pop(value) AS gs FROM expr GROUP BY ALL) SELECT sample AS key, CAST(gene AS INTEGER) AS dim, round((value - m) / s * gs + gm, 6) AS corrected, true AS estimable FROM expr JOIN b USING (label, gene) JOIN g USING (gene)",
     "combat_out_of_fold": f"""WITH {fx.EXPR}, e AS (SELECT *, sample % 5 AS fold FROM expr), k AS (SELECT * FROM range(0, 5) AS r(k)), b AS (SELECT k, label, gene, avg(value) AS m, stddev_pop(value) AS s FROM e, k WHERE fold <> k GROUP BY ALL), g AS (SELECT k, gene, avg(value) AS gm, stddev_pop(value) AS gs FROM e, k WHERE fold <> k GROUP BY ALL)
@@ -459,7 +504,7 @@ UNION ALL SELECT 'large', 2, count(*), count(DISTINCT o_custkey) FROM orders WHE
     "set_size_stats": "WITH s AS (SELECT p_brand, count(DISTINCT p_partkey) AS k FROM part WHERE NOT starts_with(p_brand, 'Brand#1') GROUP BY 1), l AS (SELECT list_sort(list(k)) AS l FROM s) SELECT CAST(len(l) AS INTEGER) AS n_sets, l[1] AS smallest, l[len(l) // 2 + 1] AS upper_median, l[len(l)] AS largest FROM l",
     "nonspace_count": "SELECT n_nationkey, CAST(length(regexp_replace(n_name, '\\s', '', 'g')) AS INTEGER) AS n_chars FROM nation",
     "imputed_features": f"WITH {fx.EXPR}, m AS (SELECT gene, median(value) FILTER ((sample + gene) % 7 <> 0) AS m FROM expr WHERE gene < 48 GROUP BY gene) SELECT sample AS key, round(sum(CASE WHEN (sample + gene) % 7 <> 0 THEN value ELSE m END), 5) AS total FROM expr JOIN m USING (gene) GROUP BY 1",
-    "event_moments": "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
+    "event_moments": "SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM events GROUP BY ALL",
     "impute_medians": f"WITH {fx.EXPR} SELECT CAST(gene AS INTEGER) AS pos, round(coalesce(median(value) FILTER ((sample + gene) % 7 <> 0), 0), 6) AS median FROM expr WHERE gene < 48 GROUP BY gene",
 }
 
@@ -469,7 +514,7 @@ QUERIES = {
         barcode_annotate, site_summary, sample_mix, collapse_to_patient, assemble_cohort, join_coverage, cohort_overlap, frame_difference, mean_by_patient, first_sample_by_patient, ancestry_keep_first,
         purity_by_patient, cohort_fingerprint, random_folds, fold_balance, group_kfold_unit, preserved_site_split, partition_variance, combat_estimable, fold_change_pairs, sweep_merge, corr_ci_pearson,
         corr_ci_spearman, delta_r, paired_delta_bootstrap, bootstrap_corr, bootstrap_corr_spearman, bh_fdr, cramers_v, cramers_v_perm, group_correlations, contrast_crude, contrast_stratified,
-        site_identifiability, composition_share, concordance_index, concordance_stratified, type_rate_concordance, cox_score, outcome_arm, auroc_by_site, combat_apply, combat_out_of_fold,
+        site_identifiability, composition_share, concordance_index, concordance_stratified, type_rate_concordance, cox_score, outcome_arm, label_site_r2, auroc_by_site, combat_apply, combat_out_of_fold,
         r2_single_factor, permutation_calibration, purity_share, r2_ladder, label_site_variance, ridge_oof, ridge_loo_alpha, impute_medians, site_logistic, effective_tests, pooled_bootstrap,
         attrition_funnel, value_spread, set_size_stats, nonspace_count, bh_directional, imputed_features, ancestry_pooled, event_moments,
     )

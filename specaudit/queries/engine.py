@@ -1,6 +1,6 @@
 """All queries of the statistical engine and their DuckDB equivalents."""
 
-from . import cohorts, matrix
+from . import cohorts, extras, matrix
 
-QUERIES = {**matrix.QUERIES, **cohorts.QUERIES}
-ORACLE_SQL = {**matrix.ORACLE_SQL, **cohorts.ORACLE_SQL}
+QUERIES = {**matrix.QUERIES, **cohorts.QUERIES, **extras.QUERIES}
+ORACLE_SQL = {**matrix.ORACLE_SQL, **cohorts.ORACLE_SQL, **extras.ORACLE_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Mapping, Sequence
@@ -161,6 +162,26 @@ def load_expression(wide: DataFrame, sample: str, gene_map: DataFrame | None = N
     return rows.join(F.broadcast(named.select("gene", "symbol")), "gene").select("sample", F.col("symbol").alias("gene"), "ordinal", "value")
 
 
+def derive_gene_map(names: DataFrame, gene_id: str = "ensembl_gene_id", symbol: str = "symbol") -> DataFrame:
+    """``gene_id, symbol`` of a table of gene names, without rows that have no id."""
+    return names.filter(F.col(gene_id).isNotNull()).select(F.col(gene_id).cast("string").alias("gene_id"), F.col(symbol).cast("string").alias("symbol"))
+
+
+def to_symbols(genes: DataFrame, gene: str, order: str, gene_map: DataFrame, samples: Sequence[str] | None = None) -> DataFrame:
+    """Long ``sample, gene, ordinal, value`` of a wide genes x samples table, transposed and renamed.
+
+    Ids are looked up without their version; the first gene (by ``order``) of a name wins; ids of the map's kind that
+    it doesn't hold (ENSG...) drop out. samples names the columns to read; the others aren't.
+    """
+    columns = list(samples) if samples is not None else [c for c in genes.columns if c not in (gene, order)]
+    bare = F.split_part(F.col(f"`{gene}`").cast("string"), F.lit("."), F.lit(1))
+    names = genes.select(F.col(f"`{gene}`").alias("_id"), F.col(f"`{order}`").alias("ordinal"), bare.alias("gene_id")).join(gene_map.dropDuplicates(["gene_id"]), "gene_id", "left")
+    names = names.withColumn("gene", F.coalesce("symbol", F.col("_id").cast("string"))).filter(~F.col("gene").startswith("ENSG"))
+    names = keep_first(names, ["gene"], ["ordinal"]).select("_id", "gene", "ordinal")
+    long = genes.select(F.col(f"`{gene}`").alias("_id"), *(number(F.col(f"`{c}`")).alias(c) for c in columns)).unpivot(["_id"], columns, "sample", "value")
+    return long.join(names, "_id").select("sample", "gene", "ordinal", "value")
+
+
 def read_gene_sets_gmt(spark: SparkSession, path: str) -> DataFrame:
     """``set_name, ordinal, gene`` of a GMT file: name, description and genes between tabs."""
     parts = spark.read.text(path).select(F.split("value", "\t").alias("p")).filter(F.size("p") > 2)
@@ -210,9 +231,15 @@ def read_delimited(spark: SparkSession, path: str, columns: Sequence[str] | None
 
 
 def fingerprint(frame: DataFrame, key: str) -> DataFrame:
-    """One row: sha256 of the sorted distinct keys joined by newlines, and their number."""
-    keys = F.array_sort(F.collect_set(F.col(key).cast("string")))
-    return frame.agg(F.sha2(F.array_join(keys, "\n"), 256).alias("fingerprint"), F.countDistinct(key).alias("n"))
+    """One row: sha256 of the sorted distinct keys joined by newlines, and their number.
+
+    Keys are sorted on executors and come to the driver partition by partition, where the hash runs along.
+    """
+    digest, n = hashlib.sha256(), 0
+    for r in frame.select(F.col(key).cast("string").alias("k")).filter("k IS NOT NULL").distinct().orderBy("k").toLocalIterator():
+        digest.update(("\n" if n else "").encode() + r["k"].encode())
+        n += 1
+    return frame.sparkSession.createDataFrame([(digest.hexdigest(), n)], "fingerprint string, n long")
 
 
 def save(tables: Mapping[str, DataFrame], folder: str, kind: str = "parquet") -> None:
