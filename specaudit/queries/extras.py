@@ -216,11 +216,11 @@ def baseline_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, d: str) -> audit.AuditResult:
-    """Vectors as patients: the first 48 dimensions predict; the others, each with one of the first eight added, are genes;
-    the sets are the genes with the same one of four of these."""
+    """Vectors as patients: two dimensions predict; those from the ninth on, each with one of the first eight added, are
+    genes; the sets are the genes with the same one of four of these."""
     e = fx.table(spark, d, "embeddings")
     v = F.col("embedding").cast("array<double>")
-    frame = e.select(F.col("vec_id").alias("patient_id"), F.concat(F.lit("S"), F.pmod(F.col("vec_id"), F.lit(20)).cast("string")).alias("tss"), (F.col("label") % 2).cast("string").alias("cancer_type"), F.get(v, F.lit(0)).alias("purity"), F.slice(v, 1, 48).alias("x"))
+    frame = e.select(F.col("vec_id").alias("patient_id"), F.concat(F.lit("S"), F.pmod(F.col("vec_id"), F.lit(20)).cast("string")).alias("tss"), (F.col("label") % 2).cast("string").alias("cancer_type"), F.get(v, F.lit(0)).alias("purity"), F.array(*(F.get(v, F.lit(k)) for k in (0, 1, 1)), F.get(v, F.lit(0)) * F.get(v, F.lit(1))).alias("x"))
     base = fx.expr(spark, d).filter("gene < 8").select("sample", F.col("gene").alias("k"), F.col("value").alias("shared"))
     own = fx.expr(spark, d).filter("gene >= 8").withColumn("k", F.col("gene") % 8)
     expr = own.join(base, ["sample", "k"]).select("sample", "gene", (F.col("value") + 1.5 * F.col("shared")).alias("value"))
