@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import string
 import tempfile
@@ -58,6 +59,12 @@ def release(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans, which it does when the driver collects them as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch (rows alone say nothing about memory when texts are long), and let Python
     workers import this package from where the driver has it."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release, row_key, slices, small_batches, text_of
+from .common import materialise, release, row_key, slices, small_batches, text_of, tidy
 
 PASSAGE_WORDS = 50
 GRAM_WORDS = 20
@@ -285,10 +285,12 @@ def repeated_word_ranges(docs: DataFrame) -> DataFrame:
     wanted = classes.join(mixed, "fp", "left_semi").groupBy(F.col("first.key").alias("key")).agg(F.collect_list("first.start").alias("starts"))
     wanted = materialise(wanted, "wanted")
     release(met, classes, mixed)
+    tidy(spark)
     each = materialise(rows.join(wanted, "key").mapInArrow(windows, "fp long, h long, doc_id long, key binary, start int, end int").select("fp", "h", ordered("end")), "windows")
     first = materialise(each.groupBy("fp", "h").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("fp", "h", "first"), "first")
     ranges = materialise(disjoint(cut.unionByName(later(each, first, "first.end"))), "ranges")
     release(cut, wanted, each, first)
+    tidy(spark)
     return ranges
 
 

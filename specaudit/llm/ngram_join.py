@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, row_key, slices, small_batches, text_of
+from .common import materialise, release, row_key, slices, small_batches, text_of, tidy
 from .components import connected
 from .wordcodes import word_codes
 
@@ -241,13 +241,15 @@ def _hot_grams(heads: DataFrame, total: int) -> np.ndarray:
 
 
 def _shared_grams(sets: DataFrame, buckets: int, hot: np.ndarray, lists: bool) -> DataFrame:
-    """``c, n_hot, k, h`` of ``c, grams``: for classes and buckets, how many n-grams another class has too, and these.
+    """``c, n_hot, k, h`` of ``c, grams``: for classes and buckets, how many n-grams another class has too, and these
+    with the number of classes that have them.
 
     A bucket and 48 bits of the hash name an n-gram from here on. An entry takes 14 bytes, whatever the number of
     buckets; these grow in number with the data, not in size, since no n-gram that very many classes hold is dealt.
     Rows with n_hot say how many of a class's n-grams were not. Without ``lists`` the n-grams themselves are left out.
     """
     sent = sets.sparkSession.sparkContext.broadcast(hot)  # see _hot_grams for its bound
+    entry = pa.list_(pa.struct([("df", pa.int64()), ("g", pa.int64())]))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("cs", pa.binary()), ("grams", pa.binary())])
@@ -275,7 +277,7 @@ def _shared_grams(sets: DataFrame, buckets: int, hot: np.ndarray, lists: bool) -
         packed = b"".join(table["grams"].to_pylist())
         if bucket < 0:
             who, at = np.unique(owner, return_index=True)
-            return pa.table({"c": pa.array(who), "n_hot": pa.array(np.frombuffer(packed, "<i8")[at]), "k": pa.array(np.zeros(len(who), np.int64)), "h": pa.array([[]] * len(who), pa.list_(pa.int64()))})
+            return pa.table({"c": pa.array(who), "n_hot": pa.array(np.frombuffer(packed, "<i8")[at]), "k": pa.array(np.zeros(len(who), np.int64)), "h": pa.array([[]] * len(who), entry)})
         flat = unpack_low(packed, bucket)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
@@ -290,11 +292,16 @@ def _shared_grams(sets: DataFrame, buckets: int, hot: np.ndarray, lists: bool) -
         flat, owner = flat[new], owner[new]
         begin = starts_of(owner)
         ends = np.append(begin, len(owner))
-        h = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64))) if lists else pa.array([[]] * len(begin), pa.list_(pa.int64()))
+        if lists:
+            _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+            pairs = pa.StructArray.from_arrays([pa.array(times[code].astype(np.int64)), pa.array(flat.view(np.int64))], ["df", "g"])
+            h = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs).cast(entry)
+        else:
+            h = pa.array([[]] * len(begin), entry)
         return pa.table({"c": pa.array(owner[begin], pa.int64()), "n_hot": pa.array(np.zeros(len(begin), np.int64)), "k": pa.array(np.diff(ends)), "h": h})
 
     dealt = sets.select("c", "grams").mapInArrow(deal, "bucket int, cs binary, grams binary")
-    return dealt.groupBy("bucket").applyInArrow(shared, "c long, n_hot long, k long, h array<long>")
+    return dealt.groupBy("bucket").applyInArrow(shared, "c long, n_hot long, k long, h array<struct<df:long,g:long>>")
 
 
 def _hot_lists(held: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -392,30 +399,30 @@ def similar_classes(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT, als
     # one plan at every size: texts meet the classes that are wanted by a shuffle
     found = rows.select("key", "text").join(wanted.select("key", "c").hint("shuffle_merge"), "key").select("c", "text").mapInArrow(whole_sets, "c long, grams binary")
     sets = materialise(found.groupBy("c").agg(F.min("grams").alias("grams")), "sets")  # rows that repeat id and text meet on the map side
+    del found
+    tidy(spark)
     size = sets.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()
     shared = materialise(_shared_grams(sets, buckets(size[0]), hot, lists=True), "shared")
     least = F.ceil(F.col("n") * percent / 100)
     enough = shared.groupBy("c").agg(F.sum("n_hot").alias("n_hot"), F.sum("k").alias("k")).join(wanted.select("c", "n"), "c").filter(F.col("k") + F.col("n_hot") >= least)
-    enough = materialise(enough.select("c", "n", "n_hot"), "enough")
-    flat = materialise(shared.join(enough.select("c"), "c").select("c", F.explode("h").alias("g")), "flat")
-    common = materialise(flat.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "common")
-    ordered = flat.join(common, "g").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    held = enough.join(ordered, "c", "left").select("c", "n", "n_hot", F.coalesce(F.transform("o", lambda x: x["g"]), F.array().cast("array<bigint>")).alias("h"))
-    held = held.filter(F.size("h") + F.col("n_hot") >= least).withColumn("alone", F.col("n") - F.size("h") - F.col("n_hot"))
+    enough = materialise(enough.select("c", "n", (F.col("n") - F.col("k") - F.col("n_hot")).alias("alone")), "enough")
+    ordered = shared.join(enough.select("c"), "c", "left_semi").groupBy("c").agg(F.array_sort(F.flatten(F.collect_list("h"))).alias("o"))
+    held = enough.join(ordered, "c").select("c", "n", "alone", F.transform("o", lambda x: x["g"]).alias("h"))
     # the first n-grams in order of rarity, own ones first: a link needs one of them in common
     held = held.withColumn("reach", F.greatest(F.col("n") - least + 1 - F.col("alone"), F.lit(0)).cast("int"))
     held = materialise(held.filter("reach > 0").select("c", "n", "alone", "reach", F.slice("h", 1, F.col("reach")).alias("h")), "held")
-    release(counts, wanted, shared, enough, flat, common)
+    release(counts, wanted, shared, enough)
     lists = held.select("c", "n", "alone", F.posexplode("h")).select(F.col("col").alias("g"), "c", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"), (F.col("alone") / F.col("n")).alias("share"))
     if len(hot):
         lists = lists.unionByName(_hot_lists(held, sets, hot))
     lists = materialise(lists, "lists")
     release(held)
-
+    tidy(spark)
     hubs = lists.groupBy("g").agg(F.min(F.struct("share", "c", "n", "rest")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     hubs = materialise(hubs.select("g", "hub.c", "hub.n", "hub.rest", F.col("hub.c").alias("label")), "hubs")
     own = materialise(lists.join(hubs.select("g"), "g", "left_semi").select("g", "c", "n", "rest", F.col("c").alias("label")), "members")
     links = _search(own, hubs, sets, percent)
+    tidy(spark)
     labels = connected(links)
     named_lists = materialise(own.drop("label").join(labels.withColumnRenamed("node", "c"), "c", "left").select("g", "c", "n", "rest", F.coalesce("label", "c").alias("label")), "named")
     release(lists, hubs, own, labels)
@@ -460,16 +467,25 @@ def keep_one(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT, also: Data
         text = lambda d: d.select(d["doc_id"].cast("long").alias("doc_id"), text_of(d).alias("text"))
         one = lambda d: text(d).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(F.xxhash64("text")).alias("h")).filter("rows = 1").select("doc_id", "h")
         now, then = one(docs), one(also).withColumnRenamed("h", "before")
-        changed = now.join(then, "doc_id").filter("h <> before").select("doc_id")
-        classes, links = similar_classes(docs, n, percent, text(also).join(changed, "doc_id", "left_semi"))
+        changed = materialise(now.join(then, "doc_id").filter("h <> before").select("doc_id"), "changed")
+        before = materialise(text(also).join(changed, "doc_id", "left_semi"), "before")
+        release(changed)
+        classes, links = similar_classes(docs, n, percent, before)
         ties = classes.filter("own").select("doc_id", F.col("c").alias("a")).join(classes.filter("NOT own").select("doc_id", F.col("c").alias("b")), "doc_id")
         links = links.unionAll(ties.filter("a <> b").select("a", "b"))
     named = materialise(_labelled(classes, links), "components")
     chosen = named.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
-    chosen = materialise(chosen.select(F.col("best.key").alias("key")).unionAll(named.filter("label IS NULL").select("key").distinct()), "chosen")
-    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_key(docs).alias("key"))
-    kept = row.join(chosen, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
-    return kept
+    others = named.join(chosen, "label").filter(F.col("key") != F.col("best.key"))
+    goes = materialise(others.select("key").distinct(), "others")
+    again = materialise(named.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key"), "again")
+    release(named)
+    tidy(docs.sparkSession)
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_key(docs).alias("key")).join(goes, "key", "left_anti")
+    if again.isEmpty():
+        return row.select("row.*")
+    # rows that repeat id and text: the first of each
+    twice = row.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+    return row.join(again, "key", "left_anti").select("row.*").unionAll(twice.select("row.*"))
 
 
 ORACLE_SQL = f"""
