@@ -1,8 +1,9 @@
 """Benchmark decontamination, as DataFrame expressions only.
 
-Benchmark items become windows of WINDOW normalised words (a shorter item is one window). The windows are a
-broadcast hash set; each training text is scanned window by window, the few places whose first words are those
-of a benchmark window are verified word for word, and documents or spans with hits are removed.
+Benchmark items become windows of WINDOW normalised words (a shorter item is one window). The hashes of the windows'
+first words are a broadcast hash set, or a broadcast bitmap if they are many; each training text is scanned window by
+window, the few places whose first words could be those of a benchmark window are verified word for word, and
+documents or spans with hits are removed. Texts never travel, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from .common import ascii_lower, row_key, text_of
 WINDOW = 13
 #: Words of a window that the scan looks up before the window is verified.
 ANCHOR = 4
-#: Largest set of anchors that goes into the scan, and largest table of windows that is broadcast; beyond, both are shuffled.
+#: Largest set of anchors that goes into the scan as it is; beyond, a bitmap of BITMAP_WORDS 64-bit words does (8 MB: of
+#: ten million anchors' texts one place in seven goes on). Larger tables of windows than MAX_BROADCAST_BYTES are shuffled.
 MAX_ANCHORS = 50_000
+BITMAP_WORDS = 1 << 20
 MAX_BROADCAST_BYTES = 32 << 20
 #: A document is contaminated if hits cover one word in so many.
 HIT_SHARE = 20
@@ -40,36 +43,58 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy("gram", "n", "anchor").agg(F.collect_set("item").alias("items"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: Column | None = None) -> DataFrame:
-    """For each row of docs: ``key, doc_id, n_words, hits, items``; hits are disjoint (start, end) in words, in order.
+def anchor_bitmap(windows: DataFrame) -> DataFrame:
+    """One row ``bits``: for each length of a window, BITMAP_WORDS words with a bit for each anchor."""
+    word = F.pmod(F.shiftright("anchor", 6), F.lit(BITMAP_WORDS)).cast("int")
+    bit = F.expr("shiftleft(1L, cast(anchor & 63 AS INT))")
+    known = windows.select("n", word.alias("word"), bit.alias("bit")).groupBy("n", "word").agg(F.bit_or("bit").alias("bits"))
+    lengths = known.select("n").distinct()
+    grid = lengths.select("n", F.explode(F.sequence(F.lit(0), F.lit(BITMAP_WORDS - 1))).alias("word"))
+    words = grid.join(known, ["n", "word"], "left").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("w"))  # BITMAP_WORDS entries
+    one = words.agg(F.map_from_entries(F.collect_list(F.struct("n", F.transform("w", lambda x: x["bits"])))).alias("m"))
+    return one.select(*(F.col("m")[n].alias(f"bits_{n}") for n in range(1, WINDOW + 1)))
 
-    Only the places found, never whole texts, are shuffled. The key numbers the rows of docs if none is given.
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``key, doc_id, n_rows, n_words, hits, items``; hits are disjoint (start, end) in words, in order.
+
+    key is :func:`common.row_key`; rows that repeat id and text are one row here, with their number. Only the places
+    found, never whole texts, are shuffled.
     """
     windows = benchmark_windows(benchmark, window)
     size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram") + 64 * F.size("items")), F.lit(0))).first()
-    lengths = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most WINDOW rows
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most WINDOW rows
     anchors: dict[int, list[int]] = {n: [] for n in lengths}
-    if anchored := size[0] <= MAX_ANCHORS:
+    rows = docs.select(row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), item_words(text_of(docs)).alias("w"))
+    if few := size[0] <= MAX_ANCHORS:
         for r in windows.select("n", "anchor").distinct().collect():
             anchors[r["n"]].append(r["anchor"])
-    rows = docs.select((F.monotonically_increasing_id() if key is None else key).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), item_words(text_of(docs)).alias("w"))
+    else:
+        bits = anchor_bitmap(windows).withColumn("_one", F.lit(1))
+        rows = rows.join(F.broadcast(bits), F.lit(1) == F.col("_one"), "left")  # one row of BITMAP_WORDS words for each length
     found = []
-    for n in sorted(lengths):
+    for n in lengths:
         head = "xxhash64(" + ", ".join(f"w[i + {k}]" for k in range(min(n, ANCHOR))) + ")"
-        test = f"{head} IN ({', '.join(f'{a}L' if a != -(2**63) else '(-9223372036854775807L - 1L)' for a in anchors[n])})" if anchored else "true"
-        found.append(F.expr(f"CASE WHEN size(w) >= {n} THEN transform(filter(sequence(0, greatest(size(w) - {n}, 0)), i -> {test}), i -> struct(i AS at, {n} AS n, array_join(slice(w, i + 1, {n}), ' ') AS gram)) ELSE array() END"))
-    places = F.concat(*found) if found else F.array().cast("array<struct<at:int,n:int,gram:string>>")
-    places = rows.select("key", "doc_id", F.size("w").alias("n_words"), F.explode_outer(places).alias("p"))
+        places = f"sequence(0, greatest(size(w) - {n}, 0))"
+        if few:
+            places = f"filter({places}, i -> {head} IN ({', '.join(f'{a}L' if a != -(2**63) else '(-9223372036854775807L - 1L)' for a in anchors[n])}))"
+        else:
+            hit = f"(get(bits_{n}, cast(pmod(shiftright(x.h, 6), {BITMAP_WORDS}) AS INT)) & shiftleft(1L, cast(x.h & 63 AS INT))) <> 0"
+            places = f"transform(filter(transform({places}, i -> struct(i AS i, {head} AS h)), x -> {hit}), x -> x.i)"
+        found.append(F.expr(f"CASE WHEN size(w) >= {n} THEN transform({places}, i -> struct(i AS at, {n} AS n, array_join(slice(w, i + 1, {n}), ' ') AS gram)) ELSE array() END"))
+    # a place of its own for each row says how often it is there
+    row = F.expr("array(struct(-1 AS at, 0 AS n, CAST(NULL AS STRING) AS gram))")
+    places = rows.select("key", "doc_id", F.size("w").alias("n_words"), F.explode(F.concat(row, *found)).alias("p"))
     places = places.select("key", "doc_id", "n_words", F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.col("p.gram").alias("gram"))
     grams = windows.select("gram", F.col("n").alias("gn"), "items")
     if size[1] <= MAX_BROADCAST_BYTES:
         grams = F.broadcast(grams)
     hits = places.join(grams, (places["gram"] == grams["gram"]) & (places["n"] == grams["gn"]), "left")
     hit = F.when(F.col("items").isNotNull(), F.struct(F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end")))
-    by_doc = hits.groupBy("key", "doc_id", "n_words").agg(F.array_sort(F.collect_list(hit)).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    by_doc = hits.groupBy("key", "doc_id", "n_words").agg(F.count_if(F.col("at") < 0).alias("n_rows"), F.array_sort(F.collect_set(hit)).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     start = F.array().cast("array<struct<start:int,end:int>>")
     joined = F.aggregate("h", F.struct(start.alias("done"), F.lit(None).cast("struct<start:int,end:int>").alias("open")), _extend, lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))))
-    return by_doc.select("key", "doc_id", "n_words", joined.alias("hits"), "items")
+    return by_doc.select("key", "doc_id", "n_rows", "n_words", joined.alias("hits"), "items")
 
 
 def _extend(state: Column, x: Column) -> Column:
@@ -92,8 +117,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     found = find_hits(docs, benchmark)
     n_hit = F.aggregate("hits", F.lit(0), lambda a, x: a + x["end"] - x["start"])
-    out = found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return out.select("*", ((F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = found.select("n_rows", "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    verdict = ((F.col("n_hit") > 0) & (HIT_SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
+    return out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows"))).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", verdict)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = False) -> DataFrame:
@@ -103,7 +129,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, spans: bool = Fal
     goes with the word after it. A document is known by its id and text: rows that repeat both fare alike.
     """
     key = row_key(docs)
-    found = find_hits(docs, benchmark, key=key)
+    found = find_hits(docs, benchmark)
     n_hit = F.aggregate("hits", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     bad = found.filter((n_hit > 0) & (HIT_SHARE * n_hit >= F.col("n_words"))).select(F.col("key").alias("bad_key"), "hits")
     rows = docs.select(key.alias("key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))

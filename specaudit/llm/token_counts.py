@@ -1,7 +1,7 @@
 """Token counts through a digest cache.
 
 The cache is a Parquet table ``(content, tokenizer, n_tokens)``: digests of the normalised content and of the
-tokenizer file, and the count. Texts are joined to it by digest; only distinct contents without an entry are
+tokenizer file, and the count. Digests are joined to it first; only distinct contents without an entry move and are
 encoded, and their counts are appended. Normalising replaces null by the empty text and nothing else, since
 any other change could change a count.
 """
@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, slices, small_batches, text_of
+from .common import materialise, new_path, release, slices, small_batches, text_of
 from .wordcodes import JoinedEncoder, WordCache, used_codes, word_codes
 
 _CACHES: dict = {}
+#: Digests of contents without an entry that are broadcast (some 80 bytes each), so that other texts stay where they are.
+MAX_BROADCAST_DIGESTS = 200_000
 
 
 def file_digest(path: str) -> str:
@@ -103,15 +105,23 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     schema = "content string, tokenizer string, n_tokens long"
     spark.createDataFrame([], schema).write.mode("append").parquet(cache_path)
 
+    text = text_of(docs)
+    digest = F.sha2(text, 256)
+    keyed = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("content"))
+    keyed = materialise(keyed, "digests")
+    own = materialise(keyed.select("content").distinct(), "contents")
+
     def cached() -> DataFrame:
-        # one count for a digest even if two runs have appended it
+        # this run's digests; one count for each even if two runs have appended it
         table = spark.read.schema(schema).parquet(cache_path).filter(F.col("tokenizer") == version)
-        return table.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        return table.join(own, "content", "left_semi").groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
-    text = text_of(docs)
-    contents = docs.select(F.sha2(text, 256).alias("content"), text.alias("text"))
+    unknown = materialise(own.join(cached(), "content", "left_anti"), "unknown")
+    texts = docs.select(digest.alias("content"), text.alias("text"))
     # copies meet in the map-side part of the aggregate, so a text with many copies isn't sent many times
-    misses = contents.groupBy("content").agg(F.first("text").alias("text")).join(cached(), "content", "left_anti")
+    one = lambda t: t.groupBy("content").agg(F.first("text").alias("text"))
+    missing = unknown.count()
+    misses = one(texts.join(F.broadcast(unknown), "content", "left_semi")) if missing <= MAX_BROADCAST_DIGESTS else one(texts).join(unknown, "content", "left_semi")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(tokenizer_path)
@@ -120,7 +130,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
                 n = counter.counts(batch.column("text"))
                 yield pa.RecordBatch.from_arrays([batch.column("content").cast(pa.string()), pa.array([version] * len(n), pa.string()), pa.array(n)], ["content", "tokenizer", "n_tokens"])
 
-    misses.mapInArrow(encode, schema).write.mode("append").parquet(cache_path)
-    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content"))
-    # a plain table, so that the partition of a text with many copies can be split
-    return keyed.join(materialise(cached(), "counts"), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
+    if missing:
+        misses.mapInArrow(encode, schema).write.mode("append").parquet(cache_path)
+    # plain tables, so that the partition of a text with many copies can be split
+    counts = materialise(cached(), "counts")
+    release(own, unknown)
+    return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))

@@ -9,7 +9,8 @@ A folder holds shards, in order of ``doc_id``. Shard files, all little-endian:
 ``manifest`` is a Parquet table with a row for each shard: its name, place, bytes of an id, and numbers of
 documents and tokens. A shard's first token has as its global number the sum of the tokens of all shards before it (a prefix
 sum over the manifest, which has as many rows as there were tasks). Each attempt of a task writes files of its
-own; only those of the attempt that succeeded are in the manifest, so lost or repeated tasks do no harm.
+own; only those of the attempt that succeeded are in the manifest, so lost or repeated tasks do no harm, and the
+others are deleted at the end. Shards hold some SHARD_BYTES of text each.
 """
 
 from __future__ import annotations
@@ -32,12 +33,25 @@ _ENCODERS: dict = {}
 _MANIFEST = "shard long, name string, width long, n_docs long, n_tokens long"
 
 
+#: Text of a shard, in bytes.
+SHARD_BYTES = 256 << 20
+#: Schemes of Spark's file systems that pyarrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "wasb": "abfs", "wasbs": "abfss", "dbfs": "hdfs"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A folder's name as pyarrow knows it; one without a scheme is local."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return f"file://{uri}"
+    scheme, colon, rest = uri.partition(":")
+    return SCHEMES.get(scheme, scheme) + colon + rest
+
+
 def open_folder(uri: str):
     """File system and path of a folder; any store that pyarrow knows."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-    return system, path
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def byte_alphabet() -> list[str]:
@@ -125,7 +139,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or new_path(spark, "tokens")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(docs))), F.lit(0))).first()[0]
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     # the hash spreads rows that share an id over range boundaries and orders them
     ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
@@ -163,9 +178,23 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "name": [name], "width": [width], "n_docs": [n_docs], "n_tokens": [n_tokens]}, schema=pa.schema([("shard", pa.int64()), ("name", pa.string()), ("width", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     ranged.select("doc_id", "text").mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
+    drop_orphans(spark, folder)
     return folder
 
 
+def drop_orphans(spark: SparkSession, folder: str) -> int:
+    """Delete the shard files of attempts that aren't in the manifest; returns how many there were."""
+    from pyarrow import fs
+
+    system, path = open_folder(folder)
+    known = {r["name"] for r in spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").select("name").toLocalIterator()}  # a name for each shard
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    lost = [f.path for f in found if f.type == fs.FileType.File and f.base_name.partition(".")[0] not in known and f.extension in ("bin", "idx", "ids", "nul")]
+    for f in lost:
+        system.delete_file(f)
+    return len(lost)
+
+
 def shard_bases(spark: SparkSession, folder: str) -> DataFrame:
     """The manifest with the global number of each shard's first document and token."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -173,22 +202,31 @@ def shard_bases(spark: SparkSession, folder: str) -> DataFrame:
     return shards.select("*", F.coalesce(F.sum("n_docs").over(before), F.lit(0)).alias("doc_base"), F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("token_base"))
 
 
-def _arrays(folder: str, name: str, width: int):
-    """Tokens, offsets, ids and null flags of a shard: memory maps on a mounted store, else as read."""
-    from pyarrow import fs
+class Shard:
+    """The files of a shard: memory maps on a mounted store; elsewhere only what is asked for is read."""
 
-    system, path = open_folder(folder)
+    def __init__(self, folder: str, name: str, width: int):
+        self.system, path = open_folder(folder)
+        self.path, self.width = f"{path}/{name}", width
+
+    def read(self, kind: str, dtype: str, first: int, last: int) -> np.ndarray:
+        """Numbers first to last of a file."""
+        from pyarrow import fs
 
-    def read(kind: str, dtype: str) -> np.ndarray:
-        at = f"{path}/{name}.{kind}"
-        if not system.get_file_info(at).size:
+        at, size = f"{self.path}.{kind}", np.dtype(dtype).itemsize
+        if last <= first:
             return np.zeros(0, dtype)
-        if isinstance(system, fs.LocalFileSystem):
-            return np.memmap(at, dtype, "r")
-        with system.open_input_file(at) as f:
-            return np.frombuffer(f.read_buffer(), dtype)
+        if isinstance(self.system, fs.LocalFileSystem):
+            return np.memmap(at, dtype, "r", offset=first * size, shape=(last - first,))
+        with self.system.open_input_file(at) as f:
+            f.seek(first * size)
+            return np.frombuffer(f.read((last - first) * size), dtype)
+
+    def offsets(self, first: int, last: int) -> np.ndarray:
+        return self.read("idx", "<i8", first, last + 1)
 
-    return read("bin", f"<u{width}"), read("idx", "<i8"), read("ids", "<i8"), read("nul", "u1")
+    def tokens(self, first: int, last: int) -> np.ndarray:
+        return self.read("bin", f"<u{self.width}", first, last)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,19 +235,26 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.to_pylist():
-                tokens, offsets, ids, null = _arrays(folder, shard["name"], shard["width"])
-                for a in range(0, len(ids), 10_000):
-                    b = min(a + 10_000, len(ids))
-                    crc = [zlib.crc32(tokens[x:y].astype("<u4")) for x, y in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64(), mask=null[a:b].astype(bool)), pa.array(offsets[a:b] + shard["token_base"]), pa.array(np.diff(offsets[a : b + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                files, n = Shard(folder, shard["name"], shard["width"]), shard["n_docs"]
+                for a in range(0, n, 10_000):
+                    b = min(a + 10_000, n)
+                    offsets = files.offsets(a, b)
+                    ids, null = files.read("ids", "<i8", a, b), files.read("nul", "u1", a, b)
+                    crc = []
+                    for c in range(0, b - a, 500):  # a piece of the tokens at a time
+                        ends = offsets[c : c + 501] - offsets[c]
+                        tokens = files.tokens(int(offsets[c]), int(offsets[min(c + 500, b - a)])).astype("<u4")
+                        crc += [zlib.crc32(tokens[x:y]) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(offsets[:-1] + shard["token_base"]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     bases = shard_bases(spark, folder)
     tasks = max(1, bases.count())
-    spread = bases.select("name", "width", "token_base").repartition(tasks, "name")
+    spread = bases.select("name", "width", "n_docs", "token_base").repartition(tasks, "name")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_tokens(folder: str, name: str, width: int, document: int) -> np.ndarray:
     """Ids of one document of a shard, without reading the rest of it."""
-    tokens, offsets, _, _ = _arrays(folder, name, width)
-    return tokens[offsets[document] : offsets[document + 1]]
+    shard = Shard(folder, name, width)
+    first, last = shard.offsets(document, document + 1)
+    return shard.tokens(int(first), int(last))

@@ -333,6 +333,49 @@ def test_cached_counts_are_not_encoded_again(spark, tmp_path):
     assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {1: 99, 2: 99, 3: 99, 4: 1}
 
 
+def test_a_warm_cache_encodes_and_moves_no_text(spark, tmp_path, monkeypatch):
+    cache = "file://" + str(tmp_path / "cache")
+    docs = spark.createDataFrame([(i, f"text number {i % 40}") for i in range(100)] + [(None, None), (7, "")], "doc_id long, text string")
+    cold = sorted(map(str, token_counts.count_tokens(docs, BYTE, cache).collect()))
+    n = spark.read.parquet(cache).count()
+    assert n == 41 and len(cold) == 102
+    monkeypatch.setattr(token_counts, "_counter", lambda path: 1 / 0)
+    assert sorted(map(str, token_counts.count_tokens(docs, BYTE, cache).collect())) == cold and spark.read.parquet(cache).count() == n
+    monkeypatch.undo()
+    monkeypatch.setattr(token_counts, "MAX_BROADCAST_DIGESTS", 0)
+    other = "file://" + str(tmp_path / "other")
+    assert sorted(map(str, token_counts.count_tokens(docs, BYTE, other).collect())) == cold
+
+
+def test_shards_follow_bytes_and_orphans_go(spark, tmp_path, monkeypatch, mixed):
+    assert token_files.arrow_uri("s3a://bucket/a") == "s3://bucket/a" and token_files.arrow_uri("/x/y") == "file:///x/y" and token_files.arrow_uri("hdfs://n/p") == "hdfs://n/p"
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 5000)
+    docs = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")
+    folder = "file://" + str(tmp_path / "files")
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "000001-lost.bin").write_bytes(b"xx")
+    token_files.write_token_files(docs, WORD, 2, folder)
+    names = {r["name"]: r for r in spark.read.parquet(f"{folder}/manifest").collect()}
+    assert len(names) > 8 and {p.name.split(".")[0] for p in (tmp_path / "files").iterdir() if p.is_file() and not p.name.startswith(".")} == set(names)
+    rows = {r["doc_id"]: r for r in token_files.read_token_files(spark, folder).collect()}
+    from tokenizers import Tokenizer
+
+    word = Tokenizer.from_file(WORD)
+    shard = names[sorted(names)[0]]
+    assert token_files.read_tokens(folder, shard["name"], shard["width"], 3).tolist() == [*word.encode(mixed[3], add_special_tokens=False).ids, 2]
+    assert len(rows) == len(mixed) and rows[0]["start"] == 0
+
+
+def test_decoding_gives_texts_back(spark, mixed):
+    rows = [(i, (t or "").replace("▁", " ")) for i, t in enumerate(mixed[:300])] + [(None, "x"), (1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    coded = sp_codec.encode_documents(docs, PIECE).withColumnRenamed("text", "before")
+    back = sp_codec.decode_documents(coded, PIECE)
+    assert back.filter("text <> before OR NOT round_trip").count() == 0 and back.count() == len(rows)
+    assert sp_codec.decode_documents(coded.limit(0), PIECE).count() == 0
+    assert sp_codec.decode_documents(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), PIECE).first()["text"] == ""
+
+
 def test_contamination_equals_brute_force(spark):
     rng = random.Random(4)
     items = [(i, sentence(rng, rng.choice([2, 5, 13, 20, 40]))) for i in range(12)]
@@ -371,6 +414,27 @@ def test_contamination_without_a_broadcast_set(spark, monkeypatch):
     assert [tuple(r) for r in decontam.contamination(docs, b).orderBy("doc_id").collect()] == want and want[0][2] == 3
 
 
+def test_a_large_benchmark_moves_no_texts(spark, monkeypatch):
+    """Beyond the set of anchors a bitmap lets through little more than the places that hit, with the same results."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(20_000)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 13, 60])))) for i in range(400)]
+    texts = [" ".join(word() for _ in range(60)) + (" " + items[i % 400][1] if i % 3 == 0 else "") for i in range(300)] * 2
+    docs = spark.createDataFrame([(i % 300, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(tuple, decontam.contamination(docs, b).collect()))
+    monkeypatch.setattr(decontam, "MAX_ANCHORS", 1000)
+    monkeypatch.setattr(decontam, "BITMAP_WORDS", 1 << 12)
+    got = decontam.contamination(docs, b)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 600 and sum(r[2] > 0 for r in want) == 200
+    rows = got._jdf.queryExecution().executedPlan()
+    rows.execute().count()
+    plan = rows.toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    places = decontam.find_hits(docs, b)
+    assert places.count() == 300 and places.agg(F.sum("n_rows")).first()[0] == 600
+
+
 def brute_cut(docs, passage=50):
     seen, cut = {}, {}
     for i, t in sorted(docs):
