@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from specaudit.operators import axis as axes
 from specaudit.operators import nulls, splits
-from specaudit.plans.audit import AuditConfig, baselines, run_audit
+from specaudit.plans.audit import AuditConfig, baselines, run_audit, run_variants
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +156,11 @@ def test_baselines_equal_fits(spark):
             by_line[te] = np.polyval(np.polyfit(u[tr], y[tr, k], 1), u[te])
         assert got[f"s{k}"]["r_g"] == pytest.approx(np.corrcoef(y[:, k], by_group)[0, 1])
         assert got[f"s{k}"]["r_u"] == pytest.approx(np.corrcoef(y[:, k], by_line)[0, 1])
+
+
+def test_variants_change_what_they_name(planted):
+    frame, long, sets, _ = planted
+    base = AuditConfig(n_null=6, n_boot=25, min_patients=100, ridge_alpha=10.0, disattenuate=False, with_site_control=False)
+    r = run_variants(frame, long, sets, base, {"same": {}, "unmatched": {"matched": False}})
+    assert set(r) == {"same", "unmatched"} and r["same"].config == base and not r["unmatched"].config.matched
+    assert r["same"].primary["value"] != r["unmatched"].primary["value"] and "2 sets" in r["same"].headline()
