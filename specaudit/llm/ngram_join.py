@@ -384,34 +384,40 @@ def similar_classes(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT, als
     classes = materialise(_document_classes(rows, n, percent), "classes")
     named = classes.withColumn("c", F.when(F.col("cid").isNotNull(), _numbered(classes)))
     heads = named.filter("head IS NOT NULL").select("c", F.col("head").alias("grams"))
+    named = materialise(named.select("doc_id", "key", "own", "n", "c"), "rows")
     size = heads.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0)), F.count("*")).first()
     hot = _hot_grams(heads, size[1])
     buckets = lambda total: max(64, total // 8 // BUCKET_GRAMS)
     counts = materialise(_shared_grams(heads, buckets(size[0]), hot, lists=False).groupBy("c").agg(F.sum(F.col("n_hot") + F.col("k")).alias("k")), "counts")
     one = named.filter("c IS NOT NULL").groupBy("c").agg(F.min("n").alias("n"), F.min("key").alias("key"))
     wanted = materialise(counts.join(one, "c").filter(F.col("k") >= head_bound(F.col("n"), percent)).select("c", "n", "key"), "wanted")
+    release(classes, counts)
+    del heads
+    tidy(spark)
 
     def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([x.tobytes() for x in gram_sets(batch.column("text"), n)], pa.binary())], ["c", "grams"])
 
-    # one plan at every size: texts meet the classes that are wanted by a shuffle
-    found = rows.select("key", "text").join(wanted.select("key", "c").hint("shuffle_merge"), "key").select("c", "text").mapInArrow(whole_sets, "c long, grams binary")
-    sets = materialise(found.groupBy("c").agg(F.min("grams").alias("grams")), "sets")  # rows that repeat id and text meet on the map side
-    del found
+    # one plan at every size: texts meet the classes that are wanted by a shuffle; rows that repeat id and text do on its map side
+    texts = rows.groupBy("key").agg(F.first("text").alias("text"))
+    found = texts.join(wanted.select("key", "c").hint("shuffle_merge"), "key").select("c", "text")
+    sets = materialise(found.mapInArrow(whole_sets, "c long, grams binary"), "sets")
+    del texts, found
     tidy(spark)
     size = sets.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()
     shared = materialise(_shared_grams(sets, buckets(size[0]), hot, lists=True), "shared")
     least = F.ceil(F.col("n") * percent / 100)
     enough = shared.groupBy("c").agg(F.sum("n_hot").alias("n_hot"), F.sum("k").alias("k")).join(wanted.select("c", "n"), "c").filter(F.col("k") + F.col("n_hot") >= least)
     enough = materialise(enough.select("c", "n", (F.col("n") - F.col("k") - F.col("n_hot")).alias("alone")), "enough")
+    tidy(spark)
     ordered = shared.join(enough.select("c"), "c", "left_semi").groupBy("c").agg(F.array_sort(F.flatten(F.collect_list("h"))).alias("o"))
     held = enough.join(ordered, "c").select("c", "n", "alone", F.transform("o", lambda x: x["g"]).alias("h"))
     # the first n-grams in order of rarity, own ones first: a link needs one of them in common
     held = held.withColumn("reach", F.greatest(F.col("n") - least + 1 - F.col("alone"), F.lit(0)).cast("int"))
     held = materialise(held.filter("reach > 0").select("c", "n", "alone", "reach", F.slice("h", 1, F.col("reach")).alias("h")), "held")
-    release(counts, wanted, shared, enough)
+    release(wanted, shared, enough)
     lists = held.select("c", "n", "alone", F.posexplode("h")).select(F.col("col").alias("g"), "c", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"), (F.col("alone") / F.col("n")).alias("share"))
     if len(hot):
         lists = lists.unionByName(_hot_lists(held, sets, hot))
@@ -431,7 +437,7 @@ def similar_classes(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT, als
     rest = materialise(named_lists.join(main, "g"), "open")
     more = _search(rest.drop("main"), rest.filter("label <> main").drop("main"), sets, percent)
     release(named_lists, main, rest, sets)
-    return named.select("doc_id", "key", "own", "n", "c"), links.unionAll(more)
+    return named, links.unionAll(more)
 
 
 def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
