@@ -22,8 +22,15 @@ def boundaries(df: DataFrame, column: str, ranges: int = RANGES) -> list:
 
 
 def range_of(column: Column, cuts: list) -> Column:
-    """The range of a value: how many of the cuts are at most as large; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= column)), F.lit(0)) if cuts else F.lit(0)
+    """The range of a value: how many of the cuts are at most as large, by halving; 0 for null."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(column < F.lit(cuts[middle]), within(low, middle)).otherwise(within(middle + 1, high))
+
+    return F.when(column.isNull(), F.lit(0)).otherwise(within(0, len(cuts)))
 
 
 def rank_in_order(df: DataFrame, column: str, *ties: str, name: str = "place", by: Sequence[str] = ()) -> DataFrame:
