@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, ngram_join, pii, quality, sp_codec, token_counts, token_files, url_filter
+from . import ball_kmeans, decontam, langid, line_dedup, ngram_join, packing, pii, quality, sp_codec, token_counts, token_files, url_filter
 
 
 def tokenizer(name: str) -> str:
@@ -61,16 +61,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_personal_data, op3_quality_rules, op4_ngram_jaccard, op5_sentencepiece, op6_decontamination, op7_language_id, op8_token_counts, op9_line_dedup, op10_token_files, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_personal_data, op3_quality_rules, op4_ngram_jaccard, op5_sentencepiece, op6_decontamination, op7_language_id, op8_token_counts, op9_line_dedup, op10_token_files, op11_best_fit_packing, op12_ball_kmeans, pipeline)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE_SQL,
     "op3_quality_rules": quality.ORACLE_SQL,
     "op4_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op6_decontamination": decontam.ORACLE_SQL,
+    "op12_ball_kmeans": ball_kmeans.ORACLE_SQL,
 }
