@@ -1,6 +1,6 @@
 """All queries of the statistical engine and their DuckDB equivalents."""
 
-from . import cohorts, extras, matrix
+from . import cohorts, extras, jobs, matrix
 
-QUERIES = {**matrix.QUERIES, **cohorts.QUERIES, **extras.QUERIES}
-ORACLE_SQL = {**matrix.ORACLE_SQL, **cohorts.ORACLE_SQL, **extras.ORACLE_SQL}
+QUERIES = {**matrix.QUERIES, **cohorts.QUERIES, **extras.QUERIES, **jobs.QUERIES}
+ORACLE_SQL = {**matrix.ORACLE_SQL, **cohorts.ORACLE_SQL, **extras.ORACLE_SQL, **jobs.ORACLE_SQL}
