@@ -7,14 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task may rank alone, and ranges that a larger table is cut into.
+#: Rows that one task may rank alone; a larger table is cut into ranges of so many, up to MOST_RANGES of them.
 SMALL = 100_000
-RANGES = 64
+MOST_RANGES = 4096
 
 
-def boundaries(df: DataFrame, column: str, ranges: int = RANGES) -> list:
-    """Values that cut a column into ranges of like size, from a sample of some 50 values for each."""
+def boundaries(df: DataFrame, column: str, most: int = MOST_RANGES) -> list:
+    """Values that cut a column into ranges of some SMALL rows, from a sample of some 50 values for each; none for a small table."""
     n = df.count()
+    if (ranges := min(most, -(-n // SMALL))) <= 1:
+        return []
     some = df.select(F.col(column).alias("v")).filter("v IS NOT NULL")
     some = some if n <= 50 * ranges else some.sample(min(1.0, 50 * ranges / n), seed=0)
     values = sorted({r["v"] for r in some.collect()})  # some 50 values for each range

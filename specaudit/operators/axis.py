@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import both, n_pairs, pearson
+from . import spectra
 from .scoring import z_scores
 
 
@@ -20,35 +19,22 @@ def global_axis_pc1(expr: DataFrame, groups: DataFrame | None = None, min_group:
     """``sample, group, axis, variance_explained``: first principal component scores of the z-scored matrix.
 
     With groups (``sample, group``), each group is standardised and decomposed on its own and groups below
-    min_group are left out. The axis correlates positively with the mean z. A task takes one group and solves
-    the smaller of its two Gram matrices. All-missing genes drop out; missing z count as 0.
+    min_group are left out. The axis correlates positively with the mean z. No task holds a group: samples' z are rows,
+    see :mod:`.spectra`. Missing z, and genes without variance in a group, count as 0.
     """
     g = groups if groups is not None else expr.select("sample").distinct().withColumn("group", F.lit("all"))
-    rows = expr.join(g.select("sample", F.col("group").cast("string").alias("group")), "sample")
-
     least = min_group if groups is not None else 2
-
-    def leading(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index="sample", columns="gene", values="value").sort_index()
-        x = wide.to_numpy(float)
-        if len(x) < least:
-            return pd.DataFrame({"sample": [], "group": [], "axis": [], "variance_explained": []})
-        x = x[:, ~np.isnan(x).all(axis=0)]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            sd = np.nanstd(x, axis=0, ddof=1)
-            z = np.nan_to_num((x - np.nanmean(x, axis=0)) / np.where(sd > 0, sd, np.nan))
-        if len(z) <= z.shape[1]:
-            values, vectors = np.linalg.eigh(z @ z.T)
-            axis = vectors[:, -1] * np.sqrt(max(values[-1], 0.0))
-        else:
-            values, vectors = np.linalg.eigh(z.T @ z)
-            axis = z @ vectors[:, -1]
-        if axis @ z.mean(axis=1) < 0:
-            axis = -axis
-        return pd.DataFrame({"sample": wide.index, "group": frame["group"].iloc[0], "axis": axis, "variance_explained": values[-1] / values.clip(0).sum()})
-
-    kind = dict(expr.dtypes)["sample"]
-    return rows.groupBy("group").applyInPandas(leading, f"sample {kind}, group string, axis double, variance_explained double")
+    long = expr.join(g.select("sample", F.col("group").cast("string").alias("group")), "sample").withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    m = long.groupBy("group", "gene").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")).filter("_s > 0")
+    z = long.join(m, ["group", "gene"], "left").select("group", "sample", "gene", ((F.col("value") - F.col("_m")) / F.col("_s")).alias("z"))
+    rows = spectra.as_vectors(z, m.select("group", "gene"))
+    held = rows.persist()
+    try:
+        found = {x: a for x, a in spectra.about(held).items() if a[0] >= least and a[2] and a[1] > 0}
+        lead = spectra.leading(held, {x: k for x, (_, _, k) in found.items()})
+    finally:
+        held.unpersist()
+    return spectra.project(rows, {x: v for x, (_, v) in lead.items()}, {x: value / found[x][1] for x, (value, _) in lead.items()}, "axis", "variance_explained")
 
 
 def top_loadings(expr: DataFrame, axis: DataFrame, n: int = 30) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import count_parts
 from ..functions.stats import average_rank
+from . import logistic
 from .groups import rank_auc
+from .ridge import feature_means
 
 
 def fit_combat(long: DataFrame, min_rows: int = 3) -> DataFrame:
@@ -66,48 +67,48 @@ def auroc(scored: DataFrame, site: str = "site") -> DataFrame:
     return ranked.groupBy(site).agg(F.sum("label").cast("long").alias("n_patients"), rank_auc(F.col("label"), F.col("_r")).alias("auroc"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, max_iter: int = 100) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression, the intercept unpenalised, by Newton steps."""
-    a = np.column_stack([np.ones(len(x)), x])
-    penalty = np.full(a.shape[1], 1.0 / c)
-    penalty[0] = 0.0
-    w = np.zeros(a.shape[1])
-    for _ in range(max_iter):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + penalty * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), grad)
-        w -= step
-        if np.abs(step).max() < 1e-9:
-            break
-    return w[1:], float(w[0])
-
-
-def site_prediction_control(frame: DataFrame, n_folds: int = 5, min_site_n: int = 20) -> DataFrame:
+def site_prediction_control(frame: DataFrame, n_folds: int = 5, min_site_n: int = 20, c: float = 1.0) -> DataFrame:
     """``site, n_patients, auroc``: one-against-rest logistic models of site from ``key, site, fold, x``.
 
-    Sites with min_site_n patients each get a model, and a task of their own, over all rows; the features are
-    scaled by fold. Sites with fewer than 5 rows of either kind, folds with fewer than 2 positives to learn from,
-    and sites with fewer than 20 predictions are left out. The matrix goes to as many tasks as there are sites.
+    Sites with min_site_n patients each get a model for each fold, learnt from the rows of the others; the features are scaled by fold.
+    All models are fitted by common scans of the rows, see :mod:`.logistic`. Sites with fewer than 5 rows of either kind, folds with
+    fewer than 2 positives to learn from, and sites with fewer than 20 predictions are left out. Rows without a site count as of no site.
     """
-    sites = frame.groupBy("site").agg(F.count("*").alias("n")).filter(F.col("n") >= min_site_n).select(F.col("site").alias("target"))
     kind = dict(frame.dtypes)["site"]
-    pairs = frame.select("key", "site", "fold", "x").join(F.broadcast(sites), F.lit(True))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        target = pdf["target"].iloc[0]
-        x, y, fold = np.vstack(pdf["x"].to_numpy()).astype(float), (pdf["site"] == target).to_numpy(float), pdf["fold"].to_numpy()
-        rows = []
-        if y.sum() >= 5 and (1 - y).sum() >= 5:
-            for k in range(n_folds):
-                train, test = fold != k, fold == k
-                if y[train].sum() < 2 or not test.any():
-                    continue
-                m, s = x[train].mean(0), x[train].std(0)
-                s = np.where(s > 0, s, 1.0)
-                w, b = logistic((x[train] - m) / s, y[train])
-                rows.append(pd.DataFrame({"site": target, "label": y[test].astype(int), "score": (x[test] - m) / s @ w + b}))
-        out = pd.concat(rows) if rows else pd.DataFrame({"site": pd.Series(dtype=object), "label": [], "score": []})
-        return out if len(out) >= 20 else out.iloc[:0]
-
-    scored = pairs.groupBy("target").applyInPandas(one, f"site {kind}, label int, score double")
-    return auroc(scored)
+    held = frame.select(F.col("site").alias("label"), F.col("fold").cast("long").alias("fold"), "x").persist()
+    counts: dict[object, dict[int, int]] = {}
+    in_fold: dict[int, int] = {}
+    for r in held.groupBy("label", "fold").agg(F.count("*").alias("n")).collect():  # sites x folds
+        in_fold[r["fold"]] = in_fold.get(r["fold"], 0) + r["n"]
+        if r["label"] is not None:
+            counts.setdefault(r["label"], {})[r["fold"]] = r["n"]
+    total = sum(in_fold.values())
+    wanted = []
+    for site, own in sorted(counts.items()):
+        n = sum(own.values())
+        if n < min_site_n or n < 5 or total - n < 5:
+            continue
+        folds = [k for k in range(n_folds) if n - own.get(k, 0) >= 2 and in_fold.get(k) and total - in_fold[k] > n - own.get(k, 0)]
+        if sum(in_fold[k] for k in folds) >= 20:
+            wanted += [(site, k, (n - own.get(k, 0)) / (total - in_fold[k])) for k in folds]
+    if not wanted:
+        held.unpersist()
+        return frame.sparkSession.createDataFrame([], f"site {kind}, n_patients long, auroc double")
+    try:
+        centre, n_parts = feature_means(held), count_parts(held)
+        models = logistic.fit(held, wanted, logistic.fold_products(held, centre, n_parts), centre, n_parts, c)
+    finally:
+        held.unpersist()
+    return auroc(logistic.score_rows(frame.select(F.col("site").alias("label"), F.col("fold").cast("long").alias("fold"), "x"), models, kind))
+
+
+def site_prediction_control_oof_combat(frame: DataFrame, n_folds: int = 5, min_site_n: int = 20, min_rows: int = 3) -> DataFrame:
+    """:func:`site_prediction_control` of features corrected out of fold, with ``estimable``: the share of a site's patients whose
+    correction could be estimated from other folds. Where it is small, an AUROC near that without correction says nothing.
+    """
+    long = frame.select("key", F.col("site").alias("batch"), "fold", F.posexplode("x").alias("dim", "value"))
+    fixed = combat_out_of_fold(long, n_folds, min_rows)
+    rows = fixed.groupBy("key", "batch", "fold").agg(F.array_sort(F.collect_list(F.struct("dim", "corrected"))).alias("v"), F.min(F.col("estimable").cast("int")).alias("e"))
+    share = rows.groupBy(F.col("batch").alias("site")).agg(F.avg("e").alias("estimable"))
+    corrected = rows.select("key", F.col("batch").alias("site"), "fold", F.transform("v", lambda e: e["corrected"]).alias("x"))
+    return site_prediction_control(corrected, n_folds, min_site_n).join(share, "site")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import boundaries, range_of
 from ..functions.special import mann_whitney_p
 from ..functions.stats import average_rank, hash_order, pearson, z_of
 from . import scoring
@@ -93,10 +94,13 @@ def mann_whitney(frame: DataFrame, value: str, first: Column, *keys: str) -> Dat
     """
     k = list(keys)
     rows = frame.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*k, F.col(value).cast("double").alias("v"), first.alias("f")).filter("f IS NOT NULL")
-    # values that repeat are one row with its counts, so the order is over distinct values
-    cells = rows.groupBy(*k, "v").agg(F.count_if("f").alias("a"), F.count("*").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.partitionBy(*k).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cells.withColumn("r", below + (F.col("t") + 1) / 2)
+    # values that repeat are one row with its counts; a key's values lie in ranges, and a range starts from what lower ones hold
+    cells = rows.groupBy(*k, "v").agg(F.count_if("f").alias("a"), F.count("*").alias("t")).withColumn("_range", range_of(F.col("v"), boundaries(rows, "v")))
+    before = lambda w: F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = cells.groupBy(*k, "_range").agg(F.sum("t").alias("t"))
+    carried = totals.select(*k, "_range", before(Window.partitionBy(*(k or [F.lit(0)])).orderBy("_range")).alias("_before"))  # a row for each range
+    inside = cells.withColumn("_inside", before(Window.partitionBy(*k, "_range").orderBy("v")))
+    ranked = inside.join(carried, [*k, "_range"]).withColumn("r", F.col("_before") + F.col("_inside") + (F.col("t") + 1) / 2)
     g = ranked.groupBy(*k).agg(F.sum("a").alias("n_first"), (F.sum("t") - F.sum("a")).alias("n_other"), F.sum(F.col("a") * F.col("r")).alias("rs"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n_first") + F.col("n_other")
     g = g.withColumn("u", F.col("rs") - F.col("n_first") * (F.col("n_first") + 1) / 2)

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import boundaries, range_of
 from ..functions.special import two_sided_p
 from ..functions.stats import number, z_of
+from . import hazard
 from .axis import residualise
 from .nulls import excess_over_null
 
@@ -98,7 +99,7 @@ def _split_counts(rows: DataFrame, by: list[str], schema: str) -> DataFrame:
     across ranges of time, those within a range of score are counted there, with the range for the time, and the
     others follow from how many rows and events each pair of ranges holds.
     """
-    t, s = boundaries(rows, "time"), boundaries(rows, "score")
+    t, s = boundaries(rows, "time", 512), boundaries(rows, "score", 512)
     cells = rows.select(*by, "time", "event", "score", range_of(F.col("time"), t).alias("b"), range_of(F.col("score"), s).alias("c"))
 
     def kernel(later: str):
@@ -201,39 +202,12 @@ def cox_by(frame: DataFrame, keys: Sequence[str], min_rows: int = 20, min_events
 
 
 def hazards(x: DataFrame, names: Sequence[str], max_iter: int = 50, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray] | None:
-    """:func:`newton` over a table ``time, event`` and named numbers, each step one aggregate over event times.
-
-    Sums over risk sets are running sums over times: rows are first added up by time, so the running window is over
-    distinct times only. The table is persisted for the steps.
-    """
-    p = len(names)
-    x = x.select("time", "event", *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names))).persist()
-    beta = np.zeros(p)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    """:func:`newton` over a table ``time, event`` and named numbers, by scans of ranges of time, see :mod:`.hazard`."""
+    rows = hazard.in_ranges(x, names).persist()
     try:
-        for _ in range(max_iter):
-            lp = sum((F.col(f"x{i}") * float(beta[i]) for i in range(p)), F.lit(0.0))
-            e = x.withColumn("_e", F.exp(lp))
-            at = e.groupBy("time").agg(F.sum("event").alias("d"), F.sum("_e").alias("s0"), *(F.sum(F.col("event") * F.col(f"x{i}")).alias(f"ex{i}") for i in range(p)), *(F.sum(F.col("_e") * F.col(f"x{i}")).alias(f"s1_{i}") for i in range(p)), *(F.sum(F.col("_e") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s2_{i}_{j}") for i, j in pairs))
-            later = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-            run = at.select("d", *(f"ex{i}" for i in range(p)), *(F.sum(c).over(later).alias(c) for c in ["s0", *(f"s1_{i}" for i in range(p)), *(f"s2_{i}_{j}" for i, j in pairs)])).filter("d > 0")
-            mean = [F.col(f"s1_{i}") / F.col("s0") for i in range(p)]
-            r = run.agg(*(F.sum(F.col(f"ex{i}") - F.col("d") * mean[i]).alias(f"g{i}") for i in range(p)), *(F.sum(F.col("d") * (F.col(f"s2_{i}_{j}") / F.col("s0") - mean[i] * mean[j])).alias(f"h{i}_{j}") for i, j in pairs)).first()
-            if any(v is None for v in r):
-                return None
-            info = np.zeros((p, p))
-            for i, j in pairs:
-                info[i, j] = info[j, i] = r[f"h{i}_{j}"]
-            try:
-                step = np.linalg.solve(info, np.array([r[f"g{i}"] for i in range(p)]))
-            except np.linalg.LinAlgError:
-                return None
-            beta = beta + step
-            if np.abs(step).max() < tol:
-                return beta, info
-        return None
+        return hazard.newton(rows, len(names), max_iter, tol)
     finally:
-        x.unpersist()
+        rows.unpersist()
 
 
 def cox(frame: DataFrame, covariates: Sequence[str] = (), max_iter: int = 50, tol: float = 1e-9) -> dict[str, float]:

@@ -1,8 +1,8 @@
 """Ridge regression of many targets from distributed sufficient statistics.
 
-Rows are ``key, fold, x array<double>, y array<double>``. One Arrow pass adds up, for each fold and each pattern
-of missing targets, the counts, sums and cross products; the training statistics of a fold are the total minus
-its own. The driver solves matrices of the number of features, and a second pass applies the coefficients.
+Rows are ``key, fold, x array<double>, y array<double>``. One Arrow pass adds up, for each fold and each class of targets
+that are missing in the same rows, the counts, sums and cross products, by levels in blocks; the training statistics of a fold are
+the sums of the others. The driver solves matrices of the number of features, and a second pass applies the coefficients.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import count_parts, cut, joined, tree_sum
+
+#: Bytes of sums that a task keeps before it hands them on.
+HELD_BYTES = 64 << 20
 #: Fixed grid of penalties.
 ALPHAS = tuple(float(a) for a in np.logspace(-2, 5, 24))
 MIN_TRAIN = 10
@@ -76,70 +80,123 @@ class Moments:
     xy: np.ndarray
     yy: np.ndarray
 
-    def __sub__(self, other: Moments) -> Moments:
-        return Moments(*(getattr(self, f) - getattr(other, f) for f in ("n", "sx", "sy", "xx", "xy", "yy")))
 
-    def __add__(self, other: Moments) -> Moments:
-        return Moments(*(getattr(self, f) + getattr(other, f) for f in ("n", "sx", "sy", "xx", "xy", "yy")))
+@dataclass
+class FoldMoments:
+    """Moments by fold. Targets that are missing in the same rows are one class; class 0 is missing in none.
+
+    Features' moments are there for all rows of a fold and for the rows that lack each class; a target's own products
+    are over the rows that have it.
+    """
 
+    classes: np.ndarray
+    rows: dict[int, dict[int, tuple[float, np.ndarray, np.ndarray]]]
+    targets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-def _packed(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a, np.float64).tobytes()
+    def alike(self, targets: Sequence[int]) -> list[list[int]]:
+        """Targets that share their rows."""
+        found: dict[int, list[int]] = {}
+        for t in targets:
+            found.setdefault(int(self.classes[t]), []).append(t)
+        return list(found.values())
+
+    def training(self, fold: int, target: int) -> Moments | None:
+        """Moments over the rows of other folds that have a target."""
+        c, total = int(self.classes[target]), None
+        for k, parts in self.rows.items():
+            if k != fold:
+                own = parts[0]
+                if c and c in parts:
+                    own = tuple(x - y for x, y in zip(own, parts[c], strict=True))
+                now = (*own, *self.targets[k])
+                total = now if total is None else tuple(x + y for x, y in zip(total, now, strict=True))
+        if total is None or total[0] < 0.5:
+            return None
+        n, sx, xx, sy, xy, yy = total
+        return Moments(round(n), sx, sy, xx, xy, yy)
+
+
+def target_classes(frame: DataFrame) -> np.ndarray:
+    """A number for each target: 0 without missing values, else one for all targets that are missing in the same rows.
+
+    These are told by the exclusive or of 128 bits of their rows' keys, and their number; a row for each target that is ever
+    missing comes to the driver.
+    """
+    width = frame.select(F.size("y").alias("n")).first()
+    lost = lambda v: v.isNull() | F.isnan(v)
+    keyed = frame.filter(F.exists("y", lost)).select(F.xxhash64("key").alias("a"), F.xxhash64(F.lit("row"), "key").alias("b"), F.posexplode(F.transform("y", lost)).alias("target", "lost"))
+    seen = keyed.filter("lost").groupBy("target").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.count("*").alias("n")).collect()
+    out, names = np.zeros(width["n"] if width else 0, np.int64), {}
+    for r in seen:
+        out[r["target"]] = names.setdefault((r["a"], r["b"], r["n"]), len(names) + 1)
+    return out
 
 
-def moments(frame: DataFrame, centre: np.ndarray | None = None) -> dict[int, dict[bytes, Moments]]:
-    """Moments by fold and by pattern of missing targets; missing features must have been filled in.
+def moments(frame: DataFrame, centre: np.ndarray | None = None) -> FoldMoments:
+    """Moments by fold; missing features must have been filled in.
 
-    Each partition adds up its own, those of a fold and pattern are added on executors, and one row for each of
-    these comes to the driver.
+    Tasks add up their own rows, and blocks of the sums are added by levels, so neither a task nor the driver gets all
+    partial sums. What comes to the driver is p x p numbers for each fold, and for each fold and class of targets with
+    missing values. Of these a task holds some 64 MB, and hands them on beyond that; the number of patterns of missing
+    targets plays no part.
     """
-    fields = ("sx", "sy", "xx", "xy", "yy")
+    classes = target_classes(frame)
+    lacking = {int(c): int(np.flatnonzero(classes == c)[0]) for c in np.unique(classes) if c}
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple[int, bytes], list] = {}
+        from pyspark import TaskContext
+
+        me, acc, held = TaskContext.get().partitionId(), {}, 0
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for (fold, c), v in acc.items():
+                blocks = cut(v)
+                yield pa.RecordBatch.from_pydict({"fold": [fold] * len(blocks), "class": [c] * len(blocks), "number": list(range(len(blocks))), "part": [me] * len(blocks), "block": blocks}, schema=schema)
+
         for b in batches:
             x, y, fold = _matrix(b.column("x")), _matrix(b.column("y")), b.column("fold").to_numpy()
             if centre is not None:
                 x = x - centre
-            packed = np.packbits(~np.isnan(y), axis=1)
-            patterns, code = np.unique(packed, axis=0, return_inverse=True)
-            code = code.ravel() * (1 << 20) + fold
-            for one in np.unique(code):
-                at = code == one
-                key = int(one) % (1 << 20), patterns[int(one) >> 20].tobytes()
-                xs, ys = x[at], np.nan_to_num(y[at])
-                new = [len(xs), xs.sum(0), ys.sum(0), xs.T @ xs, xs.T @ ys, (ys**2).sum(0)]
-                acc[key] = [a + c for a, c in zip(acc[key], new, strict=True)] if key in acc else new
-        for (fold, pattern), v in acc.items():
-            yield pa.RecordBatch.from_pydict({"fold": [fold], "pattern": [pattern], "n": [v[0]], **{f: [_packed(m)] for f, m in zip(fields, v[1:], strict=True)}}, schema=schema)
-
-    def add(table: pa.Table) -> pa.Table:
-        sums = {f: [_packed(sum(np.frombuffer(x) for x in table[f].to_pylist()))] for f in fields}
-        return pa.table({"fold": table["fold"][:1], "pattern": table["pattern"][:1], "n": [sum(table["n"].to_pylist())], **sums}, schema=schema)
-
-    schema = pa.schema([("fold", pa.int64()), ("pattern", pa.binary()), ("n", pa.int64()), *((f, pa.binary()) for f in fields)])
-    kinds = "fold long, pattern binary, n long, " + ", ".join(f"{f} binary" for f in fields)
-    parts = frame.select(F.col("fold").cast("long").alias("fold"), "x", "y").mapInArrow(part, kinds)
-    out: dict[int, dict[bytes, Moments]] = {}
-    for r in parts.groupBy("fold", "pattern").applyInArrow(add, kinds).toLocalIterator():
-        sx, sy, xx, xy, yy = (np.frombuffer(r[f]) for f in fields)
-        out.setdefault(r["fold"], {})[bytes(r["pattern"])] = Moments(r["n"], sx, sy, xx.reshape(len(sx), len(sx)), xy.reshape(len(sx), len(sy)), yy)
+            gone = np.isnan(y)
+            y = np.nan_to_num(y)
+            for k in np.unique(fold).tolist():
+                at = fold == k
+                xs, ys = x[at], y[at]
+                sums = {-1: np.concatenate([ys.sum(0), (ys**2).sum(0), (xs.T @ ys).ravel()])}
+                for c, t in [(0, None), *lacking.items()]:
+                    own = xs if t is None else xs[gone[at, t]]
+                    if len(own):
+                        sums[c] = np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
+                for c, v in sums.items():
+                    if (k, c) in acc:
+                        acc[k, c] += v
+                        continue
+                    if held + v.nbytes > HELD_BYTES and acc:
+                        yield from emit()
+                        acc, held = {}, 0
+                    acc[k, c], held = v, held + v.nbytes
+        yield from emit()
+
+    schema = pa.schema([("fold", pa.int64()), ("class", pa.int64()), ("number", pa.int64()), ("part", pa.int64()), ("block", pa.binary())])
+    rows = frame.select(F.col("fold").cast("long").alias("fold"), "x", "y")
+    parts = rows.mapInArrow(part, "fold long, class long, number long, part long, block binary")
+    found: dict[tuple[int, int], dict[int, bytes]] = {}
+    for r in tree_sum(parts, ["fold", "class", "number"], count_parts(rows)).toLocalIterator():
+        found.setdefault((r["fold"], r["class"]), {})[r["number"]] = bytes(r["block"])
+    out, t = FoldMoments(classes, {}, {}), len(classes)
+    for (k, c), blocks in found.items():
+        v = joined([blocks[i] for i in sorted(blocks)])
+        if c < 0:
+            out.targets[k] = (v[:t], v[2 * t :].reshape(-1, t), v[t : 2 * t])
+        else:
+            p = round((-1 + (4 * len(v) - 3) ** 0.5) / 2)  # 1 + p + p^2 numbers
+            out.rows.setdefault(k, {})[c] = (v[0], v[1 : 1 + p], v[1 + p :].reshape(p, p))
     return out
 
 
-def _has(pattern: bytes, target: int) -> bool:
-    return bool(pattern[target // 8] >> (7 - target % 8) & 1)
-
-
-def training_moments(by: dict[int, dict[bytes, Moments]], fold: int, target: int) -> Moments | None:
+def training_moments(by: FoldMoments, fold: int, target: int) -> Moments | None:
     """Moments over the rows of other folds that have a target."""
-    total = None
-    for k, patterns in by.items():
-        if k != fold:
-            for p, m in patterns.items():
-                if _has(p, target):
-                    total = m if total is None else total + m
-    return total
+    return by.training(fold, target)
 
 
 def solve(m: Moments, targets: Sequence[int], alpha: float, standardise: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +215,7 @@ def solve(m: Moments, targets: Sequence[int], alpha: float, standardise: bool =
     return beta, ymean - mean @ beta
 
 
-def loo_table(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.ndarray, folds: Sequence[int], targets: Sequence[int], alphas: Sequence[float] = ALPHAS, standardise: bool = True) -> dict[tuple[int, int], np.ndarray]:
+def loo_table(frame: DataFrame, by: FoldMoments, centre: np.ndarray, folds: Sequence[int], targets: Sequence[int], alphas: Sequence[float] = ALPHAS, standardise: bool = True) -> dict[tuple[int, int], np.ndarray]:
     """Mean squared leave-one-out errors of each fold's training rows at each penalty, by fold and target, in one pass.
 
     The error of a row is its residual over 1 - h, with h = 1/n + x'(G + a I)^-1 x for centred, scaled x. Targets
@@ -166,10 +223,7 @@ def loo_table(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.
     """
     plans = []
     for k in folds:
-        alike: dict[tuple, list[int]] = {}
-        for t in targets:
-            alike.setdefault(tuple(sorted(q for f in by for q in by[f] if _has(q, t))), []).append(t)
-        for ts in alike.values():
+        for ts in by.alike(targets):
             m = training_moments(by, k, ts[0])
             if m is None or m.n < MIN_TRAIN:
                 continue
@@ -184,6 +238,8 @@ def loo_table(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.
     grid = np.array(alphas)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         sums = [np.zeros((len(p[1]), len(grid))) for p in plans]
         for b in batches:
             x, y, fold = _matrix(b.column("x")), _matrix(b.column("y")), b.column("fold").to_numpy()
@@ -194,20 +250,25 @@ def loo_table(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.
                     inv = 1 / (values + a)
                     rest = own - ymean - u @ (rhs * inv[:, None])
                     total[:, j] += ((rest / (1 - 1 / n - (u**2) @ inv)[:, None]) ** 2).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(plans)), pa.int64()), pa.array([_packed(s) for s in sums], pa.binary())], ["plan", "sse"])
-
-    out = [np.zeros((len(p[1]), len(grid))) for p in plans]
-    for r in frame.select(F.col("fold").cast("long").alias("fold"), "x", "y").mapInArrow(part, "plan long, sse binary").toLocalIterator():
-        out[r["plan"]] += np.frombuffer(r["sse"]).reshape(-1, len(grid))
+        blocks = [(i, j, block) for i, total in enumerate(sums) for j, block in enumerate(cut(total))]
+        me = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"plan": [i for i, _, _ in blocks], "number": [j for _, j, _ in blocks], "part": [me] * len(blocks), "block": [x for _, _, x in blocks]}, schema=pa.schema([("plan", pa.int64()), ("number", pa.int64()), ("part", pa.int64()), ("block", pa.binary())]))
+
+    rows = frame.select(F.col("fold").cast("long").alias("fold"), "x", "y")
+    blocks: dict[int, dict[int, bytes]] = {}
+    summed = tree_sum(rows.mapInArrow(part, "plan long, number long, part long, block binary"), ["plan", "number"], count_parts(rows)).toLocalIterator() if plans else ()
+    for r in summed:
+        blocks.setdefault(r["plan"], {})[r["number"]] = bytes(r["block"])
+    out = [joined([own[j] for j in sorted(own)]).reshape(-1, len(grid)) if (own := blocks.get(i)) else np.zeros((len(p[1]), len(grid))) for i, p in enumerate(plans)]
     return {(p[0], t): e / p[2] for p, table in zip(plans, out, strict=True) for t, e in zip(p[1], table, strict=True)}
 
 
-def loo_errors(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.ndarray, folds: Sequence[int], target: int = 0, alphas: Sequence[float] = ALPHAS, standardise: bool = True) -> dict[int, np.ndarray]:
+def loo_errors(frame: DataFrame, by: FoldMoments, centre: np.ndarray, folds: Sequence[int], target: int = 0, alphas: Sequence[float] = ALPHAS, standardise: bool = True) -> dict[int, np.ndarray]:
     """:func:`loo_table` of one target, by fold."""
     return {k: e for (k, _), e in loo_table(frame, by, centre, folds, [target], alphas, standardise).items()}
 
 
-def select_alphas(frame: DataFrame, by: dict[int, dict[bytes, Moments]], centre: np.ndarray, folds: Sequence[int], target: int = 0, alphas: Sequence[float] = ALPHAS) -> dict[int, float]:
+def select_alphas(frame: DataFrame, by: FoldMoments, centre: np.ndarray, folds: Sequence[int], target: int = 0, alphas: Sequence[float] = ALPHAS) -> dict[int, float]:
     """The penalty with the least leave-one-out error of each fold; folds with fewer than 20 rows are left out."""
     few = {k for k in folds if (m := training_moments(by, k, target)) is None or m.n < 20}
     errors = loo_errors(frame, by, centre, [k for k in folds if k not in few], target, alphas)
@@ -263,10 +324,7 @@ def cross_val_predict(frame: DataFrame, targets: Sequence[str], n_folds: int, al
         errors = loo_table(rows, by, centre, folds if only is None else [only], range(len(targets)), alphas, standardise) if alpha is None else {}
         for k in folds if only is None else [only]:
             beta, icpt = np.full((p, len(targets)), np.nan), np.full(len(targets), np.nan)
-            groups: dict[tuple, list[int]] = {}
-            for t in range(len(targets)):
-                groups.setdefault(tuple(sorted(q for f in by for q in by[f] if _has(q, t))), []).append(t)
-            for ts in groups.values():  # targets with one pattern share a factorisation at a fixed penalty
+            for ts in by.alike(range(len(targets))):  # targets with the same rows share a factorisation at a fixed penalty
                 m = training_moments(by, k, ts[0])
                 if m is None or m.n < MIN_TRAIN:
                     continue

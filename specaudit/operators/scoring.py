@@ -6,13 +6,14 @@ as different set names. A missing value is null.
 
 from __future__ import annotations
 
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import count_parts
 from ..functions.stats import average_rank, clip, hash_order, pearson
+from . import spectra
 
 
 def z_scores(expr: DataFrame) -> DataFrame:
@@ -53,24 +54,21 @@ def score_ssgsea(expr: DataFrame, sets: DataFrame, alpha: float = 0.25, ordinal:
 def score_plage(expr: DataFrame, sets: DataFrame) -> DataFrame:
     """Leading left singular vector of each set's standardised block, signed so that it rises with mean z.
 
-    One task takes one set's block (samples x members). Genes with a missing z drop out.
+    Genes with a missing z drop out. A set's block meets in no task: each adds up cross products of its own rows, see
+    :mod:`.spectra`, and a sample's score is its z times the eigenvector over the singular value.
     """
-    z = z_scores(expr).join(sets.select("set_name", "gene"), "gene")
-
-    def leading(frame: pd.DataFrame) -> pd.DataFrame:
-        block = frame.pivot(index="sample", columns="gene", values="z").sort_index()
-        block = block[sorted(block.columns)]
-        x = block.to_numpy(float)
-        x = x[:, np.isfinite(x).all(axis=0)]
-        if not x.shape[1]:
-            return pd.DataFrame({"sample": [], "set_name": [], "score": []})
-        u = np.linalg.svd(x, full_matrices=False)[0][:, 0]
-        if u @ x.mean(axis=1) < 0:
-            u = -u
-        return pd.DataFrame({"sample": block.index, "set_name": frame["set_name"].iloc[0], "score": u})
-
-    kind = dict(expr.dtypes)["sample"]
-    return z.groupBy("set_name").applyInPandas(leading, f"sample {kind}, set_name string, score double")
+    z = z_scores(expr).join(sets.select(F.col("set_name").alias("group"), "gene"), "gene").select("group", "sample", "gene", F.when(~F.isnan("z"), F.col("z")).alias("z"))
+    per_gene = z.groupBy("group", "gene").agg(F.count("z").alias("_have"))
+    of_set = z.groupBy("group", "sample").agg(F.lit(1).alias("_one")).groupBy("group").agg(F.count("*").alias("_n"))
+    whole = per_gene.join(of_set, "group").filter("_have = _n").select("group", "gene")
+    rows = spectra.as_vectors(z, whole)
+    held = rows.persist()
+    try:
+        lead = spectra.leading(held, {g: k for g, (_, t, k) in spectra.about(held).items() if k and t > 0})
+    finally:
+        held.unpersist()
+    scored = spectra.project(rows, {g: v / value**0.5 for g, (value, v) in lead.items()}, dict.fromkeys(lead, 0.0), "score", "_none")
+    return scored.select("sample", F.col("group").alias("set_name"), "score")
 
 
 SCORERS = {"mean_z": score_mean_z, "ssgsea": score_ssgsea, "plage": score_plage}
@@ -160,37 +158,50 @@ def split_half_reliability(expr: DataFrame, sets: DataFrame, n_splits: int = 50,
     return m.select(F.col("name").alias("set_name"), "r_half", clip(step, 0.0, 1.0).alias("reliability"))
 
 
+def one_factor_omega(r: np.ndarray, iterations: int = 500) -> float:
+    """McDonald's omega of a correlation matrix from a one-factor maximum likelihood model, by expectation and maximisation."""
+    values, vectors = np.linalg.eigh(r)
+    load = vectors[:, -1] * np.sqrt(values[-1])
+    unique = np.clip(1 - load**2, 0.005, 1)
+    for _ in range(iterations):
+        beta = (load / unique) / (1 + np.sum(load**2 / unique))
+        rb = r @ beta
+        new = rb / (1 - beta @ load + beta @ rb)
+        unique = np.clip(1 - new * rb, 0.005, None)
+        moved, load = np.abs(new - load).max(), new
+        if moved < 1e-10:
+            break
+    return float(load.sum() ** 2 / (load.sum() ** 2 + unique.sum()))
+
+
 def omega_reliability(expr: DataFrame, sets: DataFrame, iterations: int = 500) -> DataFrame:
-    """``set_name, k, omega``: McDonald's omega from a one-factor maximum likelihood model of each set's correlations."""
-    b = _complete_block(expr, sets)
+    """``set_name, k, omega``: McDonald's omega from a one-factor maximum likelihood model of each set's correlations.
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.pivot(index="sample", columns="gene", values="value").to_numpy(float)
-        x = x[:, x.std(axis=0) > 0]
-        k = x.shape[1]
-        omega = np.nan
-        if k >= 3 and len(x) >= 5:
-            r = np.corrcoef(x, rowvar=False)
-            values, vectors = np.linalg.eigh(r)
-            load = vectors[:, -1] * np.sqrt(values[-1])
-            unique = np.clip(1 - load**2, 0.005, 1)
-            for _ in range(iterations):  # EM for one factor
-                beta = (load / unique) / (1 + np.sum(load**2 / unique))
-                rb = r @ beta
-                new = rb / (1 - beta @ load + beta @ rb)
-                unique = np.clip(1 - new * rb, 0.005, None)
-                moved, load = np.abs(new - load).max(), new
-                if moved < 1e-10:
-                    break
-            omega = load.sum() ** 2 / (load.sum() ** 2 + unique.sum())
-        return pd.DataFrame({"set_name": [frame["set_name"].iloc[0]], "k": [k], "omega": [omega]})
-
-    return b.groupBy("set_name").applyInPandas(fit, "set_name string, k long, omega double")
+    Over the samples that have all of a set's genes; genes without variance drop out. Null below 3 genes or 5 samples. Correlations are
+    cross products added up over tasks; a task sees k x k numbers of a set. Sets of more than 1,024 genes raise.
+    """
+    b = _complete_block(expr, sets)
+    m = b.groupBy("set_name", "gene").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    z = b.join(m, ["set_name", "gene"]).select(F.col("set_name").alias("group"), "sample", "gene", F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")).alias("z"))
+    rows = spectra.as_vectors(z, m.filter("_s > 0").select(F.col("set_name").alias("group"), "gene")).persist()
+    try:
+        found = spectra.about(rows)
+        if large := [g for g, (_, _, k) in found.items() if k > spectra.GRAM_MEMBERS]:
+            raise ValueError(f"sets of more than {spectra.GRAM_MEMBERS} genes: {large[:5]}")
+        fit = {g: k for g, (n, _, k) in found.items() if k >= 3 and n >= 5}
+        counts = {g: n for g, (n, _, _) in found.items()}
+
+        def solve(table: pa.Table) -> pa.Table:
+            r = spectra.matrix_of(table)
+            return pa.table({"set_name": table["group"][:1], "omega": [one_factor_omega(r / (counts[table["group"][0].as_py()] - 1), iterations)]})
+
+        omega = {r["set_name"]: r["omega"] for r in spectra.cross_products(rows, fit, count_parts(rows)).groupBy("group").applyInArrow(solve, "set_name string, omega double").collect()} if fit else {}  # a number for each set
+    finally:
+        rows.unpersist()
+    return expr.sparkSession.createDataFrame([(g, k, omega.get(g)) for g, (_, _, k) in found.items()], "set_name string, k long, omega double")
 
 
 def tie_audit(expr: DataFrame) -> DataFrame:
     """``sample, n_tied_values, n_tied``: values that several genes of a sample share, and how many genes."""
     ties = expr.groupBy("sample", "value").agg(F.count("*").alias("c"))
     return ties.groupBy("sample").agg(F.count_if(F.col("c") > 1).alias("n_tied_values"), F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("n_tied"))
-
-

@@ -269,9 +269,7 @@ def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditC
         control = frame.select(F.col("patient_id").alias("key"), F.col(c.site_col).alias("site"), "x").join(random.folds, "key")
         out["site_control"] = batch.site_prediction_control(control, c.n_folds)
         if c.with_combat:
-            long = control.select("key", F.col("site").alias("batch"), "fold", F.posexplode("x")).select("key", "batch", "fold", F.col("pos").alias("dim"), F.col("col").alias("value"))
-            fixed = batch.combat_out_of_fold(long, c.n_folds).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("dim", "corrected"))).alias("v")).select("key", F.transform("v", lambda e: e["corrected"]).alias("x"))
-            out["site_control_combat"] = batch.site_prediction_control(control.drop("x").join(fixed, "key"), c.n_folds)
+            out["site_control_combat"] = batch.site_prediction_control_oof_combat(control, c.n_folds)
     if c.partition_repeats:
         good, bad = splits.repeated_site_splits(frame, c.site_col, "patient_id", c.n_folds, c.partition_repeats, seed=c.fold_seed)
         parts = None

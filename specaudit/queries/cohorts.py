@@ -283,15 +283,20 @@ def purity_share(spark: SparkSession, d: str) -> DataFrame:
     return r.select("group", "n_share", *(F.round(c, 6).alias(c) for c in ("r_image", "r_purity", "r_partial")))
 
 
+def _six(spark: SparkSession, table) -> DataFrame:
+    """A small table with its numbers to six places, NaN as null."""
+    out = spark.createDataFrame(table)
+    return out.select(*(F.round(F.when(~F.isnan(c), F.col(c)), 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes))
+
+
 def r2_ladder(spark: SparkSession, d: str) -> DataFrame:
     f = fx.cohort(spark, d).withColumn("score", F.col("purity") + F.col("site") * 10).withColumn("pred", F.col("patient") % 101 + F.col("site").cast("double"))
     rungs = [("M0", []), ("M1_purity", ["purity"]), ("M2_type", ["purity", "type"]), ("M3_site", ["purity", "type", "site"])]
-    table = variance.r2_ladder(f, "score", "pred", rungs, ["type", "site"])
-    return spark.createDataFrame(table)
+    return _six(spark, variance.r2_ladder(f, "score", "pred", rungs, ["type", "site"]))
 
 
 def label_site_variance(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(variance.label_site_variance(fx.cohort(spark, d), ["purity"], "site", "type"))
+    return _six(spark, variance.label_site_variance(fx.cohort(spark, d), ["purity"], "site", "type"))
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -311,7 +316,7 @@ def ridge_loo_alpha(spark: SparkSession, d: str) -> DataFrame:
     b = _blocks(spark, d)
     centre = np.zeros(48)
     chosen = ridge.select_alphas(b, ridge.moments(b, centre), centre, range(5))
-    return spark.createDataFrame(sorted(chosen.items()), "fold long, alpha double")
+    return spark.createDataFrame([(k, round(a, 8)) for k, a in sorted(chosen.items())], "fold long, alpha double")
 
 
 def impute_medians(spark: SparkSession, d: str) -> DataFrame:
@@ -323,6 +328,18 @@ def site_logistic(spark: SparkSession, d: str) -> DataFrame:
     return batch.site_prediction_control(_blocks(spark, d)).select("site", "n_patients", F.round("auroc", 6).alias("auroc"))
 
 
+def site_logistic_pair(spark: SparkSession, d: str) -> DataFrame:
+    """The same on the first two dimensions alone, whose Newton steps SQL can take too."""
+    b = _blocks(spark, d).withColumn("x", F.slice("x", 1, 2))
+    return batch.site_prediction_control(b).select("site", "n_patients", F.round("auroc", 6).alias("auroc"))
+
+
+def site_logistic_combat(spark: SparkSession, d: str) -> DataFrame:
+    """After a correction of each fold by the others' moments, which leaves little of a site to be seen."""
+    r = batch.site_prediction_control_oof_combat(_blocks(spark, d))
+    return r.select("site", "n_patients", F.round("auroc", 6).alias("auroc"), "estimable")
+
+
 def effective_tests(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.scoring import score_mean_z
 
@@ -515,7 +532,7 @@ QUERIES = {
         purity_by_patient, cohort_fingerprint, random_folds, fold_balance, group_kfold_unit, preserved_site_split, partition_variance, combat_estimable, fold_change_pairs, sweep_merge, corr_ci_pearson,
         corr_ci_spearman, delta_r, paired_delta_bootstrap, bootstrap_corr, bootstrap_corr_spearman, bh_fdr, cramers_v, cramers_v_perm, group_correlations, contrast_crude, contrast_stratified,
         site_identifiability, composition_share, concordance_index, concordance_stratified, type_rate_concordance, cox_score, outcome_arm, label_site_r2, auroc_by_site, combat_apply, combat_out_of_fold,
-        r2_single_factor, permutation_calibration, purity_share, r2_ladder, label_site_variance, ridge_oof, ridge_loo_alpha, impute_medians, site_logistic, effective_tests, pooled_bootstrap,
+        r2_single_factor, permutation_calibration, purity_share, r2_ladder, label_site_variance, ridge_oof, ridge_loo_alpha, impute_medians, site_logistic, site_logistic_pair, site_logistic_combat, effective_tests, pooled_bootstrap,
         attrition_funnel, value_spread, set_size_stats, nonspace_count, bh_directional, imputed_features, ancestry_pooled, event_moments,
     )
 }

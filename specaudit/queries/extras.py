@@ -9,6 +9,7 @@ from ..operators import compare, nulls, outcome, ridge, splits
 from ..plans import audit, build, sweep
 from ..sources import manifest, tables
 from . import fixtures as fx
+from .sqlmath import upper_tail
 from .matrix import _CLIP, _NULLS, _fit, _null_r
 
 
@@ -113,7 +114,7 @@ def reconstruct_excess(spark: SparkSession, d: str) -> DataFrame:
 
 def mann_whitney(spark: SparkSession, d: str) -> DataFrame:
     m = compare.mann_whitney(fx.table(spark, d, "orders").select("o_orderpriority", F.round(F.col("o_totalprice") / 1000).alias("v"), "o_orderstatus"), "v", F.col("o_orderstatus") == "F", "o_orderpriority")
-    return m.select("o_orderpriority", "n_first", "n_other", "u", "ties", _r("z"))
+    return m.select("o_orderpriority", "n_first", "n_other", "u", "ties", _r("z"), _r("p_less"), _r("p_two_sided"))
 
 
 def median_mde(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +250,7 @@ def penalty_margin(spark: SparkSession, d: str) -> DataFrame:
     b = _blocks(spark, d)
     centre = ridge.feature_means(b)
     e = ridge.loo_errors(b, ridge.moments(b, centre), centre, range(5))
-    return spark.createDataFrame([(k, *v[:2], round(v[2], 8)) for k, v in sorted(ridge.alpha_margin(e).items())], "fold long, first double, second double, gap double")
+    return spark.createDataFrame([(k, round(v[0], 8), round(v[1], 8), round(v[2], 8)) for k, v in sorted(ridge.alpha_margin(e).items())], "fold long, first double, second double, gap double")
 
 
 _SCORED = "z2 AS (SELECT e.p AS sample, e.gene, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM e WINDOW w AS (PARTITION BY e.gene)), sc AS (SELECT sample, set_name, avg(z) AS score FROM z2 JOIN sets USING (gene) GROUP BY ALL), w AS (SELECT sample, max(score) FILTER (set_name = 's0') AS s0, max(score) FILTER (set_name = 's1') AS s1, max(score) FILTER (set_name = 's2') AS s2, max(score) FILTER (set_name = 's3') AS s3 FROM sc GROUP BY 1)"
@@ -307,8 +308,9 @@ s AS (SELECT set_name, count(*) FILTER (abs(r) < 1) AS b, avg({_CLIP.format('r')
 e AS (SELECT {_CLIP.format('o.r')} - m AS x, sqrt(1.0 / greatest(n - 3, 1) + sd * sd / b) AS se FROM o JOIN s USING (set_name)), g AS (SELECT avg(x) AS isi, stddev_samp(x) / sqrt(count(*)) AS se, count(*) AS n, count(*) FILTER (x - {_Z} * e.se > 0) AS b FROM e)
 SELECT round(isi, 6) AS isi, round(isi - {_Z} * se, 6) AS lo, round(isi + {_Z} * se, 6) AS hi, n AS n_signatures, b AS beats_null FROM g""",
     "mann_whitney": """WITH v AS (SELECT o_orderpriority AS p, round(o_totalprice / 1000) AS v, o_orderstatus = 'F' AS f FROM orders), r AS (SELECT *, rank() OVER (PARTITION BY p ORDER BY v) + (count(*) OVER (PARTITION BY p, v) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY p, v) AS t FROM v),
-g AS (SELECT p, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b, sum(r) FILTER (f) AS rs, sum(t * t - 1.0) AS ties FROM r GROUP BY 1), u AS (SELECT *, rs - a * (a + 1) / 2.0 AS u, a + b AS n FROM g)
-SELECT p AS o_orderpriority, a AS n_first, b AS n_other, u, CAST(ties AS DOUBLE) AS ties, round(sign(u - a * b / 2.0) * greatest(abs(u - a * b / 2.0) - 0.5, 0) / sqrt(a * b / 12.0 * (n + 1 - ties / (n * (n - 1.0)))), 6) AS z FROM u""",
+g AS (SELECT p, count(*) FILTER (f) AS a, count(*) FILTER (NOT f) AS b, sum(r) FILTER (f) AS rs, sum(t * t - 1.0) AS ties FROM r GROUP BY 1), u AS (SELECT *, rs - a * (a + 1) / 2.0 AS u, a + b AS n FROM g),
+q AS (SELECT *, abs(u - a * b / 2.0) AS d, sqrt(a * b / 12.0 * (n + 1 - ties / (n * (n - 1.0)))) AS sd FROM u), w AS (SELECT *, greatest(d - 0.5, 0) / sd AS z, (CASE WHEN u <= a * b / 2.0 THEN d - 0.5 ELSE -d - 0.5 END) / sd AS zl, (d - 0.5) / sd AS zt FROM q)
+SELECT p AS o_orderpriority, a AS n_first, b AS n_other, u, CAST(ties AS DOUBLE) AS ties, round(sign(u - a * b / 2.0) * z, 6) AS z, round(""" + upper_tail("zl") + ", 6) AS p_less, round(least(1, 2 * " + upper_tail("zt") + "), 6) AS p_two_sided FROM w",
     "median_mde": f"WITH z AS (SELECT median((p_retailprice / 10000 + 0.2) / (2 * {_Z}) * ({_Z} + {_Z80})) AS z FROM part) SELECT round(z, 8) AS mde_z, round(tanh(z) / 2, 8) AS mde_c_index FROM z",
     "stacked_cohorts": "SELECT 'customers' AS cohort, c_custkey AS k, c_mktsegment AS mode, CAST(NULL AS DOUBLE) AS extra FROM customer UNION ALL SELECT 'suppliers', s_suppkey, 'default', round(s_acctbal, 6) FROM supplier",
     "stage_differences": """WITH m AS (SELECT p_partkey AS k, p_retailprice AS v, p_retailprice + CASE WHEN p_partkey % 5 = 0 THEN 0.5 ELSE 0 END AS w FROM part), l AS (SELECT k, CASE WHEN k % 3 <> 0 THEN w * 2 END AS w FROM m WHERE k % 7 <> 0),

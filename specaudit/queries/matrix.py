@@ -170,6 +170,15 @@ _ZN = 1.959963984540054
 _BINS = "bins AS (SELECT p_partkey AS gene, greatest(CAST(ceil((r - 1) * 10.0 / (n - 1)) AS BIGINT) - 1, 0) AS bin FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS r, count(*) OVER () AS n FROM part))"
 _HIST = "want AS (SELECT p_brand AS set_name, bin, count(*) AS want FROM part JOIN bins ON p_partkey = gene GROUP BY ALL)"
 
+#: Leading eigenvectors by squaring the cross products again and again until one direction is left.
+_SQUARINGS = 14
+_LEADING = "WITH {long}, gram AS MATERIALIZED (SELECT a.grp, a.gene AS i, b.gene AS j, sum(a.z * b.z) AS v FROM x a JOIN x b USING (grp, sample) GROUP BY ALL),\ntr AS (SELECT grp, sum(v) AS total FROM gram WHERE i = j GROUP BY grp), t0 AS (SELECT grp, i, j, v / total AS v FROM gram JOIN tr USING (grp)),\n" + ",\n".join(
+    f"q{k} AS (SELECT a.grp, a.i, b.j, sum(a.v * b.v) AS v FROM t{k} a JOIN t{k} b ON a.grp = b.grp AND a.j = b.i GROUP BY ALL), t{k + 1} AS MATERIALIZED (SELECT grp, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY grp) AS v FROM q{k})" for k in range(_SQUARINGS)
+) + f""",
+top AS (SELECT grp, max_by(i, v) AS i, max(v) AS d FROM t{_SQUARINGS} WHERE i = j GROUP BY grp), raw AS (SELECT t.grp, t.j AS gene, t.v / sqrt(top.d) AS v FROM t{_SQUARINGS} t JOIN top ON t.grp = top.grp AND t.i = top.i),
+vec AS (SELECT grp, gene, v * CASE WHEN sum(v) OVER (PARTITION BY grp) < 0 THEN -1 ELSE 1 END AS v FROM raw),
+val AS (SELECT grp, sum(a.v * gram.v * b.v) AS value, max(total) AS total FROM gram JOIN vec a USING (grp) JOIN vec b USING (grp) JOIN tr USING (grp) WHERE a.gene = i AND b.gene = j GROUP BY grp)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -186,6 +195,10 @@ t AS (SELECT sample, gene, pow(rank() OVER (PARTITION BY sample ORDER BY value)
   count(*) OVER (PARTITION BY sample) - row_number() OVER (PARTITION BY sample ORDER BY value DESC, gene) + 1 AS d, count(*) OVER (PARTITION BY sample) AS n FROM expr)
 SELECT sample, set_name, round((sum(w * d) / sum(w) - (max(n) * (max(n) + 1) / 2.0 - sum(d)) / (max(n) - count(*))) / max(n), 6) AS score FROM t JOIN sets USING (gene) GROUP BY ALL""",
     "global_axis_mean_z": _fit() + " SELECT sample, round(axis, 6) AS axis FROM axis",
+    "global_axis_pc1": _LEADING.format(long=f"{fx.EXPR}, x AS (SELECT sample, CAST(label % 2 AS VARCHAR) AS grp, gene, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM expr WINDOW w AS (PARTITION BY label % 2, gene))") + """
+SELECT sample, x.grp AS "group", round(sum(z * v), 6) AS axis, round(max(value / total), 6) AS variance_explained FROM x JOIN vec USING (grp, gene) JOIN val USING (grp) GROUP BY ALL""",
+    "score_plage": _LEADING.format(long=f"{fx.MATRIX}, x AS (SELECT sample, set_name AS grp, gene, z FROM z JOIN sets USING (gene))") + """
+SELECT sample, x.grp AS set_name, round(sum(z * v / sqrt(value)), 6) AS score FROM x JOIN vec USING (grp, gene) JOIN val USING (grp) GROUP BY ALL""",
     "axis_top_loadings": _fit() + " SELECT gene, round(r, 6) AS loading FROM (SELECT gene, corr(z, axis) AS r FROM z JOIN axis USING (sample) GROUP BY gene) ORDER BY abs(r) DESC, gene LIMIT 10",
     "residualise_within": _fit(fx.RESID) + " SELECT sample, set_name, round(residual, 6) AS residual FROM resid",
     "residual_item_variances": _fit() + """, f AS (SELECT gene, regr_slope(value, axis) AS b, avg(value) AS my, avg(axis) AS mx FROM expr JOIN axis USING (sample) GROUP BY gene)
