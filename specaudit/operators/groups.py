@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.dealing import deal_key, dealt
+from ..functions.ranking import rank_in_order
 from ..functions.special import chi2_sf
-from ..functions.stats import fisher_z, hash_order, min_detectable_delta_z, n_pairs, pearson, z_of
+from ..functions.stats import fisher_z, min_detectable_delta_z, n_pairs, pearson, z_of
 
 #: The reference group, groups that are compared, and the least rows of a cell.
 REFERENCE = "EUR"
@@ -41,15 +43,16 @@ def cramers_v(frame: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
 def permuted(frame: DataFrame, key: str, label: str, n_perm: int, seed: int = 0, within: str | None = None) -> DataFrame:
     """``perm, key, label``: labels dealt anew among the rows (of each stratum), for each permutation.
 
-    The label of the row at place i of the key order goes to the row at place i of a hash order; both orders are
-    windows over (permutation, stratum), so permutations run side by side.
+    Rows have places in the order of their keys, found once. In each permutation a row takes the label at the image of its place, which a key
+    alone gives, so no permutation is sorted.
     """
     by = [within] if within else []
     base = frame.select(F.col(key).alias("_k"), F.col(label).alias("_l"), *by)
-    own = base.withColumn("_p", F.row_number().over(Window.partitionBy(*by).orderBy("_k")))
-    many = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    place = F.row_number().over(Window.partitionBy("perm", *by).orderBy(hash_order(seed, "perm", "_k"), "_k"))
-    to = many.select("perm", *by, "_k", place.alias("_p"))
+    own = rank_in_order(base, "_k", name="_p", by=by)
+    sizes = base.groupBy(*by).agg(F.count("*").alias("_n"))
+    sized = own.join(sizes, by) if by else own.withColumn("_n", F.lit(base.count()))
+    many = sized.select(*by, "_k", "_p", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    to = many.select("perm", *by, "_k", dealt(F.col("_p"), F.col("_n"), deal_key(seed, F.col("perm"), name=F.col(within) if within else None)).alias("_p"))
     return to.join(own.select(*by, "_p", "_l"), [*by, "_p"]).select("perm", F.col("_k").alias(key), F.col("_l").alias(label))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dealing import ALL_BINS, deal_key, dealt
 from ..functions.ranking import rank_in_order
-from ..functions.stats import disattenuate, fisher_z, hash_order, mean_percentile, min_detectable_delta_z, z_of
+from ..functions.stats import disattenuate, fisher_z, mean_percentile, min_detectable_delta_z, z_of
 
 
 def level_bins(levels: DataFrame, n_bins: int = 10, level: str = "level", gene: str = "gene") -> DataFrame:
@@ -24,28 +25,36 @@ def bin_histogram(sets: DataFrame, bins: DataFrame) -> DataFrame:
     return sets.select("set_name", "gene").join(bins.select("gene", "bin"), "gene").groupBy("set_name", "bin").agg(F.count("*").alias("want"))
 
 
-def random_sets(sets: DataFrame, bins: DataFrame, n_draws: int = 100, seed: int = 0, matched: bool = True) -> DataFrame:
+def random_sets(sets: DataFrame, bins: DataFrame, n_draws: int = 100, seed: int = 0, matched: bool = True, pool: DataFrame | None = None) -> DataFrame:
     """``set_name, draw, gene``: for each set, draws of as many genes, by bin or from all.
 
-    A draw takes the first genes of a hash order within (set, draw, bin). Where a bin has too few, the rest come
-    from all genes that the draw hasn't used, in the same order.
+    Genes have places within their bin, found once; a draw takes those at the images of the first places under its own
+    permutation, so it costs as much as the set has genes, whatever the pool. Where a bin has too few, the rest come from
+    all genes that the draw hasn't used, by a permutation of all. pool (``gene``) names all genes there are: bins of less
+    than half of them raise, and sets that aren't matched are drawn from it.
     """
-    pool = bins.select("gene", "bin") if matched else bins.select("gene", F.lit(0).alias("bin"))
-    want = bin_histogram(sets, pool)
-    draws = want.select("set_name", "bin", "want", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
-    key = hash_order(seed, "set_name", "draw", "gene")
-    place = F.row_number().over(Window.partitionBy("set_name", "draw", "bin").orderBy("_h", "gene"))
-    offered = draws.join(pool, "bin").withColumn("_h", key).withColumn("_p", place)
-    taken = offered.filter("_p <= want").select("set_name", "draw", "gene")
-    have = pool.groupBy("bin").agg(F.count("*").alias("have"))
-    short = want.join(have, "bin").groupBy("set_name").agg(F.sum(F.greatest(F.col("want") - F.col("have"), F.lit(0))).alias("short")).filter("short > 0")
+    if pool is not None and matched and bins.count() < 0.5 * pool.count():
+        raise ValueError("levels cover less than half of the pool")
+    genes = bins.select("gene", "bin") if matched else (bins if pool is None else pool).select("gene", F.lit(0).alias("bin"))
+    want = bin_histogram(sets, genes)
+    placed = rank_in_order(genes, "gene", name="_p", by=["bin"])
+    have = genes.groupBy("bin").agg(F.count("*").alias("have"))
+    asked = want.join(have, "bin").withColumn("take", F.least("want", "have"))
+    draw = F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")
+    each = asked.select("set_name", "bin", "have", "take", draw).select("set_name", "bin", "have", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)).alias("j"))
+    at = each.select("set_name", "draw", "bin", dealt(F.col("j"), F.col("have"), deal_key(seed, F.col("draw"), F.col("bin"), F.col("set_name"))).alias("_p"))
+    taken = at.join(placed, ["bin", "_p"]).select("set_name", "draw", "gene")
+    short = asked.groupBy("set_name").agg(F.sum(F.col("want") - F.col("take")).alias("short"), F.sum("take").alias("used")).filter("short > 0")
     if not matched:
         return taken
-    spare = short.select("set_name", "short", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
-    # every gene is offered only to sets that ran short
-    spare = spare.join(pool.select("gene").withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k")).drop("_k").join(taken, ["set_name", "draw", "gene"], "left_anti")
-    spare = spare.withColumn("_p", F.row_number().over(Window.partitionBy("set_name", "draw").orderBy(hash_order(seed, "set_name", "draw", "gene"), "gene")))
-    return taken.unionByName(spare.filter("_p <= short").select("set_name", "draw", "gene"))
+    total = genes.count()
+    # of so many places at most ``used`` are taken already
+    spare = short.select("set_name", "short", draw, F.least(F.col("short") + F.col("used"), F.lit(total)).alias("m"))
+    spare = spare.select("set_name", "short", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
+    spare = spare.withColumn("_p", dealt(F.col("j"), F.lit(total), deal_key(seed, F.col("draw"), F.lit(ALL_BINS), F.col("set_name"))))
+    spare = spare.join(rank_in_order(genes.select("gene"), "gene", name="_p"), "_p").join(taken, ["set_name", "draw", "gene"], "left_anti")
+    first = F.row_number().over(Window.partitionBy("set_name", "draw").orderBy("j"))  # as many rows as the set has genes, at most twice
+    return taken.unionByName(spare.withColumn("_r", first).filter("_r <= short").select("set_name", "draw", "gene"))
 
 
 def null_percentile(observed: DataFrame, nulls: DataFrame) -> DataFrame:

@@ -19,13 +19,68 @@ from ..functions.blocks import count_parts, cut, joined, tree_sum
 
 #: Bytes of sums that a task keeps before it hands them on.
 HELD_BYTES = 64 << 20
+#: Bytes of the targets' sums of all folds that a task holds in a scan; more targets take another.
+TARGET_BYTES = 128 << 20
+#: Rows up to which a feature's median is taken from its values in one place.
+MEDIAN_ROWS = 100_000
 #: Fixed grid of penalties.
 ALPHAS = tuple(float(a) for a in np.logspace(-2, 5, 24))
 MIN_TRAIN = 10
 
 
+def narrowed_medians(frame: DataFrame, x: str = "x") -> np.ndarray:
+    """Exact medians of all features at once, by eight scans that each fix a byte of the two middle values.
+
+    Doubles are taken as whole numbers of the same order. A scan counts, by feature, the next byte of the values that begin with the bytes
+    found so far; what travels is 256 counts a feature and task, added up by levels. No task holds a feature's values.
+    """
+    rows = frame.select(F.col(x).alias("x"))
+    n_parts = count_parts(rows)
+    first = rows.filter(F.size("x") > 0).first()
+    p = len(first["x"]) if first else 0
+    prefix, rank, counts = np.zeros((2, p), np.uint64), np.zeros((2, p), np.int64), None
+
+    def counted(shift: int) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            total = np.zeros((2, p, 256))
+            for b in batches:
+                v = _matrix(b.column("x")) + 0.0  # one zero
+                at = ~np.isnan(v)
+                bits = v.view(np.uint64)
+                order = np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+                digit = ((order >> np.uint64(shift)) & np.uint64(255)).astype(np.int64) + 256 * np.arange(p)
+                for t in range(2):
+                    same = at if shift == 56 else at & (order >> np.uint64(shift + 8) == prefix[t])
+                    total[t] += np.bincount(digit[same], minlength=256 * p).reshape(p, 256)
+            blocks = cut(total)
+            yield pa.RecordBatch.from_pydict({"number": list(range(len(blocks))), "part": [TaskContext.get().partitionId()] * len(blocks), "block": blocks}, schema=pa.schema([("number", pa.int64()), ("part", pa.int64()), ("block", pa.binary())]))
+
+        found = {r["number"]: bytes(r["block"]) for r in tree_sum(rows.mapInArrow(part, "number long, part long, block binary"), ["number"], n_parts).toLocalIterator()}
+        return joined([found[i] for i in sorted(found)]).reshape(2, p, 256)
+
+    for shift in range(56, -8, -8) if p else ():
+        seen = counted(shift)
+        if counts is None:
+            counts = seen[0].sum(1).astype(np.int64)
+            rank[:] = np.maximum(counts - 1, 0) // 2, counts // 2
+        upto = seen.cumsum(2)
+        digit = np.minimum((upto <= rank[:, :, None]).sum(2), 255)
+        rank -= np.where(digit > 0, np.take_along_axis(upto, np.maximum(digit - 1, 0)[:, :, None], 2)[:, :, 0], 0).astype(np.int64)
+        prefix = (prefix << np.uint64(8)) | digit.astype(np.uint64)
+    bits = np.where(prefix >> np.uint64(63), prefix & np.uint64((1 << 63) - 1), ~prefix)
+    low, high = bits.view(np.float64) if p else np.zeros((2, 0))
+    return np.where(counts > 0, 0.5 * low + 0.5 * high, 0.0) if p else np.zeros(0)
+
+
 def impute_medians(frame: DataFrame, x: str = "x") -> DataFrame:
-    """``pos, median`` over all rows: exact medians ignoring missing values, 0 for features without any."""
+    """``pos, median`` over all rows: exact medians ignoring missing values, 0 for features without any.
+
+    Beyond MEDIAN_ROWS rows by :func:`narrowed_medians`.
+    """
+    if frame.limit(MEDIAN_ROWS + 1).count() > MEDIAN_ROWS:
+        return frame.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(narrowed_medians(frame, x))], "pos int, median double")
     long = frame.select(F.posexplode(x))
     v = F.when(~F.isnan("col"), F.col("col"))
     return long.groupBy("pos").agg(F.coalesce(F.median(v), F.lit(0.0)).alias("median"))
@@ -102,9 +157,16 @@ class FoldMoments:
 
     def training(self, fold: int, target: int) -> Moments | None:
         """Moments over the rows of other folds that have a target."""
+        return self._over([k for k in self.rows if k != fold], target)
+
+    def own(self, fold: int, target: int) -> Moments | None:
+        """Moments over the rows of a fold that have a target."""
+        return self._over([k for k in self.rows if k == fold], target)
+
+    def _over(self, folds: Sequence[int], target: int) -> Moments | None:
         c, total = int(self.classes[target]), None
         for k, parts in self.rows.items():
-            if k != fold:
+            if k in folds:
                 own = parts[0]
                 if c and c in parts:
                     own = tuple(x - y for x, y in zip(own, parts[c], strict=True))
@@ -291,6 +353,89 @@ def choose_penalties(frame: DataFrame, n_folds: int, target: int = 0, alphas: Se
     return out
 
 
+def choose_all_penalties(frame: DataFrame, n_folds: int, n_targets: int, alphas: Sequence[float] = ALPHAS) -> dict[tuple[int, int], float]:
+    """:func:`choose_penalties` of all targets, by fold and target: one pass for sums and one for errors. With missing features, whose medians
+    follow a target's rows, two for each fold and class of targets."""
+    out: dict[tuple[int, int], float] = {}
+
+    def chosen(rows: DataFrame, folds: Sequence[int], targets: Sequence[int]) -> None:
+        centre = feature_means(rows)
+        by = moments(rows, centre)
+        enough = [(k, t) for k in folds for t in targets if (m := by.training(k, t)) is not None and m.n >= 20]
+        errors = loo_table(rows, by, centre, folds, targets, alphas)
+        out.update({kt: float(alphas[int(errors[kt].argmin())]) for kt in enough})
+
+    if not has_missing(frame):
+        chosen(frame, range(n_folds), range(n_targets))
+        return out
+    classes = target_classes(frame)
+    for c in np.unique(classes).tolist():
+        own = np.flatnonzero(classes == c).tolist()
+        known = F.get("y", F.lit(own[0])).isNotNull() & ~F.isnan(F.get("y", F.lit(own[0])))
+        for k in range(n_folds):
+            medians = [r["median"] for r in impute_medians(frame.filter((F.col("fold") != k) & known)).orderBy("pos").collect()]
+            chosen(fill(frame, medians), [k], own)
+    return out
+
+
+def penalty_of(alpha: float | dict, fold: int, target: int) -> float | None:
+    """The penalty of a fold and target from one for all, one for each fold or one for each fold and target."""
+    if not isinstance(alpha, dict):
+        return alpha
+    return alpha.get((fold, target), alpha.get(fold))
+
+
+def _prediction_sums(out: np.ndarray, by: FoldMoments, fold: int, alpha: float | dict) -> None:
+    """Adds to rows, sums of y, y^2, predictions p, p^2 and y p, by target, those of a fold predicted from the others.
+
+    Predictions are linear in the features, so these sums follow from the fold's own moments and no row is predicted.
+    """
+    for ts in by.alike(range(len(out))):
+        m, own = by.training(fold, ts[0]), by.own(fold, ts[0])
+        ts = [t for t in ts if penalty_of(alpha, fold, t) is not None]
+        if m is None or own is None or m.n < MIN_TRAIN or not ts:
+            continue
+        mean, ymean = m.sx / m.n, m.sy[ts] / m.n
+        cov = m.xx / m.n - np.outer(mean, mean)
+        scale = np.sqrt(np.clip(np.diag(cov), 0, None))
+        scale = np.where(scale > 1e-12, scale, 1.0)
+        values, vectors = np.linalg.eigh(m.n * cov / np.outer(scale, scale))
+        below = np.clip(values, 0, None)[:, None] + np.array([penalty_of(alpha, fold, t) for t in ts])
+        rhs = vectors.T @ ((m.xy[:, ts] - np.outer(m.sx, ymean)) / scale[:, None])
+        beta = vectors @ np.where(below > 1e-12 * max(values[-1], 1e-300), rhs / np.where(below > 0, below, 1.0), 0.0) / scale[:, None]
+        shift = own.sx - own.n * mean
+        spread = own.xx - np.outer(mean, own.sx) - np.outer(own.sx, mean) + own.n * np.outer(mean, mean)
+        line = beta.T @ shift
+        square = (beta * (spread @ beta)).sum(0)
+        cross = (beta * (own.xy[:, ts] - np.outer(mean, own.sy[ts]))).sum(0)
+        out[ts] += np.column_stack([np.full(len(ts), own.n), own.sy[ts], own.yy[ts], line + own.n * ymean, square + 2 * ymean * line + own.n * ymean**2, cross + ymean * own.sy[ts]])
+
+
+def out_of_fold_correlations(frame: DataFrame, n_folds: int, n_targets: int, alpha: float | dict) -> list[tuple[float | None, int]]:
+    """Correlation of each target with its out-of-fold predictions at given penalties, and the rows it is over.
+
+    One scan (with missing features one for each fold) of as many targets as TARGET_BYTES of sums hold; no row is predicted.
+    """
+    missing, p = has_missing(frame), len(feature_means(frame))
+    medians = fold_medians(frame, n_folds) if missing else None
+    at_once = max(1, TARGET_BYTES // (8 * (p + 2) * n_folds))
+    out = []
+    for first in range(0, n_targets, at_once):
+        n = min(at_once, n_targets - first)
+        some = frame if n == n_targets else frame.withColumn("y", F.slice("y", first + 1, n))
+        given = {(k, t): a for k in range(n_folds) for t in range(n) if (a := penalty_of(alpha, k, first + t)) is not None}
+        sums = np.zeros((n, 6))
+        for only in range(n_folds) if missing else [None]:
+            rows = some if only is None else fill(some, medians[only])
+            by = moments(rows, feature_means(rows))
+            for k in range(n_folds) if only is None else [only]:
+                _prediction_sums(sums, by, k, given)
+        for rows_, y, yy, q, qq, yq in sums:
+            below = (yy - y * y / max(rows_, 1)) * (qq - q * q / max(rows_, 1))
+            out.append((float((yq - y * q / rows_) / below**0.5) if below > 0 else None, int(rows_)))
+    return out
+
+
 def alpha_margin(errors: dict[int, np.ndarray], alphas: Sequence[float] = ALPHAS) -> dict[int, tuple[float, float, float]]:
     """Best and second-best penalty of each fold and the relative gap of their errors."""
     out = {}
@@ -300,10 +445,10 @@ def alpha_margin(errors: dict[int, np.ndarray], alphas: Sequence[float] = ALPHAS
     return out
 
 
-def cross_val_predict(frame: DataFrame, targets: Sequence[str], n_folds: int, alpha: float | dict[int, float] | None = None, alphas: Sequence[float] = ALPHAS, standardise: bool = True) -> DataFrame:
+def cross_val_predict(frame: DataFrame, targets: Sequence[str], n_folds: int, alpha: float | dict | None = None, alphas: Sequence[float] = ALPHAS, standardise: bool = True) -> DataFrame:
     """Out-of-fold predictions ``key, fold, target, y_true, y_pred``.
 
-    alpha: one penalty, one for each fold, or None to choose by leave-one-out error for each fold and target.
+    alpha: one penalty, one for each fold, or fold and target's place, or None to choose by leave-one-out error for each.
     Missing features take the training medians of the fold. Targets with missing values are fitted on the rows
     that have them; folds with fewer than 10 training rows give no predictions for a target.
     """
@@ -328,10 +473,13 @@ def cross_val_predict(frame: DataFrame, targets: Sequence[str], n_folds: int, al
                 m = training_moments(by, k, ts[0])
                 if m is None or m.n < MIN_TRAIN:
                     continue
-                if isinstance(alpha, dict) or alpha is not None:
-                    a = alpha.get(k) if isinstance(alpha, dict) else alpha
-                    if a is not None:
-                        beta[:, ts], icpt[ts] = solve(m, ts, a, standardise)
+                if alpha is not None:
+                    shared: dict[float, list[int]] = {}
+                    for t in ts:
+                        if (a := penalty_of(alpha, k, t)) is not None:
+                            shared.setdefault(a, []).append(t)
+                    for a, own in shared.items():
+                        beta[:, own], icpt[own] = solve(m, own, a, standardise)
                 else:
                     for t in ts:
                         beta[:, [t]], icpt[[t]] = solve(m, [t], float(alphas[int(errors[k, t].argmin())]), standardise)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -80,27 +82,105 @@ def gram(frame: DataFrame, terms: Sequence[str], categorical: Sequence[str], tar
     return out, names, place
 
 
-def r2_of(g: np.ndarray, columns: Sequence[int], target: int) -> tuple[float, float, int]:
-    """R2, adjusted R2 and the number of parameters of least squares on some columns of a Gram matrix.
-
-    Columns without variance don't count as parameters; null for n <= parameters.
+@dataclass
+class Sums:
+    """Sparse cross products of factors, numbers and targets about the numbers' means: counts of the pairs of levels that occur, sums by level."""
+
+    n: int
+    centre: dict[str, float]
+    levels: dict[str, np.ndarray]
+    pairs: dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    by_level: dict[tuple[str, str], np.ndarray]
+    dense: dict[tuple[str, str], float]
+
+    def number(self, a: str, b: str) -> float:
+        return self.dense[(a, b) if (a, b) in self.dense else (b, a)]
+
+    def r2(self, terms: Sequence[str], target: str, tol: float = 1e-10, max_iter: int = 5000) -> tuple[float, float, int]:
+        """R2, adjusted R2 and the number of parameters of least squares of a target on terms.
+
+        Numbers without variance don't count as parameters; NaN for as many parameters as rows. By conjugate gradients on all levels of the factors, scaled by their counts; a product costs as much as there are pairs of levels. That the
+        levels of a factor add up to the intercept, or to a coarser factor, leaves the fitted values as they are.
+        """
+        factors, numbers = [t for t in terms if t in self.levels], [t for t in terms if t not in self.levels]
+        numbers = [t for t in numbers if self.number(t, t) > 1e-10 * max(1.0, self.number(t, t) + self.n * self.centre[t] ** 2)]
+        total = self.number(target, target)
+        p = 1 + len(numbers) + sum(len(self.levels[f]) - 1 for f in factors)
+        if self.n <= p or total <= 0:
+            return np.nan, np.nan, p
+        if p == 1:
+            return 0.0, 0.0, p
+        at, end = {}, 0
+        for f in factors:
+            at[f] = slice(end, end + len(self.levels[f]))
+            end += len(self.levels[f])
+        for t in numbers:
+            at[t] = slice(end, end + 1)
+            end += 1
+        means = np.concatenate([*(self.levels[f] / self.n for f in factors), np.zeros(len(numbers))])
+        diagonal = np.concatenate([*(self.levels[f] * (1 - self.levels[f] / self.n) for f in factors), [self.number(t, t) for t in numbers]])
+        scale = 1 / np.sqrt(np.where(diagonal > 1e-9, diagonal, 1.0))
+        # about the mean to the last digit: what the sums of a factor's levels are off by lies where no solution does
+        rhs = np.concatenate([*(self.by_level[f, target] - self.levels[f] * (self.by_level[f, target].sum() / self.n) for f in factors), [self.number(t, target) for t in numbers]])
+
+        def product(v: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(v))
+            for i, f in enumerate(factors):
+                out[at[f]] += self.levels[f] * v[at[f]]
+                for g in factors[i + 1 :]:
+                    a, b, c = self.pairs[(f, g) if (f, g) in self.pairs else (g, f)]
+                    a, b = (a, b) if (f, g) in self.pairs else (b, a)
+                    out[at[f]] += np.bincount(a, c * v[at[g]][b], len(self.levels[f]))
+                    out[at[g]] += np.bincount(b, c * v[at[f]][a], len(self.levels[g]))
+                for t in numbers:
+                    out[at[f]] += self.by_level[f, t] * v[at[t]]
+                    out[at[t]] += self.by_level[f, t] @ v[at[f]]
+            for t in numbers:
+                for u in numbers:
+                    out[at[t]] += self.number(t, u) * v[at[u]]
+            return out - self.n * means * (means @ v)
+
+        b = scale * rhs
+        beta, rest = np.zeros(len(b)), b.copy()
+        way, size = rest.copy(), rest @ rest
+        best, since = (size, beta), 0
+        for _ in range(max_iter):
+            if size <= tol**2 * (b @ b) or since > 50:  # rounding is all that is left
+                break
+            step = scale * product(scale * way)
+            if (curve := way @ step) <= 0:
+                break
+            beta, rest = beta + size / curve * way, rest - size / curve * step
+            new = rest @ rest
+            way, size = rest + new / size * way, new
+            best, since = ((size, beta), 0) if size < best[0] else (best, since + 1)
+        r2 = float(np.clip(b @ best[1] / total, 0.0, 1.0))
+        return r2, float(1 - (1 - r2) * (self.n - 1) / (self.n - p)), p
+
+
+def sums(frame: DataFrame, terms: Sequence[str], categorical: Sequence[str], targets: Sequence[str]) -> Sums:
+    """:class:`Sums` of a frame without missing numbers; a missing level is a level of its own.
+
+    All by partial aggregates: one over numbers, one for each factor, one for each pair of factors. Levels, and the pairs that
+    occur, come to the driver; dummies exist nowhere.
     """
-    n = g[0, 0]
-    mean = g[0] / n
-    cov = g - n * np.outer(mean, mean)
-    use = [c for c in columns if cov[c, c] > 1e-10 * max(1.0, abs(g[c, c]))]
-    total = cov[target, target]
-    p = len(use) + 1
-    if n <= p or total <= 0:
-        return np.nan, np.nan, p
-    if not use:
-        return 0.0, 0.0, p
-    scale = np.sqrt(np.diag(cov)[use])
-    a = cov[np.ix_(use, use)] / np.outer(scale, scale)
-    b = cov[use, target] / scale
-    beta = np.linalg.lstsq(a, b, rcond=1e-10)[0]
-    r2 = float(np.clip(b @ beta / total, 0.0, 1.0))
-    return r2, float(1 - (1 - r2) * (n - 1) / (n - p)), p
+    factors, numbers = [t for t in terms if t in categorical], list(dict.fromkeys([*(t for t in terms if t not in categorical), *targets]))
+    means = frame.agg(F.count("*").alias("n"), *(F.avg(F.col(c).cast("double")).alias(c) for c in numbers)).first()
+    centred = frame.select(*factors, *((F.col(c).cast("double") - F.lit(means[c] or 0.0)).alias(c) for c in numbers))
+    cells = [(a, b) for i, a in enumerate(numbers) for b in numbers[i:]]
+    row = centred.agg(*(F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)).alias(f"{i}") for i, (a, b) in enumerate(cells))).first() if cells else ()
+    dense = dict(zip(cells, row, strict=True))
+    code, levels, by_level, pairs = {}, {}, {}, {}
+    for f in factors:
+        found = centred.groupBy(f).agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{i}") for i, c in enumerate(numbers))).collect()
+        code[f] = {r[f]: i for i, r in enumerate(found)}
+        levels[f] = np.array([r["_n"] for r in found], float)
+        by_level |= {(f, c): np.array([r[f"_{i}"] for r in found]) for i, c in enumerate(numbers)}
+    for i, f in enumerate(factors):
+        for g in factors[i + 1 :]:
+            found = frame.groupBy(F.col(f).alias("a"), F.col(g).alias("b")).agg(F.count("*").alias("n")).collect()
+            pairs[f, g] = np.array([code[f][r["a"]] for r in found], np.int64), np.array([code[g][r["b"]] for r in found], np.int64), np.array([r["n"] for r in found], float)
+    return Sums(means["n"], {c: means[c] or 0.0 for c in numbers}, levels, pairs, by_level, dense)
 
 
 def complete(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -114,15 +194,18 @@ def complete(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
 def r2_ladder(frame: DataFrame, score: str, prediction: str, rungs: Sequence[tuple[str, Sequence[str]]], categorical: Sequence[str]) -> pd.DataFrame:
     """``model, n, r2, adj_r2, delta_r2`` of nested models on one mask, with the prediction added last and alone.
 
-    One Gram matrix serves all rungs. The prediction's increment is the last difference of adjusted R2.
+    One set of sums serves all rungs. The prediction's increment is the last difference of adjusted R2.
     """
     terms = list(dict.fromkeys(t for _, ts in rungs for t in ts))
-    g, _, place = gram(complete(frame, [score, prediction, *terms]), [*terms, prediction], categorical, [score])
-    target = place[score][0]
+    return _rungs(sums(complete(frame, [score, prediction, *terms]), [*terms, prediction], categorical, [score]), score, prediction, rungs)
+
+
+def _rungs(g: Sums, score: str, prediction: str, rungs: Sequence[tuple[str, Sequence[str]]]) -> pd.DataFrame:
+    terms = list(dict.fromkeys(t for _, ts in rungs for t in ts))
     rows, before = [], 0.0
     for name, ts in [*rungs, ("Mfull", [*terms, prediction]), ("Image_only", [prediction])]:
-        r2, adj, _ = r2_of(g, [c for t in ts for c in place[t]], target)
-        rows.append({"model": name, "n": int(g[0, 0]), "r2": r2, "adj_r2": adj, "delta_r2": r2 - before if name != "Image_only" else np.nan})
+        r2, adj, _ = g.r2(ts, score)
+        rows.append({"model": name, "n": g.n, "r2": r2, "adj_r2": adj, "delta_r2": r2 - before if name != "Image_only" else np.nan})
         before = r2
     return pd.DataFrame(rows)
 
@@ -133,10 +216,22 @@ def incremental_r2(ladder: pd.DataFrame) -> float:
 
 
 def decompose_all(frame: DataFrame, pairs: Sequence[tuple[str, str]], rungs: Sequence[tuple[str, Sequence[str]]], categorical: Sequence[str]) -> pd.DataFrame:
-    """Ladders of several (score, prediction) pairs, wide by model, largest increment first."""
+    """Ladders of several (score, prediction) pairs, wide by model, largest increment first.
+
+    Pairs that are complete in the same rows, as many as there are, share one set of sums.
+    """
+    terms = list(dict.fromkeys(t for _, ts in rungs for t in ts))
+    known = lambda *cs: F.lit(True) if not cs else functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cs))
+    base = complete(frame, terms)
+    here = [known(s, p) for s, p in pairs]
+    whole = F.sum(functools.reduce(lambda a, b: a & b, here).cast("long")) if pairs else F.lit(0)
+    counts = base.agg(whole.alias("all"), *(F.sum(h.cast("long")).alias(f"_{i}") for i, h in enumerate(here))).first()
+    alike = [(s, p) for i, (s, p) in enumerate(pairs) if counts[f"_{i}"] == counts["all"]]
+    both = list(dict.fromkeys(c for pair in alike for c in pair))
+    shared = sums(complete(base, list(dict.fromkeys(c for pair in pairs for c in pair))), [*terms, *both], categorical, both) if alike else None
     out = []
     for score, prediction in pairs:
-        ladder = r2_ladder(frame, score, prediction, rungs, categorical)
+        ladder = _rungs(shared, score, prediction, rungs) if (score, prediction) in alike else r2_ladder(frame, score, prediction, rungs, categorical)
         out.append({"signature": score, "incremental_image_r2": incremental_r2(ladder), "n_ladder": int(ladder["n"].iloc[0]), **dict(zip(ladder["model"], ladder["r2"], strict=True))})
     return pd.DataFrame(out).sort_values("incremental_image_r2", ascending=False, ignore_index=True)
 
@@ -160,9 +255,9 @@ def label_site_variance(frame: DataFrame, scores: Sequence[str], site: str, kind
         if ok.count() < 30:
             continue
         terms = list(dict.fromkeys([*factors, *([plate] if plate and plates > 1 else []), *([purity] if purity else [])]))
-        g, _, place = gram(ok, terms, [c for c in terms if c != purity], [s])
-        r = lambda *ts: r2_of(g, [c for t in ts for c in place[t]], place[s][0])  # noqa: B023, E731
-        row = {"signature": s, "n": int(g[0, 0]), "n_sites": n_sites, "r2_site_only": r(site)[0], "adj_r2_site_only": r(site)[1]}
+        g = sums(ok, terms, [c for c in terms if c != purity], [s])
+        r = lambda *ts: g.r2(ts, s)  # noqa: B023, E731
+        row = {"signature": s, "n": g.n, "n_sites": n_sites, "r2_site_only": r(site)[0], "adj_r2_site_only": r(site)[1]}
         if kind:
             row |= {"r2_type_only": r(kind)[0], "r2_site_given_type": r(kind, site)[0] - r(kind)[0]}
         if plate:

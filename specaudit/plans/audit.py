@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import corr_interval, delta_r_interval, n_pairs, pearson
 from ..operators import axis as axes
-from ..operators import batch, inference, nulls, outcome, ridge, scoring, splits
+from ..operators import batch, inference, nulls, outcome, ridge, scoring, splits, variance
 from ..operators.cohort import assert_unique
 from ..sources import tables
 
@@ -42,6 +42,7 @@ class AuditConfig:
     with_combat: bool = False
     with_site_control: bool = True
     partition_repeats: int = 0
+    with_raw_null: bool = False
     max_null_for_boot: int = inference.MAX_NULLS
 
     @property
@@ -141,34 +142,35 @@ def _parts():
     return F.left("set_name", F.length("set_name") - F.length(last) - 1).alias("set_name"), last.cast("int").alias("draw")
 
 
-def refit_residuals(x: DataFrame, resid: DataFrame, folds: DataFrame, names: Sequence[str], config: AuditConfig) -> tuple[DataFrame, DataFrame]:
-    """Predictors refitted on the residuals of each set and of its random sets: ``set_name, draw, r, n`` and, for the
-    bootstrap, ``key, sets``.
+def refit_residuals(x: DataFrame, resid: DataFrame, folds: DataFrame, names: Sequence[str], config: AuditConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Predictors refitted on the residuals of each set and of its random sets: ``set_name, draw, r, n``; for the
+    bootstrap ``key, sets``; and the persisted rows behind these, to be released after it.
 
     resid: ``sample, set_name, draw, score``, the observed set as draw OBSERVED. A set's penalties are chosen on its own
-    residuals, fold by fold, and hold for its random sets too.
+    residuals, fold by fold, and hold for its random sets too. Sets and draws are targets of one frame, so the number of sets
+    makes no further plans: correlations of all draws come from sums, predictions are made of the draws that the bootstrap takes.
     """
-    spark = x.sparkSession
     draws = [OBSERVED, *range(config.n_null)]
-    own = [str(k) for k in draws]
+    order = [(s, k) for s in names for k in draws]
+    named = resid.select("sample", F.concat_ws("|", "set_name", F.col("draw").cast("string")).alias("set_name"), "score")
+    frame = x.join(folds, "key").join(wide_targets(named, [f"{s}|{k}" for s, k in order]), "key").select("key", "fold", "x", "y").persist()
+    pick = lambda places: F.transform(F.array(*(F.lit(i) for i in places)), lambda i: F.get("y", i))
+    if config.ridge_alpha is None:
+        own = ridge.choose_all_penalties(frame.withColumn("y", pick(range(0, len(order), len(draws)))), config.n_folds, len(names))
+        alpha = {(k, s * len(draws) + d): a for (k, s), a in own.items() for d in range(len(draws))}
+    else:
+        alpha = config.ridge_alpha
+    got = ridge.out_of_fold_correlations(frame, config.n_folds, len(order), alpha)
+    table = x.sparkSession.createDataFrame([(s, k, r, n) for (s, k), (r, n) in zip(order, got, strict=True)], "set_name string, draw int, r double, n long")
     used = 1 + min(config.n_null, config.max_null_for_boot)
-    rows, boot = [], None
-    for k, s in enumerate(names):
-        part = resid.filter(F.col("set_name") == s).select("sample", F.col("draw").cast("string").alias("set_name"), "score")
-        frame = x.join(folds, "key").join(wide_targets(part, own), "key").select("key", "fold", "x", "y").persist()
-        penalties = ridge.choose_penalties(frame, config.n_folds) if config.ridge_alpha is None else config.ridge_alpha
-        pred = ridge.cross_val_predict(frame, own, config.n_folds, penalties).select("key", F.col("target").cast("int").alias("draw"), "y_true", "y_pred").persist()
-        got = pred.groupBy("draw").agg(pearson(F.col("y_true"), F.col("y_pred")).alias("r"), n_pairs(F.col("y_true"), F.col("y_pred")).alias("n")).collect()
-        rows += [(s, g["draw"], g["r"], g["n"]) for g in got]
-        one = pred.filter(F.col("draw") < used - 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("draw", "y_true", "y_pred"))).alias("l"))
-        values = F.when(F.size("l") == used, F.flatten(F.transform("l", lambda e: F.array(e["y_true"], e["y_pred"]))))
-        one = one.select("key", F.lit(k).alias("k"), F.coalesce(values, F.array(F.lit(None).cast("double"))).alias("v"))
-        boot = one if boot is None else boot.unionByName(one)
-        frame.unpersist()
-    table = spark.createDataFrame(rows, "set_name string, draw int, r double, n long")
-    sets = boot.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s"))
-    lone = F.array(F.array(F.lit(None).cast("double")))
-    return table, sets.select("key", F.when(F.size("s") == len(names), F.transform("s", lambda e: e["v"])).otherwise(lone).alias("sets"))
+    kept = [s * len(draws) + d for s in range(len(names)) for d in range(used)]
+    given = {(k, i): alpha[k, t] for i, t in enumerate(kept) for k in range(config.n_folds) if (k, t) in alpha} if isinstance(alpha, dict) else alpha
+    pred = ridge.cross_val_predict(frame.withColumn("y", pick(kept)), [str(i) for i in range(len(kept))], config.n_folds, given)
+    one = pred.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("target").cast("int").alias("i"), "y_true", "y_pred"))).alias("l"))
+    whole = F.transform("l", lambda e: F.array(e["y_true"], e["y_pred"]))
+    sets = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda s: F.flatten(F.slice(whole, s * used + 1, used)))
+    lone = F.array(F.array(F.lit(None).cast("double")))  # a patient without some value
+    return table, one.select("key", F.when(F.size("l") == len(kept), sets).otherwise(lone).alias("sets")), frame
 
 
 def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditConfig | None = None, survival: DataFrame | None = None) -> AuditResult:
@@ -214,6 +216,14 @@ def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditC
     per_signature = per_signature.join(beside.withColumnRenamed("set_name", "signature"), "signature", "left")
     out = {"per_signature": per_signature, "predictions": predictions}
 
+    # what a patient loses in absolute error where its site is unseen
+    wide = predictions.select("key", "target", "scheme", F.abs(F.col("y_true") - F.col("y_pred")).alias("e")).groupBy("key", "target").agg(*(F.max(F.when(F.col("scheme") == k.scheme, -F.col("e"))).alias(v) for k, v in ((random, "a"), (site, "b"))))
+    out["secondary"] = inference.paired_delta(wide, "a", "b", "key", c.n_boot, c.seed, c.alpha).select(F.lit("delta_mae").alias("name"), "*")
+    if c.purity_col:
+        out["decomposition"] = decomposition(frame, scores, predictions.filter(F.col("scheme") == site.scheme), names, c)
+    if c.with_raw_null:
+        out["raw_null"] = legacy_null(x, expr, sets, site.folds, c)
+
     # symmetric refits of residual scores, on folds that keep sites whole: observed and random sets through one plan
     pool = expr.groupBy("gene").agg(F.avg("value").alias("level"))
     bins = nulls.level_bins(pool, c.n_bins)
@@ -222,7 +232,7 @@ def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditC
     all_sets = everything.select(F.concat_ws("|", "set_name", F.col("draw").cast("string")).alias("set_name"), "gene").persist()
     resid = axes.residualise(scoring.score_sets(expr, all_sets, c.scorer), axis, within).select("sample", "set_name", F.col("residual").alias("score")).persist()
     parted = resid.select("sample", *_parts(), "score")
-    table, boot = refit_residuals(x, parted, site.folds, names, c)
+    table, boot, refitted = refit_residuals(x, parted, site.folds, names, c)
     if c.disattenuate:
         gene_var = axes.residual_item_variances(scoring.z_scores(expr).withColumnRenamed("z", "value"), axis, within)
         rel = scoring.alpha_from_item_variances(resid, all_sets, gene_var)
@@ -262,6 +272,7 @@ def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditC
     kept = boot.select("key", F.when(F.size("sets") == len(names), F.array(*(F.get("sets", F.lit(k)) for k in at))).otherwise(F.col("sets")).alias("sets"))
     alphas = {s: (reliable[s].get(OBSERVED), [reliable[s].get(k) for k in range(used)]) if c.disattenuate else (None, []) for s in defined}
     primary = inference.pooled_bootstrap(kept, alphas, c.n_boot, c.seed, c.alpha, point)
+    refitted.unpersist()
     if primary["n_dropped"]:
         notes.append(f"{primary['n_dropped']} patients lack a value in some set or draw and take no part in the interval")
 
@@ -270,6 +281,8 @@ def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditC
         out["site_control"] = batch.site_prediction_control(control, c.n_folds)
         if c.with_combat:
             out["site_control_combat"] = batch.site_prediction_control_oof_combat(control, c.n_folds)
+            held = splits.estimable_fraction(frame.select(F.col("patient_id").alias("key"), F.col(c.site_col).alias("batch")).join(site.folds, "key"), "batch").agg(F.sum("n_estimable"), F.sum("n")).first()
+            notes.append(f"an AUROC after the correction says nothing of the confound; with folds that keep sites whole it can be estimated for {held[0]} of {held[1]} held-out patients")
     if c.partition_repeats:
         good, bad = splits.repeated_site_splits(frame, c.site_col, "patient_id", c.n_folds, c.partition_repeats, seed=c.fold_seed)
         parts = None
@@ -286,6 +299,26 @@ def run_audit(frame: DataFrame, expr: DataFrame, sets: DataFrame, config: AuditC
     return AuditResult(c, out, primary, mark, notes)
 
 
+def decomposition(frame: DataFrame, scores: DataFrame, predictions: DataFrame, names: Sequence[str], c: AuditConfig) -> DataFrame:
+    """By set, the R2 of purity, then type, then site, then the prediction, and the prediction's correlation net of purity."""
+    at = wide_targets(scores, names).withColumnRenamed("y", "_s")
+    pred = wide_targets(predictions.select(F.col("key").alias("sample"), F.col("target").alias("set_name"), F.col("y_pred").alias("score")), names).withColumnRenamed("y", "_p")
+    covariates = frame.select(F.col("patient_id").alias("key"), F.col(c.purity_col).cast("double").alias("purity"), F.col(c.type_col).alias("type"), F.col(c.site_col).alias("site"))
+    wide = covariates.join(at, "key").join(pred, "key", "left")
+    wide = wide.select("purity", "type", "site", *(F.get(a, F.lit(i)).alias(f"{b}{i}") for i in range(len(names)) for a, b in (("_s", "s"), ("_p", "p")))).persist()
+    try:
+        rungs = [("M0", []), ("M1_purity", ["purity"]), ("M2_type", ["purity", "type"]), ("M3_site", ["purity", "type", "site"])]
+        ladders = variance.decompose_all(wide, [(f"s{i}", f"p{i}") for i in range(len(names))], rungs, ["type", "site"])
+        long = wide.select("purity", F.explode(F.array(*(F.struct(F.lit(f"s{i}").alias("signature"), F.col(f"s{i}").alias("score"), F.col(f"p{i}").alias("prediction")) for i in range(len(names))))).alias("e")).select("purity", "e.*")
+        shares = variance.purity_share(long, "score", "prediction", "purity", ["signature"]).toPandas()  # a row for each set
+    finally:
+        wide.unpersist()
+    both = ladders.merge(shares, on="signature", how="left")
+    both["signature"] = [names[int(s[1:])] for s in both["signature"]]
+    table = frame.sparkSession.createDataFrame(both)
+    return table.select(*(F.when(~F.isnan(k), F.col(k)).alias(k) if kind == "double" else F.col(k) for k, kind in table.dtypes))
+
+
 def legacy_null(x: DataFrame, expr: DataFrame, sets: DataFrame, folds: DataFrame, config: AuditConfig) -> DataFrame:
     """The older raw contrast: correlations of predictions with scores of sets and of random sets, without an axis.
 

@@ -11,6 +11,7 @@ from ..operators import cohort as coh
 from ..plans import sweep
 from ..sources import barcodes, tables
 from . import fixtures as fx
+from .sqlmath import permuted
 
 #: The code of a customer, as SQL of either engine.
 _CODE = "CASE WHEN c_custkey % 17 = 0 THEN 'bad' || c_custkey ELSE ' tcga-' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || CASE c_custkey % 4 WHEN 0 THEN '-01A-11R-A1B2-07' WHEN 1 THEN '-11B' WHEN 2 THEN '' ELSE '-01' END END"
@@ -181,7 +182,7 @@ def cramers_v(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cramers_v_perm(spark: SparkSession, d: str) -> DataFrame:
-    v = groups.cramers_v_calibrated(fx.cohort(spark, d), "type", "group", "patient", n_perm=20)
+    v = groups.cramers_v_calibrated(fx.cohort(spark, d), "type", "group", "patient", n_perm=200)
     return v.select(*(F.round(c, 6).alias(c) for c in v.columns))
 
 
@@ -274,7 +275,7 @@ def r2_single_factor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def permutation_calibration(spark: SparkSession, d: str) -> DataFrame:
-    r = variance.permutation_calibration(fx.cohort(spark, d), "purity", "site", "patient", "type", n_perm=20)
+    r = variance.permutation_calibration(fx.cohort(spark, d), "purity", "site", "patient", "type", n_perm=1000)
     return r.select(*(F.round(c, 8).alias(c) for c in r.columns))
 
 
@@ -408,10 +409,6 @@ def event_moments(spark: SparkSession, d: str) -> DataFrame:
 _Z = 1.959963984540054
 _Z80 = 0.8416212335729143
 _RE = barcodes.PATTERN
-_PERM = """own AS (SELECT *, row_number() OVER ({by} ORDER BY {key}) AS p FROM {base}),
-deal AS (SELECT perm, {key} AS k, {cols} row_number() OVER (PARTITION BY perm {by2} ORDER BY md5('0|' || perm || '|' || {key}), {key}) AS p FROM own, range(0, {n}) AS r(perm))"""
-
-
 def _chi(cells: str, keys: str = "") -> str:
     k = f"{keys}, " if keys else ""
     by = f"PARTITION BY {k}"
@@ -440,7 +437,6 @@ SELECT tss, n AS n_patients, round(n / sum(n) OVER (), 6) AS frac, round(sum(n)
     "ancestry_keep_first": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS p, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'eas' WHEN 2 THEN 'EUR' ELSE event_type END AS a, event_id FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY substr(upper(p), 1, 12) ORDER BY event_id) AS r FROM e)
 SELECT substr(upper(p), 1, 12) AS patient_id, a AS ancestry_raw, CASE WHEN a IS NULL THEN 'UNKNOWN' WHEN upper(a) IN ('EAS', 'SAS', 'ASIAN') THEN 'ASIAN' WHEN upper(a) IN ('EUR', 'AFR', 'AMR') THEN upper(a) ELSE 'ADMIXED' END AS ancestry FROM f WHERE r = 1""",
     "purity_by_patient": "SELECT upper('p-' || o_custkey) AS patient_id, round(avg(o_totalprice), 6) AS purity FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1",
-    "cohort_fingerprint": "SELECT sha256(string_agg(DISTINCT CAST(c_custkey AS VARCHAR), chr(10) ORDER BY CAST(c_custkey AS VARCHAR))) AS fingerprint, count(DISTINCT c_custkey) AS n FROM customer",
     "random_folds": f"WITH {fx.COHORT} SELECT patient AS key, CAST((row_number() OVER (ORDER BY md5('0|' || patient), patient) - 1) % 5 AS INTEGER) AS fold FROM cohort",
     "fold_balance": f"WITH {fx.COHORT}, f AS (SELECT purity, CAST((row_number() OVER (PARTITION BY type ORDER BY md5('0|' || patient), patient) - 1) % 5 AS INTEGER) AS fold FROM cohort) SELECT fold, count(*) AS n, round(avg(purity), 6) AS outcome_mean, round(stddev_samp(purity), 6) AS outcome_sd FROM f GROUP BY 1",
     "group_kfold_unit": "SELECT c_custkey, CAST((count(*) OVER () - row_number() OVER (ORDER BY c_custkey)) % 5 AS INTEGER) AS fold FROM customer",
@@ -467,7 +463,7 @@ SELECT round(max(v) FILTER (b = -1), 5) AS value, round(quantile_cont(v, 0.025)
     "bh_fdr": """WITH s AS (SELECT p_partkey AS k, p_brand AS f, CASE WHEN p_partkey % 11 <> 0 THEN pow(p_partkey * 7919 % 10007 / 10007.0, 3) END AS p FROM part), r AS (SELECT *, p * count(p) OVER (PARTITION BY f) / row_number() OVER (PARTITION BY f ORDER BY p, k) AS q FROM s WHERE p IS NOT NULL),
 q AS (SELECT k, least(1, min(q) OVER (PARTITION BY f ORDER BY p, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r) SELECT s.k AS set_name, round(q, 9) AS q, coalesce(q <= 0.05, false) AS rejected FROM s LEFT JOIN q USING (k)""",
     "cramers_v": f"WITH {fx.PREDICTED}, xy AS (SELECT grp AS x, stratum AS y FROM pred), {_chi('xy')} SELECT round(phi2 * n, 6) AS chi2, round(phi2, 6) AS phi2, round(sqrt(phi2 / (least(r, q) - 1)), 6) AS v, round(sqrt(greatest(0, phi2 - (r - 1) * (q - 1) / (n - 1)) / (least(r - (r - 1) * (r - 1) / (n - 1), q - (q - 1) * (q - 1) / (n - 1)) - 1)), 6) AS v_corrected, CAST(n AS BIGINT) AS n FROM g",
-    "cramers_v_perm": f"""WITH {fx.COHORT}, {_PERM.format(by='', by2='', key='patient', cols='', base='cohort', n=20)},
+    "cramers_v_perm": f"""WITH {fx.COHORT}, {permuted('cohort', 'patient', None, 200)},
 xy AS (SELECT perm, c.type AS x, o.grp AS y FROM deal JOIN own o USING (p) JOIN cohort c ON c.patient = deal.k UNION ALL SELECT -1, type, grp FROM cohort), {_chi('xy', 'perm')}, v AS (SELECT perm, sqrt(phi2 / (least(r, q) - 1)) AS v FROM g), o AS (SELECT v AS o FROM v WHERE perm = -1)
 SELECT round(max(o), 6) AS v, round(median(v), 6) AS null_median, round(quantile_cont(v, 0.95), 6) AS null_p95, round(max(o) - median(v), 6) AS v_calibrated, round((1 + count(*) FILTER (v >= o)) / (1.0 + count(*)), 6) AS perm_p FROM v, o WHERE perm >= 0""",
     "group_correlations": f"WITH {fx.PREDICTED}, g AS (SELECT grp, corr(y_true, y_pred) AS r, count(*) AS n FROM pred GROUP BY 1) SELECT w.grp AS group, coalesce(n, 0) AS n, round(r, 6) AS r, round(atanh(r), 6) AS z, round(1 / sqrt(n - 3), 6) AS se_z, coalesce(n, 0) < 20 AS below_min_n FROM (SELECT unnest(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST', 'NOWHERE']) AS grp) w LEFT JOIN g USING (grp)",
@@ -510,7 +506,7 @@ SELECT k AS set_name, round(z, 6) AS z_stat, i <= m AND e > 0 AS beats_null_bh F
     "combat_out_of_fold": f"""WITH {fx.EXPR}, e AS (SELECT *, sample % 5 AS fold FROM expr), k AS (SELECT * FROM range(0, 5) AS r(k)), b AS (SELECT k, label, gene, avg(value) AS m, stddev_pop(value) AS s FROM e, k WHERE fold <> k GROUP BY ALL), g AS (SELECT k, gene, avg(value) AS gm, stddev_pop(value) AS gs FROM e, k WHERE fold <> k GROUP BY ALL)
 SELECT sample AS key, CAST(e.gene AS INTEGER) AS dim, round((value - m) / s * gs + gm, 6) AS corrected, true AS estimable FROM e JOIN b ON b.k = fold AND b.label = e.label AND b.gene = e.gene JOIN g ON g.k = fold AND g.gene = e.gene""",
     "r2_single_factor": f"WITH {fx.COHORT}, x AS (SELECT site, purity - (SELECT avg(purity) FROM cohort) AS d FROM cohort), s AS (SELECT site, count(*) AS n, sum(d) AS s, sum(d * d) AS ss FROM x GROUP BY 1), g AS (SELECT sum(n) AS n, count(*) AS k, sum(s * s / n) / sum(ss) AS r2 FROM s) SELECT CAST(n AS BIGINT) AS n, k AS levels, round(r2, 8) AS r2, round(1 - (1 - r2) * (n - 1) / (n - k), 8) AS adj_r2 FROM g",
-    "permutation_calibration": f"""WITH {fx.COHORT}, {_PERM.format(by='PARTITION BY type', by2=', type', key='patient', cols='type,', base='cohort', n=20)},
+    "permutation_calibration": f"""WITH {fx.COHORT}, {permuted('cohort', 'patient', 'type', 1000)},
 x AS (SELECT perm, o.site, c.purity AS y FROM deal JOIN own o USING (type, p) JOIN cohort c ON c.patient = deal.k UNION ALL SELECT -1, site, purity FROM cohort), m AS (SELECT avg(purity) AS m FROM cohort), s AS (SELECT perm, site, count(*) AS n, sum(y - m) AS s, sum((y - m) * (y - m)) AS ss FROM x, m GROUP BY ALL),
 r AS (SELECT perm, sum(s * s / n) / sum(ss) AS r2 FROM s GROUP BY perm), o AS (SELECT r2 AS o FROM r WHERE perm = -1)
 SELECT round(max(o), 8) AS r2, round(median(r2), 8) AS null_median, round(max(o) - median(r2), 8) AS calibrated, round((1 + count(*) FILTER (r2 >= o)) / (1.0 + count(*)), 8) AS perm_p FROM r, o WHERE perm >= 0""",

@@ -317,6 +317,7 @@ SELECT p AS o_orderpriority, a AS n_first, b AS n_other, u, CAST(ties AS DOUBLE)
 s AS (SELECT 'inputs' AS stage, 0 AS place, count(*) AS n, 0 AS n_missing, 0.0 AS a, 0.0 AS r FROM m UNION ALL SELECT 'scores', 1, count(*), 0, max(abs(v - w)), max(abs(v - w) / abs(v)) FROM m
 UNION ALL SELECT 'excess', 2, count(l.w), count(*) FILTER (l.k IS NULL), max(abs(v - l.w)), max(abs(v - l.w) / abs(v)) FROM m LEFT JOIN l ON l.k = m.k)
 SELECT stage, CAST(place AS INTEGER) AS place, n, CAST(n_missing AS BIGINT) AS n_missing, round(CAST(a AS DOUBLE), 6) AS max_abs, round(CAST(r AS DOUBLE), 6) AS max_rel, place > 0 AS diverges, place = 1 AS first FROM s""",
+    "cohort_fingerprint": f"""WITH a AS ({_tree('''SELECT sha256('{"k":"' || k || '"}') AS h, 1 AS n FROM (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS k FROM customer)''')}) SELECT h AS fingerprint, CAST(n AS BIGINT) AS n FROM a""",
     "staged_hashes": f"""WITH a AS ({_tree('''SELECT sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') AS h, 1 AS n FROM nation''')}), b AS ({_tree('''SELECT sha256('{"c_custkey":' || c_custkey || ',"c_nationkey":' || c_nationkey || ',"c_mktsegment":"' || c_mktsegment || '"}') AS h, 1 AS n FROM customer''')}), c AS ({_tree('''SELECT sha256('{"s":"' || c_mktsegment || '"}') AS h, 1 AS n FROM customer''')})
 SELECT 'nations' AS stage, CAST(0 AS INTEGER) AS place, CAST(n AS BIGINT) AS n, h AS sha256 FROM a UNION ALL SELECT 'customers', 1, CAST(n AS BIGINT), h FROM b UNION ALL SELECT 'segments', 2, CAST(n AS BIGINT), h FROM c""",
     "manifest_builds": "SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 2 = 0 THEN 'BYTE-IDENTICAL' WHEN p_partkey % 3 = 0 THEN 'KNOWN BUILD arm' WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 25 = 0 THEN 'CONTENT DIFFERS' WHEN p_partkey % 10 = 5 THEN 'CONTENT-EQUAL' ELSE 'NUMERICALLY EQUAL' END ELSE 'BYTES DIFFER' END AS verdict FROM part",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
 from . import fixtures as fx
+from .sqlmath import drawn
 
 SET_AUDIT = {"type": "label % 2", "sets": fx.SETS}
 _ROUNDED = ("mean", "sd", "gap", "site_share")
@@ -54,8 +55,8 @@ p AS (SELECT sample, value AS p FROM expr WHERE gene = 0),
 level AS (SELECT gene, avg(value) AS level FROM expr WHERE gene <> 0 GROUP BY gene),
 bins AS (SELECT gene, greatest(CAST(ceil((r - 1) * 10.0 / (n - 1)) AS BIGINT) - 1, 0) AS bin FROM (SELECT gene, row_number() OVER (ORDER BY level, gene) AS r, count(*) OVER () AS n FROM level)),
 want AS (SELECT set_name, bin, count(*) AS want FROM sets JOIN bins USING (gene) GROUP BY ALL),
-pool AS (SELECT set_name, draw, gene, want, row_number() OVER (PARTITION BY set_name, draw, bin ORDER BY md5('0|' || set_name || '|' || draw || '|' || gene), gene) AS r FROM want JOIN bins USING (bin), range(0, 20) AS d(draw)),
-ns AS (SELECT sample, set_name, draw, label % 2 AS type, avg(z) AS score FROM pool JOIN z USING (gene) WHERE r <= want GROUP BY ALL),
+{drawn(20)},
+ns AS (SELECT sample, set_name, draw, label % 2 AS type, avg(z) AS score FROM drawn JOIN z USING (gene) GROUP BY ALL),
 nf AS (SELECT set_name, draw, type, regr_slope(score, axis) AS b, avg(score) AS my, avg(axis) AS mx, count(*) AS n FROM ns JOIN axis USING (sample, type) GROUP BY ALL),
 nr AS (SELECT set_name, draw, corr(score - (my + b * (axis - mx)), p) AS r FROM ns JOIN axis USING (sample, type) JOIN nf USING (set_name, draw, type) JOIN p USING (sample) GROUP BY ALL),
 own AS (SELECT set_name, corr(score, p) AS r_raw, corr(axis, p) AS r_axis, corr(residual, p) AS r, count(residual) AS n FROM resid JOIN p USING (sample) GROUP BY ALL),

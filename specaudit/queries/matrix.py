@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.stats import corr_interval, disattenuate, expected_random_set_correlation, fisher_z, n_pairs, pearson
 from ..operators import axis as axes
 from ..operators import nulls, scoring
+from ..functions.dealing import ALL_BINS
 from . import fixtures as fx
+from .sqlmath import deal_key, dealt, drawn
 
 
 def _r(c: str, digits: int = 6):
@@ -109,11 +111,19 @@ def bin_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def random_sets_matched(spark: SparkSession, d: str) -> DataFrame:
-    return nulls.random_sets(_brands(spark, d), _bins(spark, d), n_draws=2)
+    return nulls.random_sets(_brands(spark, d), _bins(spark, d), n_draws=100)
 
 
 def random_sets_size_only(spark: SparkSession, d: str) -> DataFrame:
-    return nulls.random_sets(_brands(spark, d), _bins(spark, d), n_draws=2, matched=False)
+    return nulls.random_sets(_brands(spark, d), _bins(spark, d), n_draws=100, matched=False)
+
+
+def random_sets_short(spark: SparkSession, d: str) -> DataFrame:
+    """Sets that ask for twice the genes of their bins: those of the lower bins, each listed twice."""
+    bins = _bins(spark, d)
+    low = bins.filter("bin < 4").select(F.concat(F.lit("low"), F.pmod("gene", F.lit(2)).cast("string")).alias("set_name"), "gene")
+    thrice = low.unionAll(low).unionAll(low)
+    return nulls.random_sets(thrice, bins, n_draws=3)
 
 
 def _null_r(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_mean_z, score_ssgsea, score_plage, global_axis_mean_z, global_axis_pc1, axis_top_loadings, residualise_within, residual_item_variances, three_way_report, cronbach_alpha,
-        alpha_from_scores, alpha_residual, split_half, omega, tie_audit, gene_qcut_bins, bin_histogram, random_sets_matched, random_sets_size_only, null_percentile, null_degeneracy,
+        alpha_from_scores, alpha_residual, split_half, omega, tie_audit, gene_qcut_bins, bin_histogram, random_sets_matched, random_sets_size_only, random_sets_short, null_percentile, null_degeneracy,
         excess_over_null, null_summary, rotation_null, disattenuation,
     )
 }
@@ -224,12 +234,13 @@ SELECT set_name, round(median(r), 6) AS r_half, round(greatest(0, least(1, 2 * m
 SELECT sample, count(*) FILTER (c > 1) AS n_tied_values, CAST(coalesce(sum(c) FILTER (c > 1), 0) AS BIGINT) AS n_tied FROM c GROUP BY sample""",
     "gene_qcut_bins": f"WITH {_BINS} SELECT gene, CAST(bin AS INTEGER) AS bin FROM bins",
     "bin_histogram": f"WITH {_BINS}, {_HIST} SELECT set_name, CAST(bin AS INTEGER) AS bin, want FROM want",
-    "random_sets_matched": f"""WITH {_BINS}, {_HIST},
-p AS (SELECT set_name, draw, gene, want, row_number() OVER (PARTITION BY set_name, draw, bin ORDER BY md5('0|' || set_name || '|' || draw || '|' || gene), gene) AS r FROM want JOIN bins USING (bin), range(0, 2) AS d(draw))
-SELECT set_name, CAST(draw AS INTEGER) AS draw, gene FROM p WHERE r <= want""",
-    "random_sets_size_only": """WITH want AS (SELECT p_brand AS set_name, count(*) AS want FROM part GROUP BY ALL),
-p AS (SELECT set_name, draw, p_partkey AS gene, want, row_number() OVER (PARTITION BY set_name, draw ORDER BY md5('0|' || set_name || '|' || draw || '|' || p_partkey), p_partkey) AS r FROM want, part, range(0, 2) AS d(draw))
-SELECT set_name, CAST(draw AS INTEGER) AS draw, gene FROM p WHERE r <= want""",
+    "random_sets_matched": f"WITH {_BINS}, {_HIST}, {drawn(100)} SELECT set_name, draw, gene FROM drawn",
+    "random_sets_size_only": f"WITH bins AS (SELECT p_partkey AS gene, 0 AS bin FROM part), want AS (SELECT p_brand AS set_name, 0 AS bin, count(*) AS want FROM part GROUP BY ALL), {drawn(100)} SELECT set_name, draw, gene FROM drawn",
+    "random_sets_short": f"""WITH {_BINS}, want AS (SELECT 'low' || (gene % 2) AS set_name, bin, 3 * count(*) AS want FROM bins WHERE bin < 4 GROUP BY ALL), {drawn(3)},
+lack AS (SELECT set_name, sum(want - least(want, have)) AS short, sum(least(want, have)) AS used FROM want JOIN have USING (bin) GROUP BY 1), every AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS p, count(*) OVER () AS total FROM bins),
+more AS (SELECT set_name, draw, CAST(short AS BIGINT) AS short, unnest(range(0, CAST(least(short + used, total) AS BIGINT))) AS place, total AS n, {deal_key(0, "draw", str(ALL_BINS), "set_name")} AS key FROM lack, (SELECT count(*) AS total FROM bins), range(0, 3) AS d(draw)), {dealt("more", "spare")},
+left_ AS (SELECT set_name, CAST(draw AS INTEGER) AS draw, short, place, gene FROM spare JOIN every ON p = image), rest AS (SELECT *, row_number() OVER (PARTITION BY set_name, draw ORDER BY place) AS r FROM left_ ANTI JOIN drawn USING (set_name, draw, gene))
+SELECT set_name, draw, gene FROM drawn UNION ALL SELECT set_name, draw, gene FROM rest WHERE r <= short""",
     "null_percentile": _fit(_NULLS) + " SELECT set_name, round(100.0 * sum((null_r.r < own.r)::INT + (null_r.r <= own.r)::INT) / (2 * count(*)), 6) AS percentile FROM own JOIN null_r USING (set_name) GROUP BY set_name",
     "null_degeneracy": _fit(_NULLS) + f" SELECT set_name, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS sd, round(min(r), 6) AS min, round(max(r), 6) AS max, round(max(r) - min(r), 6) AS range, round(stddev_samp({_CLIP.format('r')}), 6) AS z_sd, stddev_samp(r) < 0.02 AS degenerate FROM null_r GROUP BY set_name",
     "excess_over_null": _fit(_NULLS) + f""", o AS (SELECT set_name, n, r / sqrt(0.8) AS r FROM own), q AS (SELECT set_name, r / sqrt(0.6) AS r FROM null_r),

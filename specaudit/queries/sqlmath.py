@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from ..functions import dealing
+
 
 def _same(a: str, b: str, keys: Sequence[str]) -> str:
     return "".join(f" AND {a}.{k} = {b}.{k}" for k in keys)
@@ -58,3 +60,54 @@ def logistic_pair(rows: str, name: str, steps: int = 14) -> str:
   w2 - ((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / det AS w2 FROM {name}_d{t})"""
         )
     return ",\n".join(out)
+
+
+def _mixed(x: str) -> str:
+    for _ in range(2):
+        x = f"((xor({x}, {x} >> 16) * {dealing.MIX}) % {dealing.WORD})"
+    return f"xor({x}, {x} >> 16)"
+
+
+def dealt(source: str, name: str, walks: int = 8) -> str:
+    """CTEs of keyed permutations: ``source`` has place, n and key (all BIGINT); ``name`` its columns and ``image``.
+
+    The images that lie beyond n are dealt again, up to ``walks`` times; the share left is some n^(-walks / 2).
+    """
+    keys = ", ".join(f"{_mixed(f'((key + {r} * {dealing.ROUND_STEP}) % {dealing.WORD})')} AS k{r}" for r in range(dealing.ROUNDS))
+    steps = [f"{name}_a AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS fa, {keys}, place AS image, false AS inside FROM {source})", f"{name}_0 AS (SELECT *, (n + fa - 1) // fa AS fb FROM {name}_a)"]
+    before = f"{name}_0"
+    for w in range(walks):
+        now = f"{name}_w{w}"
+        steps.append(f"{now}_s AS (SELECT *, image // fb AS l, image % fb AS r FROM {before})")
+        inner = f"{now}_s"
+        for r in range(dealing.ROUNDS):
+            own, other, size = ("r", "l", "fb") if r % 2 else ("l", "r", "fa")
+            steps.append(f"{now}_{r} AS (SELECT * REPLACE (({own} + {_mixed(f'(({other} + k{r}) % {dealing.WORD})')}) % {size} AS {own}) FROM {inner})")
+            inner = f"{now}_{r}"
+        steps.append(f"{now} AS (SELECT * EXCLUDE (l, r) REPLACE (CASE WHEN inside THEN image ELSE l * fb + r END AS image, inside OR l * fb + r < n AS inside) FROM {inner})")
+        before = now
+    steps.append(f"{name} AS MATERIALIZED (SELECT * EXCLUDE (fa, fb, {', '.join(f'k{r}' for r in range(dealing.ROUNDS))}, inside) FROM {before})")
+    return ",\n".join(steps)
+
+
+def deal_key(seed: int, draw: str, bin_: str | None = None, name: str | None = None) -> str:
+    parts = [f"CAST({seed * dealing.SEED_STEP} AS BIGINT)", f"CAST({draw} AS BIGINT) * {dealing.DRAW_STEP}"]
+    if bin_ is not None:
+        parts.append(f"CAST({bin_} AS BIGINT) * {dealing.BIN_STEP}")
+    if name is not None:
+        parts.append(f"CAST('0x' || substr(md5(CAST({name} AS VARCHAR)), 1, 7) AS BIGINT)")
+    return f"(({' + '.join(parts)}) % {dealing.KEYS})"
+
+
+def drawn(n_draws: int, name: str = "drawn", seed: int = 0) -> str:
+    """CTEs of random sets from ``want`` (set_name, bin, want) and ``bins`` (gene, bin): ``name`` has set_name, draw and gene."""
+    return f"""placed AS (SELECT gene, bin, row_number() OVER (PARTITION BY bin ORDER BY gene) - 1 AS p FROM bins), have AS (SELECT bin, count(*) AS have FROM bins GROUP BY 1),
+asked AS (SELECT set_name, draw, bin, unnest(range(0, least(want, have))) AS place, have AS n, {deal_key(seed, "draw", "bin", "set_name")} AS key FROM want JOIN have USING (bin), range(0, {n_draws}) AS d(draw)), {dealt("asked", "found")},
+{name} AS (SELECT set_name, CAST(draw AS INTEGER) AS draw, gene FROM found JOIN placed ON placed.bin = found.bin AND p = image)"""
+
+
+def permuted(base: str, key: str, within: str | None, n_perm: int, seed: int = 0) -> str:
+    """CTEs of permutations of rows: ``deal`` has perm, k, the stratum and p, the place in ``own`` whose label the row takes."""
+    by, cols = (f"PARTITION BY {within}", f"{within}, ") if within else ("", "")
+    return f"""own AS (SELECT *, row_number() OVER ({by} ORDER BY {key}) - 1 AS p, count(*) OVER ({by}) AS rows_ FROM {base}),
+asked AS (SELECT perm, {key} AS k, {cols}p AS place, rows_ AS n, {deal_key(seed, "perm", name=within)} AS key FROM own, range(0, {n_perm}) AS r(perm)), {dealt("asked", "found")}, deal AS (SELECT perm, k, {cols}image AS p FROM found)"""

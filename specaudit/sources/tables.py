@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.stats import number
 from . import barcodes
+from .manifest import stage_hash
 
 #: Names that are tried, in order, for columns whose names vary.
 BARCODE_NAMES = ("barcode", "sample", "sample_id", "submitter_id", "slide_barcode", "bcr_patient_barcode", "patient", "filename")
@@ -231,9 +232,16 @@ def read_delimited(spark: SparkSession, path: str, columns: Sequence[str] | None
 
 
 def fingerprint(frame: DataFrame, key: str) -> DataFrame:
-    """One row: sha256 of the sorted distinct keys joined by newlines, and their number.
+    """One row ``fingerprint, n``: a hash of the distinct keys, as strings, in any order, by a tree of hashes; null keys are left out."""
+    keys = frame.select(F.col(key).cast("string").alias("k")).filter("k IS NOT NULL").distinct()
+    return stage_hash(keys).select(F.col("sha256").alias("fingerprint"), "n")
 
-    Keys are sorted on executors and come to the driver partition by partition, where the hash runs along.
+
+def recorded_fingerprint(frame: DataFrame, key: str) -> DataFrame:
+    """One row: sha256 of the sorted distinct keys joined by newlines, and their number, as older records have it.
+
+    Only to compare with such a record: a hash of one text goes through the keys in order, so they are sorted on executors and
+    pass the driver partition by partition. :func:`fingerprint` serves any other purpose.
     """
     digest, n = hashlib.sha256(), 0
     for r in frame.select(F.col(key).cast("string").alias("k")).filter("k IS NOT NULL").distinct().orderBy("k").toLocalIterator():

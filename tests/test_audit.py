@@ -31,7 +31,7 @@ def planted(spark):
 
 def test_audit_finds_what_the_predictor_sees(planted, tmp_path):
     frame, long, sets, surv = planted
-    r = run_audit(frame, long, sets, AuditConfig(n_null=10, n_boot=60, min_patients=100, ridge_alpha=10.0, disattenuate=False), survival=surv)
+    r = run_audit(frame, long, sets, AuditConfig(n_null=10, n_boot=60, min_patients=100, ridge_alpha=10.0, disattenuate=False, with_raw_null=True, with_combat=True), survival=surv)
     excess = {x["set_name"]: x for x in r.tables["immune_excess"].collect()}
     assert excess["seen"]["beats_null"] and excess["seen"]["excess_z"] > 0.5
     assert not excess["unseen"]["beats_null"]
@@ -40,6 +40,23 @@ def test_audit_finds_what_the_predictor_sees(planted, tmp_path):
     arm = {(x["set_name"], x["adjustment"]): x for x in r.tables["outcome_arm"].collect()}
     assert len(arm) == 4 and abs(arm["seen", "axis_residualised"]["observed"] - 0.5) > 0.15
     assert {"per_signature", "three_way", "rotation", "site_control"} <= set(r.tables)
+    # the secondary contrast, the ladder and the raw null, from the predictions and the frame
+    p = r.tables["predictions"].toPandas()
+    error = (p["y_true"] - p["y_pred"]).abs().groupby([p["key"], p["target"], p["scheme"]]).first().unstack()
+    lost = r.tables["secondary"].first()
+    assert lost["value"] == pytest.approx((error["preserved_site"] - error["random_patient"]).mean()) and lost["lo"] <= lost["value"] <= lost["hi"] and lost["n"] == 240
+    ladder = {x["signature"]: x for x in r.tables["decomposition"].collect()}
+    f = frame.select("patient_id", "tss", "cancer_type", "purity").toPandas().set_index("patient_id")
+    own = p[(p["target"] == "seen") & (p["scheme"] == "preserved_site")].set_index("key").join(f)
+    y = own["y_true"].to_numpy()
+    for name, columns in (("M1_purity", [own["purity"]]), ("M3_site", [own["purity"], *[own["tss"] == s for s in sorted(set(own["tss"]))]]), ("Image_only", [own["y_pred"]])):
+        a = np.column_stack([np.ones(len(y)), *[c.to_numpy(float) for c in columns]])
+        rest = y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
+        assert ladder["seen"][name] == pytest.approx(1 - rest @ rest / ((y - y.mean()) ** 2).sum(), abs=1e-8), name
+    assert ladder["seen"]["incremental_image_r2"] > ladder["unseen"]["incremental_image_r2"] and ladder["seen"]["n_share"] == 240
+    raw = {x["set_name"]: x for x in r.tables["raw_null"].collect()}
+    assert set(raw) == {"seen", "unseen"} and raw["seen"]["n_null"] == 10
+    assert any("can be estimated for 0 of 240" in n for n in r.notes) and {x["estimable"] for x in r.tables["site_control_combat"].collect()} == {1.0}
     assert len(r.fingerprint) == 64
     r.save(str(tmp_path))
 
@@ -113,7 +130,7 @@ def test_primary_estimate_equals_plain_numpy(planted, spark):
     frame, long, sets, _ = planted
     holes = F.transform("x", lambda v, i: F.when((F.substring("patient_id", 2, 4).cast("int") * 7 + i * 3) % 29 != 0, v))
     frame = frame.withColumn("x", holes)
-    config = AuditConfig(n_null=40, n_boot=40, min_patients=100, with_site_control=False, max_null_for_boot=6, n_folds=3)
+    config = AuditConfig(n_null=40, n_boot=40, min_patients=100, with_site_control=False, max_null_for_boot=20, n_folds=3)
     r = run_audit(frame, long, sets, config)
     rows = frame.orderBy("patient_id").collect()
     place = {p["patient_id"]: i for i, p in enumerate(rows)}
@@ -138,7 +155,7 @@ def test_primary_estimate_equals_plain_numpy(planted, spark):
     assert r.primary["value"] == pytest.approx(np.mean(list(want.values())), abs=1e-6)
     assert r.primary["n"] == 2 and r.primary["n_rows"] == 240 and r.primary["n_draws"] == 40 and r.primary["lo"] < r.primary["hi"]
     r.check_estimand()
-    assert "the interval uses 6 of 40 draws, the value all of them" in r.notes
+    assert "the interval uses 20 of 40 draws, the value all of them" in r.notes
 
 
 def test_baselines_equal_fits(spark):

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specaudit.functions import blocks, ranking
-from specaudit.operators import axis, batch, compare, hazard, logistic, outcome, ridge, scoring, spectra
+from specaudit.functions import blocks, dealing, ranking
+from specaudit.operators import axis, batch, compare, groups, hazard, logistic, nulls, outcome, ridge, scoring, spectra, variance
 
 
 def test_tree_sums_add_up_all_parts(spark):
@@ -219,3 +219,100 @@ def test_ridge_with_a_pattern_of_missing_targets_in_every_row(spark, monkeypatch
             z = (x[tr] - m) / s
             beta = np.linalg.solve(z.T @ z + 2.0 * np.eye(p), z.T @ (y[tr, j] - y[tr, j].mean()))
             np.testing.assert_allclose([got[int(i), str(j)] for i in np.flatnonzero(te)], (x[te] - m) / s @ beta + y[tr, j].mean(), atol=1e-8)
+
+
+def test_medians_by_narrowing_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.normal(size=301), rng.integers(-2, 3, 301), np.zeros(301), -np.exp(rng.normal(size=301) * 200), rng.normal(size=301)])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = np.nan
+    x[7, 2], x[8, 2] = -0.0, np.inf
+    for n in (301, 2, 1):
+        df = spark.createDataFrame([([None if np.isnan(v) else float(v) for v in r],) for r in x[:n]], "x array<double>").repartition(4)
+        with np.errstate(all="ignore"), warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            want = np.nan_to_num(np.nanmedian(x[:n], axis=0))
+        np.testing.assert_array_equal(ridge.narrowed_medians(df), want)
+        monkeypatch.setattr(ridge, "MEDIAN_ROWS", 1)
+        assert [r["median"] for r in ridge.impute_medians(df).orderBy("pos").collect()] == want.tolist()
+        monkeypatch.setattr(ridge, "MEDIAN_ROWS", 100_000)
+    assert not len(ridge.narrowed_medians(df.limit(0)))
+
+
+def test_sparse_least_squares_equals_dense(spark):
+    """Nested and crossed factors, a missing level, a number without variance; and a factor with very many levels."""
+    rng = np.random.default_rng(10)
+    n = 400
+    site = rng.integers(0, 12, n)
+    kind, plate, u, v = site // 4, rng.integers(0, 9, n), rng.normal(size=n), np.full(n, 2.5)
+    y = 0.3 * site - kind + u + rng.normal(size=n) + 1e4
+    rows = [(f"s{a}" if a else None, int(b), int(c), float(d), float(e), float(f), float(f + g)) for a, b, c, d, e, f, g in zip(site, kind, plate, u, v, y, rng.normal(size=n), strict=True)]
+    df = spark.createDataFrame(rows, "site string, kind int, plate int, u double, v double, y double, pred double")
+    g = variance.sums(df, ["kind", "site", "plate", "u", "v"], ["kind", "site", "plate"], ["y", "pred"])
+
+    def dense(*terms):
+        columns = [np.ones(n)]
+        for t in terms:
+            a = {"site": site, "kind": kind, "plate": plate, "u": u, "v": v}[t]
+            columns += [a] if t in "uv" else [(a == k).astype(float) for k in np.unique(a)[1:]]
+        x = np.column_stack(columns)
+        rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        return 1 - rest @ rest / ((y - y.mean()) ** 2).sum()
+
+    for terms in (["kind"], ["kind", "site"], ["site", "plate", "u"], ["u"], ["kind", "site", "plate", "u", "v"]):
+        assert g.r2(terms, "y")[0] == pytest.approx(dense(*terms), abs=1e-9), terms
+    assert g.r2(["v"], "y") == (0.0, 0.0, 1) and g.r2([], "y") == (0.0, 0.0, 1)
+    assert g.r2(["kind", "site"], "y")[2] == 1 + 2 + 11
+    ladder = variance.decompose_all(df, [("y", "pred"), ("u", "pred")], [("M0", []), ("M1", ["kind"]), ("M2", ["kind", "site"])], ["kind", "site"])
+    one = variance.r2_ladder(df, "y", "pred", [("M0", []), ("M1", ["kind"]), ("M2", ["kind", "site"])], ["kind", "site"]).set_index("model")["r2"]
+    own = ladder.set_index("signature").loc["y"]
+    assert all(own[m] == pytest.approx(one[m]) for m in ("M0", "M1", "M2", "Mfull", "Image_only"))
+    many = spark.range(400_000).select((F.col("id") % 100_000).alias("site"), (F.col("id") % 100_000 % 500).alias("kind"), (F.col("id") % 7 + F.col("id") % 100_000 / 1000.0).alias("y"))
+    s = variance.sums(many, ["kind", "site"], ["kind", "site"], ["y"])
+    single = variance.single_factor_r2(many, "y", "site").first()
+    got = s.r2(["kind", "site"], "y")
+    assert got[0] == pytest.approx(single["r2"], abs=1e-9) and got[2] == 1 + 499 + 99_999
+
+
+def test_keyed_permutations_are_permutations():
+    for n in [*range(1, 40), 97, 1000]:
+        for key in (0, 1, 2**31 - 1):
+            assert sorted(dealing.dealt_places(np.arange(n), np.full(n, n), np.full(n, key)).tolist()) == list(range(n))
+    # all orders of three come up alike, and any place goes anywhere
+    keys = np.arange(6000) * dealing.DRAW_STEP % dealing.KEYS
+    images = [dealing.dealt_places(np.full(6000, p), np.full(6000, 3), keys) for p in range(3)]
+    orders = np.unique(np.stack(images, 1), axis=0, return_counts=True)[1]
+    assert len(orders) == 6 and orders.min() > 850
+    to = np.bincount(dealing.dealt_places(np.full(20_000, 5), np.full(20_000, 50), np.arange(20_000) * dealing.DRAW_STEP % dealing.KEYS), minlength=50)
+    assert ((to - 400) ** 2 / 400).sum() < 90  # chi2 with 49 degrees of freedom
+    assert not len(dealing.dealt_places(np.zeros(0), np.zeros(0), np.zeros(0)))
+
+
+def test_labels_are_dealt_within_strata(spark):
+    df = spark.createDataFrame([(i, f"l{i % 5}", "a" if i < 30 else "b") for i in range(50)], "k int, label string, kind string")
+    for within in (None, "kind"):
+        got = groups.permuted(df, "k", "label", 7, within=within)
+        plan = got._jdf.queryExecution().toString()
+        assert plan.count("row_number") <= 8 and "md5(concat_ws(|, 0, cast(perm" not in plan
+        rows = got.collect()
+        for perm in range(7):
+            own = {r["k"]: r["label"] for r in rows if r["perm"] == perm}
+            assert sorted(own) == list(range(50))
+            for part in (range(30), range(30, 50)) if within else (range(50),):
+                assert sorted(own[k] for k in part) == sorted(f"l{k % 5}" for k in part)
+            assert sum(own[k] == f"l{k % 5}" for k in own) < 30
+
+
+def test_random_sets_keep_levels_and_fill_up(spark):
+    genes = spark.range(100).select(F.col("id").alias("gene"), (F.col("id") % 10).cast("int").alias("bin"))
+    sets = spark.createDataFrame([("a", g) for g in range(30)] + [("b", g) for g in (0, 10, 20) * 6], "set_name string, gene long")
+    rows = nulls.random_sets(sets, genes, 20).collect()
+    for draw in range(20):
+        a = [r["gene"] for r in rows if r["set_name"] == "a" and r["draw"] == draw]
+        b = [r["gene"] for r in rows if r["set_name"] == "b" and r["draw"] == draw]
+        assert len(set(a)) == 30 and np.bincount([g % 10 for g in a]).tolist() == [3] * 10
+        assert len(set(b)) == 18 and {g for g in range(0, 100, 10)} <= set(b)  # the whole bin, and eight of all others
+    assert len({tuple(sorted(r["gene"] for r in rows if r["set_name"] == "a" and r["draw"] == d)) for d in range(20)}) == 20
+    with pytest.raises(ValueError, match="half of the pool"):
+        nulls.random_sets(sets, genes, 1, pool=spark.range(201).select(F.col("id").alias("gene")))
+    assert nulls.random_sets(sets, genes, 2, matched=False, pool=spark.range(1000).select(F.col("id").alias("gene"))).filter("gene >= 100").count() > 50
