@@ -58,8 +58,10 @@ def test_exact_folds_are_the_most_even(spark):
         cost = lambda folds: sum((sum(s for s, f in zip(sizes, folds, strict=True) if f == k) - sum(sizes) / 3) ** 2 for k in range(3))  # noqa: B023, E731
         best = min(cost(f) for f in itertools.product(range(3), repeat=len(sizes)))
         assert cost([got[f"s{i}"] for i in range(len(sizes))]) == pytest.approx(best)
-    for n in (17, 700):  # proved by sizes that are as even as whole numbers can be, or by the whole search
-        sizes = [int(rng.paretovariate(0.8)) % 500 + 1 for _ in range(n)]
+    for n in (17, 20, 700):  # proved by folds that are as even as whole numbers can be: planted, or almost sure with so many sites
+        cuts = [sorted(rng.sample(range(1, 400), n // 5 - (k >= n % 5))) for k in range(5)]
+        sizes = [b - a for c in cuts for a, b in zip([0, *c], [*c, 400], strict=True)] if n < 100 else [int(rng.paretovariate(0.8)) % 500 + 1 for _ in range(n)]
+        n = len(sizes)
         got = splits.assign_sites_exactly(pd.DataFrame({"site": range(n), "n": sizes}), 5)
         assert sum(sum(s for i, s in enumerate(sizes) if got[i] == k) ** 2 for k in range(5)) == splits.even_squares(sum(sizes), 5)
     # nothing proves an uneven assignment of many sites of three sizes within a few steps
