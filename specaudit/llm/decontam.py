@@ -1,7 +1,7 @@
 """Benchmark decontamination, as DataFrame expressions only.
 
 Benchmark items become windows of WINDOW normalised words (a shorter item is one window). The hashes of the windows'
-first words are a broadcast hash set, or a broadcast bitmap if they are many; each training text is scanned window by
+first words are a hash set in the scan's expression, or, if they are many, a filter of bits that is a constant of the plan; each training text is scanned window by
 window, the few places whose first words could be those of a benchmark window are verified word for word, and
 documents or spans with hits are removed. Texts never travel, whatever the size of the benchmark.
 """
@@ -16,10 +16,13 @@ from .common import ascii_lower, row_key, text_of
 WINDOW = 13
 #: Words of a window that the scan looks up before the window is verified.
 ANCHOR = 4
-#: Largest set of anchors that goes into the scan as it is; beyond, a bitmap of BITMAP_WORDS 64-bit words does (8 MB: of
-#: ten million anchors' texts one place in seven goes on). Larger tables of windows than MAX_BROADCAST_BYTES are shuffled.
+#: Largest set of anchors that goes into the scan as it is; beyond, a filter with two bits for each does, of BITS_EACH bits an
+#: anchor at least, so that one place in a hundred goes on, up to 32 MB for 14 million anchors; with more of them more goes on. Larger
+#: tables of windows than MAX_BROADCAST_BYTES are shuffled.
 MAX_ANCHORS = 50_000
-BITMAP_WORDS = 1 << 20
+BITS_EACH = 20
+MAX_BITS = 1 << 28
+BLOCK_WORDS = 1 << 16
 MAX_BROADCAST_BYTES = 32 << 20
 #: A document is contaminated if hits cover one word in so many.
 HIT_SHARE = 20
@@ -43,16 +46,74 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy("gram", "n", "anchor").agg(F.collect_set("item").alias("items"))
 
 
-def anchor_bitmap(windows: DataFrame) -> DataFrame:
-    """One row ``bits``: for each length of a window, BITMAP_WORDS words with a bit for each anchor."""
-    word = F.pmod(F.shiftright("anchor", 6), F.lit(BITMAP_WORDS)).cast("int")
-    bit = F.expr("shiftleft(1L, cast(anchor & 63 AS INT))")
-    known = windows.select("n", word.alias("word"), bit.alias("bit")).groupBy("n", "word").agg(F.bit_or("bit").alias("bits"))
-    lengths = known.select("n").distinct()
-    grid = lengths.select("n", F.explode(F.sequence(F.lit(0), F.lit(BITMAP_WORDS - 1))).alias("word"))
-    words = grid.join(known, ["n", "word"], "left").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("w"))  # BITMAP_WORDS entries
-    one = words.agg(F.map_from_entries(F.collect_list(F.struct("n", F.transform("w", lambda x: x["bits"])))).alias("m"))
-    return one.select(*(F.col("m")[n].alias(f"bits_{n}") for n in range(1, WINDOW + 1)))
+def filter_bits(anchors: int) -> int:
+    """Bits of the filter of so many anchors: a power of two, at least BITS_EACH for each up to MAX_BITS."""
+    bits = 1 << 12
+    while bits < min(BITS_EACH * anchors, MAX_BITS):
+        bits *= 2
+    return bits
+
+
+def bit_places(anchor: Column, bits: int) -> tuple[Column, Column]:
+    """The two bits of an anchor, from its low and its high half."""
+    return anchor.bitwiseAND(F.lit(bits - 1)), F.shiftright(anchor, 32).bitwiseAND(F.lit(bits - 1))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def anchor_filter(windows: DataFrame, n: int, bits: int) -> Column:
+    """A scalar subquery: the filter of the anchors of windows of n words, as blocks of at most BLOCK_WORDS 64-bit words.
+
+    Spark evaluates it once, and it is a constant of the plan: no row carries it.
+    """
+    own = windows.filter(F.col("n") == n).select(F.explode(F.array(*bit_places(F.col("anchor"), bits))).alias("at"))
+    known = own.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(_bit(F.col("at"))).alias("bits"))
+    grid = known.sparkSession.range(bits // 64).select(F.col("id").alias("word"))
+    words = grid.join(known, "word", "left").select((F.col("word") / BLOCK_WORDS).cast("long").alias("block"), F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("w"))
+    blocks = words.groupBy("block").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["bits"]).alias("bits"))  # BLOCK_WORDS entries
+    one = blocks.agg(F.array_sort(F.collect_list(F.struct("block", "bits"))).alias("b"))  # MAX_BITS bits at most
+    return one.select(F.transform("b", lambda b: b["bits"])).scalar()
+
+
+def _lookup(words: Column, bits: Column, n_bits: int, n: int) -> Column:
+    """Places whose first words' hash is in the filter, in an array of words."""
+
+    def head(i: Column) -> Column:
+        return F.xxhash64(*(F.get(words, i + k) for k in range(min(n, ANCHOR))))
+
+    def within(blocks: Column, h: Column) -> Column:
+        held = F.lit(True)
+        for place in bit_places(h, n_bits):
+            word = F.shiftright(place, 6)
+            block = F.get(blocks, (word / BLOCK_WORDS).cast("int"))
+            held = held & (F.get(block, word.bitwiseAND(F.lit(BLOCK_WORDS - 1)).cast("int")).bitwiseAND(_bit(place)) != 0)
+        return held
+
+    all_of = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.struct(i.alias("i"), head(i).alias("h")))
+    return F.get(F.transform(F.array(bits), lambda b: F.transform(F.filter(all_of, lambda x: within(b, x["h"])), lambda x: x["i"])), F.lit(0))
+
+
+def _filtered_places(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """``key, doc_id, n_words, p``: of each row a place of its own and those that the filters of all lengths let through.
+
+    A filter is named in one projection and used once in the next, so Spark makes one of the two and the filter stays a constant in it.
+    """
+    each = {r["n"]: filter_bits(r["c"]) for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most WINDOW rows
+    named = docs.select(row_key(docs).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), *(anchor_filter(windows, n, bits).alias(f"filter_{n}") for n, bits in each.items()))
+    kind = "array<struct<at:int,n:int,gram:string>>"
+
+    def of(w: Column) -> Column:
+        found = []
+        for n, bits in each.items():
+            gram = F.transform(_lookup(w, F.col(f"filter_{n}"), bits, n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("gram")))  # noqa: B023
+            found.append(F.when(F.size(w) >= n, gram).otherwise(F.array().cast(kind)))
+        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("gram")))
+        return F.struct(F.size(w).alias("n_words"), F.concat(own, *found).alias("p"))
+
+    looked = named.select("key", "doc_id", F.get(F.transform(F.array(item_words(F.col("text"))), of), F.lit(0)).alias("s"))
+    return looked.select("key", "doc_id", "s.n_words", F.explode("s.p").alias("p"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -69,22 +130,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Da
     if few := size[0] <= MAX_ANCHORS:
         for r in windows.select("n", "anchor").distinct().collect():
             anchors[r["n"]].append(r["anchor"])
-    else:
-        bits = anchor_bitmap(windows).withColumn("_one", F.lit(1))
-        rows = rows.join(F.broadcast(bits), F.lit(1) == F.col("_one"), "left")  # one row of BITMAP_WORDS words for each length
     found = []
-    for n in lengths:
+    for n in lengths if few else ():
         head = "xxhash64(" + ", ".join(f"w[i + {k}]" for k in range(min(n, ANCHOR))) + ")"
         places = f"sequence(0, greatest(size(w) - {n}, 0))"
-        if few:
-            places = f"filter({places}, i -> {head} IN ({', '.join(f'{a}L' if a != -(2**63) else '(-9223372036854775807L - 1L)' for a in anchors[n])}))"
-        else:
-            hit = f"(get(bits_{n}, cast(pmod(shiftright(x.h, 6), {BITMAP_WORDS}) AS INT)) & shiftleft(1L, cast(x.h & 63 AS INT))) <> 0"
-            places = f"transform(filter(transform({places}, i -> struct(i AS i, {head} AS h)), x -> {hit}), x -> x.i)"
+        places = f"filter({places}, i -> {head} IN ({', '.join(f'{a}L' if a != -(2**63) else '(-9223372036854775807L - 1L)' for a in anchors[n])}))"
         found.append(F.expr(f"CASE WHEN size(w) >= {n} THEN transform({places}, i -> struct(i AS at, {n} AS n, array_join(slice(w, i + 1, {n}), ' ') AS gram)) ELSE array() END"))
     # a place of its own for each row says how often it is there
     row = F.expr("array(struct(-1 AS at, 0 AS n, CAST(NULL AS STRING) AS gram))")
-    places = rows.select("key", "doc_id", F.size("w").alias("n_words"), F.explode(F.concat(row, *found)).alias("p"))
+    places = rows.select("key", "doc_id", F.size("w").alias("n_words"), F.explode(F.concat(row, *found)).alias("p")) if few else _filtered_places(docs, windows)
     places = places.select("key", "doc_id", "n_words", F.col("p.at").alias("at"), F.col("p.n").alias("n"), F.col("p.gram").alias("gram"))
     grams = windows.select("gram", F.col("n").alias("gn"), "items")
     if size[1] <= MAX_BROADCAST_BYTES:

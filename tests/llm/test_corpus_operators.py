@@ -415,7 +415,7 @@ def test_contamination_without_a_broadcast_set(spark, monkeypatch):
 
 
 def test_a_large_benchmark_moves_no_texts(spark, monkeypatch):
-    """Beyond the set of anchors a bitmap lets through little more than the places that hit, with the same results."""
+    """Beyond the set of anchors a filter lets through little more than the places that hit, with the same results, and is in no row."""
     rng = random.Random(13)
     word = lambda: f"w{rng.randrange(20_000)}"
     items = [(i, " ".join(word() for _ in range(rng.choice([3, 13, 60])))) for i in range(400)]
@@ -424,13 +424,15 @@ def test_a_large_benchmark_moves_no_texts(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(tuple, decontam.contamination(docs, b).collect()))
     monkeypatch.setattr(decontam, "MAX_ANCHORS", 1000)
-    monkeypatch.setattr(decontam, "BITMAP_WORDS", 1 << 12)
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 1 << 7)
+    assert [decontam.filter_bits(n) for n in (1, 1000, 10**9)] == [1 << 12, 1 << 15, 1 << 28]
     got = decontam.contamination(docs, b)
     assert sorted(map(tuple, got.collect())) == want and len(want) == 600 and sum(r[2] > 0 for r in want) == 200
     rows = got._jdf.queryExecution().executedPlan()
     rows.execute().count()
     plan = rows.toString()
     assert "Python" not in plan and "Arrow" not in plan
+    assert "Subquery" in plan and "NestedLoop" not in plan and all("filter_" not in x.split("AS", 1)[-1] for x in re.findall(r"filter_\d+#\d+", plan))
     places = decontam.find_hits(docs, b)
     assert places.count() == 300 and places.agg(F.sum("n_rows")).first()[0] == 600
 
