@@ -12,6 +12,7 @@ from ..functions.ranking import boundaries, range_of
 from ..functions.special import mann_whitney_p
 from ..functions.stats import average_rank, hash_order, pearson, z_of
 from . import scoring
+from .triage import significance
 
 #: Fixed order of the arms of a comparison of scorers.
 SCORERS = ("mean_z", "ssgsea")
@@ -137,6 +138,27 @@ def stack(frames: Mapping[str, DataFrame], label: str = "cohort", defaults: Mapp
     return out
 
 
+def stack_excess(frames: Mapping[str, DataFrame], key: str = "set_name", alpha: float = 0.05, digits: int = 6) -> DataFrame:
+    """Excesses of cohorts below each other: ``cohort, key, excess_z, lo, hi, beats_null, p, q, beats_null_bh``.
+
+    A cohort whose table lacks the last three gets them from its excess and interval, p by the normal approximation and q among its own
+    sets, to so many significant digits; those that have them keep them.
+    """
+    base, more = [key, "excess_z", "lo", "hi", "beats_null"], ["p", "q", "beats_null_bh"]
+
+    def short(c: str) -> Column:
+        scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(F.col(c)))))
+        return F.when(F.col(c) == 0, F.col(c)).otherwise(F.round(F.col(c) * scale) / scale)
+
+    out = {}
+    for name, frame in frames.items():
+        if any(c not in frame.columns for c in more):
+            made = significance(frame.select(*base), key=key, alpha=alpha)
+            frame = made.select(*base, short("p").alias("p"), short("q").alias("q"), "beats_null_bh")
+        out[name] = frame.select(*base, *more)
+    return stack(out)
+
+
 def stage_differences(stages: Mapping[str, tuple[DataFrame, DataFrame]], key: Sequence[str], value: str = "value", floor: float = 1e-12) -> DataFrame:
     """``stage, place, n, n_missing, max_abs, max_rel, diverges, first``: two runs of named stages, matched by key.
 

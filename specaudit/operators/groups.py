@@ -178,6 +178,16 @@ def composition(frame: DataFrame, group: str, label: str, reference: str = REFER
     return share.join(ref, label, "left").select(group, label, "n", "share", F.try_divide("share", "_r").alias("enrichment"))
 
 
+def composition_report(frame: DataFrame, group: str, label: str, site: str, groups: Sequence[str] = GROUPS, reference: str = REFERENCE) -> dict[str, DataFrame]:
+    """What tells whether a contrast of groups is confounded, over the named groups alone: ``counts`` (group, n, n_total), ``association``
+    (label, the columns of :func:`cramers_v`: group against site and against label), ``shares`` (:func:`composition`)."""
+    own = frame.filter(F.col(group).isin(list(groups)))
+    counts = own.groupBy(group).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_total"))  # one row
+    both = [cramers_v(own, group, c).select(F.lit(c).alias("label"), "*") for c in (site, label)]
+    return {"counts": counts.join(F.broadcast(total)), "association": both[0].unionByName(both[1]), "shares": composition(own, group, label, reference)}
+
+
 def rank_auc(label: Column, score_rank: Column) -> Column:
     """Aggregate: area under the curve from average ranks of scores and a 0/1 label."""
     pos = F.sum(label)

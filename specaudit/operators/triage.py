@@ -14,18 +14,26 @@ from .nulls import bh_fdr
 
 
 def attrition(frame: DataFrame, steps: Sequence[tuple[str, Column]], patient: str, group: str | None = None) -> DataFrame:
-    """``(group,) step, place, n_rows, n_patients``: what is left after each filter, all in one pass."""
-    passed, aggs = F.lit(True), []
-    for place, (name, test) in enumerate([("all", F.lit(True)), *steps]):
+    """``(group,) step, place, n_rows, n_patients``: what is left after each filter, all in one pass.
+
+    A row reaches the step before the first test that it fails, a patient the last one that a row of it reaches, so patients
+    are told apart once and not for each step. Rows without a patient count as rows only.
+    """
+    by, passed, reached = [group] if group else [], F.lit(True), F.lit(0)
+    for _, test in steps:
         passed = passed & F.coalesce(test, F.lit(False))
-        aggs.append(F.struct(F.lit(name).alias("step"), F.lit(place).alias("place"), F.count_if(passed).alias("n_rows"), F.countDistinct(F.when(passed, F.col(patient))).alias("n_patients")))
-    g = frame.groupBy(*([group] if group else [])).agg(F.array(*aggs).alias("a"))
-    return g.select(*([group] if group else []), F.inline("a"))
+        reached = reached + passed.cast("int")
+    names = ["all", *(name for name, _ in steps)]
+    rows = frame.select(*by, F.col(patient).alias("_p"), reached.alias("_r"))
+    one = rows.groupBy(*by, "_p").agg(F.max("_r").alias("_last"), *(F.count_if(F.col("_r") >= k).alias(f"_n{k}") for k in range(len(names))))
+    aggs = [F.struct(F.lit(name).alias("step"), F.lit(k).alias("place"), F.coalesce(F.sum(f"_n{k}"), F.lit(0)).cast("long").alias("n_rows"), F.count_if(F.col("_p").isNotNull() & (F.col("_last") >= k)).alias("n_patients")) for k, name in enumerate(names)]
+    return one.groupBy(*by).agg(F.array(*aggs).alias("a")).select(*by, F.inline("a"))
 
 
 def spread(frame: DataFrame, value: str, *keys: str) -> DataFrame:
     """``n, median, q1, q3, min, max``."""
-    return frame.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.min(value).alias("min"), F.max(value).alias("max"))
+    g = frame.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75))).alias("_q"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return g.select(*keys, "n", *(F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(("median", "q1", "q3"))), "min", "max")
 
 
 def filter_set_names(sets: DataFrame, excluded_prefixes: Sequence[str] = (), allowed: Sequence[str] | None = None) -> DataFrame:

@@ -212,6 +212,12 @@ def composition_share(spark: SparkSession, d: str) -> DataFrame:
     return c.select("group", "type", "n", F.round("share", 6).alias("share"), F.round("enrichment", 6).alias("enrichment"))
 
 
+def composition_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the groups that take part, and their association with sites and with types."""
+    r = groups.composition_report(fx.cohort(spark, d), "group", "type", "site", fx.GROUPS[:4], fx.REFERENCE)
+    return r["counts"].join(r["association"].drop("n")).select("group", "n", "n_total", "label", *(F.round(c, 6).alias(c) for c in ("chi2", "phi2", "v", "v_corrected")))  # two rows
+
+
 def concordance_index(spark: SparkSession, d: str) -> DataFrame:
     return outcome.concordance(fx.survival(spark, d)).select(F.round("c_index", 8).alias("c_index"), "n", "n_events")
 
@@ -416,6 +422,7 @@ def _chi(cells: str, keys: str = "") -> str:
 m AS (SELECT {k}x, y, c, sum(c) OVER ({by}x) AS rt, sum(c) OVER ({by}y) AS ct FROM c),
 g AS (SELECT {k}sum(c) AS n, greatest(sum(c * c / (rt * ct)) - 1, 0) AS phi2, count(DISTINCT x) AS r, count(DISTINCT y) AS q FROM m {"GROUP BY " + keys if keys else ""})"""
 
+
 _DIGIT = "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST({0} AS INTEGER) % 36 + 1, 1)"
 _BASE36 = lambda x, digits: "(" + " || ".join(_DIGIT.format(f"(({x}) // {36**k})") for k in reversed(range(digits))) + ")"
 _DUCK_ROUND = "((c_custkey - 10000) // 1213056)"
@@ -479,6 +486,8 @@ SELECT grp AS group, coalesce(q > CASE u WHEN 2 THEN 2.705543454095404 WHEN 3 TH
 j2 AS (SELECT a.grp, a.n, coalesce(a.n >= 10 AND b.n >= 10, false) AS ok FROM c2 a LEFT JOIN c2 b ON b.site = a.site AND b.part = a.part AND b.grp = 'EUROPE' WHERE a.grp <> 'EUROPE'), cells AS (SELECT grp, count(*) FILTER (ok) AS p, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS i FROM j2 GROUP BY 1), j AS (SELECT a.grp, a.n, coalesce(a.n >= 10 AND b.n >= 10, false) AS ok FROM c a LEFT JOIN c b ON b.site = a.site AND b.grp = 'EUROPE' WHERE a.grp <> 'EUROPE')
 SELECT grp AS group, any_value(cells.p) AS n_cells_supporting, any_value(cells.i) AS n_in_cells, CAST(sum(n) AS BIGINT) AS n_group_total, (SELECT count(DISTINCT stratum) FROM pred) AS n_sites_total, count(*) FILTER (ok) AS n_sites_supporting, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS n_in_supporting, round(count(*) FILTER (ok) / (SELECT count(DISTINCT stratum) FROM pred), 6) AS frac_sites FROM j JOIN cells USING (grp) GROUP BY 1""",
     "composition_share": f"WITH {fx.COHORT}, t AS (SELECT grp, type, count(*) AS n FROM cohort GROUP BY ALL), s AS (SELECT grp, type, n, n / sum(n) OVER (PARTITION BY grp) AS s FROM t) SELECT a.grp AS group, a.type, a.n, round(a.s, 6) AS share, round(a.s / b.s, 6) AS enrichment FROM s a LEFT JOIN s b ON b.grp = 'EUROPE' AND a.type = b.type",
+    "composition_report": f"""WITH {fx.COHORT}, own AS (SELECT * FROM cohort WHERE grp IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')), l AS (SELECT 'site' AS label, grp AS x, CAST(site AS VARCHAR) AS y FROM own UNION ALL SELECT 'type', grp, type FROM own), {_chi('l', 'label')}, b AS (SELECT *, greatest(0, phi2 - (r - 1) * (q - 1) / (n - 1)) AS pc, r - (r - 1) * (r - 1) / (n - 1) AS rc, q - (q - 1) * (q - 1) / (n - 1) AS qc FROM g),
+ct AS (SELECT grp, count(*) AS n, (SELECT count(*) FROM own) AS n_total FROM own GROUP BY 1) SELECT grp AS "group", ct.n, n_total, label, round(phi2 * b.n, 6) AS chi2, round(phi2, 6) AS phi2, round(sqrt(phi2 / (least(r, q) - 1)), 6) AS v, round(sqrt(pc / (least(rc, qc) - 1)), 6) AS v_corrected FROM ct, b""",
     "concordance_index": f"WITH {fx.SURVIVAL}, v AS (SELECT * FROM surv WHERE time > 0) SELECT round(avg(CASE WHEN b.score < a.score THEN 1.0 WHEN b.score = a.score THEN 0.5 ELSE 0.0 END), 8) AS c_index, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v WHERE event = 1) AS n_events FROM v a JOIN v b ON b.time > a.time WHERE a.event = 1",
     "concordance_stratified": f"WITH {fx.SURVIVAL}, v AS (SELECT * FROM surv WHERE time > 0) SELECT round(avg(CASE WHEN b.score < a.score THEN 1.0 WHEN b.score = a.score THEN 0.5 ELSE 0.0 END), 8) AS c_index, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v WHERE event = 1) AS n_events FROM v a JOIN v b ON b.time > a.time AND a.stratum = b.stratum WHERE a.event = 1",
     "type_rate_concordance": f"WITH {fx.SURVIVAL}, v AS (SELECT time, event, sum(event) OVER w / sum(time) OVER w AS score FROM surv WHERE time > 0 WINDOW w AS (PARTITION BY stratum)) SELECT round(avg(CASE WHEN b.score < a.score THEN 1.0 WHEN b.score = a.score THEN 0.5 ELSE 0.0 END), 8) AS c_index, (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM v WHERE event = 1) AS n_events FROM v a JOIN v b ON b.time > a.time WHERE a.event = 1",
@@ -527,7 +536,7 @@ QUERIES = {
         barcode_annotate, site_summary, sample_mix, collapse_to_patient, assemble_cohort, join_coverage, cohort_overlap, frame_difference, mean_by_patient, first_sample_by_patient, ancestry_keep_first,
         purity_by_patient, cohort_fingerprint, random_folds, fold_balance, group_kfold_unit, preserved_site_split, partition_variance, combat_estimable, fold_change_pairs, sweep_merge, corr_ci_pearson,
         corr_ci_spearman, delta_r, paired_delta_bootstrap, bootstrap_corr, bootstrap_corr_spearman, bh_fdr, cramers_v, cramers_v_perm, group_correlations, contrast_crude, contrast_stratified,
-        site_identifiability, composition_share, concordance_index, concordance_stratified, type_rate_concordance, cox_score, outcome_arm, label_site_r2, auroc_by_site, combat_apply, combat_out_of_fold,
+        site_identifiability, composition_share, composition_report, concordance_index, concordance_stratified, type_rate_concordance, cox_score, outcome_arm, label_site_r2, auroc_by_site, combat_apply, combat_out_of_fold,
         r2_single_factor, permutation_calibration, purity_share, r2_ladder, label_site_variance, ridge_oof, ridge_loo_alpha, impute_medians, site_logistic, site_logistic_pair, site_logistic_combat, effective_tests, pooled_bootstrap,
         attrition_funnel, value_spread, set_size_stats, nonspace_count, bh_directional, imputed_features, ancestry_pooled, event_moments,
     )

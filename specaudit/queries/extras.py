@@ -128,6 +128,15 @@ def stacked_cohorts(spark: SparkSession, d: str) -> DataFrame:
     return compare.stack({"customers": c, "suppliers": s}, defaults={"mode": "default"}).select("cohort", "k", "mode", _r("extra"))
 
 
+def stacked_excess(spark: SparkSession, d: str) -> DataFrame:
+    """Parts and suppliers as sets of two cohorts, the second without p, q and the corrected verdict."""
+    p = fx.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("set_name"), ((F.col("p_partkey") * 7919 % 1009 - 500) / 200.0).alias("excess_z"))
+    s = fx.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("set_name"), (F.col("s_acctbal") / 3000.0).alias("excess_z"))
+    both = [x.select("*", (F.col("excess_z") - 1).alias("lo"), (F.col("excess_z") + 1).alias("hi"), (F.col("excess_z") > 1).alias("beats_null")) for x in (p, s)]
+    given = both[0].select("*", F.lit(0.5).alias("p"), F.lit(0.6).alias("q"), F.lit(False).alias("beats_null_bh"))
+    return compare.stack_excess({"parts": given, "suppliers": both[1]}).select("cohort", "set_name", _r("excess_z"), "beats_null", *(_r(c, 5) for c in ("p", "q")), "beats_null_bh")
+
+
 def stage_differences(spark: SparkSession, d: str) -> DataFrame:
     p = fx.table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("value"))
     moved = p.withColumn("value", F.col("value") + F.when(F.col("p_partkey") % 5 == 0, 0.5).otherwise(0.0))
@@ -313,6 +322,10 @@ q AS (SELECT *, abs(u - a * b / 2.0) AS d, sqrt(a * b / 12.0 * (n + 1 - ties / (
 SELECT p AS o_orderpriority, a AS n_first, b AS n_other, u, CAST(ties AS DOUBLE) AS ties, round(sign(u - a * b / 2.0) * z, 6) AS z, round(""" + upper_tail("zl") + ", 6) AS p_less, round(least(1, 2 * " + upper_tail("zt") + "), 6) AS p_two_sided FROM w",
     "median_mde": f"WITH z AS (SELECT median((p_retailprice / 10000 + 0.2) / (2 * {_Z}) * ({_Z} + {_Z80})) AS z FROM part) SELECT round(z, 8) AS mde_z, round(tanh(z) / 2, 8) AS mde_c_index FROM z",
     "stacked_cohorts": "SELECT 'customers' AS cohort, c_custkey AS k, c_mktsegment AS mode, CAST(NULL AS DOUBLE) AS extra FROM customer UNION ALL SELECT 'suppliers', s_suppkey, 'default', round(s_acctbal, 6) FROM supplier",
+    "stacked_excess": f"""WITH s AS (SELECT 's' || s_suppkey AS k, s_acctbal / 3000.0 AS e, abs(s_acctbal / 3000.0) * {_Z} AS z FROM supplier), t AS (SELECT *, 2 * {upper_tail("z")} AS p FROM s), r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, k) AS raw, row_number() OVER (ORDER BY p, k) AS i FROM t),
+q AS (SELECT *, least(1, min(raw) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)
+SELECT 'suppliers' AS cohort, k AS set_name, round(e, 6) AS excess_z, e > 1 AS beats_null, round(round(p * fp) / fp, 5) AS p, round(round(q * fq) / fq, 5) AS q, q <= 0.05 AND e > 0 AS beats_null_bh FROM (SELECT *, pow(10.0, 5 - floor(log10(p))) AS fp, pow(10.0, 5 - floor(log10(q))) AS fq FROM q)
+UNION ALL SELECT 'parts', 'p' || p_partkey, round((p_partkey * 7919 % 1009 - 500) / 200.0, 6), (p_partkey * 7919 % 1009 - 500) / 200.0 > 1, 0.5, 0.6, false FROM part""",
     "stage_differences": """WITH m AS (SELECT p_partkey AS k, p_retailprice AS v, p_retailprice + CASE WHEN p_partkey % 5 = 0 THEN 0.5 ELSE 0 END AS w FROM part), l AS (SELECT k, CASE WHEN k % 3 <> 0 THEN w * 2 END AS w FROM m WHERE k % 7 <> 0),
 s AS (SELECT 'inputs' AS stage, 0 AS place, count(*) AS n, 0 AS n_missing, 0.0 AS a, 0.0 AS r FROM m UNION ALL SELECT 'scores', 1, count(*), 0, max(abs(v - w)), max(abs(v - w) / abs(v)) FROM m
 UNION ALL SELECT 'excess', 2, count(l.w), count(*) FILTER (l.k IS NULL), max(abs(v - l.w)), max(abs(v - l.w) / abs(v)) FROM m LEFT JOIN l ON l.k = m.k)
@@ -344,7 +357,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gene_map, expression_by_symbol, build_pancancer, build_by_ancestry, build_first_sample, filter_sets, rescore_cohort, plan_arms, arm_merge, arm_agreement, panel_bracket, reconstruct_excess, mann_whitney, median_mde,
-        stacked_cohorts, stage_differences, staged_hashes, manifest_builds, bh_tie_audit, budget, check_claims, sweep_shards, group_kfold_uneven, exact_folds, endpoint_columns, type_proportion_concordance,
+        stacked_cohorts, stacked_excess, stage_differences, staged_hashes, manifest_builds, bh_tie_audit, budget, check_claims, sweep_shards, group_kfold_uneven, exact_folds, endpoint_columns, type_proportion_concordance,
         type_hazard_concordance, outcome_arm_coef, baseline_matrix, audit_immune_excess, audit_primary, audit_per_signature, penalty_margin,
     )
 }

@@ -336,3 +336,28 @@ def test_panels_and_rescoring(spark):
     got = compare.rescore(cohort, expr, sets, "plage", ["own"])
     want = {r["sample"]: r["score"] for r in scoring.score_plage(expr, sets).collect()}
     assert all(r["own"] == (pytest.approx(want[r["patient_id"]]) if r["patient_id"] in want else None) for r in got.collect()) and got.count() == 82
+
+
+def test_derived_columns_of_a_stacked_cohort(spark):
+    """A cohort without p and q gets them from its interval, one that has them keeps them; sets of another cohort play no part."""
+    import math
+
+    rows = [("a", 0.5, 0.3, 0.7, True), ("b", 0.1, -0.1, 0.3, False), ("c", -0.6, -0.8, -0.4, False), ("d", 0.0, -0.2, 0.2, False)]
+    old = spark.createDataFrame(rows, "set_name string, excess_z double, lo double, hi double, beats_null boolean")
+    new = old.limit(1).select("*", F.lit(0.7).alias("p"), F.lit(0.8).alias("q"), F.lit(True).alias("beats_null_bh"))
+    got = {(r["cohort"], r["set_name"]): r for r in compare.stack_excess({"new": new, "old": old}).collect()}
+    assert len(got) == 5 and (got["new", "a"]["p"], got["new", "a"]["q"]) == (0.7, 0.8)
+    for name, x, lo, hi, _ in rows:
+        p = math.erfc(abs(x) / ((hi - lo) / (2 * 1.959963984540054)) / math.sqrt(2))
+        assert got["old", name]["p"] == float(f"{p:.6g}")
+    assert got["old", "a"]["beats_null_bh"] and not got["old", "c"]["beats_null_bh"] and got["old", "d"]["p"] == 1.0
+
+
+def test_patients_are_counted_at_the_last_step_that_a_row_of_theirs_reaches(spark):
+    from specaudit.operators import triage
+
+    rows = [("p1", 1, 1), ("p1", 1, 0), ("p2", 0, 1), ("p3", 1, None), (None, 1, 1), ("p2", None, 1)]
+    df = spark.createDataFrame(rows, "p string, a int, b int")
+    got = [tuple(r) for r in triage.attrition(df, [("a", F.col("a") == 1), ("b", F.col("b") == 1)], "p").orderBy("place").collect()]
+    assert got == [("all", 0, 6, 3), ("a", 1, 4, 2), ("b", 2, 2, 1)]
+    assert triage.attrition(df.limit(0), [("a", F.col("a") == 1)], "p").select("n_rows", "n_patients").distinct().collect() == [(0, 0)]
