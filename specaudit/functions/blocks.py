@@ -31,14 +31,15 @@ def joined(blocks: Sequence[bytes]) -> np.ndarray:
 
 
 def count_parts(frame: DataFrame) -> int:
-    """The number of partitions of a frame, empty ones at the end aside."""
+    """The number of partitions of a frame, empty ones at the end aside; a plan that isn't persisted may be run in others."""
     return (frame.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
 
 
 def tree_sum(parts: DataFrame, keys: Sequence[str], n_parts: int, fan_in: int = FAN_IN) -> DataFrame:
     """``keys, block``: the sums of ``keys, part long, block binary`` (packed doubles of one length for each key).
 
-    ``part`` is the number of the task, below n_parts, that made a partial sum. A level adds up fan_in of them at a time.
+    ``part`` is the number of the task that made a partial sum, and n_parts about how many there are. A level adds up fan_in of
+    them at a time, the last one all that are left, whatever n_parts said.
     """
     schema = parts.select(*keys, "part", "block").schema
 
@@ -48,9 +49,8 @@ def tree_sum(parts: DataFrame, keys: Sequence[str], n_parts: int, fan_in: int =
             total += np.frombuffer(b.as_buffer(), np.float64)
         return table.slice(0, 1).set_column(table.schema.get_field_index("block"), "block", pa.array([total.tobytes()], pa.binary()))
 
-    out, left = parts.select(*keys, "part", "block"), max(1, n_parts)
-    while True:
+    out, left = parts.select(*keys, "part", "block"), n_parts
+    while left > fan_in:
         left = -(-left // fan_in)
         out = out.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy(*keys, "part").applyInArrow(lambda table: add(table), schema)
-        if left == 1:
-            return out.drop("part")
+    return out.groupBy(*keys).applyInArrow(lambda table: add(table), schema).drop("part")

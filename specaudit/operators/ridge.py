@@ -145,6 +145,7 @@ class FoldMoments:
     """
 
     classes: np.ndarray
+    n_parts: int
     rows: dict[int, dict[int, tuple[float, np.ndarray, np.ndarray]]]
     targets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -194,15 +195,16 @@ def target_classes(frame: DataFrame) -> np.ndarray:
     return out
 
 
-def moments(frame: DataFrame, centre: np.ndarray | None = None) -> FoldMoments:
+def moments(frame: DataFrame, centre: np.ndarray | None = None, classes: np.ndarray | None = None, n_parts: int | None = None) -> FoldMoments:
     """Moments by fold; missing features must have been filled in.
 
     Tasks add up their own rows, and blocks of the sums are added by levels, so neither a task nor the driver gets all
     partial sums. What comes to the driver is p x p numbers for each fold, and for each fold and class of targets with
     missing values. Of these a task holds some 64 MB, and hands them on beyond that; the number of patterns of missing
-    targets plays no part.
+    targets plays no part. Classes of the targets and the number of partitions may be given where they are known.
     """
-    classes = target_classes(frame)
+    classes = target_classes(frame) if classes is None else classes
+    n_parts = count_parts(frame) if n_parts is None else n_parts
     lacking = {int(c): int(np.flatnonzero(classes == c)[0]) for c in np.unique(classes) if c}
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,9 +245,9 @@ def moments(frame: DataFrame, centre: np.ndarray | None = None) -> FoldMoments:
     rows = frame.select(F.col("fold").cast("long").alias("fold"), "x", "y")
     parts = rows.mapInArrow(part, "fold long, class long, number long, part long, block binary")
     found: dict[tuple[int, int], dict[int, bytes]] = {}
-    for r in tree_sum(parts, ["fold", "class", "number"], count_parts(rows)).toLocalIterator():
+    for r in tree_sum(parts, ["fold", "class", "number"], n_parts).toLocalIterator():
         found.setdefault((r["fold"], r["class"]), {})[r["number"]] = bytes(r["block"])
-    out, t = FoldMoments(classes, {}, {}), len(classes)
+    out, t = FoldMoments(classes, n_parts, {}, {}), len(classes)
     for (k, c), blocks in found.items():
         v = joined([blocks[i] for i in sorted(blocks)])
         if c < 0:
@@ -318,7 +320,7 @@ def loo_table(frame: DataFrame, by: FoldMoments, centre: np.ndarray, folds: Sequ
 
     rows = frame.select(F.col("fold").cast("long").alias("fold"), "x", "y")
     blocks: dict[int, dict[int, bytes]] = {}
-    summed = tree_sum(rows.mapInArrow(part, "plan long, number long, part long, block binary"), ["plan", "number"], count_parts(rows)).toLocalIterator() if plans else ()
+    summed = tree_sum(rows.mapInArrow(part, "plan long, number long, part long, block binary"), ["plan", "number"], by.n_parts).toLocalIterator() if plans else ()
     for r in summed:
         blocks.setdefault(r["plan"], {})[r["number"]] = bytes(r["block"])
     out = [joined([own[j] for j in sorted(own)]).reshape(-1, len(grid)) if (own := blocks.get(i)) else np.zeros((len(p[1]), len(grid))) for i, p in enumerate(plans)]
@@ -358,9 +360,11 @@ def choose_all_penalties(frame: DataFrame, n_folds: int, n_targets: int, alphas:
     follow a target's rows, two for each fold and class of targets."""
     out: dict[tuple[int, int], float] = {}
 
+    classes, n_parts = target_classes(frame), count_parts(frame)
+
     def chosen(rows: DataFrame, folds: Sequence[int], targets: Sequence[int]) -> None:
         centre = feature_means(rows)
-        by = moments(rows, centre)
+        by = moments(rows, centre, classes, n_parts)
         enough = [(k, t) for k in folds for t in targets if (m := by.training(k, t)) is not None and m.n >= 20]
         errors = loo_table(rows, by, centre, folds, targets, alphas)
         out.update({kt: float(alphas[int(errors[kt].argmin())]) for kt in enough})
@@ -368,7 +372,6 @@ def choose_all_penalties(frame: DataFrame, n_folds: int, n_targets: int, alphas:
     if not has_missing(frame):
         chosen(frame, range(n_folds), range(n_targets))
         return out
-    classes = target_classes(frame)
     for c in np.unique(classes).tolist():
         own = np.flatnonzero(classes == c).tolist()
         known = F.get("y", F.lit(own[0])).isNotNull() & ~F.isnan(F.get("y", F.lit(own[0])))
@@ -419,7 +422,7 @@ def out_of_fold_correlations(frame: DataFrame, n_folds: int, n_targets: int, alp
     missing, p = has_missing(frame), len(feature_means(frame))
     medians = fold_medians(frame, n_folds) if missing else None
     at_once = max(1, TARGET_BYTES // (8 * (p + 2) * n_folds))
-    out = []
+    classes, n_parts, out = target_classes(frame), count_parts(frame), []
     for first in range(0, n_targets, at_once):
         n = min(at_once, n_targets - first)
         some = frame if n == n_targets else frame.withColumn("y", F.slice("y", first + 1, n))
@@ -427,7 +430,7 @@ def out_of_fold_correlations(frame: DataFrame, n_folds: int, n_targets: int, alp
         sums = np.zeros((n, 6))
         for only in range(n_folds) if missing else [None]:
             rows = some if only is None else fill(some, medians[only])
-            by = moments(rows, feature_means(rows))
+            by = moments(rows, feature_means(rows), classes[first : first + n], n_parts)
             for k in range(n_folds) if only is None else [only]:
                 _prediction_sums(sums, by, k, given)
         for rows_, y, yy, q, qq, yq in sums:
@@ -461,11 +464,12 @@ def cross_val_predict(frame: DataFrame, targets: Sequence[str], n_folds: int, al
     if not p:
         return frame.sparkSession.createDataFrame([], f"key {dict(frame.dtypes)['key']}, fold int, target string, y_true double, y_pred double")
     models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    classes, n_parts = target_classes(frame), count_parts(frame)
     for only in passes:
         rows = frame
         if medians is not None:
             rows = fill(frame, medians[only])
-        by = moments(rows, centre)
+        by = moments(rows, centre, classes, n_parts)
         errors = loo_table(rows, by, centre, folds if only is None else [only], range(len(targets)), alphas, standardise) if alpha is None else {}
         for k in folds if only is None else [only]:
             beta, icpt = np.full((p, len(targets)), np.nan), np.full(len(targets), np.nan)

@@ -14,8 +14,10 @@ def test_tree_sums_add_up_all_parts(spark):
     rng = np.random.default_rng(0)
     rows = [(k, part, rng.normal(size=5)) for part in range(23) for k in ("a", "b") if not (k == "b" and part % 3)]
     df = spark.createDataFrame([(k, p, bytearray(blocks.packed(v))) for k, p, v in rows], "k string, part long, block binary")
-    for fan_in in (2, 5, 64):
-        got = {r["k"]: np.frombuffer(r["block"]) for r in blocks.tree_sum(df, ["k"], 23, fan_in).collect()}
+    for fan_in, n_parts in ((2, 23), (5, 23), (64, 23), (2, 3), (2, 100)):  # also where the number of parts is wrong
+        rows_ = blocks.tree_sum(df, ["k"], n_parts, fan_in).collect()
+        assert len(rows_) == 2
+        got = {r["k"]: np.frombuffer(r["block"]) for r in rows_}
         for k in ("a", "b"):
             np.testing.assert_allclose(got[k], sum(v for n, _, v in rows if n == k))
     m = rng.normal(size=(7, 9))
