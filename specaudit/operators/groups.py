@@ -40,27 +40,28 @@ def cramers_v(frame: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     return g.select(*k, (phi2 * F.col("n")).alias("chi2"), "n", phi2.alias("phi2"), F.when(least > 0, F.sqrt(phi2 / least)).alias("v"), F.when((least > 0) & (leastc > 0), F.sqrt(phi2c / leastc)).alias("v_corrected"))
 
 
-def permuted(frame: DataFrame, key: str, label: str, n_perm: int, seed: int = 0, within: str | None = None) -> DataFrame:
-    """``perm, key, label``: labels dealt anew among the rows (of each stratum), for each permutation.
+def permuted(frame: DataFrame, key: str, label: str, n_perm: int, seed: int = 0, within: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """``perm, key, label``, and columns of the row to carry: labels dealt anew among the rows (of each stratum), for each permutation.
 
     Rows have places in the order of their keys, found once. In each permutation a row takes the label at the image of its place, which a key
     alone gives, so no permutation is sorted.
     """
     by = [within] if within else []
-    base = frame.select(F.col(key).alias("_k"), F.col(label).alias("_l"), *by)
+    base = frame.select(F.col(key).alias("_k"), F.col(label).alias("_l"), *by, *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)))
+    kept = [f"_c{i}" for i in range(len(carry))]
     own = rank_in_order(base, "_k", name="_p", by=by)
     sizes = base.groupBy(*by).agg(F.count("*").alias("_n"))
     sized = own.join(sizes, by) if by else own.withColumn("_n", F.lit(base.count()))
-    many = sized.select(*by, "_k", "_p", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    to = many.select("perm", *by, "_k", dealt(F.col("_p"), F.col("_n"), deal_key(seed, F.col("perm"), name=F.col(within) if within else None)).alias("_p"))
-    return to.join(own.select(*by, "_p", "_l"), [*by, "_p"]).select("perm", F.col("_k").alias(key), F.col("_l").alias(label))
+    many = sized.select(*by, "_k", "_p", "_n", *kept, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    to = many.select("perm", *by, "_k", *kept, dealt(F.col("_p"), F.col("_n"), deal_key(seed, F.col("perm"), name=F.col(within) if within else None)).alias("_p"))
+    return to.join(own.select(*by, "_p", "_l"), [*by, "_p"]).select("perm", F.col("_k").alias(key), F.col("_l").alias(label), *(F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)))
 
 
 def cramers_v_calibrated(frame: DataFrame, x: str, y: str, key: str, n_perm: int = 200, seed: int = 0) -> DataFrame:
     """``v, null_median, null_p95, v_calibrated, perm_p``: association against that of permuted labels."""
     seen = cramers_v(frame, x, y).select("v")
     known = frame.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    deal = permuted(known, key, y, n_perm, seed).join(known.select(key, x), key)
+    deal = permuted(known, key, y, n_perm, seed, carry=[x])
     null = cramers_v(deal, x, y, "perm").select(F.col("v").alias("nv"))
     j = null.join(F.broadcast(seen.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))  # one row
     g = j.agg(F.max("v").alias("v"), F.median("nv").alias("null_median"), F.percentile("nv", F.lit(0.95)).alias("null_p95"), F.count_if(F.col("nv") >= F.col("v")).alias("ge"), F.count("*").alias("b"))

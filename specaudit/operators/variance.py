@@ -284,8 +284,13 @@ def permutation_calibration(frame: DataFrame, y: str, site: str, key: str, withi
     """``r2, null_median, calibrated, perm_p``: site R2 against that of site labels dealt anew within types."""
     ok = complete(frame, [y, site, *([within] if within else [])])
     seen = single_factor_r2(ok, y, site).select("r2")
-    deal = permuted(ok, key, site, n_perm, seed, within).join(ok.select(key, y), key)
-    null = single_factor_r2(deal, y, site, ["perm"]).select(F.col("r2").alias("nr2"))
+    # values stay with their rows, so their mean and total are those of all permutations
+    s = ok.agg(F.avg(y).alias("m"), F.count("*").alias("n"), F.countDistinct(site).alias("levels")).first()
+    centred = ok.withColumn("_d", F.col(y) - F.lit(s["m"]))
+    total = centred.agg(F.sum(F.col("_d") * F.col("_d"))).first()[0]
+    cells = permuted(centred, key, site, n_perm, seed, within, ["_d"]).groupBy("perm", site).agg(F.count("*").alias("n"), F.sum("_d").alias("s"))
+    r2 = F.try_divide(F.sum(F.col("s") * F.col("s") / F.col("n")), F.lit(total))
+    null = cells.groupBy("perm").agg((r2 if s["n"] > s["levels"] else F.lit(None).cast("double")).alias("nr2"))
     j = null.join(F.broadcast(seen.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))  # one row
     g = j.agg(F.max("r2").alias("r2"), F.median("nr2").alias("null_median"), F.count_if(F.col("nr2") >= F.col("r2")).alias("ge"), F.count("nr2").alias("b"))
     return g.select("r2", "null_median", (F.col("r2") - F.col("null_median")).alias("calibrated"), ((1 + F.col("ge")) / (1.0 + F.col("b"))).alias("perm_p"))
