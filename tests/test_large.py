@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from specaudit.functions import ranking
-from specaudit.operators import splits
+from specaudit.operators import nulls, splits
 
 
 @pytest.fixture
@@ -14,6 +15,41 @@ def ranges(monkeypatch):
     monkeypatch.setattr(ranking, "SMALL", 40)
 
 
+def adjusted(p: np.ndarray) -> np.ndarray:
+    order = np.argsort(p, kind="stable")
+    q = np.minimum.accumulate((p[order] * len(p) / np.arange(1, len(p) + 1))[::-1])[::-1]
+    out = np.empty(len(p))
+    out[order] = np.minimum(q, 1)
+    return out
+
+
+def test_q_by_ranges_equals_one_order(spark, ranges):
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(700) ** 4, 3)  # ties across and within families
+    families = [None if i % 5 == 0 else f"f{i % 3}" for i in range(700)]
+    rows = [(i, f, float(v)) for i, (f, v) in enumerate(zip(families, p, strict=True))] + [(900, "f1", None), (901, "bare", None)]
+    df = spark.createDataFrame(rows, "set_name int, family string, p double")
+    got = {r["set_name"]: r for r in nulls.bh_fdr(df, family="family").collect()}
+    assert len(got) == 702 and got[900]["q"] is None and not got[900]["rejected"]
+    for f in set(families):
+        at = [i for i, x in enumerate(families) if x == f]
+        want = adjusted(p[at])
+        assert np.allclose([got[i]["q"] for i in at], want, rtol=0, atol=1e-12)
+        assert [got[i]["rejected"] for i in at] == (want <= 0.05).tolist()
+    alone = nulls.bh_fdr(df.filter("p IS NOT NULL"))
+    assert np.allclose([r["q"] for r in alone.orderBy("set_name").collect()], adjusted(p), rtol=0, atol=1e-12)
+    audit = {r["family"]: (r["n"], r["n_tied"], r["max_q_delta"]) for r in nulls.bh_tie_audit(df, family="family").collect()}
+    counts = {f: np.unique(p[[i for i, x in enumerate(families) if x == f]], return_counts=True)[1] for f in set(families)}
+    assert audit == {f: (c.sum(), c[c > 1].sum(), 0.0) for f, c in counts.items()} | {"bare": (0, 0, None)}
+
+
+def test_no_window_of_q_looks_ahead(spark):
+    """A running least that ends at the last row is found anew for each row, which is quadratic."""
+    df = spark.range(100).select(F.col("id").alias("set_name"), (F.col("id") / 100).alias("p"))
+    for q in (nulls.bh_fdr(df), nulls.bh_tie_audit(df)):
+        assert "currentrow$(), unboundedfollowing" not in q._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_places_of_many_groups_whatever_their_columns_are_called(spark, ranges):
     df = spark.range(400).select(F.col("id").alias("key"), F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("_n"), F.lit("x").alias("_range"), F.lit(1).alias("_before"))
     got = ranking.rank_in_order(df, "key", name="_p", by=["_n"])
