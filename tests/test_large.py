@@ -69,3 +69,25 @@ def test_group_kfold_over_ranges(spark, ranges):
         want[g] = load.index(min(load))
         load[want[g]] += sizes[g]
     assert {r["g"]: r["fold"] for r in splits.group_kfold(df, "g").collect()} == want
+
+
+def broadcasts(df) -> list[str]:
+    """The rows under each broadcast of a plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    out = []
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            under = next((k for k in range(i + 1, len(plan)) if depth(plan[k]) <= depth(line)), len(plan))
+            out.append("\n".join(plan[i:under]))
+    return out
+
+
+def test_random_sets_over_ranges(spark, ranges):
+    bins = spark.range(300).select(F.col("id").cast("int").alias("gene"), (F.col("id") % 3).cast("int").alias("bin"))
+    sets = bins.select(F.when(F.col("gene") < 200, "a").otherwise("b").alias("set_name"), "gene")
+    for matched in (True, False):
+        df = nulls.random_sets(sets, bins, n_draws=4, matched=matched)
+        assert not any("Generate" in b for b in broadcasts(df))  # listed places are never broadcast
+        rows = df.collect()
+        assert len({(r["set_name"], r["draw"], r["gene"]) for r in rows}) == len(rows) == 4 * 300
