@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specaudit.functions import ranking
-from specaudit.operators import nulls, splits
+from specaudit.operators import inference, nulls, splits
 
 
 @pytest.fixture
@@ -91,3 +91,24 @@ def test_random_sets_over_ranges(spark, ranges):
         assert not any("Generate" in b for b in broadcasts(df))  # listed places are never broadcast
         rows = df.collect()
         assert len({(r["set_name"], r["draw"], r["gene"]) for r in rows}) == len(rows) == 4 * 300
+
+
+def test_resampled_clusters_carry_their_sums(spark, ranges):
+    clusters = spark.range(90).select((F.col("id") * 2).alias("cluster"), F.lit(3).alias("n"), F.col("id").cast("double").alias("v"))
+    df = inference.resample(clusters, 5)
+    assert not any("Generate" in b for b in broadcasts(df))
+    rows = df.collect()
+    assert all(r["v"] * 2 == r["cluster"] and r["n"] == 3 for r in rows)
+    assert {b: sum(r["w"] for r in rows if r["replicate"] == b) for b in range(5)} == dict.fromkeys(range(5), 90)
+
+
+def test_average_ranks_by_ranges(spark, ranges):
+    rng = np.random.default_rng(1)
+    v, w, g = rng.integers(0, 60, 500), rng.integers(1, 4, 500), rng.integers(0, 2, 500)
+    df = spark.createDataFrame([(i, None if g[i] else "x", int(v[i]), int(w[i])) for i in range(500)], "k int, g string, v int, w int")
+    got = ranking.with_average_rank(df, "v", "r", ["g"], "w")
+    assert "_rank_before" in got._jdf.queryExecution().logical().toString()  # it was cut
+    for r in got.collect():
+        mine = (g == 1) == (r["g"] is None)
+        below, same = w[mine & (v < r["v"])].sum(), w[mine & (v == r["v"])].sum()
+        assert r["r"] == below + (same + 1) / 2
