@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specaudit.functions import ranking
-from specaudit.operators import inference, nulls, splits
+from specaudit.operators import inference, nulls, outcome, splits
 
 
 @pytest.fixture
@@ -112,3 +112,39 @@ def test_average_ranks_by_ranges(spark, ranges):
         mine = (g == 1) == (r["g"] is None)
         below, same = w[mine & (v < r["v"])].sum(), w[mine & (v == r["v"])].sum()
         assert r["r"] == below + (same + 1) / 2
+
+
+def survival_rows(spark, n: int, scores: int):
+    rng = np.random.default_rng(5)
+    time, event, score = rng.integers(1, 30, n).astype(float), (rng.random(n) < 0.4).astype(float), rng.integers(0, scores, n).astype(float)
+    return spark.createDataFrame([(i, "a" if i % 3 else "b", float(t), float(e), float(s)) for i, (t, e, s) in enumerate(zip(time, event, score, strict=True))], "sample int, set_name string, time double, event double, score double")
+
+
+def test_hazards_and_concordance_of_large_keys(spark, ranges, monkeypatch):
+    df = survival_rows(spark, 600, 50)
+    small = {r["set_name"]: r for r in outcome.cox_by(df, ["set_name"]).collect()}
+    c = {r["set_name"]: r for r in outcome.concordance(df, ["set_name"]).collect()}
+    monkeypatch.setattr(outcome, "SPLIT_ROWS", 300)  # one key above, one below
+    for r in outcome.cox_by(df, ["set_name"]).collect():
+        assert np.allclose([r["coef"], r["se"]], [small[r["set_name"]]["coef"], small[r["set_name"]]["se"]], rtol=1e-9) and r[3:] == small[r["set_name"]][3:]
+    for r in outcome.concordance(df, ["set_name"]).collect():
+        assert np.isclose(r["c_index"], c[r["set_name"]]["c_index"], rtol=1e-12) and r[2:] == c[r["set_name"]][2:]
+
+
+def test_a_score_with_very_many_rows_is_a_few_cells(spark, ranges, monkeypatch):
+    count = outcome.count_concordant
+    df = survival_rows(spark, 900, 2).drop("set_name")
+    want = outcome.concordance(df).first()
+    monkeypatch.setattr(outcome, "SPLIT_ROWS", 300)
+    got = outcome.concordance(df)
+    assert np.isclose(got.first()["c_index"], want["c_index"], rtol=1e-12) and got.first()["n"] == 900
+    t, e, s, n = np.array([1.0, 2, 2]), np.array([1.0, 0, 1]), np.array([5.0, 5, 1]), np.array([2, 3, 4])
+    assert count(t, e, s, n) == count(np.repeat(t, n), np.repeat(e, n), np.repeat(s, n))
+
+
+def test_scores_of_draws_are_not_broadcast(spark):
+    df = survival_rows(spark, 300, 50)
+    null = df.select("sample", F.lit("a").alias("set_name"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("draw"), "score")
+    for metric in ("c_index", "coef"):
+        arm = outcome.outcome_arm(df.select("sample", F.lit("a").alias("set_name"), "score"), null, df.select("sample", "time", "event"), df.select("sample", F.col("time").alias("axis")), metric=metric)
+        assert not any("Generate" in b for b in broadcasts(arm))
