@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specaudit.functions import ranking
-from specaudit.operators import inference, nulls, outcome, splits
+from specaudit.operators import groups, inference, nulls, outcome, splits
 
 
 @pytest.fixture
@@ -148,3 +148,14 @@ def test_scores_of_draws_are_not_broadcast(spark):
     for metric in ("c_index", "coef"):
         arm = outcome.outcome_arm(df.select("sample", F.lit("a").alias("set_name"), "score"), null, df.select("sample", "time", "event"), df.select("sample", F.col("time").alias("axis")), metric=metric)
         assert not any("Generate" in b for b in broadcasts(arm))
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_cells_of_permutations_by_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(groups, "BLOCK_ROWS", block)
+    df = spark.range(60).select(F.col("id").alias("k"), F.concat(F.lit("s"), F.col("id") % 4).alias("site"), (F.col("id") % 3 == 0).cast("string").alias("type"), (F.col("id") % 5).alias("x"), (F.col("id") / 7).alias("v"))
+    for within in (None, "type"):
+        want = groups.permuted(df, "k", "site", 30, 2, within, ["x", "v"]).groupBy("perm", "site", "x").agg(F.count("*").alias("n"), F.round(F.sum("v"), 9).alias("s"))
+        got = groups.permuted_cells(df, "k", "site", 30, 2, within, "x", "v").withColumn("s", F.round("s", 9))
+        assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+        assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # no row of a permutation is shuffled
