@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from specaudit.functions import ranking
 from specaudit.operators import groups, inference, nulls, outcome, splits
+from specaudit.plans import audit
 
 
 @pytest.fixture
@@ -159,3 +160,17 @@ def test_cells_of_permutations_by_blocks(spark, monkeypatch, block):
         got = groups.permuted_cells(df, "k", "site", 30, 2, within, "x", "v").withColumn("s", F.round("s", 9))
         assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
         assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # no row of a permutation is shuffled
+
+
+def test_group_baseline_holds_cells_not_rows(spark):
+    rows = [(i, "a" if i % 2 else "b", None if i % 7 == 0 else i % 3, i % 5, None if i % 11 == 0 else float(i * i % 17)) for i in range(200)] + [(200, "a", 99, 1, 4.0)]
+    df = spark.createDataFrame(rows, "k int, set_name string, g int, fold int, y double")
+    got = audit.group_baseline(df, "y", "g", keys=["set_name"])
+    plan = [line.strip(" :+-") for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    for i, line in enumerate(plan):
+        if line.startswith("Window"):
+            assert next(x for x in plan[i + 1 :] if not x.startswith(("Window", "Project"))).startswith("Aggregate")
+    for r in got.collect():
+        train = [x for x in rows if x[1] == r["set_name"] and x[3] != r["fold"] and x[4] is not None]
+        own = [x[4] for x in train if x[2] == r["g"]] or [x[4] for x in train]
+        assert np.isclose(r["baseline"], np.mean(own))
