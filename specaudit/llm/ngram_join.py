@@ -322,9 +322,10 @@ def _hot_lists(held: DataFrame, sets: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _search(lists: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that queries ``g, c, n, rest, label`` find among the members ``g, c, n, rest, label`` of their lists.
+    """Links (a, b) that queries ``g, c, n, rest, label`` find among the members ``g, c, n, rest, label, size`` of their lists.
 
-    A member lies in one block, with others of the least n-gram among its lists; a query goes once to each block
+    A member lies in one block, with others of the longest among its lists (``size``), so that a large group fills few
+    blocks, whatever else its members share with one or two classes; a query goes once to each block
     that holds members of its lists which it could link with. What is linked already, by its label or by a link of
     the block, isn't looked at again, so a block gives fewer links than it has labels.
     """
@@ -332,10 +333,11 @@ def _search(lists: DataFrame, queries: DataFrame, sets: DataFrame, percent: int)
     def parts(most: int) -> Column:
         return F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("parts")
 
-    home = lists.groupBy("c").agg(F.min("g").alias("home"), F.min("label").alias("label"), F.min("n").alias("n"))
+    home = lists.groupBy("c").agg(F.max(F.struct("size", "g"))["g"].alias("home"), F.min("label").alias("label"), F.min("n").alias("n"))
     home = materialise(home, "homes")
-    room = home.groupBy("home").agg(parts(BLOCK_MEMBERS))
-    placed = materialise(home.join(room, "home").select("c", "label", F.xxhash64("home", F.pmod(F.xxhash64("c"), F.col("parts"))).alias("block")), "placed")
+    room = materialise(home.groupBy("home").agg(parts(BLOCK_MEMBERS)).filter("parts > 1"), "room")
+    part = F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1).cast("long")))
+    placed = materialise(home.join(room, "home", "left").select("c", "label", F.xxhash64("home", part).alias("block")), "placed")
     inside = lists.select("g", "c", "n", "rest").join(placed, "c").groupBy("g", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most"), F.min("label").alias("l0"), F.max("label").alias("l1"))
     inside = materialise(inside, "inside")
     least = F.ceil(F.col("n") * percent / 100)
@@ -368,7 +370,7 @@ def _search(lists: DataFrame, queries: DataFrame, sets: DataFrame, percent: int)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     links = materialise(everyone.join(sets, "c").groupBy("block", "part").applyInArrow(search, "a long, b long"), "links")
-    release(home, placed, inside, visits, crowd, everyone)
+    release(home, room, placed, inside, visits, crowd, everyone)
     return links
 
 
@@ -425,12 +427,12 @@ def similar_classes(docs: DataFrame, n: int = N, percent: int = MIN_PERCENT, als
     release(held)
     tidy(spark)
     hubs = lists.groupBy("g").agg(F.min(F.struct("share", "c", "n", "rest")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    hubs = materialise(hubs.select("g", "hub.c", "hub.n", "hub.rest", F.col("hub.c").alias("label")), "hubs")
-    own = materialise(lists.join(hubs.select("g"), "g", "left_semi").select("g", "c", "n", "rest", F.col("c").alias("label")), "members")
+    hubs = materialise(hubs.select("g", "hub.c", "hub.n", "hub.rest", F.col("hub.c").alias("label"), "size"), "hubs")
+    own = materialise(lists.join(hubs.select("g", "size"), "g").select("g", "c", "n", "rest", F.col("c").alias("label"), "size"), "members")
     links = _search(own, hubs, sets, percent)
     tidy(spark)
     labels = connected(links)
-    named_lists = materialise(own.drop("label").join(labels.withColumnRenamed("node", "c"), "c", "left").select("g", "c", "n", "rest", F.coalesce("label", "c").alias("label")), "named")
+    named_lists = materialise(own.drop("label").join(labels.withColumnRenamed("node", "c"), "c", "left").select("g", "c", "n", "rest", F.coalesce("label", "c").alias("label"), "size"), "named")
     release(lists, hubs, own, labels)
     counted = named_lists.groupBy("g", "label").agg(F.count("*").alias("k"))
     main = materialise(counted.groupBy("g").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("g", F.col("most.label").alias("main")), "main")

@@ -246,6 +246,30 @@ def test_templates_that_do_not_link(spark):
     assert want == list(range(40)) and ngram_join.components(t).filter("component_id <> doc_id").count() == 0
 
 
+def test_a_group_whose_members_share_more_with_one_other_fills_few_blocks(spark, monkeypatch):
+    """Queries of a group that doesn't link once went to a block for each pair of its members."""
+    rng = random.Random(23)
+    texts = []
+    for i in range(120):
+        w = [f"f{k}" for k in range(130)]
+        for k in rng.sample(range(5, 125), 3):
+            w[k] = f"m{i}x{k}"
+        texts.append(" ".join(w + [f"p{i // 2}w{k}" for k in range(8)]))
+    visits, plain = [], ngram_join.materialise
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "visits":
+            visits.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want, _ = brute_components(texts)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 60
+    assert max(visits) <= 3 * len(texts), visits
+
+
 def test_t_occurrence_equals_counting():
     rng = np.random.default_rng(0)
     for _ in range(200):
