@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specaudit.operators import axis as axes
-from specaudit.operators import nulls, splits
+from specaudit.operators import nulls, scoring, splits
 from specaudit.plans.audit import AuditConfig, baselines, run_audit, run_variants
 
 
@@ -61,6 +61,29 @@ def test_audit_finds_what_the_predictor_sees(planted, tmp_path):
     r.save(str(tmp_path))
 
 
+def test_audit_makes_its_matrix_and_scores_once(planted, monkeypatch):
+    """Each of some ten plans made the matrix anew, and the scores of all draws were made for the lines and again for residuals."""
+    frame, long, sets, _ = planted
+    seen, calls = long.sparkSession.sparkContext.accumulator(0), []
+    plain = scoring.score_sets
+
+    def count(v):
+        seen.add(1)
+        return v
+
+    def scored(*args):
+        out = plain(*args)
+        calls.append(out)
+        return out
+
+    monkeypatch.setattr(scoring, "score_sets", scored)
+    matrix = long.withColumn("value", F.udf(count, "double")("value"))
+    r = run_audit(frame, matrix, sets, AuditConfig(n_null=6, n_boot=20, min_patients=100, ridge_alpha=10.0, purity_col=None, with_site_control=False))
+    assert r.tables["immune_excess"].count() == 2 and r.primary["n_rows"] == 240
+    assert seen.value == 240 * 120
+    assert len(calls) == 2 and all(x.is_cached for x in calls)
+
+
 def test_audit_refuses_repeated_patients(planted):
     frame, long, sets, _ = planted
     with pytest.raises(ValueError, match="repeated"):
