@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specaudit.functions import ranking
+from specaudit.operators import axis as axis_module
 from specaudit.operators import groups, inference, nulls, outcome, splits
 from specaudit.plans import audit
 
@@ -174,3 +175,48 @@ def test_group_baseline_holds_cells_not_rows(spark):
         train = [x for x in rows if x[1] == r["set_name"] and x[3] != r["fold"] and x[4] is not None]
         own = [x[4] for x in train if x[2] == r["g"]] or [x[4] for x in train]
         assert np.isclose(r["baseline"], np.mean(own))
+
+
+def test_pairs_by_halves_of_time_equal_a_count_of_all():
+    rng = np.random.default_rng(2)
+    for trial in range(60):
+        n = int(rng.integers(0, 30))
+        t, s = rng.integers(1, 12, n).astype(float), rng.integers(0, 1 + trial % 9, n).astype(float)
+        s[rng.random(n) < 0.1] = np.nan  # the largest, and all equal
+        k = rng.integers(1, 4, n) if trial % 2 else np.ones(n, int)
+        e = rng.integers(0, 9, n) % (k + 1)
+        v = np.nan_to_num(s, nan=np.inf)
+        w = np.where(t[None, :] > t[:, None], e[:, None] * k[None, :], 0)
+        assert outcome.pair_counts(t, s, k, e) == (w[v[None, :] < v[:, None]].sum(), w[v[None, :] == v[:, None]].sum(), w.sum())
+
+
+@pytest.mark.parametrize("split", [40, 1000])
+def test_scores_of_draws_meet_their_samples_once(spark, monkeypatch, split):
+    """Both adjustments and all passes take them from what is held; a sample with two rows of survival counts once in its line."""
+    monkeypatch.setattr(outcome, "SPLIT_ROWS", split)
+    df = survival_rows(spark, 200, 30)
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        met.add(1)
+        return x
+
+    score = F.udf(seen, "double")((F.col("sample") * (F.col("draw") + 7) % 53).cast("double")).alias("score")
+    plain = df.select("sample", F.lit("a").alias("set_name"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("draw"))
+    null, own = plain.select("sample", "set_name", "draw", score), df.select("sample", F.lit("a").alias("set_name"), "score")
+    survival = df.select("sample", "time", "event", F.col("set_name").alias("type")).filter("sample % 10 <> 3")
+    survival = survival.unionByName(survival.filter("sample % 10 = 4").withColumn("time", F.col("time") + 3))
+    axis = df.select("sample", F.when(F.col("sample") % 9 != 0, F.col("sample") % 17).cast("double").alias("axis"), F.when(F.col("sample") % 5 != 0, "x").alias("type"))
+    got = {r["adjustment"]: r for r in outcome.outcome_arm(own, null, survival, axis, "type", "type").collect()}
+    assert met.value == 1200
+    again = spark.createDataFrame(null.collect(), null.schema)
+    for kind in ("raw", "axis_residualised"):
+        off = lambda x: axis_module.residualise(x, axis, "type").select("sample", F.col("residual").alias("score"))
+        c = []
+        for x in (own, *(again.filter(F.col("draw") == d).drop("draw") for d in range(6))):
+            rows = (x.select("sample", "score") if kind == "raw" else off(x)).join(survival, "sample")
+            p = outcome.concordance_pairs(rows, ["type"], 0).agg(F.sum(F.col("c_index") * F.col("n_pairs")) / F.sum("n_pairs"), F.sum("n_pairs")).first()
+            c.append(p[0])
+        assert np.isclose(got[kind]["observed"], c[0], rtol=1e-12) and got[kind]["n_null"] == 6
+        z = np.arctanh(2 * (0.5 + np.abs(np.array(c) - 0.5)) - 1)
+        assert np.isclose(got[kind]["excess_z"], z[0] - z[1:].mean(), rtol=1e-9, atol=1e-12)
